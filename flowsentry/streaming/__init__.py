@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference pipeline is batch-only: flows are treated as a static table and
+stream processing (sliding windows, drift) is out of its scope. A fitted
+detector's ``transform`` is a narrow projection / ``mapInPandas`` and so works
+unchanged on a streaming DataFrame, but no streaming operator is built here.
+"""
