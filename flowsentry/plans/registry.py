@@ -88,3 +88,7 @@ def q_balanced_subset(spark, sf_dir):
 SELECT row_id, y, fold FROM folded""")
 def q_kfold_assign(spark, sf_dir):
     return P.kfold_assign(li_flows(spark, sf_dir), 3).select("row_id", "y", "fold")
+
+
+# the remaining query modules register themselves on import
+from flowsentry.plans import q_core  # noqa: E402,F401
