@@ -93,3 +93,4 @@ def q_kfold_assign(spark, sf_dir):
 # the remaining query modules register themselves on import
 from flowsentry.plans import q_core  # noqa: E402,F401
 from flowsentry.plans import q_metrics  # noqa: E402,F401
+from flowsentry.plans import q_detectors  # noqa: E402,F401
