@@ -114,3 +114,52 @@ def q_contamination_flag(spark, sf_dir):
     s = m.transform(em, keep=("row_id",))
     return s.agg(F.count(F.lit(1)).alias("n"), F.sum("pred").cast("long").alias("n_flagged"),
                  F.avg("pred").alias("flag_share"))
+
+
+# ------------------------------------------------------- OC-SVM, autoencoders
+
+from flowsentry.functions.ranks import exact_quantile_values  # noqa: E402
+from flowsentry.operators.detectors import autoencoder as AE  # noqa: E402
+from flowsentry.operators.detectors import ocsvm as OC  # noqa: E402
+
+
+@query("ocsvm_score")
+def q_ocsvm_score(spark, sf_dir):
+    """Rbf one-class SVM (nu 0.2, gamma auto) fitted on the EM train split."""
+    em = P.stratified_split(em_flows(spark, sf_dir))
+    m = OC.fit_ocsvm(em.where("split = 'train'"), EM_FEATURES, "rbf", "auto", 0.2)
+    return m.transform(em.where("split = 'test'"), keep=("row_id", "y"))
+
+
+def _ae(spark, sf_dir, cls: int):
+    em = P.stratified_split(em_flows(spark, sf_dir))
+    tr = em.where(f"split = 'train' AND y = {cls}")
+    va = em.where(f"split = 'val' AND y = {cls}")
+    return em, AE.fit_autoencoder(tr, va, EM_FEATURES, max_epochs=30)
+
+
+@query("autoencoder_score")
+def q_autoencoder_score(spark, sf_dir):
+    """AE on normals; flag test rows whose error exceeds P80 of val errors."""
+    em, m = _ae(spark, sf_dir, 0)
+    val = m.reconstruction_error(em.where("split = 'val'"))
+    t = exact_quantile_values(val, "mse", [0.8])[(0.8,)]
+    s = m.reconstruction_error(em.where("split = 'test'"))
+    return s.withColumn("score", F.col("mse")).withColumn("pred", (F.col("mse") > t).cast("int"))
+
+
+@query("autoencoder_anomaly_score")
+def q_autoencoder_anomaly_score(spark, sf_dir):
+    """AE on anomalies; low error = anomaly (mse < P20 of val), score -mse."""
+    em, m = _ae(spark, sf_dir, 1)
+    val = m.reconstruction_error(em.where("split = 'val'"))
+    t = exact_quantile_values(val, "mse", [0.2])[(0.2,)]
+    s = m.reconstruction_error(em.where("split = 'test'"))
+    return s.withColumn("score", -F.col("mse")).withColumn("pred", (F.col("mse") < t).cast("int"))
+
+
+@query("loss_history")
+def q_loss_history(spark, sf_dir):
+    """Per-epoch train and validation loss of the normal AE."""
+    _, m = _ae(spark, sf_dir, 0)
+    return m.history_df(spark)
