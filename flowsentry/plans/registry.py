@@ -94,3 +94,4 @@ def q_kfold_assign(spark, sf_dir):
 from flowsentry.plans import q_core  # noqa: E402,F401
 from flowsentry.plans import q_metrics  # noqa: E402,F401
 from flowsentry.plans import q_detectors  # noqa: E402,F401
+from flowsentry.plans import q_tuning  # noqa: E402,F401
