@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsentry.functions.hashing import hash_order
+from flowsentry.session import spread
 
 HIDDEN = (32, 16, 8, 16, 32)
 
@@ -147,7 +148,7 @@ class AEModel:
                 yield o
 
         cols = keep + [F.col(c).cast("double").alias(c) for c in feats if c not in keep]
-        return df.select(*cols).mapInPandas(run, schema)
+        return spread(df.select(*cols), keep[0] if keep else None).mapInPandas(run, schema)
 
 
 def fit_autoencoder(train: DataFrame, val: DataFrame, features: list[str], max_epochs: int = 100,

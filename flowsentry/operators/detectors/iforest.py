@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from flowsentry.functions.hashing import hash_unit
 from flowsentry.functions.ranks import exact_quantile_values
+from flowsentry.session import spread
 
 AUTO_OFFSET = -0.5
 EULER_GAMMA = 0.5772156649015329
@@ -126,27 +127,33 @@ class IForestModel:
 
         def run(batches):
             fe, th, le, ri, lh = bc.value
-            trees = np.arange(fe.shape[0])[None, :]
+            nt, m = fe.shape
+            # flat node arrays: global node id = tree * m + local id
+            base = (np.arange(nt) * m)
+            fe_f, th_f, lh_f = fe.ravel(), th.ravel(), lh.ravel()
+            le_f, ri_f = (le + base[:, None]).ravel(), (ri + base[:, None]).ravel()
             for b in batches:
-                X = b[feats].to_numpy(np.float64)
-                n = X.shape[0]
-                node = np.zeros((n, fe.shape[0]), np.int64)
-                rows = np.arange(n)[:, None]
+                X = np.ascontiguousarray(b[feats].to_numpy(np.float64))
+                n, d = X.shape
+                Xf = X.ravel()
+                node = np.tile(base, n)                    # rows x trees, flattened
+                row_off = np.repeat(np.arange(n) * d, nt)
                 while True:
-                    f = fe[trees, node]
+                    f = np.take(fe_f, node)
                     inner = f >= 0
                     if not inner.any():
                         break
-                    x = X[rows, np.where(inner, f, 0)]
-                    nxt = np.where(x <= th[trees, node], le[trees, node], ri[trees, node])
+                    x = np.take(Xf, row_off + np.where(inner, f, 0))
+                    go_left = x <= np.take(th_f, node)
+                    nxt = np.where(go_left, np.take(le_f, node), np.take(ri_f, node))
                     node = np.where(inner, nxt, node)
-                h = lh[trees, node].mean(axis=1)
+                h = np.take(lh_f, node).reshape(n, nt).mean(axis=1)
                 out = b[keep].copy()
                 out["score_samples"] = -np.power(2.0, -h / cpsi)
                 yield out
 
         cols = keep + [F.col(c).cast("double").alias(c) for c in feats if c not in keep]
-        s = df.select(*cols).mapInPandas(run, schema)
+        s = spread(df.select(*cols), keep[0] if keep else None).mapInPandas(run, schema)
         d = F.col("score_samples") - F.lit(self.offset)
         return (s.withColumn("decision", d).withColumn("score", -d)
                  .withColumn("pred", (d < 0).cast("int")))
@@ -195,7 +202,8 @@ def fit_iforest(df: DataFrame, features: list[str], n_trees: int = 100, max_samp
         oversample *= 4.0  # a tree drew fewer than psi rows: widen the bound, redo
     model = IForestModel(list(features), n_trees, psi, AUTO_OFFSET, nodes)
     if contamination != "auto":
-        sc = model.transform(df, keep=[])
+        sc = model.transform(df, keep=[]).select("score_samples").cache()
         q = exact_quantile_values(sc, "score_samples", [contamination])
+        sc.unpersist()
         model.offset = float(next(iter(q.values())))
     return model

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowsentry.session import spread
+
 #: reference bytes (rows x features x 8) shipped to executors at most
 BROADCAST_BYTES = 256 * 1024 * 1024
 #: rows per side inside one cogroup of the blocked strategy
@@ -121,7 +123,7 @@ def knn_join(queries: DataFrame, ref: DataFrame, features: list[str], k: int,
 
         q = queries.select(F.col(q_key).cast("string").alias("_qid"),
                            *[F.col(c).cast("double") for c in features])
-        return q.mapInPandas(run, KNN_SCHEMA)
+        return spread(q, "_qid").mapInPandas(run, KNN_SCHEMA)
     return _knn_blocked(queries, ref, features, k, exclude_self, q_key, r_key, n_ref)
 
 

@@ -203,3 +203,26 @@ def q_cv_boxes(spark, sf_dir):
     rows = (fm_lof.select(F.lit("LOF").alias("model"), "f1")
             .unionByName(fm_if.select(F.lit("Isolation Forest").alias("model"), "f1")))
     return TU.cv_boxes(rows)
+
+
+# ----------------------------------------------------------- experiments
+
+@query("full_experiment")
+def q_full_experiment(spark, sf_dir):
+    """Six models on the scaled EM split, evaluated on both scenarios."""
+    from flowsentry.plans.experiment import em_experiment
+    return em_experiment(spark, sf_dir)["evaluation"]
+
+
+@query("loss_curves")
+def q_loss_curves(spark, sf_dir):
+    """Loss histories of both autoencoders as one table."""
+    from flowsentry.plans.experiment import em_experiment
+    return em_experiment(spark, sf_dir)["loss_curves"]
+
+
+@query("best_performers")
+def q_best_performers(spark, sf_dir):
+    """Best model per (scenario, metric) of the full experiment."""
+    from flowsentry.plans.experiment import best_performers, em_experiment
+    return best_performers(em_experiment(spark, sf_dir)["evaluation"])

@@ -65,3 +65,18 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path below the shared folder for an intermediate table."""
     return f"{shared_dir(spark).rstrip('/')}/flowsentry/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df, key: str | None = "row_id", min_parts: int | None = None):
+    """Hash-repartition on ``key`` when ``df`` has fewer partitions than the
+    cluster's default parallelism (small single-file inputs feeding Python
+    stages). Large scans already have many splits and pass through unchanged.
+    Hashing on the row key keeps the layout deterministic on recompute.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_parts or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    if key and key in df.columns:
+        return df.repartition(want, key)
+    return df.repartition(want)
