@@ -220,7 +220,8 @@ def evaluate(scored: DataFrame, by=("model",), y: str = "y", score: str | None =
     r = with_rates(confusion(scored, by, y, pred))
     if score is None:
         return r.withColumn("auc", F.lit(None).cast("double"))
-    return r.join(auc(scored, by, y, score, ranges), on=by, how="left")
+    a = auc(scored, by, y, score, ranges)
+    return r.join(a, on=by, how="left") if by else r.crossJoin(a)
 
 
 def metrics_long(ev: DataFrame, by=("model", "scenario")) -> DataFrame:
