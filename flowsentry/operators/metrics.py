@@ -265,3 +265,15 @@ def model_summary(scored: DataFrame, by=("model",), y: str = "y", score: str | N
     """One line per model: F1 and AUC (NULL without scores)."""
     ev = evaluate(scored, by, y, score, pred)
     return ev.select(*_by_list(by), F.col("f1").alias("F1-Score"), F.col("auc").alias("AUC-ROC"))
+
+
+def dense_grid(long: DataFrame, row: str, col: str, value: str, where=None) -> DataFrame:
+    """Every (row, col) pair of the distinct values present; a missing
+    cell reads 0 (the chart's lookup). Both key lists are small (models,
+    scenarios), so the cross product is bounded by them."""
+    src = long if where is None else long.where(where)
+    rows = src.select(row).distinct()
+    cols = src.select(col).distinct()
+    grid = rows.crossJoin(F.broadcast(cols))
+    return (grid.join(src.select(row, col, value), [row, col], "left")
+                .select(row, col, F.coalesce(F.col(value), F.lit(0.0)).alias(value)))

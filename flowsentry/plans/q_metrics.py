@@ -312,3 +312,15 @@ def q_ensemble_or_sum(spark, sf_dir):
         (F.col("user_id") % 13 > 9).cast("int").alias("pb"))
     e = EN.ensemble(ev, ("sa", "pa"), ("sb", "pb"))
     return e.select("row_id", "pred", r6("score").alias("score"))
+
+
+@query("dense_metric_grid", f"""WITH {EVAL_SQL},
+src AS (SELECT model, scenario, f1 FROM ev_all WHERE model <> 'user_mod' OR scenario = 'original'),
+g AS (SELECT m.model, s.scenario FROM (SELECT DISTINCT model FROM src) m, (SELECT DISTINCT scenario FROM src) s)
+SELECT g.model, g.scenario, {_r('coalesce(src.f1, 0.0)')} AS f1
+FROM g LEFT JOIN src USING (model, scenario)""")
+def q_dense_metric_grid(spark, sf_dir):
+    """Model x scenario F1 grid with a missing cell read as 0."""
+    e = _eval(spark, sf_dir)
+    g = M.dense_grid(e, "model", "scenario", "f1", where="model <> 'user_mod' OR scenario = 'original'")
+    return g.select("model", "scenario", r6("f1").alias("f1"))

@@ -226,3 +226,15 @@ def q_best_performers(spark, sf_dir):
     """Best model per (scenario, metric) of the full experiment."""
     from flowsentry.plans.experiment import best_performers, em_experiment
     return best_performers(em_experiment(spark, sf_dir)["evaluation"])
+
+
+@query("cv_best", f"""WITH {_cv_tables_sql()},
+r AS (SELECT k, mean_f1, row_number() OVER (ORDER BY mean_f1 DESC, candidate_id) AS rk
+      FROM res JOIN cand USING (k))
+SELECT k AS n_neighbors, {_r('mean_f1')} AS mean_f1 FROM r WHERE rk = 1""")
+def q_cv_best(spark, sf_dir):
+    """T5: the best LOF structure from the ranked CV table."""
+    res, _, _ = TU.tune_lof(em_folded(spark, sf_dir), EM_FEATURES)
+    best = TU.best_params(res, ["n_neighbors", "mean_f1"])
+    return res.where(F.col("n_neighbors") == best["n_neighbors"]).select(
+        "n_neighbors", r6("mean_f1").alias("mean_f1"))

@@ -98,8 +98,8 @@ def lof_fold_neighbours(df: DataFrame, features: list[str], k_max: int, k_folds:
                       q_key=key, r_key=key)
         blocks.append(nb.withColumn("blk", F.lit(g)))
     cand = reduce(lambda a, b: a.unionByName(b), blocks)
-    per_f = cand.crossJoin(F.broadcast(df.sparkSession.range(k_folds)
-                                       .select(F.col("id").cast("int").alias("f"))))
+    # each candidate serves every target fold but its own block (k_folds - 1 copies)
+    per_f = cand.withColumn("f", F.explode(F.array(*[F.lit(f) for f in range(k_folds)])))
     per_f = per_f.where(F.col("blk") != F.col("f"))
     w = Window.partitionBy("f", "q_id").orderBy("dist", "o_id")
     return (per_f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_max)
@@ -111,8 +111,8 @@ def lof_cv_scores(df: DataFrame, features: list[str], ks, k_folds: int = 3,
     """Scored query rows (k, f, row_id, y, score_samples) and training-row
     LOF values (k, f, row_id, lof) for every k of the grid."""
     nbr = lof_fold_neighbours(df, features, max(ks), k_folds, fold, key)
-    kk = df.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
-    nb = nbr.crossJoin(F.broadcast(kk)).where(F.col("rank") <= F.col("k"))
+    nb = (nbr.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+             .where(F.col("rank") <= F.col("k")))
     role = df.select(F.col(key).alias("q_id"), F.col(fold).alias("own"), "y")
     nb = nb.join(role, "q_id")
     kd = (nb.where(F.col("own") != F.col("f")).groupBy("k", "f", "q_id")
@@ -326,3 +326,9 @@ def cv_boxes(fold_rows: DataFrame, model_col: str = "model", value: str = "f1")
     """Box statistics of per-fold scores per model."""
     from flowsentry.operators.profile import box_stats
     return box_stats(fold_rows.select(model_col, value), [value], cls=model_col)
+
+
+def best_params(ranked: DataFrame, params: list[str]) -> dict:
+    """T5: parameters of the rank-1 candidate, typed (no metric columns)."""
+    row = ranked.where(F.col("rank") == 1).select(*params).first()
+    return {p: row[p] for p in params if row[p] is not None}
