@@ -100,15 +100,23 @@ def bucket_counts(df: DataFrame, by, h: str = HASH_COL, digits: int = BUCKET_DIG
     return [(tuple(r[c] for c in by), r["_b"], int(r["_n"])) for r in rows]
 
 
+def totals(counts) -> dict:
+    """Group sizes from bucket counts (no extra pass over the data)."""
+    out: dict = {}
+    for g, _, n in counts:
+        out[g] = out.get(g, 0) + n
+    return out
+
+
 def bucketed_rank(df: DataFrame, by=None, h: str = HASH_COL, key: str = "row_id",
-                  out: str = "rank", digits: int = BUCKET_DIGITS) -> DataFrame:
+                  out: str = "rank", digits: int = BUCKET_DIGITS, counts=None) -> DataFrame:
     """``row_number() over (partition by <by> order by h, key)`` for every row.
 
     Equal to the plain window, but the sort runs per (group, bucket).
     """
     by = _by_list(by)
     spark = df.sparkSession
-    counts = bucket_counts(df, by, h, digits)
+    counts = list(counts) if counts is not None else bucket_counts(df, by, h, digits)
     counts.sort(key=lambda t: (tuple("" if v is None else v for v in t[0]), t[1]))
     offs, run = [], {}
     for g, b, n in counts:

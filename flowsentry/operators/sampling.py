@@ -17,8 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions.hashing import HASH_COL, with_hash
-from flowsentry.functions.ranks import (approximate_mode, assign_segments, bucketed_rank,
-                                        group_counts, select_quota, split_quota)
+from flowsentry.functions.ranks import (approximate_mode, assign_segments, bucket_counts,
+                                        bucketed_rank, select_quota, split_quota, totals)
+
+
+def _hashed_counts(df: DataFrame, by: str, seed: int, key: str):
+    """Hash column + (class, bucket) counts; class sizes are their sums, so
+    one aggregate pass serves both the quotas and the selection."""
+    x = with_hash(df, seed, key)
+    bc = bucket_counts(x, [by])
+    return x, bc, _single(totals(bc))
 
 
 def _single(counts: dict) -> dict:
@@ -48,14 +56,13 @@ def stratified_sample(df: DataFrame, label: str = "label", frac: float = 0.2,
     Falls back to P2 when stratification is impossible (a class with fewer
     than two rows, or fewer sample/remaining rows than classes).
     """
-    counts = _single(group_counts(df, label))
+    x, bc, counts = _hashed_counts(df, label, seed, key)
     n, k = sum(counts.values()), len(counts)
     n_test = math.ceil(frac * n)
     if not counts or min(counts.values()) < 2 or n_test < k or n - n_test < k:
         return random_fraction(df, frac, seed, key)
     quotas = split_quota(counts, frac)
-    x = with_hash(df, seed, key)
-    return select_quota(x, [label], _tuple(quotas), key=key).drop(HASH_COL)
+    return select_quota(x, [label], _tuple(quotas), key=key, counts=bc).drop(HASH_COL)
 
 
 def split_sizes(counts: dict, test_size: float = 0.15, val_size: float = 0.15) -> tuple[dict, dict]:
@@ -75,10 +82,10 @@ def stratified_split(df: DataFrame, y: str = "y", test_size: float = 0.15,
     Within each class the hash order gives test = ranks 1..t,
     val = t+1..t+v, train = the rest.
     """
-    counts = _single(group_counts(df, y))
+    x, bc, counts = _hashed_counts(df, y, seed, key)
     test_q, val_q = split_sizes(counts, test_size, val_size)
     cuts = {(c,): [test_q[c], test_q[c] + val_q[c]] for c in counts}
-    x = assign_segments(with_hash(df, seed, key), [y], cuts, key=key, out="_seg")
+    x = assign_segments(x, [y], cuts, key=key, out="_seg", counts=bc)
     name = F.when(F.col("_seg") == 0, "test").when(F.col("_seg") == 1, "val").otherwise("train")
     return x.withColumn(out, name).drop("_seg", HASH_COL)
 
@@ -96,12 +103,11 @@ def subsample_quotas(counts: dict, n: int) -> dict:
 def stratified_subsample(df: DataFrame, n: int | None, y: str = "y", seed: int = 42,
                          key: str = "row_id") -> DataFrame:
     """N rows keeping the anomaly ratio; n None or >= count -> all rows."""
-    counts = _single(group_counts(df, y))
+    x, bc, counts = _hashed_counts(df, y, seed, key)
     if n is None or n >= sum(counts.values()):
         return df
     q = subsample_quotas(counts, n)
-    x = with_hash(df, seed, key)
-    return select_quota(x, [y], _tuple(q), key=key).drop(HASH_COL)
+    return select_quota(x, [y], _tuple(q), key=key, counts=bc).drop(HASH_COL)
 
 
 def class_subsample(df: DataFrame, n: int, y: str = "y", cls: int = 0,
@@ -116,12 +122,11 @@ def balanced_flag(df: DataFrame, y: str = "y", seed: int = 42, key: str = "row_i
 
     Raises when anomalies outnumber normals (the reference fails there too).
     """
-    counts = _single(group_counts(df, y))
+    x, bc, counts = _hashed_counts(df, y, seed, key)
     a, nn = counts.get(1, 0), counts.get(0, 0)
     if strict and a > nn:
         raise ValueError(f"balanced subset impossible: {a} anomalies > {nn} normals")
-    x = assign_segments(with_hash(df, seed, key), [y], {(0,): [a], (1,): [a]},
-                        key=key, out="_seg")
+    x = assign_segments(x, [y], {(0,): [a], (1,): [a]}, key=key, out="_seg", counts=bc)
     return x.withColumn(out, (F.col("_seg") == 0).cast("int")).drop("_seg", HASH_COL)
 
 
@@ -138,7 +143,7 @@ def kfold_assign(df: DataFrame, k: int = 3, y: str = "y", seed: int = 42,
     (the reference's per-fold/per-class counts); inside a class the hash
     order replaces the shuffle: fold = (class_offset + rank - 1) % k.
     """
-    counts = _single(group_counts(df, y))
+    x, bc, counts = _hashed_counts(df, y, seed, key)
     off, run = {}, 0
     for c in sorted(counts):
         off[c] = run
@@ -148,7 +153,7 @@ def kfold_assign(df: DataFrame, k: int = 3, y: str = "y", seed: int = 42,
         offset = (F.when(F.col(y) == c, F.lit(o)) if offset is None
                   else offset.when(F.col(y) == c, F.lit(o)))
     offset = offset.otherwise(F.lit(0)) if offset is not None else F.lit(0)
-    x = bucketed_rank(with_hash(df, seed, key), [y], key=key, out="_rank")
+    x = bucketed_rank(x, [y], key=key, out="_rank", counts=bc)
     return (x.withColumn(out, ((offset + F.col("_rank") - 1) % k).cast("int"))
              .drop("_rank", HASH_COL))
 
