@@ -32,6 +32,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -80,3 +81,31 @@ def spread(df, key: str | None = "row_id", min_parts: int | None = None):
     if key and key in df.columns:
         return df.repartition(want, key)
     return df.repartition(want)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``flowsentry`` importable on executors (pandas functions pickle
+    references to its modules): zip the package once per application and
+    hand it to ``SparkContext.addPyFile``, which distributes it to every
+    executor's Python path."""
+    import zipfile
+
+    import flowsentry
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(flowsentry.__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="flowsentry-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
