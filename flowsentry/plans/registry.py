@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowsentry.operators import sampling as P
 from flowsentry.plans import sqlgen as G
-from flowsentry.plans.fixtures import EM_SQL, EV_SQL, LI_SQL, em_flows, ev_flows, li_flows
+from flowsentry.plans.fixtures import LI_SQL, li_flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
