@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsentry.llm import ann, chat, packing
+from flowsentry.llm import ann, chat, packing, simhash, warc
 from flowsentry.llm.common import table
+from flowsentry.session import scratch_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +24,30 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op5_simhash")
+def op5_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
+@query("op6_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to FROM m""")
+def op6_warc(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
+    number = lambda c: F.when(page(c) != "", page(c).cast("long"))
+    return warc.read_warc(spark, path).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+
+
 @query("op7_packing")
 def op7_packing(spark, sf_dir):
     import public_tokenizers
