@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsentry.llm import ann, chat, packing, simhash, warc
+from flowsentry.llm import ann, chat, packing, quality, secret_scan, simhash, warc
 from flowsentry.llm.common import table
 from flowsentry.session import scratch_path
 
@@ -24,6 +24,17 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op3_secrets")
+def op3_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    ratios = secret_scan.fit(secret_scan.labelled_samples(docs))
+    count = lambda k: F.size(k).cast("long").alias(f"n_{k}")
+    return secret_scan.scan(docs.select("doc_id", "text"), ratios).select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secret_scan.digest("assign", "access", "hex"), 256).alias("base_sha256"),
+        secret_scan.digest(*secret_scan.KINDS).alias("spans"), count("markov"))
+
+
 @query("op5_simhash")
 def op5_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
@@ -91,3 +102,12 @@ def op10_chat(spark, sf_dir):
     out = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.transform("mask", lambda x: F.concat_ws(":", x["start"], x["end"]))
     return out.withColumn("mask", F.array_join(spans, ","))
+
+
+@query("op8_quality")
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, ["doc_id"]).select(
+        "doc_id", quality.held_out().alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
