@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsentry.llm import ann, chat, packing, quality, secret_scan, simhash, warc
+from flowsentry.llm import ann, chat, decontam, packing, quality, secret_scan, simhash, warc
 from flowsentry.llm.common import table
 from flowsentry.session import scratch_path
 
@@ -24,6 +24,14 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op2_decontam")
+def op2_decontam(spark, sf_dir):
+    found = decontam.phrase_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query("op3_secrets")
 def op3_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
