@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsentry.llm import ann, chat, decontam, packing, quality, secret_scan, simhash, warc
+from flowsentry.llm import ann, chat, decontam, line_dedup, packing, quality, secret_scan, simhash, warc
 from flowsentry.llm.common import table
 from flowsentry.session import scratch_path
 
@@ -43,6 +43,32 @@ def op3_secrets(spark, sf_dir):
         secret_scan.digest(*secret_scan.KINDS).alias("spans"), count("markov"))
 
 
+@query("op4_line_dedup", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS seq FROM l WHERE regexp_matches(s, '\\S')),
+w AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY seq) AS s2,
+    CASE WHEN length(s) >= 50 THEN 1 ELSE 2 END AS need FROM b),
+k AS (SELECT *, CASE WHEN need = 1 THEN s ELSE s || chr(10) || s2 END AS run FROM w WHERE need = 1 OR s2 IS NOT NULL),
+c AS (SELECT *, row_number() OVER (PARTITION BY need, run ORDER BY doc_id, seq) AS copy FROM k),
+g AS (SELECT DISTINCT doc_id, seq + unnest(range(need)) AS seq FROM c WHERE copy > 1),
+i AS (SELECT g.doc_id, b.line, g.seq - row_number() OVER (PARTITION BY g.doc_id ORDER BY g.seq) AS isl
+  FROM g JOIN b ON g.doc_id = b.doc_id AND g.seq = b.seq),
+r AS (SELECT doc_id, isl, min(line) AS lo, max(line) AS hi FROM i GROUP BY doc_id, isl),
+d AS (SELECT l.doc_id, count(*) AS n_lines, count(r.lo) AS n_deleted, count(DISTINCT r.lo) AS n_runs,
+    coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (r.lo IS NULL), '') AS kept
+  FROM l LEFT JOIN r ON l.doc_id = r.doc_id AND l.line BETWEEN r.lo AND r.hi GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_deleted, n_runs, sha256(kept) AS kept_sha256 FROM d""")
+def op4_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    out = line_dedup.dedup_lines(docs.withColumn("n_lines", n))
+    deleted = F.aggregate("deleted_runs", F.lit(0), lambda a, r: a + r["end"] - r["start"])
+    return out.select("doc_id", "n_lines", deleted.cast("long").alias("n_deleted"),
+                      F.size("deleted_runs").cast("long").alias("n_runs"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op5_simhash")
 def op5_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
