@@ -56,6 +56,15 @@ def batch_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def by_bytes(offsets: np.ndarray, limit: int = 4 << 20):
+    """Ranges (lo, hi) of rows that hold about ``limit`` bytes, at least a row each."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray):
     """Starts and ends (byte positions) of the words ``[^\\x20\\x09-\\x0D]+`` of
     every row, and the n + 1 offsets of the rows among the words.

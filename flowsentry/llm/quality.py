@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import batch_bytes, word_spans
+from flowsentry.llm.common import batch_bytes, by_bytes, word_spans
 
 FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "mark_end", "no_letter",
             "lines", "distinct", "repeated", "top_line", "space")
@@ -75,12 +75,8 @@ def batch_features(texts) -> np.ndarray:
     raw, offsets = batch_bytes(texts)
     n = len(offsets) - 1
     out = np.zeros((n, len(FEATURES)))
-    # bounded memory: so many texts at a time that they hold about 8 MB
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (8 << 20), side="right")) - 1)
+    for lo, hi in by_bytes(offsets):
         out[lo:hi] = _features(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-        lo = hi
     return out
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import batch_bytes, materialise, word_spans
+from flowsentry.llm.common import batch_bytes, by_bytes, materialise, word_spans
 from flowsentry.llm.components import components
 
 SHINGLE = 3
@@ -42,8 +42,15 @@ _POP4 = np.array([bin(i).count("1") for i in range(16)], dtype=np.int64)
 
 def batch_fingerprints(texts, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """SimHash of every text of an Arrow string column, as uint64."""
-    import xxhash
     raw, offsets = batch_bytes(texts)
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    for lo, hi in by_bytes(offsets):
+        out[lo:hi] = _fingerprints(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], shingle, seed)
+    return out
+
+
+def _fingerprints(raw, offsets, shingle, seed):
+    import xxhash
     starts, ends, rows = word_spans(raw, offsets)
     n_docs, n_words = len(rows) - 1, len(starts)
     out = np.zeros(n_docs, np.uint64)
