@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsentry.llm import ann, chat, decontam, line_dedup, packing, quality, secret_scan, simhash, warc
+from flowsentry.llm import ann, chat, decontam, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, warc
 from flowsentry.llm.common import table
 from flowsentry.session import scratch_path
 
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark, sf_dir):
+    found = substring_dedup.mark(table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op2_decontam")
 def op2_decontam(spark, sf_dir):
     found = decontam.phrase_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
