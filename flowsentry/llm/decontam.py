@@ -98,11 +98,8 @@ def alignments(items: DataFrame, postings: DataFrame, terms: DataFrame, window:
     return found.select(*key, "item_id", "shift").distinct()
 
 
-def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                item_col: str = "item_id", window: int = WINDOW, probes: int = PROBES) -> DataFrame:
-    """For every row of ``docs``: doc_id, n_words, n_hit (words inside an occurrence of a
-    window), items (sorted ids, as strings, of the items with an occurring window), and
-    ``spans`` (item_id, start, length), one for each occurrence of a window."""
+def _matching(docs, benchmark, id_col, text_col, item_col, window, probes) -> DataFrame:
+    """(d_, k_, found): the alignments of every document that has some, with the items' words."""
     items = benchmark_items(benchmark, item_col)
     postings, terms = build_index(docs, items, id_col, text_col)
     found = alignments(items, postings, terms, window, probes)
@@ -111,10 +108,15 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                .groupBy("doc_id", "text_key")
                .agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("found"))
                .withColumnsRenamed({"doc_id": "d_", "text_key": "k_"}))
-    per_doc = materialise(per_doc, "alignments")
-    rows = _documents(docs, id_col, text_col).join(
-        per_doc, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("text_key").eqNullSafe(F.col("k_")), "left")
+    return materialise(per_doc, "alignments")
 
+
+def _same_document() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("text_key").eqNullSafe(F.col("k_"))
+
+
+def _spans(window: int) -> Column:
+    """(item_id, start, length) of the windows of ``found`` that occur in ``words``."""
     def occurring(f):
         n = F.least(F.lit(window), F.size(f["item"]))
         same = F.transform(f["item"], lambda w, i: F.coalesce(
@@ -125,8 +127,17 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
             f["item_id"].cast("string").alias("item_id"), (f["shift"] + s).alias("start"), n.alias("length")))
 
     none = F.expr("cast(array() as array<struct<item_id:string,start:int,length:int>>)")
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(
-        F.col("found").isNull(), none).otherwise(F.flatten(F.transform("found", occurring))).alias("spans"))
+    return F.when(F.col("found").isNull(), none).otherwise(F.flatten(F.transform("found", occurring)))
+
+
+def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                item_col: str = "item_id", window: int = WINDOW, probes: int = PROBES) -> DataFrame:
+    """For every row of ``docs``: doc_id, n_words, n_hit (words inside an occurrence of a
+    window), items (sorted ids, as strings, of the items with an occurring window), and
+    ``spans`` (item_id, start, length), one for each occurrence of a window."""
+    per_doc = _matching(docs, benchmark, id_col, text_col, item_col, window, probes)
+    rows = _documents(docs, id_col, text_col).join(per_doc, _same_document(), "left")
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), _spans(window).alias("spans"))
     hit = F.array_distinct(F.flatten(F.transform(
         "spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
     return rows.select("doc_id", "n_words",
@@ -135,6 +146,18 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                        "spans")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         item_col: str = "item_id", window: int = WINDOW, probes: int = PROBES) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs."""
+    per_doc = _matching(docs, benchmark, id_col, text_col, item_col, window, probes)
+    rows = docs.withColumns({"_d": F.col(id_col), "_k": F.xxhash64(F.col(text_col).cast("string"))}).join(
+        per_doc, F.col("_d").eqNullSafe(F.col("d_")) & F.col("_k").eqNullSafe(F.col("k_")), "left")
+    # only documents with an alignment have their words compared
+    some = F.when(F.col("found").isNotNull(), words(F.col(text_col)))
+    rows = rows.withColumn("words", some).withColumn("spans", _spans(window))
+    return rows.where(F.size("spans") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, n_terms: int = 3, within: int = 20,
                       id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, text_key, item_id, pos): places of an item's rarest term with the next
