@@ -150,12 +150,12 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
                          item_col: str = "item_id", window: int = WINDOW, probes: int = PROBES) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
     per_doc = _matching(docs, benchmark, id_col, text_col, item_col, window, probes)
-    rows = docs.withColumns({"_d": F.col(id_col), "_k": F.xxhash64(F.col(text_col).cast("string"))}).join(
-        per_doc, F.col("_d").eqNullSafe(F.col("d_")) & F.col("_k").eqNullSafe(F.col("k_")), "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"),
+                       F.col(text_col).alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
+    rows = rows.join(per_doc, _same_document(), "left")
     # only documents with an alignment have their words compared
-    some = F.when(F.col("found").isNotNull(), words(F.col(text_col)))
-    rows = rows.withColumn("words", some).withColumn("spans", _spans(window))
-    return rows.where(F.size("spans") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = rows.withColumn("words", F.when(F.col("found").isNotNull(), words(F.col("text"))))
+    return rows.where(F.size(_spans(window)) == 0).select("row.*")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, n_terms: int = 3, within: int = 20,

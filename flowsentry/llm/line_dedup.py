@@ -166,17 +166,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the later copies of repeated line runs, and ``deleted_runs``:
     array of (start, end) line numbers of the text before."""
     runs = materialise(deleted_runs(docs, id_col, text_col, min_lines, min_chars), "line-runs")
-    runs = runs.withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})
-    key = F.xxhash64(F.col(text_col).cast("string"))
-    out = docs.withColumn("_key", key).join(
-        runs, F.col(id_col).eqNullSafe(F.col("_d")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
+    runs = runs.withColumnsRenamed({"doc_id": "d_", "text_key": "k_"})
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"),
+                       text.alias("text"), F.xxhash64(text).alias("text_key"))
+    out = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("text_key").eqNullSafe(F.col("k_")), "left")
+    out = out.withColumn("lines", F.when(F.col("runs").isNotNull(), _lines(F.col("text"))))
     # what lies between the runs
     at = lambda j, f, other: F.when((j >= 0) & (j < F.size("runs")), F.get("runs", j)[f]).otherwise(other)
     between = F.transform(F.sequence(F.lit(0), F.size("runs")), lambda j: F.slice(
-        "_lines", at(j - 1, "end", F.lit(0)) + 1,
-        F.greatest(F.lit(0), at(j, "start", F.size("_lines")) - at(j - 1, "end", F.lit(0)))))
-    out = out.withColumn("_lines", F.when(F.col("runs").isNotNull(), _lines(F.col(text_col))))
-    kept = F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(between), "\n"))
-    return out.withColumn("_new", kept).select(
-        *(F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
+        "lines", at(j - 1, "end", F.lit(0)) + 1,
+        F.greatest(F.lit(0), at(j, "start", F.size("lines")) - at(j - 1, "end", F.lit(0)))))
+    out = out.withColumn("kept", F.when(F.col("runs").isNull(), F.col("text"))
+                         .otherwise(F.array_join(F.flatten(between), "\n")))
+    return out.select(
+        *(F.col("kept" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns),
         F.coalesce("runs", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("deleted_runs"))

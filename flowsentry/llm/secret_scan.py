@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns plus character Markov models.
 
-Two first-order Markov models over the 65 symbols of ``ALPHABET``, one of random
+Two first-order Markov models over the 67 symbols of ``ALPHABET``, one of random
 strings and one of ordinary identifiers, are counted from labelled samples
-with add-one smoothing (a model without samples is uniform). A long run of
+and smoothed towards the frequencies of the single symbols (a model without
+samples is uniform). A long run of
 token characters that no pattern has found is a secret if the mean
 log-likelihood ratio of its transitions is above ``threshold``. Everything is
 DataFrame expressions; match positions come from the lengths of the pieces
@@ -14,7 +15,7 @@ labelled secret, the other words ordinary. The fit reads at most about
 
 Defined results: a null text is empty (no spans); positions are code points,
 ends exclusive; rows are independent, so repeated rows, null ids and extra
-columns change nothing; an empty table gives no rows.
+columns change nothing (a column named like a kind is replaced); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 WORD = r"[A-Za-z0-9+/_-]{4,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 THRESHOLD = 0.5
+SMOOTHING = 10.0
 SAMPLE_ROWS = 20_000
 
 
@@ -59,21 +61,21 @@ def _spans(text: Column, pattern: str, hits: Column) -> Column:
 
 def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``assign``, ``access`` and ``hex``: arrays of (start, end, hit)."""
-    df = docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = df.withColumns({"_a": _all(F.col("_t"), ASSIGN), "_k": _all(F.col("_t"), ACCESS),
-                         "_x": _all(F.col("_t"), HEX)})
+    df = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    df = df.withColumns({"__assign": _all(F.col("__text"), ASSIGN), "__access": _all(F.col("__text"), ACCESS),
+                         "__hex": _all(F.col("__text"), HEX)})
     found = df.withColumns({
-        "assign": _spans(F.col("_t"), ASSIGN, F.col("_a")),
-        "_g": F.when(F.size("_a") > 0, _all(F.col("_t"), ASSIGN, 2)),
-        "access": _spans(F.col("_t"), ACCESS, F.col("_k")),
-        "hex": _spans(F.col("_t"), HEX, F.col("_x"))})
+        "assign": _spans(F.col("__text"), ASSIGN, F.col("__assign")),
+        "__values": F.when(F.size("__assign") > 0, _all(F.col("__text"), ASSIGN, 2)),
+        "access": _spans(F.col("__text"), ACCESS, F.col("__access")),
+        "hex": _spans(F.col("__text"), HEX, F.col("__hex"))})
     long_enough = F.transform(
-        F.filter(F.arrays_zip(F.col("assign").alias("s"), F.col("_g").alias("g")),
+        F.filter(F.arrays_zip(F.col("assign").alias("s"), F.col("__values").alias("g")),
                  lambda z: F.length(z["g"]) >= MIN_ASSIGN), lambda z: z["s"])
     return found.withColumns({
-        "assign": F.when(F.size("_a") > 0, long_enough).otherwise(F.col("assign")),
+        "assign": F.when(F.size("__assign") > 0, long_enough).otherwise(F.col("assign")),
         "access": F.filter("access", lambda s: s["end"] - s["start"] >= MIN_ACCESS),
-    }).drop("_a", "_k", "_x", "_g")
+    }).drop("__assign", "__access", "__hex", "__values")
 
 
 def labelled_samples(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -86,7 +88,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", sample_rows: int =
     hits = F.concat(*(F.transform(k, lambda s: s["hit"]) for k in KINDS[:3]))
     value = F.regexp_extract("token", r"([A-Za-z0-9+/_-]+=*)$", 1)  # an assignment's value
     secret = df.select(F.explode(hits).alias("token")).select(value.alias("token"), F.lit(True).alias("secret"))
-    rest = F.col("_t")
+    rest = F.col("__text")
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, pattern, " ")
     plain = df.select(F.explode(_all(rest, WORD)).alias("token"), F.lit(False).alias("secret"))
@@ -101,13 +103,21 @@ def fit(samples: DataFrame) -> list[float]:
     counts = (samples.where(F.length("token") >= 2).select("secret", pair.alias("pair"))
               .where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
               .groupBy("secret", "pair").count().collect())
-    n = len(ALPHABET)
-    table = {kind: [[1] * n for _ in range(n)] for kind in (True, False)}
+    n, seen = len(ALPHABET), {True: {}, False: {}}
     for r in counts:
-        table[r.secret][ALPHABET.index(r.pair[0])][ALPHABET.index(r.pair[1])] += r["count"]
-    return [math.log(a / sum(ra)) - math.log(b / sum(rb))
-            for ra, rb in zip(table[True], table[False], strict=True)
-            for a, b in zip(ra, rb, strict=True)]
+        seen[r.secret][ALPHABET.index(r.pair[0]), ALPHABET.index(r.pair[1])] = r["count"]
+
+    def model(found):
+        """log P(next | symbol), smoothed towards the symbols' own frequencies."""
+        total, after = [1] * n, [0] * n
+        for (a, b), c in found.items():
+            total[b] += c
+            after[a] += c
+        share = [x / sum(total) for x in total]
+        return [math.log((found.get((a, b), 0) + SMOOTHING * share[b]) / (after[a] + SMOOTHING))
+                for a in range(n) for b in range(n)]
+
+    return [r - o for r, o in zip(model(seen[True]), model(seen[False]), strict=True)]
 
 
 def mean_ratio(token: Column, ratios: list[float]) -> Column:
@@ -124,19 +134,22 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text",
          threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``assign``, ``access``, ``hex`` and ``markov``, arrays of
     (start, end, hit); a run that touches a pattern's span adds none."""
-    df = base_spans(docs, text_col).withColumn("_r", _all(F.col("_t"), RUN))
-    df = df.withColumn("markov", _spans(F.col("_t"), RUN, F.col("_r")))
+    df = base_spans(docs, text_col).withColumn("__runs", _all(F.col("__text"), RUN))
+    df = df.withColumn("markov", _spans(F.col("__text"), RUN, F.col("__runs")))
     base = F.concat("assign", "access", "hex")
     free = F.filter("markov", lambda m: ~F.exists(
         base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     kept = F.filter(free, lambda m: mean_ratio(m["hit"], ratios) > threshold)
-    return df.withColumn("markov", F.when(F.size("markov") > 0, kept).otherwise(F.col("markov"))).drop("_t", "_r")
+    return df.withColumn("markov", F.when(F.size("markov") > 0, kept).otherwise(F.col("markov"))).drop("__text", "__runs")
 
 
 def digest(*kinds: str) -> Column:
     """The spans of ``kinds`` as kind:start:end by start, then kind."""
-    both = F.concat(*(F.transform(k, lambda s, i=KINDS.index(k): F.struct(
-        s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))) for k in kinds))
+    def ranked(kind):
+        return F.transform(kind, lambda s: F.struct(
+            s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end")))
+
+    both = F.concat(*map(ranked, kinds))
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(F.array_sort(both), lambda s: F.concat_ws(
         ":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
