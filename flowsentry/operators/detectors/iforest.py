@@ -1,36 +1,42 @@
 """Isolation forest.
 
-Fit: each tree draws ``psi = min(256, n)`` rows without replacement. Per
-(row, tree) a hash unit u decides membership: rows with u below an
-oversampling bound are kept (a filter in the scan stage), and each tree's
-``psi`` smallest u form its sample -- the same rows on any partitioning.
-Trees are built by ``groupBy(tree).applyInPandas``: random feature among
-the non-constant ones, uniform threshold in [min, max), depth limit
-ceil(log2 psi). Output is a node table (tree, node, feature, threshold,
-left, right, size, depth) of at most trees x (2 psi - 1) rows -- bounded by
-the parameters, never by the data.
-
-Score: the node table is broadcast; ``mapInPandas`` walks all trees level
-by level with numpy. h(x) = leaf depth + c(leaf size),
-score = 2 ** (-mean h / c(psi)), score_samples = -score,
-decision = score_samples - offset with offset = -0.5 ("auto") or the exact
-contamination percentile of the training score_samples.
+Everything random is a hash, so that a forest is the same on any partitioning
+and can be rebuilt in SQL:
+
+* samples: the rows in the order of ``md5(seed:round:row_id)`` are dealt out in
+  runs of ``psi = min(256, n)``, one run a tree, without replacement; a new
+  round begins when the table is used up (only tables of fewer than
+  trees x psi rows need more than one).
+* a tree's features: the ``max_features`` share with the smallest
+  ``md5(seed:tree:f:feature)``.
+* a node: of the features that vary in it the one with the smallest
+  ``md5(seed:tree:node:feature)``, cut at min + u (max - min), u from
+  ``md5(seed:tree:node:t)``; rows up to the cut go left. Depth limit
+  ceil(log2 psi). Nodes are numbered like a heap (children 2i+1 and 2i+2).
+
+The node table has at most trees x (2 psi - 1) rows -- bounded by the
+parameters, never by the data -- and is broadcast for scoring;
+``mapInPandas`` walks all trees level by level with numpy. h(x) = leaf depth +
+c(leaf size), score = 2 ** (-mean h / c(psi)) to 12 decimals (so that ties
+stay ties whatever the order of the sum), score_samples = -score, decision =
+score_samples - offset with offset = -0.5 ("auto") or the exact contamination
+percentile of the training score_samples.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsentry.functions.hashing import hash_unit
 from flowsentry.functions.ranks import exact_quantile_values
-from flowsentry.session import spread
+from flowsentry.operators.sampling import random_rows
 
 AUTO_OFFSET = -0.5
 EULER_GAMMA = 0.5772156649015329
@@ -52,35 +58,40 @@ def average_path_length(n) -> np.ndarray:
     return out
 
 
-def build_tree(X: np.ndarray, rng: np.random.Generator, feats: np.ndarray,
-               max_depth: int) -> list[tuple]:
+def _hash(*parts) -> str:
+    return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+
+
+def tree_features(names: list[str], seed: int, tree: int, n_feat: int) -> np.ndarray:
+    """The columns a tree may use."""
+    order = sorted(range(len(names)), key=lambda j: _hash(seed, tree, "f", names[j]))
+    return np.sort(order[:n_feat])
+
+
+def build_tree(X: np.ndarray, names: list[str], feats: np.ndarray, max_depth: int, seed: int,
+               tree: int) -> list[tuple]:
     """One isolation tree as node tuples (node, feature, thr, left, right, size, depth)."""
-    nodes = []
-    stack = [(0, np.arange(X.shape[0]), 0)]
-    nodes.append(None)
+    nodes, stack = [], [(0, np.arange(X.shape[0]), 0)]
     while stack:
         nid, idx, depth = stack.pop()
-        leaf = (len(idx), depth)
-        if len(idx) <= 1 or depth >= max_depth:
-            nodes[nid] = (nid, -1, 0.0, -1, -1, *leaf)
-            continue
-        sub = X[idx][:, feats]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        ok = np.nonzero(hi > lo)[0]
-        if len(ok) == 0:
-            nodes[nid] = (nid, -1, 0.0, -1, -1, *leaf)
+        ok = []
+        if len(idx) > 1 and depth < max_depth:
+            sub = X[idx][:, feats]
+            lo, hi = sub.min(axis=0), sub.max(axis=0)
+            ok = np.nonzero(hi > lo)[0]
+        if not len(ok):
+            nodes.append((nid, -1, 0.0, -1, -1, len(idx), depth))
             continue
-        j = ok[rng.integers(len(ok))]
-        thr = rng.uniform(lo[j], hi[j])
+        j = min(ok, key=lambda i: _hash(seed, tree, nid, names[feats[i]]))
+        u = int(_hash(seed, tree, nid, "t")[:13], 16) / 2.0 ** 52
+        thr = lo[j] + u * (hi[j] - lo[j])
         if thr >= hi[j]:
             thr = lo[j]
         f = int(feats[j])
         go_left = X[idx, f] <= thr
-        left, right = len(nodes), len(nodes) + 1
-        nodes += [None, None]
-        nodes[nid] = (nid, f, float(thr), left, right, *leaf)
-        stack.append((right, idx[~go_left], depth + 1))
-        stack.append((left, idx[go_left], depth + 1))
+        nodes.append((nid, f, float(thr), 2 * nid + 1, 2 * nid + 2, len(idx), depth))
+        stack.append((2 * nid + 2, idx[~go_left], depth + 1))
+        stack.append((2 * nid + 1, idx[go_left], depth + 1))
     return nodes
 
 
@@ -149,57 +160,53 @@ class IForestModel:
                     node = np.where(inner, nxt, node)
                 h = np.take(lh_f, node).reshape(n, nt).mean(axis=1)
                 out = b[keep].copy()
-                out["score_samples"] = -np.power(2.0, -h / cpsi)
+                out["score_samples"] = -np.round(np.power(2.0, -h / cpsi), 12)
                 yield out
 
         cols = keep + [F.col(c).cast("double").alias(c) for c in feats if c not in keep]
-        s = spread(df.select(*cols), keep[0] if keep else None).mapInPandas(run, schema)
+        s = df.select(*cols).mapInPandas(run, schema)
         d = F.col("score_samples") - F.lit(self.offset)
         return (s.withColumn("decision", d).withColumn("score", -d)
                  .withColumn("pred", (d < 0).cast("int")))
 
 
 def tree_samples(df: DataFrame, features: list[str], n_trees: int, psi: int, n: int,
-                 seed: int, key: str, oversample: float) -> DataFrame:
-    """(tree, u, key, features) for rows whose hash unit is under the bound."""
-    p = min(1.0, oversample * psi / max(n, 1))
-    x = df.select(F.col(key).cast("string").alias("_key"),
-                  *[F.col(c).cast("double").alias(c) for c in features])
-    x = x.withColumn("_rh", F.xxhash64(F.lit(seed), F.col("_key")))
-    x = x.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    x = x.withColumn("u", hash_unit(F.col("_rh"), F.col("tree")))
-    if p < 1.0:
-        x = x.where(F.col("u") < F.lit(p))
-    return x.drop("_rh")
+                 seed: int, key: str) -> DataFrame:
+    """(tree, features): ``psi`` rows for each tree. No more rows are ranked than the
+    trees need, or than a table that is smaller than that has."""
+    per_round = n // psi
+    rounds = -(-n_trees // per_round)
+    if rounds == 1:
+        df = random_rows(df, n_trees * psi, f"{seed}:0", key)
+    x = df.select(F.col(key).cast("string").alias("_key"), *[F.col(c).cast("double") for c in features],
+                  F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round"))
+    order = Window.partitionBy("_round").orderBy(
+        F.md5(F.concat(F.lit(f"{seed}:"), F.col("_round"), F.lit(":"), F.col("_key"))), "_key")
+    x = x.withColumn("_rank", F.row_number().over(order) - 1).where(F.col("_rank") < per_round * psi)
+    tree = (F.col("_round") * per_round + F.floor(F.col("_rank") / psi)).cast("int")
+    return x.withColumn("tree", tree).where(F.col("tree") < n_trees).drop("_round", "_rank", "_key")
 
 
 def fit_iforest(df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int = 256,
                 max_features: float = 1.0, contamination=0.2, seed: int = 42,
-                key: str = "row_id", oversample: float = 3.0) -> IForestModel:
+                key: str = "row_id") -> IForestModel:
     n = df.count()
+    if n == 0:
+        raise ValueError("an isolation forest needs at least one training row")
     psi = int(min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    d = len(features)
-    n_feat = max(1, int(max_features * d))
+    n_feat = max(1, int(max_features * len(features)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(["u", "_key"], kind="mergesort").head(psi)
-        rng = np.random.default_rng([seed, t])
-        feats = np.sort(rng.choice(d, n_feat, replace=False)) if n_feat < d else np.arange(d)
-        nodes = build_tree(pdf[features].to_numpy(np.float64), rng, feats, max_depth)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right",
-                                           "size", "depth"])
+        feats = tree_features(features, seed, t, n_feat)
+        nodes = build_tree(pdf[features].to_numpy(np.float64), features, feats, max_depth, seed, t)
+        out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
         out.insert(0, "tree", t)
         return out
 
-    while True:
-        samples = tree_samples(df, features, n_trees, psi, n, seed, key, oversample)
-        nodes = samples.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
-        roots = nodes[nodes["node"] == 0]
-        if len(roots) == n_trees and int(roots["size"].min()) >= psi:
-            break
-        oversample *= 4.0  # a tree drew fewer than psi rows: widen the bound, redo
+    samples = tree_samples(df, features, n_trees, psi, n, seed, key)
+    nodes = samples.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
     model = IForestModel(list(features), n_trees, psi, AUTO_OFFSET, nodes)
     if contamination != "auto":
         sc = model.transform(df, keep=[]).select("score_samples").cache()

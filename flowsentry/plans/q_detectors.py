@@ -11,7 +11,7 @@ from flowsentry.operators.detectors import iforest as IF
 from flowsentry.operators.detectors import lof as LOF
 from flowsentry.operators.detectors.knn import knn_join
 from flowsentry.plans import sqlgen as G
-from flowsentry.plans.fixtures import EM_FEATURES, EM_SQL, LI_FEATURES, em_flows, li_flows
+from flowsentry.plans.fixtures import EM_FEATURES, EM_SQL, LI_FEATURES, LI_SQL, em_flows, li_flows
 from flowsentry.plans.registry import query
 
 
@@ -84,36 +84,56 @@ def q_lof_score(spark, sf_dir):
     return s.select("row_id", "y", r6("score").alias("score"), "pred")
 
 
+LI_SPLIT = f"""li AS ({LI_SQL}), {G.split_ctes('li')},
+tr AS (SELECT * FROM splitted WHERE split = 'train')"""
+LI_FOREST = f"""{LI_SPLIT},
+{G.iforest_nodes_ctes('tr', LI_FEATURES, 100)}"""
+
+
 def _li_train(spark, sf_dir):
-    li = P.stratified_split(li_flows(spark, sf_dir))
-    return li
+    return P.stratified_split(li_flows(spark, sf_dir)).cache()
 
 
-@query("iforest_nodes")
+@query("iforest_nodes", f"""WITH {LI_FOREST}
+SELECT tree, CAST(node AS INTEGER) AS node, CAST(f AS INTEGER) AS feature, {_r('thr')} AS threshold,
+  CAST(CASE WHEN f < 0 THEN -1 ELSE 2 * node + 1 END AS INTEGER) AS "left",
+  CAST(CASE WHEN f < 0 THEN -1 ELSE 2 * node + 2 END AS INTEGER) AS "right",
+  CAST(n AS INTEGER) AS size, CAST(depth AS INTEGER) AS depth FROM nodes""")
 def q_iforest_nodes(spark, sf_dir):
     """Node table of a 100-tree forest fitted on the LI train split."""
     li = _li_train(spark, sf_dir)
     m = IF.fit_iforest(li.where("split = 'train'"), LI_FEATURES, n_trees=100,
                        contamination="auto")
-    return spark.createDataFrame(m.nodes, IF.NODE_SCHEMA)
+    return spark.createDataFrame(m.nodes, IF.NODE_SCHEMA).withColumn("threshold", r6("threshold"))
 
 
-@query("iforest_score")
+@query("iforest_score", f"""WITH {LI_FOREST},
+{G.iforest_score_ctes('tr', LI_FEATURES, 'row_id', 100, out='fit')},
+o AS (SELECT quantile_cont(ss, 0.2) AS off_v FROM fit),
+te AS (SELECT * FROM splitted WHERE split = 'test'),
+{G.iforest_score_ctes('te', LI_FEATURES, 'row_id, y', 100)}
+SELECT row_id, y, {_r('ss')} AS score_samples, {_r('ss - off_v')} AS decision, {_r('-(ss - off_v)')} AS score,
+  CAST(ss - off_v < 0 AS INTEGER) AS pred FROM ifs, o""")
 def q_iforest_score(spark, sf_dir):
     """Decision, score and prediction of the LI test rows."""
     li = _li_train(spark, sf_dir)
     m = IF.fit_iforest(li.where("split = 'train'"), LI_FEATURES, n_trees=100, contamination=0.2)
-    return m.transform(li.where("split = 'test'"), keep=("row_id", "y"))
+    s = m.transform(li.where("split = 'test'"), keep=("row_id", "y"))
+    return s.select("row_id", "y", *[r6(c).alias(c) for c in ("score_samples", "decision", "score")], "pred")
 
 
-@query("contamination_flag")
+@query("contamination_flag", f"""WITH {LI_FOREST},
+{G.iforest_score_ctes('tr', LI_FEATURES, 'row_id', 100, out='fit')},
+o AS (SELECT quantile_cont(ss, 0.2) AS off_v FROM fit)
+SELECT count(*) AS n, CAST(count(*) FILTER (ss < off_v) AS BIGINT) AS n_flagged,
+  {_r('CAST(count(*) FILTER (ss < off_v) AS DOUBLE) / count(*)')} AS flag_share FROM fit, o""")
 def q_contamination_flag(spark, sf_dir):
-    """D3: flagged share of the training rows at contamination 0.2 (EM, IF)."""
-    em = em_flows(spark, sf_dir)
-    m = IF.fit_iforest(em, EM_FEATURES, n_trees=100, max_features=0.75, contamination=0.2)
-    s = m.transform(em, keep=("row_id",))
+    """D3: flagged share of the training rows at contamination 0.2 (LI, IF)."""
+    train = _li_train(spark, sf_dir).where("split = 'train'")
+    m = IF.fit_iforest(train, LI_FEATURES, n_trees=100, contamination=0.2)
+    s = m.transform(train, keep=("row_id",))
     return s.agg(F.count(F.lit(1)).alias("n"), F.sum("pred").cast("long").alias("n_flagged"),
-                 F.avg("pred").alias("flag_share"))
+                 r6(F.avg("pred")).alias("flag_share"))
 
 
 # ------------------------------------------------------- OC-SVM, autoencoders
