@@ -1,155 +1,185 @@
 """Exact k-nearest-neighbour join (J3), Euclidean.
 
-Two physical strategies behind one call:
-
-* **broadcast** -- the reference side fits the checked byte budget: it is
-  shipped once to every executor and each query partition computes blocked
-  distance matrices with numpy (``mapInPandas``); no shuffle at all.
-* **blocked** -- larger reference sides: references are hashed into blocks,
-  queries into parts; ``cogroup`` on (part, block) pairs a bounded slice of
-  queries with a bounded slice of references, each emits only its local top-k
-  per query, and a window per query merges the candidates.
-
-Only k candidates per (query, block) ever leave a task; all pairs are
-computed inside numpy and never materialised as rows. Ties break on the
-reference key (string order), like ``ORDER BY dist, o_id`` in SQL.
+One strategy at every size. Features are centred on the reference mean. The
+references are assigned to the nearest of a bounded number of pivots; a cell
+has a radius. A query first meets the references of its own cell, which gives
+an upper bound of its k-th distance; it then meets only the cells that could
+hold something nearer or equal (distance to the pivot - radius <= bound).
+Cells are cut into blocks of at most about ``BLOCK_ROWS`` references, and the
+queries that meet a cell into parts of as many, so a task holds one block and
+one part, and numpy never more than ``TILE`` distances at once.
+
+Candidates are picked by the expanded square, with a bound for its rounding
+error, and decided by exact differences: every reference within the k-th exact
+distance is looked at, then ordered by (distance, key) like
+``ORDER BY dist, o_id`` in SQL. Duplicates and large offsets change nothing.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsentry.session import spread
+from flowsentry.operators.sampling import random_rows
 
-#: reference bytes (rows x features x 8) shipped to executors at most
-BROADCAST_BYTES = 256 * 1024 * 1024
-#: rows per side inside one cogroup of the blocked strategy
+#: references per cell aimed at, and cells at most (pivots travel to every task)
+CELL_ROWS = 4_000
+MAX_CELLS = 1_024
+#: rows per side inside one task
 BLOCK_ROWS = 20_000
-#: extra candidates re-ranked on exact differences
-_SLACK = 8
+#: distances held at once
+TILE = 2_000_000
 
 KNN_SCHEMA = T.StructType([
     T.StructField("q_id", T.StringType()), T.StructField("o_id", T.StringType()),
     T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())])
 
 
-def topk(Q: np.ndarray, R: np.ndarray, k: int, q_ids=None, r_ids=None,
-         chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and exact distances of the k nearest rows of R for each row of Q.
+def topk(Q: np.ndarray, R: np.ndarray, k: int, q_ids=None, r_ids=None):
+    """(query row, reference row, distance, rank from 1) of the k nearest rows of R for
+    each row of Q, as flat arrays.
 
-    R must be sorted by key so that index order is key order (tie-break).
-    When ``q_ids``/``r_ids`` are given, a row never matches itself.
+    R must be sorted by key, so that index order is key order. With ids, a row
+    never matches itself.
     """
     nq, nr = Q.shape[0], R.shape[0]
-    kk = min(k, nr)
-    if nq == 0 or kk <= 0:
-        return np.zeros((nq, 0), dtype=np.int64), np.zeros((nq, 0))
-    rn = (R * R).sum(axis=1)
-    idx_out = np.empty((nq, kk), dtype=np.int64)
-    dist_out = np.empty((nq, kk))
-    pos = None
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
+    if nq == 0 or nr == 0 or k <= 0:
+        return out[0]
+    own = None
     if q_ids is not None:
-        lookup = {v: i for i, v in enumerate(r_ids)}
-        pos = np.array([lookup.get(v, -1) for v in q_ids])
-    m = min(nr, kk + _SLACK + 1)
-    for s in range(0, nq, chunk):
-        q = Q[s:s + chunk]
-        d2 = (q * q).sum(axis=1)[:, None] + rn[None, :] - 2.0 * (q @ R.T)
-        if pos is not None:
-            p = pos[s:s + chunk]
-            rows = np.nonzero(p >= 0)[0]
-            d2[rows, p[rows]] = np.inf
-        cand = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < nr else \
-            np.tile(np.arange(nr), (q.shape[0], 1))
-        diff = q[:, None, :] - R[cand]
-        exact = np.sqrt((diff * diff).sum(axis=2))
-        if pos is not None:
-            exact[cand == p[:, None]] = np.inf
-        order = np.lexsort((cand, exact), axis=1)[:, :kk]
-        idx_out[s:s + chunk] = np.take_along_axis(cand, order, axis=1)
-        dist_out[s:s + chunk] = np.take_along_axis(exact, order, axis=1)
-    return idx_out, dist_out
-
-
-def _frame(q_ids, r_ids, idx, dist) -> pd.DataFrame:
-    nq, kk = idx.shape
-    out = pd.DataFrame({
-        "q_id": np.repeat(np.asarray(q_ids, dtype=object), kk),
-        "o_id": np.asarray(r_ids, dtype=object)[idx.ravel()] if kk else np.array([], dtype=object),
-        "dist": dist.ravel(),
-        "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), nq)})
-    return out[np.isfinite(out["dist"].to_numpy())]  # a row's own slot (excluded self)
-
-
-def collect_reference(ref: DataFrame, features: list[str], key: str):
-    """Reference side as sorted numpy arrays (caller checked the byte budget)."""
-    pdf = ref.select(F.col(key).cast("string").alias("_id"),
-                     *[F.col(c).cast("double") for c in features]).toPandas()
-    pdf = pdf.sort_values("_id", kind="mergesort").reset_index(drop=True)
-    return pdf["_id"].to_numpy(dtype=object), pdf[features].to_numpy(dtype=np.float64)
-
-
-def reference_bytes(n_rows: int, n_features: int) -> int:
-    return n_rows * max(n_features, 1) * 8
+        at = np.minimum(np.searchsorted(r_ids, q_ids), nr - 1)
+        own = np.where(r_ids[at] == q_ids, at, -1)
+    rn = np.einsum("ij,ij->i", R, R)
+    step = max(1, TILE // nr)
+    unit = 4.0 * (Q.shape[1] + 4) * np.finfo(np.float64).eps
+    for lo in range(0, nq, step):
+        q = Q[lo:lo + step]
+        qn = np.einsum("ij,ij->i", q, q)
+        d2 = qn[:, None] + rn[None, :] - 2.0 * (q @ R.T)
+        if own is not None:
+            mine = np.flatnonzero(own[lo:lo + step] >= 0)
+            d2[mine, own[lo + mine]] = np.inf
+        kk = min(k, nr)
+        cut = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+        error = unit * (np.sqrt(qn) + np.sqrt(rn.max())) ** 2
+        row, ref = np.nonzero((d2 <= (cut + 2.0 * error)[:, None]) & np.isfinite(d2))
+        dist = np.empty(len(row))
+        for s in range(0, len(row), 100_000):
+            diff = q[row[s:s + 100_000]] - R[ref[s:s + 100_000]]
+            dist[s:s + 100_000] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        order = np.lexsort((ref, dist, row))
+        row, ref, dist = row[order], ref[order], dist[order]
+        first = np.searchsorted(row, row)  # where the row's candidates begin
+        rank = np.arange(len(row)) - first + 1
+        keep = rank <= k
+        out.append((row[keep] + lo, ref[keep], dist[keep], rank[keep].astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _side(df: DataFrame, features: list[str], key: str, means: list[float], name: str) -> DataFrame:
+    return df.select(F.col(key).cast("string").alias(name),
+                     *[(F.col(c).cast("double") - F.lit(m)).alias(f"_v{i}")
+                       for i, (c, m) in enumerate(zip(features, means, strict=True))])
+
+
+def _to_pivots(X: np.ndarray, P: np.ndarray) -> np.ndarray:
+    """Exact distances to all pivots."""
+    out = np.empty((len(X), len(P)))
+    for j, p in enumerate(P):
+        diff = X - p
+        out[:, j] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return out
 
 
 def knn_join(queries: DataFrame, ref: DataFrame, features: list[str], k: int,
              exclude_self: bool = False, q_key: str = "row_id", r_key: str = "row_id",
-             strategy: str = "auto") -> DataFrame:
+             cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(q_id, o_id, dist, rank) for the k nearest references of every query."""
     spark = queries.sparkSession
-    n_ref = ref.count()
-    if strategy == "auto":
-        strategy = ("broadcast" if reference_bytes(n_ref, len(features)) <= BROADCAST_BYTES
-                    else "blocked")
-    if strategy == "broadcast":
-        r_ids, R = collect_reference(ref, features, r_key)
-        bc = spark.sparkContext.broadcast((r_ids, R))
-
-        def run(batches):
-            rid, RR = bc.value
-            for b in batches:
-                Q = b[features].to_numpy(dtype=np.float64)
-                qid = b["_qid"].to_numpy(dtype=object)
-                idx, dist = topk(Q, RR, k, qid if exclude_self else None,
-                                 rid if exclude_self else None)
-                yield _frame(qid, rid, idx, dist)
-
-        q = queries.select(F.col(q_key).cast("string").alias("_qid"),
-                           *[F.col(c).cast("double") for c in features])
-        return spread(q, "_qid").mapInPandas(run, KNN_SCHEMA)
-    return _knn_blocked(queries, ref, features, k, exclude_self, q_key, r_key, n_ref)
-
-
-def _knn_blocked(queries, ref, features, k, exclude_self, q_key, r_key, n_ref):
-    n_q = queries.count()
-    n_blocks = max(1, math.ceil(n_ref / BLOCK_ROWS))
-    n_parts = max(1, math.ceil(n_q / BLOCK_ROWS))
-    r = (ref.select(F.col(r_key).cast("string").alias("_rid"), *[F.col(c).cast("double") for c in features])
-            .withColumn("_blk", F.pmod(F.xxhash64("_rid"), F.lit(n_blocks)).cast("int"))
-            .withColumn("_qp", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))))
-    q = (queries.select(F.col(q_key).cast("string").alias("_qid"), *[F.col(c).cast("double") for c in features])
-            .withColumn("_qp", F.pmod(F.xxhash64("_qid"), F.lit(n_parts)).cast("int"))
-            .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-
-    def run(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty or rp.empty:
-            return pd.DataFrame({c: [] for c in ("q_id", "o_id", "dist", "rank")})
-        rp = rp.sort_values("_rid", kind="mergesort")
-        rid = rp["_rid"].to_numpy(dtype=object)
-        qid = qp["_qid"].to_numpy(dtype=object)
-        idx, dist = topk(qp[features].to_numpy(np.float64), rp[features].to_numpy(np.float64),
-                         k, qid if exclude_self else None, rid if exclude_self else None)
-        return _frame(qid, rid, idx, dist)
-
-    cand = (q.groupBy("_qp", "_blk").cogroup(r.groupBy("_qp", "_blk"))
-             .applyInPandas(run, KNN_SCHEMA))
-    w = Window.partitionBy("q_id").orderBy("dist", "o_id")
-    return (cand.withColumn("rank", F.row_number().over(w).cast("int"))
-                .where(F.col("rank") <= k))
+    stats = ref.agg(F.count(F.lit(1)), *[F.avg(F.col(c).cast("double")) for c in features]).first()
+    n_ref, means = stats[0], [x or 0.0 for x in stats[1:]]
+    if n_ref == 0 or k <= 0:
+        return spark.createDataFrame([], KNN_SCHEMA)
+    cols = [f"_v{i}" for i in range(len(features))]
+    n_cells = min(MAX_CELLS, -(-n_ref // cell_rows))
+    r = _side(ref, features, r_key, means, "_rid")
+    q = _side(queries, features, q_key, means, "_qid")
+    # MAX_CELLS rows at most
+    pivots = (random_rows(r, n_cells, key="_rid").toPandas()[cols].to_numpy(np.float64)
+              if n_cells > 1 else np.zeros((1, len(cols))))
+    n_cells = len(pivots)
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def assign(batches):
+        for b in batches:
+            d = _to_pivots(b[cols].to_numpy(np.float64), shared.value)
+            b["_cell"] = d.argmin(axis=1)
+            b["_dp"] = d.min(axis=1)
+            yield b
+
+    def dealt(df, name):
+        fields = ", ".join([f"{name} string", *(f"{c} double" for c in cols), "_cell int", "_dp double"])
+        return df.mapInPandas(assign, fields)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = dealt(r, "_rid").persist()
+    cells = {c._cell: (c.n, c.radius) for c in
+             r.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dp").alias("radius")).collect()}
+    blocks = {c: -(-n // block_rows) for c, (n, _) in cells.items()}
+    n_blocks = F.element_at(F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv)), F.col("_cell"))
+    r = r.withColumn("_blk", F.pmod(F.xxhash64("_rid"), n_blocks).cast("int"))
+
+    def meet(asked: DataFrame) -> DataFrame:
+        """The k nearest of each (query, block) among ``asked`` (_qid, _cell, vector)."""
+        parts = {c["_cell"]: -(-c["count"] // block_rows) for c in asked.groupBy("_cell").count().collect()}
+        if not parts:
+            return spark.createDataFrame([], KNN_SCHEMA)
+        n_parts = F.element_at(F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)), F.col("_cell"))
+        keys = ["_cell", "_blk", "_part"]
+        left = (asked.withColumn("_part", F.pmod(F.xxhash64("_qid"), n_parts).cast("int"))
+                .withColumn("_blk", F.explode(F.sequence(F.lit(0), n_blocks - 1))))
+        right = r.where(F.col("_cell").isin(list(parts))).drop("_dp").withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+
+        def run(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+            rp = rp.sort_values("_rid", kind="mergesort")
+            rid, qid = rp["_rid"].to_numpy(object), qp["_qid"].to_numpy(object)
+            row, at, dist, rank = topk(qp[cols].to_numpy(np.float64), rp[cols].to_numpy(np.float64), k,
+                                       qid if exclude_self else None, rid if exclude_self else None)
+            return pd.DataFrame({"q_id": qid[row], "o_id": rid[at], "dist": dist, "rank": rank})
+
+        # as many tasks as the session shuffles with: blocks are few and heavy
+        return (left.repartition(tasks, *keys).groupBy(*keys)
+                .cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(run, KNN_SCHEMA))
+
+    merge = Window.partitionBy("q_id").orderBy("dist", "o_id")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(merge).cast("int")).where(F.col("rank") <= k)
+
+    if n_cells == 1:
+        return best(meet(q.withColumn("_cell", F.lit(next(iter(cells))))))
+    q = dealt(q, "_qid")
+    own = q.where(F.col("_cell").isin(list(cells))).drop("_dp")
+    near = best(meet(own)).persist()
+    bound = near.groupBy("q_id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far"))
+    asking = q.join(bound.where(F.col("n") == k).select(F.col("q_id").alias("_qid"), "far"), "_qid", "left")
+    reach = spark.sparkContext.broadcast({c: x[1] for c, x in cells.items()})
+
+    def others(batches):
+        live = np.array(sorted(reach.value))
+        radius = np.array([reach.value[c] for c in live])
+        for b in batches:
+            d = _to_pivots(b[cols].to_numpy(np.float64), shared.value[live]) - radius
+            far = b["far"].fillna(np.inf).to_numpy(np.float64)
+            slack = 1e-9 * (1.0 + np.abs(far, where=np.isfinite(far), out=np.zeros(len(far))))
+            row, c = np.nonzero((d <= (far + slack)[:, None]) & (live[None, :] != b["_cell"].to_numpy()[:, None]))
+            yield b[["_qid", *cols]].iloc[row].assign(_cell=live[c].astype(np.int32))
+
+    fields = ", ".join(["_qid string", *(f"{c} double" for c in cols), "_cell int"])
+    rest = asking.mapInPandas(others, fields).persist()
+    return best(near.unionByName(meet(rest)))

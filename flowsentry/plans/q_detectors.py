@@ -44,6 +44,28 @@ def q_knn_join(spark, sf_dir):
     return nb.select("q_id", "o_id", r6("dist").alias("dist"), "rank")
 
 
+@query("knn_join_ties", f"""WITH li AS ({LI_SQL}), {G.split_ctes('li')},
+pts AS (SELECT row_id, split, [1e8 + CAST(l_quantity AS DOUBLE), CAST(l_linenumber AS DOUBLE), 100.0 * l_tax] AS v FROM splitted),
+ref AS (SELECT row_id, v FROM pts WHERE split = 'val'),
+qry AS (SELECT v, min(row_id) AS q_id FROM pts WHERE split = 'test' GROUP BY v),
+grp AS (SELECT v, count(*) AS n FROM ref GROUP BY v),
+d AS (SELECT q.q_id, g.v, g.n, list_distance(q.v, g.v) AS dist FROM qry q, grp g),
+c AS (SELECT *, sum(n) OVER (PARTITION BY q_id ORDER BY dist RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before FROM d),
+m AS (SELECT q_id, min(dist) FILTER (before + n >= 5) AS far FROM c GROUP BY q_id),
+k AS (SELECT d.q_id, r.row_id AS o_id, d.dist, row_number() OVER (PARTITION BY d.q_id ORDER BY d.dist, r.row_id) AS rank
+  FROM d JOIN m ON d.q_id = m.q_id AND d.dist <= m.far JOIN ref r ON r.v = d.v)
+SELECT q_id, o_id, {_r('dist')} AS dist, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""")
+def q_knn_join_ties(spark, sf_dir):
+    """J3 on LI with many equal points and a large offset: 5-NN of the different test
+    points among the validation rows, ties by key."""
+    li = P.stratified_split(li_flows(spark, sf_dir)).select(
+        "row_id", "split", (F.lit(1e8) + F.col("l_quantity")).alias("a"),
+        F.col("l_linenumber").cast("double").alias("b"), (F.lit(100.0) * F.col("l_tax")).alias("c")).cache()
+    qry = li.where("split = 'test'").groupBy("a", "b", "c").agg(F.min("row_id").alias("row_id"))
+    nb = knn_join(qry, li.where("split = 'val'"), ["a", "b", "c"], 5)
+    return nb.select("q_id", "o_id", r6("dist").alias("dist"), "rank")
+
+
 LOF_FIT_SQL = f"""{EM_SPLIT},
 rr AS (SELECT a.row_id AS r_id, b.row_id AS o_id, list_distance(a.v, b.v) AS dist
        FROM ref a, ref b WHERE a.row_id <> b.row_id),

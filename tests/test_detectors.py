@@ -57,14 +57,28 @@ def test_iforest_planted_and_contamination(spark):
     assert abs(share - 0.1) < 0.01
 
 
-def test_knn_blocked_equals_broadcast(spark, monkeypatch):
-    df, cols = planted(spark, n=400)
-    a = K.knn_join(df, df, cols, 5, exclude_self=True, strategy="broadcast")
-    monkeypatch.setattr(K, "BLOCK_ROWS", 90)
-    b = K.knn_join(df, df, cols, 5, exclude_self=True, strategy="blocked")
-    ra = sorted((r["q_id"], r["rank"], r["o_id"], round(r["dist"], 9)) for r in a.collect())
-    rb = sorted((r["q_id"], r["rank"], r["o_id"], round(r["dist"], 9)) for r in b.collect())
-    assert ra == rb
+@pytest.mark.parametrize("cell_rows,block_rows", [(10 ** 6, 10 ** 6), (60, 25)])
+@pytest.mark.parametrize("offset", [0.0, 1e8])
+def test_knn_exact_with_ties(spark, cell_rows, block_rows, offset):
+    rng = np.random.default_rng(5)
+    X = np.vstack([np.repeat(rng.integers(0, 4, size=(20, 3)), 15, axis=0), rng.normal(size=(100, 3)).round(2)]) + offset
+    ids = [f"r{i:04d}" for i in rng.permutation(len(X))]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in zip(ids, X, strict=True)], "row_id string, a double, b double, c double")
+    got = {}
+    for r in K.knn_join(df, df, ["a", "b", "c"], 7, exclude_self=True, cell_rows=cell_rows, block_rows=block_rows).collect():
+        got.setdefault(r.q_id, {})[r["rank"]] = (r.o_id, r.dist)
+    for i, x in zip(ids, X, strict=True):
+        d = np.sqrt(((X - x) ** 2).sum(axis=1))
+        want = sorted((round(dist, 9), o) for dist, o in zip(d, ids, strict=True) if o != i)[:7]
+        assert [got[i][k][0] for k in range(1, 8)] == [o for _, o in want]
+        assert np.allclose([got[i][k][1] for k in range(1, 8)], [w for w, _ in want], atol=1e-6)
+
+
+def test_knn_small_sides(spark):
+    df = spark.createDataFrame([("a", 0.0), ("b", 1.0)], "row_id string, x double")
+    assert K.knn_join(df, df.limit(0), ["x"], 3).count() == 0
+    assert K.knn_join(df.limit(0), df, ["x"], 3).count() == 0
+    assert K.knn_join(df, df, ["x"], 3, exclude_self=True).count() == 2
 
 
 def test_lof_line_by_hand(spark):
