@@ -5,13 +5,14 @@ output; MSE loss, Adam (lr 1e-3), minibatch 64, at most 100 epochs, early
 stopping on the validation MSE (patience 5, min_delta 1e-6, best weights
 restored).
 
-Training is data-parallel: the training and validation rows are laid out
-once (``repartition`` by row_id, hash-sorted, cached). Every epoch is ONE
-Spark job: each partition first measures the validation loss of the incoming
-weights on its validation rows, then runs local minibatch Adam over its
-training rows; the driver averages weights and Adam moments weighted by rows.
-The weights (5,934 numbers for d=70) are the only thing that moves; the
-rows never leave their partition.
+Training is data-parallel over a fixed number of logical shards (a parameter:
+neither cores, partitions nor rows decide it, so neither change the result). A
+row's shard, and its place in the shard's order, come from the hash of its
+key. An epoch has ``syncs`` rounds; in each, every shard runs minibatch Adam
+over its next stretch of rows, read in order and a minibatch at a time, and
+the weights and Adam moments are averaged by rows. The averages are sums over
+the vectors' parts by a shuffle, so what reaches the driver is one vector,
+however many shards there are. Rows are laid out once and never move again.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsentry.functions.hashing import hash_order
-from flowsentry.session import spread
 
 HIDDEN = (32, 16, 8, 16, 32)
+SHARDS = 4
+SYNCS = 2
 
 
 def layer_dims(d: int) -> list[int]:
@@ -98,12 +100,10 @@ def loss_and_grad(theta: np.ndarray, X: np.ndarray) -> tuple[float, np.ndarray]:
     return loss, np.concatenate(flat)
 
 
-def adam_epoch(theta, m, v, t, X, rng, lr=1e-3, batch=64, b1=0.9, b2=0.999, eps=1e-8):
-    """One local pass of minibatch Adam over X (rows shuffled by ``rng``)."""
-    order = rng.permutation(X.shape[0])
-    loss_sum = 0.0
-    for s in range(0, len(order), batch):
-        xb = X[order[s:s + batch]]
+def adam_steps(theta, m, v, t, minibatches, lr=1e-3, b1=0.9, b2=0.999, eps=1e-8):
+    """Minibatch Adam over an iterator of matrices; also the rows and the summed loss."""
+    rows, loss_sum = 0, 0.0
+    for xb in minibatches:
         loss, g = loss_and_grad(theta, xb)
         t += 1
         m = b1 * m + (1 - b1) * g
@@ -112,16 +112,20 @@ def adam_epoch(theta, m, v, t, X, rng, lr=1e-3, batch=64, b1=0.9, b2=0.999, eps=
         vh = v / (1 - b2 ** t)
         theta = theta - lr * mh / (np.sqrt(vh) + eps)
         loss_sum += loss * len(xb)
-    return theta, m, v, t, loss_sum
+        rows += len(xb)
+    return theta, m, v, t, rows, loss_sum
 
 
-EPOCH_SCHEMA = T.StructType([
-    T.StructField("n_train", T.LongType()), T.StructField("loss_sum", T.DoubleType()),
-    T.StructField("n_val", T.LongType()), T.StructField("val_sum", T.DoubleType()),
-    T.StructField("steps", T.LongType()),
-    T.StructField("theta", T.ArrayType(T.DoubleType())),
-    T.StructField("m", T.ArrayType(T.DoubleType())),
-    T.StructField("v", T.ArrayType(T.DoubleType()))])
+def _minibatches(batches, features, size):
+    """Matrices of ``size`` rows from a stream of data frames, the last one shorter."""
+    rest = np.zeros((0, len(features)))
+    for b in batches:
+        rest = np.vstack([rest, b[features].to_numpy(np.float64)])
+        for lo in range(0, len(rest) - size + 1, size):
+            yield rest[lo:lo + size]
+        rest = rest[len(rest) // size * size:]
+    if len(rest):
+        yield rest
 
 
 @dataclass
@@ -148,95 +152,105 @@ class AEModel:
                 yield o
 
         cols = keep + [F.col(c).cast("double").alias(c) for c in feats if c not in keep]
-        return spread(df.select(*cols), keep[0] if keep else None).mapInPandas(run, schema)
+        return df.select(*cols).mapInPandas(run, schema)
 
 
 def fit_autoencoder(train: DataFrame, val: DataFrame, features: list[str], max_epochs: int = 100,
                     patience: int = 5, min_delta: float = 1e-6, lr: float = 1e-3,
-                    batch: int = 64, partitions: int | None = None, seed: int = 42,
+                    batch: int = 64, shards: int = SHARDS, syncs: int = SYNCS, seed: int = 42,
                     key: str = "row_id") -> AEModel:
     """Train on ``train`` rows, early-stop on ``val`` rows (same class)."""
     spark = train.sparkSession
     d = len(features)
     feats = [F.col(c).cast("double").alias(c) for c in features]
-    data = (train.select(F.col(key).alias("_key"), *feats, F.lit(0).alias("_val"))
-            .unionByName(val.select(F.col(key).alias("_key"), *feats, F.lit(1).alias("_val"))))
-    n = data.count()
-    parts = partitions or max(1, min(spark.sparkContext.defaultParallelism, math.ceil(n / 50_000)))
-    data = (data.repartition(parts, "_key").sortWithinPartitions(hash_order(seed, "_key"), "_key")
-                .persist(StorageLevel.MEMORY_AND_DISK))
+    order = hash_order(seed, "_key")
+    # digits 1-6 of the hash give the shard, 7-12 the round it is seen in, the rest the order
+    digits = lambda at: F.conv(F.substring(order, at, 6), 16, 10).cast("long")
+    data = (train.select(F.col(key).cast("string").alias("_key"), *feats)
+            .select(F.pmod(digits(1), F.lit(shards)).cast("int").alias("_shard"),
+                    F.pmod(digits(7), F.lit(syncs)).cast("int").alias("_round"), order.alias("_h"), "_key", *features)
+            .repartition(shards, "_shard").sortWithinPartitions("_shard", "_round", "_h", "_key")
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    held = val.select(*feats).persist(StorageLevel.MEMORY_AND_DISK)
+    size = len(init_params(d, seed))
+
+    def round_of(theta, m, v, t, number):
+        """One round: weights and moments averaged by rows, steps, rows, summed loss."""
+        bc = spark.sparkContext.broadcast((theta, m, v, t))
 
-    theta = init_params(d, seed)
-    m = np.zeros_like(theta)
-    v = np.zeros_like(theta)
-    t = 0
-    history, best, best_theta, best_epoch, wait = [], math.inf, theta, 0, 0
-    train_losses: list[float] = []
+        def run(batches):
+            shard = None
+
+            def done(stream):
+                th, mm, vv, tt, rows, loss = adam_steps(*bc.value, _minibatches(stream, features, batch), lr=lr)
+                x = np.concatenate([th * rows, mm * rows, vv * rows, [(tt - bc.value[3]) * rows, rows, loss]])
+                return pd.DataFrame({"at": np.arange(len(x)), "shard": shard, "x": x})
+
+            def runs():
+                """(shard, its rows): a partition may hold several shards, one after the other."""
+                for b in batches:
+                    for s in b["_shard"].unique():
+                        yield s, b[b["_shard"] == s]
+
+            stream = iter(runs())
+            item = next(stream, None)
+            while item is not None:
+                shard, after = item[0], []
+
+                def own(first=item[1], s=item[0], after=after):
+                    yield first
+                    for x, part in stream:
+                        if x != s:
+                            after.append((x, part))
+                            return
+                        yield part
+
+                yield done(own())
+                item = after[0] if after else None
+
+        # summed in the order of the shards: the same for any layout
+        got = (data.where(F.col("_round") == number).mapInPandas(run, "at long, shard int, x double")
+               .groupBy("at").agg(F.sort_array(F.collect_list(F.struct("shard", "x"))).alias("s"))
+               .select("at", F.aggregate("s", F.lit(0.0), lambda a, z: a + z["x"]).alias("x")).toPandas())
+        bc.unpersist()
+        if not len(got):
+            return theta, m, v, 0, 0, 0.0
+        x = np.zeros(3 * size + 3)
+        x[got["at"].to_numpy()] = got["x"].to_numpy()
+        rows = x[-2]
+        th, mm, vv = (x[i * size:(i + 1) * size] / rows for i in range(3))
+        return th, mm, vv, round(x[-3] / rows), int(rows), float(x[-1])
 
-    def job(theta, m, v, t, epoch, train_on: bool):
-        bc = spark.sparkContext.broadcast((theta, m, v, t))
+    def validation(theta):
+        bc = spark.sparkContext.broadcast(theta)
 
         def run(batches):
-            from pyspark import TaskContext
-            th, mm, vv, tt = bc.value
-            pdf = pd.concat(list(batches), ignore_index=True)
-            X = pdf[features].to_numpy(np.float64)
-            is_val = pdf["_val"].to_numpy() == 1
-            Xv, Xt = X[is_val], X[~is_val]
-            val_sum = float(row_mse(th, Xv).sum()) if len(Xv) else 0.0
-            loss_sum, steps = 0.0, 0
-            if train_on and len(Xt):
-                pid = TaskContext.get().partitionId()
-                rng = np.random.default_rng([seed, epoch, pid])
-                th, mm, vv, t2, loss_sum = adam_epoch(th, mm, vv, tt, Xt, rng, lr, batch)
-                steps = t2 - tt
-            yield pd.DataFrame({"n_train": [len(Xt)], "loss_sum": [loss_sum], "n_val": [len(Xv)],
-                                "val_sum": [val_sum], "steps": [steps], "theta": [th], "m": [mm],
-                                "v": [vv]})
-
-        rows = data.mapInPandas(run, EPOCH_SCHEMA).collect()
+            for b in batches:
+                e = row_mse(bc.value, b[features].to_numpy(np.float64))
+                yield pd.DataFrame({"n": [len(e)], "s": [e.sum()]})
+
+        r = held.mapInPandas(run, "n long, s double").agg(F.sum("n"), F.sum("s")).first()
         bc.unpersist()
-        return rows
-
-    def combine(rows):
-        w = np.array([r["n_train"] for r in rows], dtype=np.float64)
-        live = w > 0
-        wn = w[live] / w[live].sum()
-        th = sum(wi * np.asarray(r["theta"]) for wi, r in zip(wn, [r for r, l in zip(rows, live) if l]))
-        mm = sum(wi * np.asarray(r["m"]) for wi, r in zip(wn, [r for r, l in zip(rows, live) if l]))
-        vv = sum(wi * np.asarray(r["v"]) for wi, r in zip(wn, [r for r, l in zip(rows, live) if l]))
-        steps = int(round(np.average([r["steps"] for r in rows], weights=np.maximum(w, 1e-12))))
-        loss = sum(r["loss_sum"] for r in rows) / max(1.0, w.sum())
-        return th, mm, vv, steps, loss
-
-    def val_of(rows):
-        nv = sum(r["n_val"] for r in rows)
-        return sum(r["val_sum"] for r in rows) / nv if nv else math.nan
-
-    epoch = 0
-    stopped = False
-    while epoch < max_epochs:
-        epoch += 1
-        rows = job(theta, m, v, t, epoch, True)
-        if epoch > 1:
-            vl = val_of(rows)  # validation loss of the weights after epoch - 1
-            history.append((epoch - 1, float(train_losses[-1]), float(vl)))
-            if vl < best - min_delta:
-                best, best_theta, best_epoch, wait = vl, theta, epoch - 1, 0
-            else:
-                wait += 1
-            if wait >= patience:
-                stopped = True
-                break
-        theta, m, v, steps, loss = combine(rows)
-        t += steps
-        train_losses.append(loss)
-    if not stopped:
-        vl = val_of(job(theta, m, v, t, epoch + 1, False))
-        history.append((epoch, float(train_losses[-1]), float(vl)))
+        return r[1] / r[0] if r[0] else math.nan
+
+    theta = init_params(d, seed)
+    m, v, t = np.zeros_like(theta), np.zeros_like(theta), 0
+    history, best, best_theta, best_epoch, wait = [], math.inf, theta, 0, 0
+    for epoch in range(1, max_epochs + 1):
+        seen, loss = 0, 0.0
+        for number in range(syncs):
+            theta, m, v, steps, rows, part = round_of(theta, m, v, t, number)
+            t, seen, loss = t + steps, seen + rows, loss + part
+        vl = validation(theta)
+        history.append((epoch, loss / max(1, seen), float(vl)))
         if vl < best - min_delta:
-            best, best_theta, best_epoch = vl, theta, epoch
+            best, best_theta, best_epoch, wait = vl, theta, epoch, 0
+        else:
+            wait += 1
+        if wait >= patience:
+            break
     data.unpersist()
+    held.unpersist()
     return AEModel(list(features), best_theta, history, best_epoch)
 
 

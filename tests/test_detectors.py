@@ -145,3 +145,65 @@ def test_ensemble_or_and_minmax(spark):
     got = {r["row_id"]: (r["pred"], r["score"]) for r in ensemble(df, ("s1", "p1"), ("s2", "p2")).collect()}
     assert got["a"][0] == 1 and got["b"][0] == 1 and got["c"][0] == 0
     assert got["c"][1] == pytest.approx(0.5 / (1 + 1e-8 / 2) + 0.5 / (1 + 1e-8 / 4), rel=1e-6)
+
+
+def test_autoencoder_same_on_any_layout(spark):
+    df, cols = planted(spark, n=300)
+    from flowsentry.operators import sampling as P
+    z = P.stratified_split(df)
+    tr, va = z.where("split = 'train' AND y = 0"), z.where("split = 'val' AND y = 0")
+    runs = [AE.fit_autoencoder(tr.repartition(n), va.repartition(n), cols, max_epochs=3, shards=3).history
+            for n in (1, 4, 16)]
+    for h in runs[1:]:
+        assert np.allclose(h, runs[0], rtol=1e-9)
+
+
+def test_autoencoder_minibatches_and_empty():
+    import pandas as pd
+    frames = [pd.DataFrame({"a": np.arange(n, dtype=float)}) for n in (0, 5, 1, 9)]
+    got = list(AE._minibatches(iter(frames), ["a"], 4))
+    assert [len(x) for x in got] == [4, 4, 4, 3]
+    assert np.concatenate(got)[:, 0].tolist() == [*range(5), 0.0, *range(9)]
+    th = AE.init_params(1)
+    assert AE.adam_steps(th, th * 0, th * 0, 0, iter([]))[4:] == (0, 0.0)
+
+
+def test_iforest_needs_rows(spark):
+    with pytest.raises(ValueError):
+        IF.fit_iforest(spark.createDataFrame([], "row_id string, x double"), ["x"])
+
+
+def test_ocsvm_objective_nears_the_exact_optimum(spark):
+    """The solution on all rows as landmarks against the dual, solved by projected steps."""
+    df, cols = planted(spark, n=120, d=3)
+    nu, gamma = 0.2, 1 / 3
+    pdf = df.orderBy("row_id").toPandas()
+    X = pdf[cols].to_numpy(float)
+    n = len(X)
+    K_ = OC.kernel(X, X, "rbf", gamma)
+    a = np.full(n, 1 / n)
+    top = 1 / (nu * n)
+    step = 1 / np.linalg.eigvalsh(K_).max()
+    for _ in range(4000):  # projection on {0 <= a <= top, sum a = 1} by bisection
+        z = a - step * (K_ @ a)
+        lo, hi = z.min() - 1, z.max() + 1
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if np.clip(z - mid, 0, top).sum() > 1 else (lo, mid)
+        a = np.clip(z - lo, 0, top)
+    exact = -0.5 * a @ K_ @ a
+    gaps = []
+    for m in (8, 128):
+        model = OC.fit_ocsvm(df, cols, "rbf", gamma, nu, landmarks=m, passes=200)
+        phi = OC.kernel(X, model.L, "rbf", gamma) @ model.P
+        gaps.append(OC.objective(model.w, model.rho, phi, nu) - exact)
+    assert gaps[1] > -1e-6 and gaps[1] < 0.1 * abs(exact) + 1e-3
+
+
+def test_ocsvm_folds_do_not_leak(spark):
+    df, cols = planted(spark, n=200, d=3)
+    folded = df.withColumn("fold", F.pmod(F.crc32("row_id"), F.lit(2)).cast("int"))
+    both = OC.fit_ocsvm_many(folded, cols, "rbf", "scale", (0.2,), "fold", (0, 1), landmarks=32, passes=20)
+    alone = OC.fit_ocsvm(folded.where("fold != 0"), cols, "rbf", "scale", 0.2, landmarks=32, passes=20)
+    assert both[0.2, 0].gamma == pytest.approx(alone.gamma) and np.allclose(both[0.2, 0].L, alone.L)
+    assert np.allclose(both[0.2, 0].w, alone.w) and both[0.2, 0].rho == pytest.approx(alone.rho)
