@@ -19,45 +19,53 @@ from flowsentry.operators.detectors import iforest as IF
 from flowsentry.operators.detectors import lof as LOF
 from flowsentry.operators.detectors import ocsvm as OC
 from flowsentry.plans.fixtures import EM_FEATURES, LI_FEATURES, em_flows, li_flows
-from flowsentry.session import spread
 
 MODEL_ORDER = ["Isolation Forest", "One-Class SVM", "Local Outlier Factor", "Autoencoder",
                "Second Autoencoder", "Ensemble Autoencoder"]
 
 
-def preprocess(df: DataFrame, features: list[str], y: str = "y", label: str | None = None,
-               sample_frac: float | None = None, seed: int = 42) -> tuple[DataFrame, FE.ScalerModel]:
-    """Entry 1: clean -> (stratified sample) -> 70/15/15 split -> scale.
+def preprocess(df: DataFrame, features: list[str] | None = None, y: str = "y", label: str | None = None,
+               sample_frac: float | None = None, seed: int = 42, fit_scope: str = "train",
+               partitions: int | None = None) -> tuple[DataFrame, FE.ScalerModel]:
+    """Entry 1: clean -> (stratified sample) -> 70/15/15 split -> feature selection -> scale.
 
-    Returns one table (row_id, y, split, scaled features) -- write it with
-    ``sources.files.write_splits`` -- and the fitted scaler.
+    Without ``features``, they are the numeric columns that vary: in the train
+    split, or in the whole sample with ``fit_scope="all"`` (as the reference
+    does, which lets the test rows decide). Returns one table (row_id, y,
+    split, scaled features), in ``partitions`` parts by row_id if given, and
+    the fitted scaler. Write it with ``sources.files.write_splits``.
     """
     x = C.clean(df)
     if sample_frac is not None:
         x = P.stratified_sample(x, label or y, sample_frac, seed)
-    x = P.stratified_split(x, y, seed=seed).select("row_id", y, "split", *features)
-    z, scaler = FE.standardize(x, features)
-    return spread(z), scaler
+    x = P.stratified_split(x, y, seed=seed)
+    if features is None:
+        other = {"row_id", y, "split", label}
+        scope = x if fit_scope == "all" else x.where("split = 'train'")
+        numeric, _ = C.select_features(scope.select(*[c for c in x.columns if c not in other]))
+        features = list(numeric.columns)
+    z, scaler = FE.standardize(x.select("row_id", y, "split", *features), features)
+    return (z.repartition(partitions, "row_id") if partitions else z), scaler
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimum slice: LI -> clean -> split -> scale -> isolation forest ->
     contamination threshold -> evaluation on the original and balanced test set."""
-    z, _ = preprocess(li_flows(spark, sf_dir), LI_FEATURES)
+    z, _ = preprocess(li_flows(spark, sf_dir), LI_FEATURES, partitions=spark.sparkContext.defaultParallelism)
     z = z.cache()
     m = IF.fit_iforest(z.where("split = 'train'"), LI_FEATURES, n_trees=100, contamination=0.2)
     test = P.balanced_flag(z.where("split = 'test'"))
     s = m.transform(test, keep=("row_id", "y", "in_balanced")).withColumn("model", F.lit("Isolation Forest"))
-    return M.evaluate(M.scenario_rows(s), ["model", "scenario"])
+    return M.evaluate(M.scenario_rows(s.cache()), ["model", "scenario"])
 
 
 def run_experiment(z: DataFrame, features: list[str], ae_epochs: int = 100,
-                   ocsvm_rows: int = 15_000, lof_rows: int = 15_000) -> dict:
+                   ocsvm_rows: int | None = None, lof_rows: int | None = None) -> dict:
     """Six detectors on a scaled split table -> scored long table,
     evaluation per (model, scenario), summary tables, loss curves.
 
-    OC-SVM trains on a stratified subsample and LOF on a normal-only
-    subsample of the given sizes (the reference's choices; ``None`` = all).
+    LOF trains on the normal rows. ``ocsvm_rows`` and ``lof_rows`` ask for
+    training samples of that size; all rows are used without.
     """
     spark = z.sparkSession
     train, val = z.where("split = 'train'"), z.where("split = 'val'")
@@ -68,7 +76,7 @@ def run_experiment(z: DataFrame, features: list[str], ae_epochs: int = 100,
     m_if = IF.fit_iforest(train, features, 100, contamination=0.2)
     scored.append(m_if.transform(test, keep).withColumn("model", F.lit(MODEL_ORDER[0])))
 
-    oc_train = P.stratified_subsample(train, ocsvm_rows)
+    oc_train = train if ocsvm_rows is None else P.stratified_subsample(train, ocsvm_rows)
     m_oc = OC.fit_ocsvm(oc_train, features, "rbf", "auto", 0.2)
     scored.append(m_oc.transform(test, keep).withColumn("model", F.lit(MODEL_ORDER[1])))
 
@@ -95,7 +103,7 @@ def run_experiment(z: DataFrame, features: list[str], ae_epochs: int = 100,
     scored.append(ens.select(*keep, "score", "pred").withColumn("model", F.lit(MODEL_ORDER[5])))
 
     cols = ["model", "row_id", "y", "in_balanced", "score", "pred"]
-    long = reduce(lambda a, b: a.unionByName(b), [s.select(*cols) for s in scored])
+    long = reduce(lambda a, b: a.unionByName(b), [s.select(*cols) for s in scored]).cache()
     ev = M.evaluate(M.scenario_rows(long), ["model", "scenario"])
     per_class = M.with_rates(M.confusion(long, ["model"]))
     losses = (ae1.history_df(spark).withColumn("model", F.lit(MODEL_ORDER[3]))
@@ -111,6 +119,6 @@ def best_performers(ev: DataFrame) -> DataFrame:
     return M.best_model(M.metrics_long(ev).withColumn("model_order", om[F.col("model")]))
 
 
-def em_experiment(spark: SparkSession, sf_dir: str, ae_epochs: int = 30) -> dict:
+def em_experiment(spark: SparkSession, sf_dir: str) -> dict:
     z, _ = preprocess(em_flows(spark, sf_dir), EM_FEATURES)
-    return run_experiment(z.cache(), EM_FEATURES, ae_epochs=ae_epochs)
+    return run_experiment(z.cache(), EM_FEATURES)

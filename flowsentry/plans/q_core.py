@@ -187,13 +187,7 @@ def _fold_scaling_sql() -> str:
     max_std = "greatest(" + ", ".join(f"s_{c}" for c in LI_FEATURES) + ")"
     return f"""WITH {_li_std_sql()},
 tr AS (SELECT * FROM std WHERE split = 'train'),
-c AS (SELECT count(*) AS total, sum(y) AS a FROM tr),
-q AS (SELECT CAST(floor(15000 * (CAST(a AS DOUBLE) / total)) AS BIGINT) AS n_anom, total, a FROM c),
-quota AS (SELECT 1 AS y, least(n_anom, a) AS q FROM q
-          UNION ALL SELECT 0 AS y, least(15000 - n_anom, total - a) AS q FROM q),
-r AS (SELECT tr.*, row_number() OVER (PARTITION BY y ORDER BY md5(concat('42:', row_id)), row_id) AS rn FROM tr),
-sub AS (SELECT r.* EXCLUDE (rn) FROM r JOIN quota USING (y) WHERE rn <= q),
-{G.kfold_ctes('sub', 3)},
+{G.kfold_ctes('tr', 3)},
 per AS ({' UNION ALL '.join(per)})
 SELECT fold, {_r(mean_of_means)} AS global_mean_of_means, {_r(mean_of_stds)} AS global_mean_of_stds,
        {_r(max_abs)} AS max_abs_mean, {_r(max_std)} AS max_abs_std FROM per"""
@@ -201,16 +195,25 @@ SELECT fold, {_r(mean_of_means)} AS global_mean_of_means, {_r(mean_of_stds)} AS
 
 @query("fold_scaling", _fold_scaling_sql())
 def q_fold_scaling(spark, sf_dir):
-    """per training fold scaler statistics on the 15k stratified subsample
-    of the standardised train split."""
+    """per training fold scaler statistics of the standardised train split."""
     li = P.stratified_split(li_flows(spark, sf_dir))
     z, _ = FE.standardize(li, LI_FEATURES)
-    sub = P.stratified_subsample(z.where("split = 'train'"), 15000)
-    folded = P.kfold_assign(sub, 3)
+    folded = P.kfold_assign(z.where("split = 'train'"), 3)
     st = FE.fold_scaling(folded, LI_FEATURES)
     return st.select("fold", *[r6(c).alias(c) for c in st.columns if c != "fold"])
 
 
+@query("fold_scaling_verdict", f"""WITH st_ AS ({_fold_scaling_sql()})
+SELECT {_r('max(global_mean_of_means) - min(global_mean_of_means)')} AS mean_range,
+  {_r('max(global_mean_of_stds) - min(global_mean_of_stds)')} AS std_range,
+  max(global_mean_of_means) - min(global_mean_of_means) < 0.01
+  AND max(global_mean_of_stds) - min(global_mean_of_stds) < 0.01 AS negligible FROM st_""")
+def q_fold_scaling_verdict(spark, sf_dir):
+    """whether scaling per fold differs from scaling once by a negligible amount."""
+    v = FE.fold_scaling_verdict(q_fold_scaling(spark, sf_dir))
+    return v.select(r6("mean_range").alias("mean_range"), r6("std_range").alias("std_range"), "negligible")
+
+
 # ------------------------------------------------------------ profiling
 
 _EM_VAR_SQL = " UNION ALL ".join(
@@ -230,15 +233,15 @@ def q_feature_variance_topk(spark, sf_dir):
 
 @query("correlation_lower", f"""WITH em AS ({EM_SQL}), v AS ({_EM_VAR_SQL}),
 top AS (SELECT feature, ordinal, row_number() OVER (ORDER BY variance DESC, ordinal) AS k FROM v),
-t4 AS (SELECT * FROM top WHERE k <= 4),
+t4 AS (SELECT * FROM top WHERE k <= 15),
 lng AS (UNPIVOT em ON {', '.join(EM_FEATURES)} INTO NAME feature VALUE v),
 l4 AS (SELECT lng.row_id, lng.feature, lng.v, t4.k FROM lng JOIN t4 USING (feature))
 SELECT a.feature AS feature_i, b.feature AS feature_j, {_r('corr(a.v, b.v)')} AS corr
 FROM l4 a JOIN l4 b ON a.row_id = b.row_id AND a.k > b.k GROUP BY a.feature, b.feature""")
 def q_correlation_lower(spark, sf_dir):
-    """correlation of the top-4 variance features, strict lower triangle."""
+    """correlation of the top-15 variance features, strict lower triangle."""
     em = em_flows(spark, sf_dir)
-    top = [r["feature"] for r in PR.top_variance_features(em, EM_FEATURES, 4).collect()]
+    top = [r["feature"] for r in PR.top_variance_features(em, EM_FEATURES, 15).collect()]
     c = PR.correlation_lower(em, top)
     return c.select("feature_i", "feature_j", r6("corr").alias("corr"))
 

@@ -177,7 +177,7 @@ def _ae(spark, sf_dir, cls: int):
     em = P.stratified_split(em_flows(spark, sf_dir))
     tr = em.where(f"split = 'train' AND y = {cls}")
     va = em.where(f"split = 'val' AND y = {cls}")
-    return em, AE.fit_autoencoder(tr, va, EM_FEATURES, max_epochs=30)
+    return em, AE.fit_autoencoder(tr, va, EM_FEATURES)
 
 
 @query("autoencoder_score")

@@ -21,8 +21,7 @@ VEC = "[" + ", ".join(EM_FEATURES) + "]"
 
 
 def em_folded(spark, sf_dir):
-    em = P.stratified_subsample(em_flows(spark, sf_dir), 15000)
-    return P.kfold_assign(em, 3).cache()
+    return P.kfold_assign(em_flows(spark, sf_dir), 3).cache()
 
 
 def _lof_cv_sql(ks=(5, 10, 20, 40, 60)) -> str:
@@ -121,77 +120,136 @@ def q_sweep_best(spark, sf_dir):
     return s.select(r6("contamination").alias("contamination"), r6("mean_f1").alias("mean_f1"))
 
 
-def _gate_sql() -> str:
-    return f"""WITH li AS ({LI_SQL}), {G.split_ctes('li')},
+@query("volume_rows", f"""WITH li AS ({LI_SQL}), {G.split_ctes('li')},
 tr AS (SELECT * FROM splitted WHERE split = 'train'),
 c AS (SELECT count(*) AS cnt, sum(y) AS a FROM tr),
-sc AS (SELECT * FROM (VALUES ('A — 15k (tuning subsample)', 15000, 1), ('B — 80k (medium)', 80000, 2),
-        ('C — Full', NULL, 3)) t(scenario, n, o)),
-act AS (SELECT scenario, o, CASE WHEN n IS NULL OR n >= cnt THEN cnt
-          ELSE least(CAST(floor(n * (CAST(a AS DOUBLE) / cnt)) AS BIGINT), a)
-             + least(n - CAST(floor(n * (CAST(a AS DOUBLE) / cnt)) AS BIGINT), cnt - a) END AS rows
-        FROM sc, c),
-md AS (SELECT * FROM (VALUES ('Isolation Forest', NULL), ('One-Class SVM', 15000), ('LOF', 50000)) t(model, lim))
-SELECT scenario AS "Scenario", CAST(rows AS BIGINT) AS "Training Rows", model AS "Model",
-       CASE WHEN lim IS NOT NULL AND rows > lim THEN 'SKIPPED (O(n²) infeasible)' ELSE 'OK' END AS "Status"
-FROM act, md"""
-
-
-@query("feasibility_gate", _gate_sql())
-def q_feasibility_gate(spark, sf_dir):
-    """The reference's skip gate per (volume scenario, model) on the LI train split."""
-    li = P.stratified_split(li_flows(spark, sf_dir))
-    tr = li.where("split = 'train'").cache()
-    rows = []
-    for scen, n in (("A — 15k (tuning subsample)", 15000), ("B — 80k (medium)", 80000), ("C — Full", None)):
-        actual = P.stratified_subsample(tr, n).count()
-        for model in ("Isolation Forest", "One-Class SVM", "LOF"):
-            rows.append((scen, actual, model, TU.feasibility(model, actual, TU.MAX_ROWS)))
-    return spark.createDataFrame(rows, "Scenario string, `Training Rows` long, Model string, Status string")
-
-
-# ----------------------------------------------------------- rows-only
-
-@query("if_cv")
+sc AS (SELECT * FROM (VALUES {', '.join(f"('{s}', {'NULL' if n is None else n})" for s, n in TU.SCENARIOS)}) t(scenario, n))
+SELECT scenario AS "Scenario", CAST(CASE WHEN n IS NULL OR n >= cnt THEN cnt
+    ELSE least(CAST(floor(n * (CAST(a AS DOUBLE) / cnt)) AS BIGINT), a)
+       + least(n - CAST(floor(n * (CAST(a AS DOUBLE) / cnt)) AS BIGINT), cnt - a) END AS BIGINT) AS "Training Rows"
+FROM sc, c""")
+def q_volume_rows(spark, sf_dir):
+    """The training rows of each volume scenario on the LI train split."""
+    tr = P.stratified_split(li_flows(spark, sf_dir)).where("split = 'train'").cache()
+    rows = [(name, P.stratified_subsample(tr, n).count()) for name, n in TU.SCENARIOS]
+    return spark.createDataFrame(rows, "Scenario string, `Training Rows` long")
+
+
+def _if_cv_sql() -> str:
+    """The forest grid on EM: one forest of 200 trees for each (max_features, fold); smaller
+    ones are its first trees."""
+    sizes, shares = TU.IF_GRID["n_estimators"], TU.IF_GRID["max_features"]
+    ctes = [f"em AS ({EM_SQL}), {G.kfold_ctes('em', 3)}",
+            "ff AS (SELECT CAST(range AS INTEGER) AS f FROM range(3))",
+            "trf AS (SELECT ff.f AS fo, folded.* FROM folded, ff WHERE fold <> ff.f)",
+            "tef AS (SELECT fold AS fo, * FROM folded)"]
+    scored, cand = [], []
+    for i, mf in enumerate(shares):
+        n_feat = max(1, int(mf * len(EM_FEATURES)))
+        ctes.append(G.iforest_nodes_ctes("trf", EM_FEATURES, max(sizes), out=f"n{i}", by="fo", n_feat=n_feat))
+        ctes.append(G.iforest_score_ctes("tef", EM_FEATURES, "fo, row_id, y", max(sizes), nodes=f"n{i}", out=f"i{i}", by="fo"))
+        for j, size in enumerate(sizes):
+            c = i * len(sizes) + j + 1
+            where = f" FILTER (tree < {size})"
+            scored.append(f"SELECT {c} AS candidate_id, fo AS fold, row_id, y, {G.iforest_ss(256, where)} AS ss "
+                          f"FROM i{i}_h GROUP BY fo, row_id, y")
+            cand.append(f"({c}, CAST({mf} AS DOUBLE), {size})")
+    return ",\n".join(ctes) + f""",
+scored AS (SELECT candidate_id, fold, y, CAST(ss + 0.5 < 0 AS INTEGER) AS pred, -(ss + 0.5) AS score
+  FROM ({' UNION ALL '.join(scored)})),
+conf AS ({conf_sql('scored', 'candidate_id, fold')}),
+{auc_sql('scored', 'candidate_id, fold')},
+fm AS (SELECT c.candidate_id, c.fold, {F1} AS f1, {REC} AS recall, {PREC} AS precision,
+  CASE WHEN a.auc < 0.5 THEN 1 - a.auc ELSE a.auc END AS auc FROM conf c LEFT JOIN auc a USING (candidate_id, fold)),
+res AS (SELECT candidate_id, avg(f1) AS mean_f1, stddev_pop(f1) AS std_f1, avg(recall) AS mean_recall,
+  stddev_pop(recall) AS std_recall, avg(precision) AS mean_precision, stddev_pop(precision) AS std_precision,
+  avg(auc) AS mean_auc FROM fm GROUP BY candidate_id),
+cand AS (SELECT * FROM (VALUES {', '.join(cand)}) t(candidate_id, max_features, n_estimators))"""
+
+
+@query("if_cv", f"""WITH {_if_cv_sql()}
+SELECT candidate_id, max_features, n_estimators, {', '.join(_r(c) + ' AS ' + c for c in TU.METRIC_COLS)}
+FROM res JOIN cand USING (candidate_id)""")
 def q_if_cv(spark, sf_dir):
     """T2+T3 for the isolation-forest grid (9 candidates x 3 folds)."""
     res, _ = TU.tune_iforest(em_folded(spark, sf_dir), EM_FEATURES)
-    return res
+    return res.select("candidate_id", "max_features", "n_estimators", *[r6(c).alias(c) for c in TU.METRIC_COLS])
+
 
+@query("if_pivot", f"""WITH {_if_cv_sql()}
+SELECT max_features, {', '.join(_r(f'avg(mean_f1) FILTER (n_estimators = {n})') + f' AS "{n}"' for n in TU.IF_GRID["n_estimators"])}
+FROM res JOIN cand USING (candidate_id) GROUP BY max_features""")
+def q_if_pivot(spark, sf_dir):
+    """F16: mean F1 of the forest grid, max_features x n_estimators."""
+    res, _ = TU.tune_iforest(em_folded(spark, sf_dir), EM_FEATURES)
+    p = TU.metric_pivot(res, "max_features", "n_estimators", "mean_f1")
+    return p.select("max_features", *[r6(str(n)).alias(str(n)) for n in TU.IF_GRID["n_estimators"]])
+
+
+def _li_folds_sql(k: int, trees: int) -> str:
+    return f"""li AS ({LI_SQL}), {G.kfold_ctes('li', k)},
+ff AS (SELECT CAST(range AS INTEGER) AS f FROM range({k})),
+trf AS (SELECT ff.f AS fo, folded.* FROM folded, ff WHERE fold <> ff.f),
+tef AS (SELECT fold AS fo, * FROM folded),
+{G.iforest_nodes_ctes('trf', LI_FEATURES, trees, by='fo')},
+{G.iforest_score_ctes('trf', LI_FEATURES, 'fo, row_id', trees, out='fit', by='fo')},
+{G.iforest_score_ctes('tef', LI_FEATURES, 'fo, row_id, y', trees, by='fo')}"""
+
+
+@query("if_threshold_sweep", f"""WITH {_li_folds_sql(3, 100)},
+off AS ({' UNION ALL '.join(f"SELECT fo, CAST({c!r} AS DOUBLE) AS contamination, quantile_cont(ss, {c!r}) AS off_v FROM fit GROUP BY fo" for c in TU.CONTAMINATION_SWEEP)}),
+sp AS (SELECT o.contamination, i.fo, i.y, CAST(i.ss < o.off_v AS INTEGER) AS pred FROM ifs i JOIN off o USING (fo)),
+conf AS ({conf_sql('sp', 'contamination, fo')})
+SELECT contamination, {_r(f'avg({F1})')} AS mean_f1 FROM conf GROUP BY contamination""")
+def q_if_threshold_sweep(spark, sf_dir):
+    """T4: contamination sweep of a 100-tree forest by 3-fold CV on LI."""
+    folded = P.kfold_assign(li_flows(spark, sf_dir), 3).cache()
+    return TU.if_threshold_sweep(folded, LI_FEATURES).select("contamination", r6("mean_f1").alias("mean_f1"))
+
+
+@query("cross_validation", f"""WITH {_li_folds_sql(5, 50)},
+off AS (SELECT fo, quantile_cont(ss, 0.2) AS off_v FROM fit GROUP BY fo),
+sp AS (SELECT i.fo, i.y, CAST(i.ss - o.off_v < 0 AS INTEGER) AS pred, -(i.ss - o.off_v) AS score FROM ifs i JOIN off o USING (fo)),
+conf AS ({conf_sql('sp', 'fo')}),
+{auc_sql('sp', 'fo')},
+fm AS (SELECT c.fo + 1 AS fold, {F1} AS f1, CASE WHEN a.auc < 0.5 THEN 1 - a.auc ELSE a.auc END AS auc
+  FROM conf c LEFT JOIN auc a USING (fo)),
+su AS (SELECT avg(f1) AS mean_f1, stddev_pop(f1) AS std_f1, avg(auc) AS mean_auc, stddev_pop(auc) AS std_auc FROM fm)
+SELECT CAST(fold AS INTEGER) AS fold, {', '.join(_r(c) + ' AS ' + c for c in ('f1', 'auc', 'mean_f1', 'std_f1', 'mean_auc', 'std_auc'))} FROM fm, su""")
+def q_cross_validation(spark, sf_dir):
+    """Stand-alone 5-fold CV of a 50-tree forest on LI, contamination 0.2."""
+    out = TU.cross_validate(li_flows(spark, sf_dir), LI_FEATURES, 5, 50)
+    return out.select("fold", *[r6(c).alias(c) for c in ("f1", "auc", "mean_f1", "std_f1", "mean_auc", "std_auc")])
+
+
+# ----------------------------------------------------------- rows-only
 
 @query("ocsvm_cv")
 def q_ocsvm_cv(spark, sf_dir):
     """T2+T3+T6 for the one-class SVM grid (20 candidates x 3 folds, shared passes)."""
-    em = P.random_rows(P.stratified_subsample(em_flows(spark, sf_dir), 15000), 5000, seed=0)
-    res, _ = TU.tune_ocsvm(P.kfold_assign(em, 3).cache(), EM_FEATURES, passes=20)
+    res, _ = TU.tune_ocsvm(em_folded(spark, sf_dir), EM_FEATURES)
     return res
 
 
 def _em_split(spark, sf_dir):
     em = P.stratified_split(em_flows(spark, sf_dir)).cache()
-    return em.where("split = 'train'"), em.where("split = 'test'")
+    return em.where("split = 'train'").cache(), em.where("split = 'test'").cache()
 
 
 @query("baseline_vs_best")
 def q_baseline_vs_best(spark, sf_dir):
-    """Default vs tuned parameters of the three classical models."""
+    """T6+T7: default vs tuned parameters of the three classical models, tuned by
+    cross-validation on the train split."""
     tr, te = _em_split(spark, sf_dir)
-    return TU.baseline_vs_best(tr, te, EM_FEATURES)
+    tuned = TU.tuned_params(P.kfold_assign(tr, 3).cache(), EM_FEATURES)
+    return TU.baseline_vs_best(tr, te, EM_FEATURES, tuned)
 
 
 @query("volume_sensitivity")
 def q_volume_sensitivity(spark, sf_dir):
-    """Tuned models at growing training volumes, with fit times."""
-    tr, te = _em_split(spark, sf_dir)
-    return TU.volume_sensitivity(tr, te, EM_FEATURES,
-                                 scenarios=(("A — 100", 100), ("B — 200", 200), ("C — Full", None)))
-
-
-@query("cross_validation")
-def q_cross_validation(spark, sf_dir):
-    """Stand-alone 5-fold CV of a 50-tree forest on 10,000 LI rows."""
-    li = P.random_rows(li_flows(spark, sf_dir), 10_000)
-    return TU.cross_validate(li, LI_FEATURES, 5, 50)
+    """Models at 15k, 80k and all LI training rows, with fit times."""
+    li = P.stratified_split(li_flows(spark, sf_dir)).cache()
+    return TU.volume_sensitivity(li.where("split = 'train'"), li.where("split = 'test'"), LI_FEATURES)
 
 
 @query("cv_boxes")

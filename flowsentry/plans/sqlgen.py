@@ -67,9 +67,10 @@ def balanced_ctes(src: str, y: str = "y", seed: int = 42, out: str = "bal") -> s
 # ------------------------------------------------------- isolation forest
 
 def iforest_nodes_ctes(src: str, features: list[str], n_trees: int, psi: int = 256, seed: int = 42,
-                       key: str = "row_id", out: str = "nodes", by: str | None = None) -> str:
+                       key: str = "row_id", out: str = "nodes", by: str | None = None,
+                       n_feat: int | None = None) -> str:
     """CTEs ending in ``out`` ([by,] tree, node, f (0-based, -1: leaf), thr, n, depth): the
-    forest that ``iforest.fit_iforest`` grows on ``src`` with all features, one for each
+    forest that ``iforest.fit_iforest`` grows on ``src`` (with ``n_feat`` features a tree), one for each
     value of ``by``. For tables of at least ``psi`` rows."""
     b, g = (f"{by}, ", f"{by}, tree, node") if by else ("", "tree, node")
     depth = max(1, (psi - 1).bit_length())
@@ -83,11 +84,17 @@ def iforest_nodes_ctes(src: str, features: list[str], n_trees: int, psi: int = 2
   md5(concat('{seed}:', rd, ':', {key})), {key}) - 1 AS rn FROM {out}_d),
 {out}_s0 AS (SELECT {b}CAST(rd * pr + rn // {psi} AS INTEGER) AS tree, 0 AS node, v FROM {out}_r
   WHERE rn < pr * {psi} AND rd * pr + rn // {psi} < {n_trees})"""]
+    subset = ""
+    if n_feat is not None and n_feat < len(features):
+        ctes.append(f"""{out}_a AS (SELECT t.range AS tree, f.i AS f FROM range({n_trees}) t,
+  (SELECT unnest(range(1, {len(features) + 1})) AS i) f QUALIFY row_number() OVER (PARTITION BY t.range
+  ORDER BY md5(concat('{seed}:', t.range, ':f:', {names}[f.i]))) <= {n_feat})""")
+        subset = f" SEMI JOIN {out}_a USING (tree, f)"
     levels = []
     for d in range(depth + 1):
         split = "hi > lo" if d < depth else "false"
         ctes.append(f"""{out}_x{d} AS (SELECT {b}tree, node, unnest(v) AS x, generate_subscripts(v, 1) AS f FROM {out}_s{d}),
-{out}_m{d} AS (SELECT {g}, f, min(x) AS lo, max(x) AS hi, count(*) AS n FROM {out}_x{d} GROUP BY {g}, f),
+{out}_m{d} AS (SELECT {g}, f, min(x) AS lo, max(x) AS hi, count(*) AS n FROM {out}_x{d}{subset} GROUP BY {g}, f),
 {out}_p{d} AS (SELECT {g}, any_value(n) AS n, arg_min(struct_pack(f := f, lo := lo, hi := hi),
   md5(concat('{seed}:', tree, ':', node, ':', {names}[f]))) FILTER ({split}) AS p FROM {out}_m{d} GROUP BY {g}),
 {out}_u{d} AS (SELECT *, p.lo + CAST(concat('0x', substr(md5(concat('{seed}:', tree, ':', node, ':t')), 1, 13)) AS BIGINT)
@@ -104,7 +111,8 @@ def iforest_nodes_ctes(src: str, features: list[str], n_trees: int, psi: int = 2
 
 def iforest_score_ctes(src: str, features: list[str], keep: str, n_trees: int, nodes: str = "nodes",
                        psi: int = 256, out: str = "ifs", by: str | None = None) -> str:
-    """CTEs ending in ``out`` (keep, ss): score_samples of the rows of ``src`` (keyed by row_id)."""
+    """CTEs ending in ``out`` (keep, ss): score_samples of the rows of ``src`` (keyed by row_id);
+    ``out``_h has the path length of each row in each tree."""
     values = "[" + ", ".join(f"CAST({f} AS DOUBLE)" for f in features) + "]"
     depth = max(1, (psi - 1).bit_length())
     same = f"w.{by} = n.{by} AND " if by else ""
@@ -115,10 +123,16 @@ def iforest_score_ctes(src: str, features: list[str], keep: str, n_trees: int, n
     for d in range(depth + 1):
         join = f"{out}_w{d} w JOIN {nodes} n ON {same}w.tree = n.tree AND w.node = n.node"
         cols = ", ".join("w." + k.strip() for k in keep.split(","))
-        leaves.append(f"SELECT {cols}, n.depth + {c('CAST(n.n AS DOUBLE)')} AS h FROM {join} WHERE n.f < 0")
+        leaves.append(f"SELECT {cols}, w.tree, n.depth + {c('CAST(n.n AS DOUBLE)')} AS h FROM {join} WHERE n.f < 0")
         if d < depth:
             ctes.append(f"""{out}_w{d + 1} AS (SELECT {cols}, w.v, w.tree,
   CASE WHEN w.v[n.f + 1] <= n.thr THEN 2 * w.node + 1 ELSE 2 * w.node + 2 END AS node FROM {join} WHERE n.f >= 0)""")
     return ",\n".join(ctes) + f""",
 {out}_h AS ({' UNION ALL '.join(leaves)}),
-{out} AS (SELECT {keep}, -round(power(2.0, -avg(h) / {c(f'{float(psi)}')}), 12) AS ss FROM {out}_h GROUP BY {keep})"""
+{out} AS (SELECT {keep}, {iforest_ss(psi)} AS ss FROM {out}_h GROUP BY {keep})"""
+
+
+def iforest_ss(psi: int = 256, where: str = "") -> str:
+    """score_samples as an aggregate of the path lengths ``h``."""
+    c = f"(2.0 * (ln({float(psi)} - 1.0) + 0.5772156649015329) - 2.0 * ({float(psi)} - 1.0) / {float(psi)})"
+    return f"-round(power(2.0, -(avg(h){where}) / {c}), 12)"

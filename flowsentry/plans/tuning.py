@@ -29,6 +29,7 @@ from flowsentry.operators.detectors import lof as LOF
 from flowsentry.operators.detectors import ocsvm as OC
 from flowsentry.operators.detectors.knn import knn_join
 
+# fixed values: the grids, the sweep and the result columns
 IF_GRID = {"n_estimators": [50, 100, 200], "max_features": [0.5, 0.75, 1.0], "random_state": [42]}
 OCSVM_GRID = {"kernel": ["rbf", "poly"], "nu": [0.05, 0.10, 0.15, 0.20, 0.25], "gamma": ["scale", "auto"]}
 LOF_GRID = {"n_neighbors": [5, 10, 20, 40, 60], "novelty": [True], "n_jobs": [-1]}
@@ -149,12 +150,7 @@ def lof_threshold_sweep(df: DataFrame, features: list[str], k: int, k_folds: int
     """T4: (contamination, mean_f1) at a fixed k; each fold scored once, the
     offsets are percentiles of the training rows' -LOF."""
     q, train = lof_cv_scores(df, features, [k], k_folds)
-    off = exact_quantiles(train.select("f", (-F.col("lof")).alias("nof")), "nof", list(sweep), by=["f"])
-    off = off.select("f", F.col("p").alias("contamination"), F.col("q").alias("offset"))
-    s = q.join(F.broadcast(off), "f").withColumn(
-        "pred", (F.col("score_samples") < F.col("offset")).cast("int"))
-    r = M.with_rates(M.confusion(s, ["contamination", "f"]))
-    return r.groupBy("contamination").agg(F.avg("f1").alias("mean_f1"))
+    return _f1_of_sweep(q, train.select("f", (-F.col("lof")).alias("v")), sweep)
 
 
 def sweep_best(sweep: DataFrame) -> DataFrame:
@@ -184,14 +180,38 @@ def tune_iforest(df: DataFrame, features: list[str], k_folds: int = 3, grid=None
                                 n_trees=c["n_estimators"])
                 parts.append(s.withColumn("candidate_id", F.lit(c["candidate_id"]))
                               .withColumn("fold", F.lit(f)))
-    scored = reduce(lambda a, b: a.unionByName(b), parts)
+    scored = reduce(lambda a, b: a.unionByName(b), parts).cache()
     fm = fold_metrics(scored)
     res = aggregate_folds(fm).join(param_grid(spark, grid), "candidate_id")
     return rank_candidates(res), fm
 
 
+def _f1_of_sweep(queries: DataFrame, train: DataFrame, sweep) -> DataFrame:
+    """(contamination, mean_f1) from scored query rows (f, y, score_samples) and training
+    values (f, v): the offsets are percentiles of the training values of the fold."""
+    off = exact_quantiles(train, "v", list(sweep), by=["f"])
+    off = off.select("f", F.col("p").alias("contamination"), F.col("q").alias("offset"))
+    s = queries.join(F.broadcast(off), "f").withColumn(  # folds x sweep rows
+        "pred", (F.col("score_samples") < F.col("offset")).cast("int"))
+    r = M.with_rates(M.confusion(s, ["contamination", "f"]))
+    return r.groupBy("contamination").agg(F.avg("f1").alias("mean_f1"))
+
+
+def if_threshold_sweep(df: DataFrame, features: list[str], n_estimators: int = 100, max_features: float = 1.0,
+                       k_folds: int = 3, sweep=CONTAMINATION_SWEEP, fold: str = "fold") -> DataFrame:
+    """T4 for the isolation forest: each fold is fitted and scored once."""
+    queries, train = [], []
+    for f in range(k_folds):
+        rest = df.where(F.col(fold) != f)
+        m = IF.fit_iforest(rest, features, n_estimators, max_features=max_features, contamination="auto")
+        queries.append(m.transform(df.where(F.col(fold) == f)).select(F.lit(f).alias("f"), "y", "score_samples"))
+        train.append(m.transform(rest, keep=()).select(F.lit(f).alias("f"), F.col("score_samples").alias("v")))
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts).cache()
+    return _f1_of_sweep(union(queries), union(train), sweep)
+
+
 def tune_ocsvm(df: DataFrame, features: list[str], k_folds: int = 3, grid=None, fold: str = "fold",
-               passes: int = 30, landmarks: int = 128) -> tuple[DataFrame, DataFrame]:
+               passes: int = 50, landmarks: int = 128) -> tuple[DataFrame, DataFrame]:
     """T2+T3 for the one-class SVM: per (kernel, gamma) all (nu, fold) models
     train in the same passes."""
     grid = grid or OCSVM_GRID
@@ -209,15 +229,22 @@ def tune_ocsvm(df: DataFrame, features: list[str], k_folds: int = 3, grid=None,
                     s = models[(c["nu"], f)].transform(df.where(F.col(fold) == f))
                     parts.append(s.withColumn("candidate_id", F.lit(c["candidate_id"]))
                                   .withColumn("fold", F.lit(f)))
-    scored = reduce(lambda a, b: a.unionByName(b), parts)
+    scored = reduce(lambda a, b: a.unionByName(b), parts).cache()
     fm = fold_metrics(scored)
     res = aggregate_folds(fm).join(param_grid(spark, grid), "candidate_id")
     return rank_candidates(res), fm
 
 
-def metric_pivot(fold_metrics_df: DataFrame, row: str, col: str, value: str = "f1") -> DataFrame:
+def metric_pivot(results: DataFrame, row: str, col: str, value: str = "f1") -> DataFrame:
     """F16: mean of ``value`` with ``row`` values as rows and ``col`` values as columns."""
-    return fold_metrics_df.groupBy(row).pivot(col).agg(F.avg(value))
+    return results.groupBy(row).pivot(col).agg(F.avg(value))
+
+
+def panel_pivot(results: DataFrame, panel: str, row: str, col: str, value: str = "mean_f1") -> DataFrame:
+    """F16: one ``row`` x ``col`` matrix for each value of ``panel``, with the smallest and
+    the largest value over all panels, for a shared colour scale."""
+    span = results.agg(F.min(value).alias("vmin"), F.max(value).alias("vmax"))
+    return results.groupBy(panel, row).pivot(col).agg(F.avg(value)).crossJoin(F.broadcast(span))  # one row
 
 
 def group_mean(res: DataFrame, key: str, value: str = "mean_f1") -> DataFrame:
@@ -227,13 +254,27 @@ def group_mean(res: DataFrame, key: str, value: str = "mean_f1") -> DataFrame:
 
 # -------------------------------------------------------------- experiments
 
+# fixed values: the default parameters of the three classical models
 BASELINE = {"Isolation Forest": {"n_estimators": 100, "contamination": 0.20, "max_features": 1.0},
             "One-Class SVM": {"kind": "rbf", "gamma": "auto", "nu": 0.20},
             "LOF": {"k": 20, "contamination": 0.20}}
-TUNED = {"Isolation Forest": {"n_estimators": 100, "contamination": 0.20, "max_features": 0.75},
-         "One-Class SVM": {"kind": "rbf", "gamma": "auto", "nu": 0.25},
-         "LOF": {"k": 60, "contamination": 0.25}}
-MAX_ROWS = {"One-Class SVM": 15_000, "LOF": 50_000}
+
+
+def tuned_params(df: DataFrame, features: list[str], k_folds: int = 3, if_grid=None, ocsvm_grid=None,
+                 lof_grid=None, fold: str = "fold") -> dict:
+    """The tuners as a unit. Best structure of each grid by cross-validation, then
+    the best contamination at that structure where the model has one."""
+    res, _ = tune_iforest(df, features, k_folds, if_grid, fold)
+    forest = best_params(res, ["n_estimators", "max_features"])
+    forest["contamination"] = sweep_best(if_threshold_sweep(
+        df, features, forest["n_estimators"], forest["max_features"], k_folds, fold=fold)).first()["contamination"]
+    res, _ = tune_ocsvm(df, features, k_folds, ocsvm_grid, fold)
+    svm = best_params(res, ["kernel", "gamma", "nu"])
+    res, _, _ = tune_lof(df, features, k_folds, lof_grid)
+    k = best_params(res, ["n_neighbors"])["n_neighbors"]
+    lof = {"k": k, "contamination": sweep_best(lof_threshold_sweep(df, features, k, k_folds)).first()["contamination"]}
+    return {"Isolation Forest": forest,
+            "One-Class SVM": {"kind": svm["kernel"], "gamma": svm["gamma"], "nu": svm["nu"]}, "LOF": lof}
 
 
 def fit_and_score(name: str, params: dict, train: DataFrame, test: DataFrame, features: list[str]):
@@ -257,48 +298,37 @@ def evaluate_on_test(name, params, train, test, features) -> dict:
             "AUC-ROC": e["auc"], "Train Time (s)": round(secs, 2)}
 
 
-def baseline_vs_best(train: DataFrame, test: DataFrame, features: list[str],
-                     tuned: dict | None = None) -> DataFrame:
-    """Default vs tuned parameters on the test split, one row per model."""
-    tuned = tuned or TUNED
+def baseline_vs_best(train: DataFrame, test: DataFrame, features: list[str], tuned: dict) -> DataFrame:
+    """Default vs tuned parameters on the test split, one row per model, both fitted
+    on the whole training sample."""
     rows = []
     for name in BASELINE:
-        tr = train.where("y = 0") if name == "LOF" else train
-        b = evaluate_on_test(name, BASELINE[name], tr, test, features)
-        t = evaluate_on_test(name, tuned[name], tr, test, features)
-        rows.append((name, b["F1"], t["F1"], b["Recall"], t["Recall"], b["Precision"], t["Precision"]))
-    return train.sparkSession.createDataFrame(rows, "Model string, Baseline_F1 double, Tuned_F1 double, "
-                                              "Baseline_Recall double, Tuned_Recall double, "
-                                              "Baseline_Precision double, Tuned_Precision double")
+        b = evaluate_on_test(name, BASELINE[name], train, test, features)
+        t = evaluate_on_test(name, tuned[name], train, test, features)
+        rows.append((name, *(e[m] for e in (b, t) for m in ("F1", "Recall", "Precision"))))
+    cols = [f"`{w} {m}` double" for w in ("Baseline", "Tuned") for m in ("F1", "Recall", "Precision")]
+    return train.sparkSession.createDataFrame(rows, "Model string, " + ", ".join(cols))
 
 
-def feasibility(model: str, rows: int, limits: dict | None) -> str:
-    """Status of a (model, volume) cell; ``limits=None`` (default) gates nothing."""
-    if limits and model in limits and rows > limits[model]:
-        return "SKIPPED (O(n²) infeasible)"
-    return "OK"
+# fixed values: the training volumes
+SCENARIOS = (("A — 15k (tuning subsample)", 15_000), ("B — 80k (medium)", 80_000), ("C — Full", None))
 
 
-def volume_sensitivity(train: DataFrame, test: DataFrame, features: list[str],
-                       scenarios=(("A — 15k (tuning subsample)", 15_000), ("B — 80k (medium)", 80_000),
-                                  ("C — Full", None)), limits: dict | None = None,
+def volume_sensitivity(train: DataFrame, test: DataFrame, features: list[str], scenarios=SCENARIOS,
                        params: dict | None = None) -> DataFrame:
-    """Tuned models at several training volumes with fit time."""
-    params = params or TUNED
+    """Models at several training volumes with fit time; no volume is skipped. A
+    fit that the data make impossible (no rows) is a row with its reason."""
+    params = params or BASELINE
     rows = []
     for scen, n in scenarios:
         sub = P.stratified_subsample(train, n).cache()
         actual = sub.count()
         for name in params:
-            status = feasibility(name, actual, limits)
-            if status != "OK":
-                rows.append((scen, actual, name, status, None, None, None, None, None))
-                continue
             try:
                 r = evaluate_on_test(name, params[name], sub, test, features)
                 rows.append((scen, actual, name, "OK", r["F1"], r["Recall"], r["Precision"],
                              r["AUC-ROC"], r["Train Time (s)"]))
-            except Exception as e:  # noqa: BLE001 - the table records the failure
+            except ValueError as e:
                 rows.append((scen, actual, name, f"FAILED: {e}"[:200], None, None, None, None, None))
         sub.unpersist()
     return train.sparkSession.createDataFrame(
@@ -306,15 +336,16 @@ def volume_sensitivity(train: DataFrame, test: DataFrame, features: list[str],
               "Recall double, Precision double, `AUC-ROC` double, `Train Time (s)` double")
 
 
-def cross_validate(df: DataFrame, features: list[str], k: int = 5, n_trees: int = 50) -> DataFrame:
+def cross_validate(df: DataFrame, features: list[str], k: int = 5, n_trees: int = 50,
+                   contamination: float = 0.2) -> DataFrame:
     """Stand-alone stratified k-fold of one isolation forest; per-fold F1
     and AUC plus mean/std rows."""
     folded = P.kfold_assign(df, k).cache()
     parts = []
     for f in range(k):
-        m = IF.fit_iforest(folded.where(F.col("fold") != f), features, n_trees, contamination="auto")
+        m = IF.fit_iforest(folded.where(F.col("fold") != f), features, n_trees, contamination=contamination)
         parts.append(m.transform(folded.where(F.col("fold") == f)).withColumn("fold", F.lit(f)))
-    scored = reduce(lambda a, b: a.unionByName(b), parts)
+    scored = reduce(lambda a, b: a.unionByName(b), parts).cache()
     fm = fold_metrics(scored, by=["fold"]).select((F.col("fold") + 1).alias("fold"), "f1", "auc")
     summ = fm.agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"),
                   F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))
