@@ -7,19 +7,21 @@ the whole table in one task. Everything here splits the order first:
 * hash ranks: bucket = first hex digits of the hash. Bucket counts are tiny
   (groups x 4096 rows), so offsets are computed from them and joined back with
   a size-checked broadcast; ``row_number`` then runs inside (group, bucket).
-* quota selection: only the few buckets that straddle a cut point need a row
-  rank at all; every other bucket is decided from its counts.
+* quota selection: the (hash, key) pair at each cut is found from the bucket
+  counts and the few rows of the bucket that straddles it; the selection is then
+  a narrow comparison with literals, without a join, a union or a window.
 * value-ordered cumulative sums (AUC, ROC): the distinct values are split into
   ranges by approximate quantile edges (exact order is kept: equal values fall
   into the same range), ranges are cumulated, then each range is windowed on
   its own.
-* exact quantiles: ``percentile`` while a group fits in memory, else a few
-  histogram passes that narrow the range holding the wanted order statistic.
+* exact quantiles: histogram passes over all groups and probabilities together
+  narrow the ranges that hold the wanted order statistics, until few rows are left.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,10 +31,8 @@ from flowsentry.functions.hashing import BUCKET_DIGITS, HASH_COL, hash_bucket
 
 #: rows a lookup table may have before it is joined without a broadcast
 BROADCAST_MAX_ROWS = 2_000_000
-#: group size up to which the in-memory ``percentile`` aggregate is used
-EXACT_PERCENTILE_MAX_ROWS = 5_000_000
-#: slice size that is ranked directly during the histogram refinement
-REFINE_DIRECT_ROWS = 1_000_000
+#: rows that a refinement (of a cut, of quantiles) leaves to be looked at one by one
+REFINE_DIRECT_ROWS = 50_000
 
 
 def join_small(big: DataFrame, small: DataFrame, on, n_rows: int, how: str = "inner"):
@@ -133,6 +133,50 @@ def bucketed_rank(df: DataFrame, by=None, h: str = HASH_COL, key: str = "row_id"
              .drop("_b", "_off"))
 
 
+def cut_keys(df: DataFrame, by, cuts: dict, h: str = HASH_COL, key: str = "row_id",
+             digits: int = BUCKET_DIGITS, counts=None) -> dict:
+    """{group: [(hash, key) of the row at each cut's rank]}; rank 0 and below gives a
+    pair before, a rank past the group one after all rows.
+
+    From the bucket counts; a bucket with a cut in it is counted again by longer
+    prefixes while it is large, then its rows are looked at.
+    """
+    by = _by_list(by)
+    counts = bucket_counts(df, by, h, digits) if counts is None else counts
+    per, out, todo = {}, {}, []
+    for g, b, n in counts:
+        per.setdefault(g, []).append((b, n))
+
+    def find(g, i, rank, buckets):
+        for b, n in sorted(buckets):
+            if rank <= n:
+                todo.append((g, i, b, rank, n))
+                return
+            rank -= n
+        out[g][i] = ("~", "")
+
+    for g, buckets in per.items():
+        out[g] = [("", "")] * len(cuts.get(g, ()))
+        for i, c in enumerate(cuts.get(g, ())):
+            if c > 0:
+                find(g, i, c, buckets)
+    inside = lambda g, b: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, g)]
+                                 + [F.col(h).startswith(b)])
+    some = lambda todo: reduce(lambda x, y: x | y, [inside(g, b) for g, b in {t[:1] + t[2:3] for t in todo}])
+    while todo and sum(n for *_, n in {(t[0], t[2], t[4]) for t in todo}) > REFINE_DIRECT_ROWS:
+        size = max(len(t[2]) for t in todo) + 2
+        longer = bucket_counts(df.where(some(todo)), by, h, size)
+        old, todo = todo, []
+        for g, i, b, rank, _ in old:
+            find(g, i, rank, [(p, n) for q, p, n in longer if q == g and p.startswith(b)])
+    if todo:
+        rows = df.where(some(todo)).select(*by, h, F.col(key).cast("string").alias("_key")).collect()
+        for g, i, b, rank, _ in todo:
+            mine = sorted((r[h], r["_key"]) for r in rows if tuple(r[c] for c in by) == g and r[h].startswith(b))
+            out[g][i] = mine[rank - 1]
+    return out
+
+
 def assign_segments(df: DataFrame, by, cuts: dict, h: str = HASH_COL,
                     key: str = "row_id", out: str = "segment",
                     digits: int = BUCKET_DIGITS, counts=None,
@@ -141,37 +185,23 @@ def assign_segments(df: DataFrame, by, cuts: dict, h: str = HASH_COL,
 
     ``cuts[group] = [c1, c2, ...]`` (cumulative, ascending): rank <= c1 -> 0,
     c1 < rank <= c2 -> 1, ..., above the last cut -> len(cuts). Groups missing
-    from ``cuts`` use ``default_cuts``. Only rows in buckets that straddle a cut are ranked; every other row is
-    decided by a broadcast lookup from the bucket counts.
+    from ``cuts`` use ``default_cuts``. A row is compared with the literal
+    (hash, key) pairs at the cuts; rows that share a key are on the same side.
     """
     by = _by_list(by)
-    spark = df.sparkSession
-    if counts is None:
-        counts = bucket_counts(df, by, h, digits)
-    counts = sorted(counts, key=lambda t: (tuple("" if v is None else v for v in t[0]), t[1]))
-    table, run = [], {}
-    for g, b, n in counts:
-        c = list(cuts.get(g, default_cuts))
-        o = run.get(g, 0)
-        run[g] = o + n
-        first = sum(1 for x in c if x < o + 1)
-        last = sum(1 for x in c if x < o + n)
-        seg = first if first == last else None
-        table.append((*g, b, seg, o, [int(x) for x in c]))
-    schema = T.StructType(_group_schema(df, by) + [
-        T.StructField("_b", T.StringType()), T.StructField("_sg", T.IntegerType()),
-        T.StructField("_off", T.LongType()),
-        T.StructField("_cuts", T.ArrayType(T.LongType()))])
-    lookup = spark.createDataFrame(table, schema)
-    x = join_small(df.withColumn("_b", hash_bucket(h, digits)), lookup, by + ["_b"], len(table))
-    decided = x.where(F.col("_sg").isNotNull()).withColumn(out, F.col("_sg"))
-    w = Window.partitionBy(*by, "_b").orderBy(h, key)
-    boundary = (x.where(F.col("_sg").isNull())
-                 .withColumn("_r", F.col("_off") + F.row_number().over(w))
-                 .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col("_r")))
-                             .cast("int"))
-                 .drop("_r"))
-    return decided.unionByName(boundary).drop("_b", "_sg", "_off", "_cuts")
+    counts = bucket_counts(df, by, h, digits) if counts is None else counts
+    groups = {g for g, _, _ in counts}
+    wanted = {g: list(cuts.get(g, default_cuts)) for g in groups}
+    found = cut_keys(df, by, wanted, h, key, digits, counts)
+    k = F.col(key).cast("string")
+    seg = None
+    for g, pairs in found.items():
+        past = [F.when((F.col(h) > ch) | ((F.col(h) == ch) & (k > ck)), 1).otherwise(0) for ch, ck in pairs]
+        n = reduce(lambda x, y: x + y, past, F.lit(0))
+        here = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, g)], F.lit(True))
+        seg = F.when(here, n) if seg is None else seg.when(here, n)
+    seg = seg.otherwise(F.lit(len(default_cuts))) if seg is not None else F.lit(0)
+    return df.withColumn(out, seg.cast("int"))
 
 
 def select_quota(df: DataFrame, by, quotas: dict, **kw) -> DataFrame:
@@ -191,7 +221,7 @@ def group_counts(df: DataFrame, by) -> dict:
 # ------------------------------------------- value-ordered cumulative sums
 
 def cumulative_by_value(df: DataFrame, by, value: str, sums: list[str],
-                        descending: bool = False, ranges: int = 64,
+                        descending: bool = False, ranges: int | None = None,
                         inclusive: bool = True) -> DataFrame:
     """Running sums of ``sums`` over ``value`` order, within each group.
 
@@ -199,10 +229,11 @@ def cumulative_by_value(df: DataFrame, by, value: str, sums: list[str],
     ``cum_<s>`` (inclusive of the current value, or exclusive when
     ``inclusive=False``). Ranges come from approximate quantiles of the
     distinct values; each range is windowed separately and offset by the
-    totals of the ranges before it.
+    totals of the ranges before it. There are as many ranges as the session has
+    shuffle partitions (8 at least), so that they follow the size of the job.
     """
     by = _by_list(by)
-    spark = df.sparkSession
+    ranges = ranges or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if ranges <= 1:
         o = F.col(value).desc() if descending else F.col(value).asc()
         w = Window.partitionBy(*by).orderBy(o).rowsBetween(
@@ -224,8 +255,7 @@ def cumulative_by_value(df: DataFrame, by, value: str, sums: list[str],
     for s in sums:
         tot = tot.withColumn(f"_o_{s}", F.coalesce(F.sum(f"_t_{s}").over(wt), F.lit(0)))
     tot = tot.drop(*[f"_t_{s}" for s in sums])
-    # groups x ranges rows: small by construction (ranges is a constant)
-    x = x.join(F.broadcast(tot), on=by + ["_rg"], how="inner")
+    x = x.join(tot, on=by + ["_rg"], how="inner")  # groups x ranges rows
     o = F.col(value).desc() if descending else F.col(value).asc()
     w = Window.partitionBy(*by, "_rg").orderBy(o).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
@@ -237,96 +267,73 @@ def cumulative_by_value(df: DataFrame, by, value: str, sums: list[str],
 
 # ----------------------------------------------------- exact quantiles
 
-def _interp(v0: float, v1: float, frac: float) -> float:
-    return v0 + (v1 - v0) * frac
-
-
-def _kth_large(df: DataFrame, value: str, k: int, lo: float, hi: float, n: int,
-               bins: int = 1024) -> float:
-    """k-th smallest (0-based) by histogram refinement; a few full passes."""
-    below, cnt = 0, n
-    v = F.col(value)
+def _order_statistics(df: DataFrame, by: list[str], value: str, wanted: dict, bins: int = 1024) -> dict:
+    """{(group, k): the k-th smallest value (0-based)} for ``wanted`` {(group, k): (lo, hi, below,
+    cnt)}: the statistic is between lo and hi, ``below`` values of the group are smaller
+    than lo and ``cnt`` are in the range. One pass narrows all of them at once."""
+    spark = df.sparkSession
+    kinds = [T.StructField(c, df.schema[c].dataType, True) for c in by]
+    schema = T.StructType([*(T.StructField(f"_g{i}", f.dataType, True) for i, f in enumerate(kinds)),
+                           T.StructField("_iv", T.IntegerType()), T.StructField("_lo", T.DoubleType()),
+                           T.StructField("_hi", T.DoubleType())])
+    v, done = F.col(value).cast("double"), {}
     while True:
-        if lo == hi:
-            return lo
-        sub = df.where((v >= F.lit(lo)) & (v <= F.lit(hi)))
-        kk = k - below
-        if cnt <= REFINE_DIRECT_ROWS:
-            # bounded slice: rank it in one aggregate
-            return float(sub.agg(F.element_at(F.sort_array(F.collect_list(v)),
-                                              kk + 1).alias("x")).first()["x"])
-        width = (hi - lo) / bins
-        bucket = F.least(F.floor((v - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
-        hist = sorted(sub.groupBy(bucket.alias("b"))
-                         .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("mn"),
-                              F.max(v).alias("mx")).collect(), key=lambda r: r["b"])
-        acc = 0
-        for r in hist:
-            if acc + r["n"] > kk:
-                below += acc
-                lo, hi, cnt = float(r["mn"]), float(r["mx"]), int(r["n"])
-                break
-            acc += r["n"]
+        done |= {t: lo for t, (lo, hi, _, _) in wanted.items() if lo == hi}
+        wanted = {t: x for t, x in wanted.items() if x[0] != x[1]}
+        if not wanted:
+            return done
+        ranges = sorted({(t[0], x[0], x[1], x[3]) for t, x in wanted.items()}, key=str)
+        number = {(g, lo, hi): i for i, (g, lo, hi, _) in enumerate(ranges)}
+        table = spark.createDataFrame([(*g, i, lo, hi) for (g, lo, hi), i in number.items()], schema)
+        match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+                       + [v >= F.col("_lo"), v <= F.col("_hi")])
+        inside = df.join(F.broadcast(table), match)  # groups x probabilities rows
+        if sum(r[3] for r in ranges) <= REFINE_DIRECT_ROWS:
+            rows: dict = {}
+            for r in inside.select("_iv", v.alias("x")).collect():
+                rows.setdefault(r["_iv"], []).append(r["x"])
+            rows = {i: sorted(x) for i, x in rows.items()}
+            return done | {t: rows[number[t[0], lo, hi]][t[1] - below] for t, (lo, hi, below, _) in wanted.items()}
+        width = (F.col("_hi") - F.col("_lo")) / bins
+        bucket = F.least(F.floor((v - F.col("_lo")) / width).cast("int"), F.lit(bins - 1))
+        hist: dict = {}
+        for r in (inside.groupBy("_iv", bucket.alias("b"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("mn"), F.max(v).alias("mx")).collect()):
+            hist.setdefault(r["_iv"], []).append((r["b"], r["n"], float(r["mn"]), float(r["mx"])))
+        for t, (lo, hi, below, _) in list(wanted.items()):
+            for _, n, mn, mx in sorted(hist[number[t[0], lo, hi]]):
+                if below + n > t[1]:
+                    wanted[t] = (mn, mx, below, n)
+                    break
+                below += n
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, by=None) -> DataFrame:
     """Linear-interpolation percentiles (``numpy.percentile`` default,
     DuckDB ``quantile_cont``) per group, as a DataFrame (group..., p, q).
 
-    NaN and NULL values are ignored. Groups up to ``EXACT_PERCENTILE_MAX_ROWS``
-    use the in-memory ``percentile`` aggregate; larger groups switch to
-    histogram refinement (exact, a few passes, no group held in one task).
+    NaN and NULL values are ignored; values are finite. The same passes at every
+    size: counts and ranges, histograms while many rows are left, the rest.
     """
     by = _by_list(by)
     probs = [float(p) for p in probs]
-    spark = df.sparkSession
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     stats = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
                                    F.min(value).alias("_mn"), F.max(value).alias("_mx")).collect()
-    out = []
-    small_groups = [r for r in stats if r["_n"] <= EXACT_PERCENTILE_MAX_ROWS]
-    large_groups = [r for r in stats if r["_n"] > EXACT_PERCENTILE_MAX_ROWS]
-    frames = []
-    if small_groups:
-        arr = F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs]))
-        pct = clean.groupBy(*by).agg(arr.alias("_q"))
-        if large_groups and by:
-            keep = [tuple(r[c] for c in by) for r in small_groups]
-            cond = None
-            for g in keep:
-                c = None
-                for name, val in zip(by, g):
-                    e = F.col(name) == F.lit(val)
-                    c = e if c is None else (c & e)
-                cond = c if cond is None else (cond | c)
-            pct = pct.where(cond)
-        frames.append(pct.select(*by, F.posexplode("_q").alias("_i", "q"))
-                         .select(*by, F.element_at(F.array(*[F.lit(p) for p in probs]),
-                                                   F.col("_i") + 1).alias("p"), "q"))
-    for r in large_groups:
-        g = clean
-        for c in by:
-            g = g.where(F.col(c) == F.lit(r[c]))
-        n = int(r["_n"])
-        for p in probs:
+    wanted, places = {}, []
+    for r in stats:
+        g, n = tuple(r[c] for c in by), int(r["_n"])
+        for p in probs if n else ():
             pos = p * (n - 1)
             k0 = int(math.floor(pos))
-            k1 = min(k0 + 1, n - 1)
-            v0 = _kth_large(g, value, k0, float(r["_mn"]), float(r["_mx"]), n)
-            v1 = v0 if k1 == k0 else _kth_large(g, value, k1, float(r["_mn"]), float(r["_mx"]), n)
-            out.append((*[r[c] for c in by], p, _interp(v0, v1, pos - k0)))
-    if out:
-        schema = T.StructType(_group_schema(df, by) + [
-            T.StructField("p", T.DoubleType()), T.StructField("q", T.DoubleType())])
-        frames.append(spark.createDataFrame(out, schema))
-    if not frames:
-        schema = T.StructType(_group_schema(df, by) + [
-            T.StructField("p", T.DoubleType()), T.StructField("q", T.DoubleType())])
-        return spark.createDataFrame([], schema)
-    res = frames[0]
-    for f in frames[1:]:
-        res = res.unionByName(f)
-    return res
+            places.append((g, p, k0, min(k0 + 1, n - 1), pos - k0))
+            for k in places[-1][2:4]:
+                wanted[g, k] = (float(r["_mn"]), float(r["_mx"]), 0, n)
+    got = _order_statistics(clean, by, value, wanted) if wanted else {}
+    out = [(*g, p, got[g, a] + (got[g, b] - got[g, a]) * frac) for g, p, a, b, frac in places]
+    schema = T.StructType(_group_schema(df, by) + [
+        T.StructField("p", T.DoubleType()), T.StructField("q", T.DoubleType())])
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def exact_quantile_values(df: DataFrame, value: str, probs, by=None) -> dict:

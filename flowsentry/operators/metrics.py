@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsentry.functions.ranks import _by_list, cumulative_by_value, join_small
+from flowsentry.functions.ranks import _by_list, cumulative_by_value
 from flowsentry.functions.scalar import safe_div
 
 METRICS = ["Precision", "Recall", "F1-Score", "Balanced_Accuracy", "AUC-ROC"]
@@ -101,13 +101,16 @@ def score_counts(df: DataFrame, by, y: str = "y", score: str = "score") -> DataF
 
 
 def auc(df: DataFrame, by=("model",), y: str = "y", score: str = "score",
-        ranges: int = 64) -> DataFrame:
+        ranges: int | None = None) -> DataFrame:
     """Exact ROC AUC with ties: sum pos * (neg below + neg tied / 2) / (P * N).
 
     NULL when a class is missing in the group.
     """
     by = _by_list(by)
-    g = score_counts(df, by, y, score)
+    return _auc_of_counts(score_counts(df, by, y, score), by, score, ranges)
+
+
+def _auc_of_counts(g: DataFrame, by: list[str], score: str, ranges: int | None) -> DataFrame:
     c = cumulative_by_value(g, by, score, ["neg"], ranges=ranges, inclusive=False)
     term = F.col("pos").cast("double") * (F.col("cum_neg").cast("double")
                                           + F.col("neg").cast("double") / 2.0)
@@ -124,7 +127,7 @@ def auc_guard(auc_df: DataFrame, col: str = "auc") -> DataFrame:
 
 
 def roc_curve(df: DataFrame, by=("model",), y: str = "y", score: str = "score",
-              drop_intermediate: bool = True, ranges: int = 64) -> DataFrame:
+              drop_intermediate: bool = True, ranges: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr) at each distinct score, descending, plus the
     (inf, 0, 0) start. Collinear interior points are dropped like the
     reference's default: point i stays unless the next distinct score adds
@@ -134,7 +137,7 @@ def roc_curve(df: DataFrame, by=("model",), y: str = "y", score: str = "score",
     g = score_counts(df, by, y, score)
     c = cumulative_by_value(g, by, score, ["pos", "neg"], descending=True, ranges=ranges)
     tot = g.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    c = c.join(F.broadcast(tot), on=by, how="inner") if by else c.crossJoin(F.broadcast(tot))
+    c = c.join(tot, on=by, how="inner") if by else c.crossJoin(F.broadcast(tot))  # without groups: one row
     if drop_intermediate:
         # next distinct (lower) score's counts: within a range by lead, across
         # ranges by joining the first row of the next range (small table).
@@ -165,13 +168,16 @@ def roc_curve(df: DataFrame, by=("model",), y: str = "y", score: str = "score",
     return start.unionByName(pts)
 
 
-def trapezoid_area(roc: DataFrame, by=("model",)) -> DataFrame:
-    """Area under (fpr, tpr) by the trapezoid rule (equals E4)."""
+def roc_area(df: DataFrame, by=("model",), y: str = "y", score: str = "score",
+             ranges: int | None = None) -> DataFrame:
+    """Area under the ROC curve by the trapezoid rule over its points (equals E4). The
+    step of a distinct score needs its own counts and the running ones alone, so it is
+    range-split like the curve; points that the curve leaves out are collinear."""
     by = _by_list(by)
-    w = Window.partitionBy(*by).orderBy("fpr", "tpr")
-    return (roc.withColumn("_pf", F.lag("fpr").over(w)).withColumn("_pt", F.lag("tpr").over(w))
-               .groupBy(*by).agg(F.sum((F.col("fpr") - F.col("_pf"))
-                                       * (F.col("tpr") + F.col("_pt")) / 2).alias("area")))
+    c = cumulative_by_value(score_counts(df, by, y, score), by, score, ["pos"], descending=True, ranges=ranges)
+    step = F.col("neg").cast("double") * (2 * F.col("cum_pos") - F.col("pos")).cast("double") / 2.0
+    a = c.groupBy(*by).agg(F.sum(step).alias("_u"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    return a.select(*by, F.try_divide(F.col("_u"), F.col("_p").cast("double") * F.col("_n").cast("double")).alias("area"))
 
 
 # ------------------------------------------------------------ E9
@@ -188,8 +194,7 @@ def score_histogram(df: DataFrame, by=("model",), y: str = "y", score: str = "sc
     lo = F.when(F.col("_mx") == F.col("_mn"), F.col("_mn") - 0.5).otherwise(F.col("_mn"))
     hi = F.when(F.col("_mx") == F.col("_mn"), F.col("_mx") + 0.5).otherwise(F.col("_mx"))
     st = st.select(*by, lo.alias("_lo"), hi.alias("_hi"))
-    n_groups = 64  # (model, class) pairs: a handful
-    j = join_small(df.select(*by, score), st, by, n_groups)
+    j = df.select(*by, score).join(st, by)
     b = F.least(F.floor((F.col(score) - F.col("_lo")) * (F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))))
                 .cast("int"), F.lit(bins - 1))
     cnt = j.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -211,16 +216,23 @@ def scenario_rows(scored: DataFrame, flag: str = "in_balanced") -> DataFrame:
 
 
 def evaluate(scored: DataFrame, by=("model",), y: str = "y", score: str | None = "score",
-             pred: str = "pred", ranges: int = 64) -> DataFrame:
+             pred: str = "pred", ranges: int | None = None) -> DataFrame:
     """Precision, recall, F1, balanced accuracy and AUC per group.
 
     AUC is NULL when there are no scores (``score=None``) or a class is missing.
     """
     by = _by_list(by)
-    r = with_rates(confusion(scored, by, y, pred))
     if score is None:
-        return r.withColumn("auc", F.lit(None).cast("double"))
-    a = auc(scored, by, y, score, ranges)
+        return with_rates(confusion(scored, by, y, pred)).withColumn("auc", F.lit(None).cast("double"))
+    # one table of counts feeds everything: the scored rows are read once
+    one = F.col(y) == 1
+    t = scored.groupBy(*by, F.col(score).alias("_s"), (F.col(pred) == 1).alias("_f")).agg(
+        F.count_if(one).cast("long").alias("pos"), F.count_if(~one).cast("long").alias("neg")).persist()
+    of = lambda flag, n: F.coalesce(F.sum(F.when(F.col("_f") == flag, F.col(n))), F.lit(0)).cast("long")
+    r = with_rates(t.groupBy(*by).agg(of(True, "pos").alias("tp"), of(True, "neg").alias("fp"),
+                                      of(False, "pos").alias("fn"), of(False, "neg").alias("tn")))
+    a = _auc_of_counts(t.where(F.col("_s").isNotNull()).groupBy(*by, F.col("_s").alias(score)).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), by, score, ranges)
     return r.join(a, on=by, how="left") if by else r.crossJoin(a)
 
 

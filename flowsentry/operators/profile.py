@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.functions.ranks import exact_quantiles, join_small
+from flowsentry.functions.ranks import exact_quantiles
 from flowsentry.functions.scalar import is_numeric
 from flowsentry.operators.cleaning import column_variances
 
@@ -48,8 +48,7 @@ def box_stats(df: DataFrame, features: list[str], cls: str = "y") -> DataFrame:
     qw = qw.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
-    n_keys = len(features) * 16  # classes x features: a handful of rows
-    j = join_small(long, qw, ["cls", "feature"], n_keys)
+    j = long.join(qw, ["cls", "feature"])
     w = j.groupBy("cls", "feature").agg(
         F.min(F.when(F.col("v") >= lo, F.col("v"))).alias("whisker_lo"),
         F.max(F.when(F.col("v") <= hi, F.col("v"))).alias("whisker_hi"),

@@ -42,6 +42,46 @@ def q_csv_scan_roundtrip(spark, sf_dir):
     return S.read_flow_csv(spark, base).select(*cols, "extra")
 
 
+@query("padded_labels", f"""WITH li AS ({LI_SQL})
+SELECT row_id, CASE WHEN y = 1 THEN concat(' ', label, ' ') ELSE label END AS label, l_quantity FROM li""")
+def q_padded_labels(spark, sf_dir):
+    """Blanks around label values survive the CSV scan, those around numbers don't matter."""
+    li = li_flows(spark, sf_dir)
+    path = scratch_path(spark, "padded")
+    label = F.when(F.col("y") == 1, F.concat(F.lit(" "), "label", F.lit(" "))).otherwise(F.col("label"))
+    number = F.concat(F.lit("  "), F.col("l_quantity").cast("string"), F.lit(" "))
+    (li.select("row_id", label.alias(" label "), number.alias(" l_quantity"))
+     .write.option("header", "true").option("ignoreLeadingWhiteSpace", "false")
+     .option("ignoreTrailingWhiteSpace", "false").csv(path))
+    return S.read_flow_csv(spark, path)
+
+
+@query("result_sink_roundtrip", f"""WITH ev AS ({EV_SQL})
+SELECT event_type, count(*) AS n, {_r('avg(value)')} AS mean_value, 'csv' AS sink FROM ev GROUP BY event_type
+UNION ALL SELECT event_type, count(*), {_r('avg(value)')}, 'parquet' FROM ev GROUP BY event_type""")
+def q_result_sink_roundtrip(spark, sf_dir):
+    """A result table written by both sinks and read back."""
+    res = ev_flows(spark, sf_dir).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean_value"))
+    base = scratch_path(spark, "results")
+    S.write_table(res, f"{base}/csv", "csv")
+    S.write_table(res, f"{base}/parquet")
+    a = S.read_flow_csv(spark, f"{base}/csv", schema=res.schema)
+    b = spark.read.parquet(f"{base}/parquet")
+    return a.withColumn("sink", F.lit("csv")).unionByName(b.withColumn("sink", F.lit("parquet")))
+
+
+@query("sample_fallback", f"""WITH li AS ({LI_SQL}),
+r AS (SELECT row_id, row_number() OVER (ORDER BY md5(concat('42:', row_id)), row_id) AS rn, count(*) OVER () AS n FROM li)
+SELECT row_id FROM r WHERE rn <= CAST(round_even(0.2 * n, 0) AS BIGINT)""")
+def q_sample_fallback(spark, sf_dir):
+    """A class with a single row can't be stratified; a plain sample is drawn."""
+    li = li_flows(spark, sf_dir)
+    only = li.agg(F.min("row_id")).first()[0]
+    one = li.withColumn("label", F.when(F.col("row_id") == only, "single").otherwise(F.col("label")))
+    return P.stratified_sample(one, "label", 0.2).select("row_id")
+
+
 @query("split_roundtrip", f"""WITH li AS ({LI_SQL}),
 {G.split_ctes('li')}
 SELECT row_id, y, split, {', '.join(LI_FEATURES)} FROM splitted WHERE split = 'test'""")
@@ -61,8 +101,7 @@ def q_labelled_join(spark, sf_dir):
     li.select("row_id", *LI_FEATURES).write.parquet(f"{base}/X")
     li.select("row_id", F.col("y").alias("Is_Anomaly")).write.parquet(f"{base}/y")
     x = spark.read.parquet(f"{base}/X")
-    y = spark.read.parquet(f"{base}/y")
-    S.label_column(y.select("Is_Anomaly"))
+    y = S.label_column(spark.read.parquet(f"{base}/y"), key="row_id")
     return x.join(y, "row_id").select("row_id", F.col("Is_Anomaly").alias("y"), *LI_FEATURES)
 
 

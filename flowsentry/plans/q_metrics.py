@@ -177,6 +177,13 @@ def q_auc_guard(spark, sf_dir):
     return a.select("model", r6("auc").alias("auc"), "flipped", r6("auc_guarded").alias("auc_guarded"))
 
 
+@query("roc_area", f"""WITH {SCORED}, {auc_sql('scored', 'model')}
+SELECT model, {_r('auc')} AS area FROM auc""")
+def q_roc_area(spark, sf_dir):
+    """Area under the ROC curve by trapezoids, per model."""
+    return M.roc_area(ev_scored(spark, sf_dir)).select("model", r6("area").alias("area"))
+
+
 @query("roc_curve", f"""WITH {SCORED},
 g AS (SELECT model, score, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg
       FROM scored GROUP BY model, score),

@@ -51,11 +51,13 @@ def _checkpoint_conf(spark: SparkSession) -> str | None:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is read from the session and never overridden. Only when
-    it is unset (local runs, tests) a fresh folder is created and registered.
+    On a cluster this is read from the session and never overridden. Only in a
+    local session without it (tests) a fresh folder is created and registered.
     """
     d = _checkpoint_conf(spark)
     if d is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="flowsentry-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -68,21 +70,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/flowsentry/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df, key: str | None = "row_id", min_parts: int | None = None):
-    """Hash-repartition on ``key`` when ``df`` has fewer partitions than the
-    cluster's default parallelism (small single-file inputs feeding Python
-    stages). Large scans already have many splits and pass through unchanged.
-    Hashing on the row key keeps the layout deterministic on recompute.
-    """
-    sc = df.sparkSession.sparkContext
-    want = min_parts or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    if key and key in df.columns:
-        return df.repartition(want, key)
-    return df.repartition(want)
-
-
 _SHIPPED: set = set()
 
 

@@ -3,7 +3,8 @@
 * CSV directories are read per *header group*: files whose (trimmed) header
   lines agree are read in one multi-path scan (column match by position is
   safe inside a group); groups are combined with ``unionByName`` so reordered
-  or extra columns line up by name, missing ones become NULL.
+  or extra columns line up by name, missing ones become NULL. Numbers are parsed
+  without the blanks around them; string values keep theirs.
 * Splits are one Parquet table partitioned by ``split``; readers get partition
   pruning instead of one file per split.
 """
@@ -16,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CSV_OPTIONS = {
     "header": "true",
@@ -87,15 +89,20 @@ def read_flow_csv(spark: SparkSession, path: str, schema=None, infer: bool = Tru
         groups.setdefault(read_header(spark, f), []).append(f)
     frames = []
     for header, fs in groups.items():
-        r = spark.read.options(**CSV_OPTIONS)
         if schema is not None:
-            by_name = {f.name: f for f in schema.fields}
-            from pyspark.sql.types import StringType, StructField, StructType
-            r = r.schema(StructType([by_name.get(h, StructField(h, StringType()))
-                                     for h in header])).option("enforceSchema", "true")
+            types = {f.name: f.dataType for f in schema.fields}
+        elif infer:
+            inferred = trim_columns(spark.read.options(**CSV_OPTIONS).option("inferSchema", "true")
+                                    .option("samplingRatio", sampling_ratio).csv(fs))
+            types = {f.name: f.dataType for f in inferred.schema.fields}
         else:
-            r = r.option("inferSchema", str(infer).lower()).option("samplingRatio", sampling_ratio)
-        frames.append(trim_columns(r.csv(fs)))
+            types = {}
+        # strings as they are written; the others are cut out of them
+        raw = spark.read.schema(T.StructType([T.StructField(h, T.StringType()) for h in header])).csv(
+            fs, header=True, enforceSchema=True)
+        frames.append(raw.select(*(
+            F.col(f"`{h}`") if isinstance(types.get(h, T.StringType()), T.StringType)
+            else F.trim(F.col(f"`{h}`")).try_cast(types[h]).alias(h) for h in header)))
     return union_by_name(frames)
 
 
@@ -115,12 +122,14 @@ def read_split(spark: SparkSession, path: str, split: str | None = None,
     return df if split is None else df.where(F.col(split_col) == split)
 
 
-def label_column(df: DataFrame, expected: str = "Is_Anomaly") -> DataFrame:
-    """A label table must have a single column or contain ``expected``."""
-    cols = df.columns
+def label_column(df: DataFrame, expected: str = "Is_Anomaly", key: str | None = None) -> DataFrame:
+    """A label table must have, besides ``key``, a single column or contain ``expected``.
+    Returns the key, if any, and the label as ``expected``."""
+    cols = [c for c in df.columns if c != key]
     if not (len(cols) == 1 or expected in cols):
         raise ValueError(f"label table must have one column or '{expected}', got {cols}")
-    return df.select(cols[0])
+    label = expected if expected in cols else cols[0]
+    return df.select(*([key] if key else []), F.col(label).alias(expected))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -41,13 +41,40 @@ def test_exact_quantiles_refinement_path(spark, monkeypatch):
     rng = np.random.default_rng(1)
     vals = np.concatenate([rng.normal(size=3000), np.full(500, 2.5)])
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    monkeypatch.setattr(R, "EXACT_PERCENTILE_MAX_ROWS", 10)
     monkeypatch.setattr(R, "REFINE_DIRECT_ROWS", 50)
     got = R.exact_quantile_values(df, "v", [0.1, 0.5, 0.8, 0.95])
     for p in (0.1, 0.5, 0.8, 0.95):
         assert got[(p,)] == pytest.approx(float(np.percentile(vals, 100 * p)), abs=1e-12)
 
 
+def test_exact_quantiles_of_groups_together(spark, monkeypatch):
+    monkeypatch.setattr(R, "REFINE_DIRECT_ROWS", 20)
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=900), "b": np.full(40, 3.0), None: rng.integers(0, 5, 300).astype(float), "c": np.array([7.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("d", None)], "g string, v double")
+    got = R.exact_quantile_values(df, "v", [0.0, 0.25, 0.9, 1.0], by=["g"])
+    assert set(got) == {(g, p) for g in groups for p in (0.0, 0.25, 0.9, 1.0)}
+    for (g, p), q in got.items():
+        assert q == pytest.approx(float(np.percentile(groups[g], 100 * p)), abs=1e-12)
+
+
+def test_cut_keys_refine_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(R, "REFINE_DIRECT_ROWS", 5)
+    li = with_hash(li_flows(spark, SF_SMALL), 42)
+    n = li.count()
+    order = sorted((r.h, r.row_id) for r in li.select("h", "row_id").collect())
+    for digits in (0, 1):
+        got = R.cut_keys(li, [], {(): [0, 1, n // 3, n, n + 5]}, digits=digits)[()]
+        assert got == [("", ""), order[0], order[n // 3 - 1], order[-1], ("~", "")]
+
+
+def test_sampling_is_one_narrow_pass(spark):
+    li = li_flows(spark, SF_SMALL)
+    for df in (P.stratified_sample(li, "label", 0.2), P.stratified_split(li), P.balanced_flag(li)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Window" not in plan and "Join" not in plan and "Exchange" not in plan
+
+
 def test_cumulative_by_value_ranges_agree(spark):
     rng = np.random.default_rng(2)
     rows = [(int(g), float(round(s, 1)), int(rng.integers(0, 5)))
