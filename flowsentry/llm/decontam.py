@@ -150,12 +150,14 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
                          item_col: str = "item_id", window: int = WINDOW, probes: int = PROBES) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
     per_doc = _matching(docs, benchmark, id_col, text_col, item_col, window, probes)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"),
-                       F.col(text_col).alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
+    rest = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(text_col).alias("text"))
+    rows = rows.withColumns({"doc_id": F.col(f"row.`{id_col}`"), "text_key": F.xxhash64(F.col("text").cast("string"))})
     rows = rows.join(per_doc, _same_document(), "left")
     # only documents with an alignment have their words compared
     rows = rows.withColumn("words", F.when(F.col("found").isNotNull(), words(F.col("text"))))
-    return rows.where(F.size(_spans(window)) == 0).select("row.*")
+    return rows.where(F.size(_spans(window)) == 0).select(
+        *(F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, n_terms: int = 3, within: int = 20,

@@ -43,6 +43,11 @@ def _ranked(df: DataFrame, *key: str) -> DataFrame:
     return materialise(dealt.withColumn("row", F.monotonically_increasing_id()), "line-ranks")
 
 
+def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the corpus: none is broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
@@ -60,7 +65,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = materialise(lines, "lines")
     names = _ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where(F.col("c") > 1).drop("c"),
                     "h1", "h2").withColumnRenamed("row", "r")
-    again = lines.join(names, ["h1", "h2"]).drop("h1", "h2").dropDuplicates(["doc_id", "text_key", "seq"])
+    again = _join(lines, names, ["h1", "h2"]).drop("h1", "h2").dropDuplicates(["doc_id", "text_key", "seq"])
     # a document's lines are in one partition: their numbers are consecutive
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["doc_id", "text_key"]
@@ -72,51 +77,62 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .withColumn("left", F.max("g").over(segment) - F.col("g") + 1))
 
 
-def suffix_array(lines: DataFrame, keep: int = MIN_LINES) -> tuple[DataFrame, DataFrame, list[int]]:
-    """Ranks of the suffixes (g, doc, left, r): the array (g, r, row, in order), the ranks
-    by 1, 2, 4.. lines up to ``keep`` (g, r0, r1..), and those depths."""
-    now = lines.select("g", "doc", "left", "r")
-    levels, depths, depth, classes = now.select("g", F.col("r").alias("r0")), [1], 1, -1
+def suffix_array(suffixes: DataFrame, keep: int = MIN_LINES) -> tuple[DataFrame, list[int]]:
+    """``suffixes`` (g, doc, left, r, ...) in the order of the lines that they begin with: the
+    array, numbered by ``row`` in order, with r0, r1.., the ranks by 1, 2, 4.. lines up to
+    ``keep``, and those depths."""
+    now = suffixes.withColumn("r0", F.col("r"))
+    depths, depth, classes = [1], 1, -1
     while True:
         ahead = F.lead("r", depth).over(Window.partitionBy("doc").orderBy("g"))
-        pairs = now.withColumn("r2", F.coalesce(F.when(F.col("left") > depth, ahead), F.lit(-1).cast("long")))
+        pairs = now.withColumn("next", F.coalesce(F.when(F.col("left") > depth, ahead), F.lit(-1).cast("long")))
         pairs = materialise(pairs, "suffixes")
-        names = _ranked(pairs.select("r", "r2").distinct(), "r", "r2")
+        names = _ranked(pairs.select("r", "next").distinct(), "r", "next")
         n = names.count()
-        now = materialise(pairs.join(names, ["r", "r2"]).select("g", "doc", "left", F.col("row").alias("r")),
-                          "suffixes")
+        now = _join(pairs, names, ["r", "next"]).drop("r", "next").withColumnRenamed("row", "r")
         depth *= 2
         if depth <= keep:
-            levels = levels.join(now.select("g", F.col("r").alias(f"r{len(depths)}")), "g")
+            now = now.withColumn(f"r{len(depths)}", F.col("r"))
             depths.append(depth)
         if n == classes and depth >= keep:  # longer prefixes split no class any more
             break
         classes = n
-    return _ranked(now.select("r", "g"), "r", "g"), levels, depths
+    return _ranked(now, "r", "g"), depths
 
 
-def _neighbours(array: DataFrame) -> DataFrame:
-    """The array with ``prev``, the suffix before, and ``part``, its sorted partition."""
-    part = F.shiftright("row", 33)
-    array = array.withColumn("part", part)
-    inside = array.withColumn("prev", F.lag("g").over(Window.partitionBy("part").orderBy("row")))
+def _neighbours(array: DataFrame, columns: list[str]) -> DataFrame:
+    """The array with ``prev``, ``columns`` of the suffix before, and ``part``, its sorted partition."""
+    array = array.withColumn("part", F.shiftright("row", 33)).withColumn("own", F.struct(*columns))
+    inside = array.withColumn("prev", F.lag("own").over(Window.partitionBy("part").orderBy("row")))
     # the last suffix of each partition: one row a partition
-    last = array.groupBy("part").agg(F.max_by("g", "row").alias("g"))
-    last = last.select("part", F.lag("g").over(Window.orderBy("part")).alias("carried"))
-    return inside.join(last, "part").withColumn("prev", F.coalesce("prev", "carried")).drop("carried")
-
-
-def common_prefixes(array: DataFrame, levels: DataFrame, depths: list[int], cap: int) -> DataFrame:
-    """The array with prev, part and ``lcp``: lines in common with the suffix before, up to ``cap``."""
-    out = _neighbours(array).withColumn("lcp", F.lit(0).cast("long"))
-    for k in range(len(depths) - 1, -1, -1):
-        rank = levels.select("g", F.col(f"r{k}").alias("rank"))
-        ours = rank.select(F.col("g").alias("g1"), F.col("rank").alias("rank1"))
-        theirs = rank.select(F.col("g").alias("g2"), F.col("rank").alias("rank2"))
+    last = array.groupBy("part").agg(F.max_by("own", "row").alias("own"))
+    last = last.select("part", F.lag("own").over(Window.orderBy("part")).alias("carried"))
+    return inside.join(last, "part").withColumn("prev", F.coalesce("prev", "carried")).drop("carried", "own")
+
+
+def common_prefixes(array: DataFrame, depths: list[int], cap: int) -> DataFrame:
+    """The array with prev, part and ``lcp``: lines in common with the suffix before, up to ``cap``.
+
+    Descent over the ranks from the deepest. What the first levels compare are
+    the two suffixes themselves; only after a match do deeper places count,
+    whose ranks are looked up."""
+    ranks = [f"r{k}" for k in range(len(depths))]
+    out = _neighbours(array, ["g", *ranks]).withColumn("lcp", F.lit(0).cast("long"))
+    top = len(depths) - 1
+    for k in range(top, -1, -1):
         room = F.col("lcp") + depths[k] <= cap
-        out = (out.join(ours, F.col("g1") == F.when(room, F.col("g") + F.col("lcp")), "left")
-               .join(theirs, F.col("g2") == F.when(room, F.col("prev") + F.col("lcp")), "left")
-               .withColumn("lcp", F.col("lcp") + F.when(F.col("rank1") == F.col("rank2"), depths[k]).otherwise(0))
+        if k == top or (k == top - 1 and depths[top] == cap):
+            same = room & (F.col(ranks[k]) == F.col(f"prev.{ranks[k]}"))
+            out = out.withColumn("lcp", F.col("lcp") + F.when(same, depths[k]).otherwise(0))
+            continue
+        level = array.select("g", F.col(ranks[k]).alias("rank"))
+        ours = level.select(F.col("g").alias("g1"), F.col("rank").alias("rank1"))
+        theirs = level.select(F.col("g").alias("g2"), F.col("rank").alias("rank2"))
+        none = -1 - F.col("row")  # matches nothing, and deals such rows out evenly
+        out = _join(out, ours, F.col("g1") == F.when(room, F.col("g") + F.col("lcp")).otherwise(none), "left")
+        out = _join(out, theirs, F.col("g2") == F.when(room & F.col("prev").isNotNull(), F.col("prev.g") + F.col("lcp"))
+                    .otherwise(none), "left")
+        out = (out.withColumn("lcp", F.col("lcp") + F.when(F.col("rank1") == F.col("rank2"), depths[k]).otherwise(0))
                .drop("g1", "g2", "rank1", "rank2"))
     return out
 
@@ -132,10 +148,8 @@ def later_copies(lines: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
         for d in range(1, q):
             total = total + F.lead("chars", d).over(order)
         need = F.when((F.col("left") >= q) & (total >= min_chars), q).otherwise(need)
-    needs = materialise(lines.select("g", "doc", "left", "r", need.alias("need")), "suffixes")
-    array, levels, depths = suffix_array(needs, min_lines)
-    array = array.join(needs.select("g", "need"), "g")
-    lcp = materialise(common_prefixes(array, levels, depths, min_lines), "line-lcp")
+    array, depths = suffix_array(lines.select("g", "doc", "left", "r", need.alias("need")), min_lines)
+    lcp = materialise(common_prefixes(array, depths, min_lines), "line-lcp")
     # an interval goes from one break to the next
     brk = F.when(F.coalesce(F.col("lcp") < F.col("need"), F.lit(True)) | F.col("prev").isNull(), F.col("row"))
     here = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
@@ -143,8 +157,9 @@ def later_copies(lines: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
         "part", F.max("b").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     runs = lcp.withColumn("head", F.max(brk).over(here)).join(before, "part")
     runs = materialise(runs.select("g", "need", F.coalesce("head", "carried").alias("head")), "line-intervals")
-    first = runs.groupBy("head").agg(F.min("g").alias("first"))
-    return runs.join(first, "head").where((F.col("g") > F.col("first")) & F.col("need").isNotNull()).select("g", "need")
+    # written, so that the join below can split a run that very many documents share
+    first = materialise(runs.groupBy("head").agg(F.min("g").alias("first")), "line-firsts")
+    return _join(runs, first, "head").where((F.col("g") > F.col("first")) & F.col("need").isNotNull()).select("g", "need")
 
 
 def deleted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -153,7 +168,7 @@ def deleted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = materialise(repeated_lines(docs, id_col, text_col), "repeated-lines")
     copies = later_copies(lines, min_lines, min_chars)
     gone = copies.select(F.explode(F.sequence("g", F.col("g") + F.col("need") - 1)).alias("g")).distinct()
-    gone = gone.join(lines, "g").select("doc_id", "text_key", "line", "seq", "g")
+    gone = _join(gone, lines, "g").select("doc_id", "text_key", "line", "seq", "g")
     own = Window.partitionBy("doc_id", "text_key").orderBy("seq")
     island = gone.withColumn("island", F.col("seq") - F.row_number().over(own))
     runs = island.groupBy("doc_id", "text_key", "island").agg(
@@ -168,9 +183,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = materialise(deleted_runs(docs, id_col, text_col, min_lines, min_chars), "line-runs")
     runs = runs.withColumnsRenamed({"doc_id": "d_", "text_key": "k_"})
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"),
-                       text.alias("text"), F.xxhash64(text).alias("text_key"))
-    out = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("text_key").eqNullSafe(F.col("k_")), "left")
+    rest = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), text.alias("text"))
+    rows = rows.withColumns({"doc_id": F.col(f"row.`{id_col}`"), "text_key": F.xxhash64("text")})
+    out = _join(rows, runs, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("text_key").eqNullSafe(F.col("k_")), "left")
     out = out.withColumn("lines", F.when(F.col("runs").isNotNull(), _lines(F.col("text"))))
     # what lies between the runs
     at = lambda j, f, other: F.when((j >= 0) & (j < F.size("runs")), F.get("runs", j)[f]).otherwise(other)
