@@ -317,7 +317,8 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None) -> DataFrame:
     """
     by = _by_list(by)
     probs = [float(p) for p in probs]
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
+    # kept while the passes run: sums of doubles may come out differently when computed again
+    clean = df.select(*by, value).where(F.col(value).isNotNull() & ~F.isnan(F.col(value))).persist()
     stats = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
                                    F.min(value).alias("_mn"), F.max(value).alias("_mx")).collect()
     wanted, places = {}, []
@@ -330,6 +331,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None) -> DataFrame:
             for k in places[-1][2:4]:
                 wanted[g, k] = (float(r["_mn"]), float(r["_mx"]), 0, n)
     got = _order_statistics(clean, by, value, wanted) if wanted else {}
+    clean.unpersist()
     out = [(*g, p, got[g, a] + (got[g, b] - got[g, a]) * frac) for g, p, a, b, frac in places]
     schema = T.StructType(_group_schema(df, by) + [
         T.StructField("p", T.DoubleType()), T.StructField("q", T.DoubleType())])

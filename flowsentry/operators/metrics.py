@@ -141,7 +141,7 @@ def roc_curve(df: DataFrame, by=("model",), y: str = "y", score: str = "score",
     if drop_intermediate:
         # next distinct (lower) score's counts: within a range by lead, across
         # ranges by joining the first row of the next range (small table).
-        if ranges <= 1:
+        if ranges is not None and ranges <= 1:
             w = Window.partitionBy(*by).orderBy(F.col(score).desc())
             c = c.withColumn("_np", F.lead("pos").over(w)).withColumn("_nn", F.lead("neg").over(w))
         else:

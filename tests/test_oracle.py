@@ -13,9 +13,6 @@ import __spark_entry__ as E  # noqa: E402
 from check_oracle import compare, duck  # noqa: E402
 
 ORACLE = E.oracle_sql()
-# the LOF cross-validation twins are covered at sf0.01 by scripts/check_oracle.py;
-# here they run too, only the slowest are marked
-SLOW = {"cv_rank", "metric_pivot", "group_mean", "threshold_sweep", "sweep_best"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +20,7 @@ def con():
     return duck(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in ORACLE if n not in SLOW))
+@pytest.mark.parametrize("name", sorted(n for n in ORACLE if not n.startswith("op")))
 def test_query_matches_sql(spark, con, name):
     ok, n, _, _, msg = compare(spark, con, name, E.queries()[name], ORACLE[name], SF_SMALL)
     assert ok, msg
