@@ -81,6 +81,13 @@ def row_mse(theta: np.ndarray, X: np.ndarray) -> np.ndarray:
     return ((out - X) ** 2).mean(axis=1)
 
 
+def reconstruction_mse(df: DataFrame, features: list[str], reconstructed: list[str], out: str = "mse") -> DataFrame:
+    """D13 for reconstructions that are columns: adds the mean squared error of each row."""
+    terms = [(F.col(a).cast("double") - F.col(b).cast("double")) ** 2
+             for a, b in zip(features, reconstructed, strict=True)]
+    return df.withColumn(out, sum(terms[1:], terms[0]) / len(terms))
+
+
 def loss_and_grad(theta: np.ndarray, X: np.ndarray) -> tuple[float, np.ndarray]:
     """Batch MSE (mean over rows and features) and its gradient."""
     layers = unpack(theta, X.shape[1])
@@ -172,19 +179,16 @@ def fit_autoencoder(train: DataFrame, val: DataFrame, features: list[str], max_e
             .repartition(shards, "_shard").sortWithinPartitions("_shard", "_round", "_h", "_key")
             .persist(StorageLevel.MEMORY_AND_DISK))
     held = val.select(*feats).persist(StorageLevel.MEMORY_AND_DISK)
-    size = len(init_params(d, seed))
 
     def round_of(theta, m, v, t, number):
         """One round: weights and moments averaged by rows, steps, rows, summed loss."""
         bc = spark.sparkContext.broadcast((theta, m, v, t))
 
         def run(batches):
-            shard = None
-
-            def done(stream):
+            def done(shard, stream):
                 th, mm, vv, tt, rows, loss = adam_steps(*bc.value, _minibatches(stream, features, batch), lr=lr)
-                x = np.concatenate([th * rows, mm * rows, vv * rows, [(tt - bc.value[3]) * rows, rows, loss]])
-                return pd.DataFrame({"at": np.arange(len(x)), "shard": shard, "x": x})
+                return pd.DataFrame({"shard": [shard], "steps": [tt - bc.value[3]], "rows": [rows], "loss": [loss],
+                                     "theta": [th], "m": [mm], "v": [vv]})
 
             def runs():
                 """(shard, its rows): a partition may hold several shards, one after the other."""
@@ -195,7 +199,7 @@ def fit_autoencoder(train: DataFrame, val: DataFrame, features: list[str], max_e
             stream = iter(runs())
             item = next(stream, None)
             while item is not None:
-                shard, after = item[0], []
+                after = []
 
                 def own(first=item[1], s=item[0], after=after):
                     yield first
@@ -205,21 +209,18 @@ def fit_autoencoder(train: DataFrame, val: DataFrame, features: list[str], max_e
                             return
                         yield part
 
-                yield done(own())
+                yield done(item[0], own())
                 item = after[0] if after else None
 
-        # summed in the order of the shards: the same for any layout
-        got = (data.where(F.col("_round") == number).mapInPandas(run, "at long, shard int, x double")
-               .groupBy("at").agg(F.sort_array(F.collect_list(F.struct("shard", "x"))).alias("s"))
-               .select("at", F.aggregate("s", F.lit(0.0), lambda a, z: a + z["x"]).alias("x")).toPandas())
+        got = data.where(F.col("_round") == number).mapInPandas(
+            run, "shard int, steps long, rows long, loss double, theta array<double>, m array<double>, v array<double>")
+        got = sorted(got.collect(), key=lambda r: r["shard"])  # as many rows as shards
         bc.unpersist()
-        if not len(got):
+        rows = sum(r["rows"] for r in got)
+        if not rows:
             return theta, m, v, 0, 0, 0.0
-        x = np.zeros(3 * size + 3)
-        x[got["at"].to_numpy()] = got["x"].to_numpy()
-        rows = x[-2]
-        th, mm, vv = (x[i * size:(i + 1) * size] / rows for i in range(3))
-        return th, mm, vv, round(x[-3] / rows), int(rows), float(x[-1])
+        th, mm, vv = (sum(np.asarray(r[c]) * (r["rows"] / rows) for r in got) for c in ("theta", "m", "v"))
+        return th, mm, vv, round(sum(r["steps"] * r["rows"] for r in got) / rows), rows, sum(r["loss"] for r in got)
 
     def validation(theta):
         bc = spark.sparkContext.broadcast(theta)

@@ -20,6 +20,18 @@ EM_DIM = 64
 EM_FEATURES = [f"e{i}" for i in range(EM_DIM)]
 
 
+_KEPT: dict = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build):
+    """``build()``, once per application and data folder: several queries report on the
+    same fitted models."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

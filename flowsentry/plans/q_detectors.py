@@ -11,7 +11,7 @@ from flowsentry.operators.detectors import iforest as IF
 from flowsentry.operators.detectors import lof as LOF
 from flowsentry.operators.detectors.knn import knn_join
 from flowsentry.plans import sqlgen as G
-from flowsentry.plans.fixtures import EM_FEATURES, EM_SQL, LI_FEATURES, LI_SQL, em_flows, li_flows
+from flowsentry.plans.fixtures import EM_FEATURES, EM_SQL, LI_FEATURES, LI_SQL, em_flows, li_flows, once
 from flowsentry.plans.registry import query
 
 
@@ -177,7 +177,7 @@ def _ae(spark, sf_dir, cls: int):
     em = P.stratified_split(em_flows(spark, sf_dir))
     tr = em.where(f"split = 'train' AND y = {cls}")
     va = em.where(f"split = 'val' AND y = {cls}")
-    return em, AE.fit_autoencoder(tr, va, EM_FEATURES)
+    return em, once(spark, sf_dir, f"autoencoder {cls}", lambda: AE.fit_autoencoder(tr, va, EM_FEATURES))
 
 
 @query("autoencoder_score")
@@ -205,3 +205,15 @@ def q_loss_history(spark, sf_dir):
     """Per-epoch train and validation loss of the normal AE."""
     _, m = _ae(spark, sf_dir, 0)
     return m.history_df(spark)
+
+
+RECON = [f"round({c}, 1) AS r_{c}" for c in EM_FEATURES]
+
+
+@query("reconstruction_mse", f"""WITH em AS ({EM_SQL}), x AS (SELECT row_id, {VEC} AS v,
+  [{', '.join(f'round({c}, 1)' for c in EM_FEATURES)}] AS r FROM em)
+SELECT row_id, {_r('list_distance(v, r) ** 2 / 64')} AS mse FROM x""")
+def q_reconstruction_mse(spark, sf_dir):
+    """Mean squared error of given reconstructions (the features to one decimal)."""
+    em = em_flows(spark, sf_dir).selectExpr("row_id", *EM_FEATURES, *RECON)
+    return AE.reconstruction_mse(em, EM_FEATURES, [f"r_{c}" for c in EM_FEATURES]).select("row_id", r6("mse").alias("mse"))

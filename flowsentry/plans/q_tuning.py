@@ -8,7 +8,8 @@ from flowsentry.functions.scalar import r6
 from flowsentry.operators import sampling as P
 from flowsentry.plans import sqlgen as G
 from flowsentry.plans import tuning as TU
-from flowsentry.plans.fixtures import EM_FEATURES, EM_SQL, LI_FEATURES, LI_SQL, em_flows, li_flows
+from flowsentry.plans.experiment import preprocess
+from flowsentry.plans.fixtures import EM_FEATURES, EM_SQL, LI_FEATURES, LI_SQL, em_flows, li_flows, once
 from flowsentry.plans.q_metrics import auc_sql, conf_sql, F1, PREC, REC
 from flowsentry.plans.registry import query
 
@@ -24,6 +25,14 @@ def em_folded(spark, sf_dir):
     return P.kfold_assign(em_flows(spark, sf_dir), 3).cache()
 
 
+def _lof_grid(spark, sf_dir):
+    return once(spark, sf_dir, "lof grid", lambda: TU.tune_lof(em_folded(spark, sf_dir), EM_FEATURES))
+
+
+def _if_grid(spark, sf_dir):
+    return once(spark, sf_dir, "forest grid", lambda: TU.tune_iforest(em_folded(spark, sf_dir), EM_FEATURES))
+
+
 def _lof_cv_sql(ks=(5, 10, 20, 40, 60)) -> str:
     kv = ", ".join(f"({k})" for k in ks)
     return f"""em AS ({EM_SQL}), {G.kfold_ctes('em', 3)},
@@ -69,7 +78,7 @@ SELECT candidate_id, k AS n_neighbors, {', '.join(_r(c) + ' AS ' + c for c in TU
 FROM res JOIN cand USING (k)""")
 def q_cv_rank(spark, sf_dir):
     """T2+T3: LOF grid (k 5..60) by 3-fold stratified CV, ranked by mean F1."""
-    res, _, _ = TU.tune_lof(em_folded(spark, sf_dir), EM_FEATURES)
+    res, _, _ = _lof_grid(spark, sf_dir)
     return res.select("candidate_id", "n_neighbors", *[r6(c).alias(c) for c in TU.METRIC_COLS],
                       F.col("rank").cast("int").alias("rank"))
 
@@ -80,7 +89,7 @@ SELECT k AS n_neighbors, {_r('avg(f1) FILTER (WHERE fold = 0)')} AS "0",
 FROM fm GROUP BY k""")
 def q_metric_pivot(spark, sf_dir):
     """F16: fold F1 pivoted to n_neighbors x fold."""
-    _, fm, _ = TU.tune_lof(em_folded(spark, sf_dir), EM_FEATURES)
+    _, fm, _ = _lof_grid(spark, sf_dir)
     p = TU.metric_pivot(fm.withColumnRenamed("k", "n_neighbors"), "n_neighbors", "fold", "f1")
     return p.select("n_neighbors", *[r6(c).alias(c) for c in ("0", "1", "2")])
 
@@ -89,7 +98,7 @@ def q_metric_pivot(spark, sf_dir):
 SELECT k AS n_neighbors, {_r('avg(mean_f1)')} AS mean_f1 FROM res GROUP BY k""")
 def q_group_mean(spark, sf_dir):
     """mean F1 by n_neighbors."""
-    res, _, _ = TU.tune_lof(em_folded(spark, sf_dir), EM_FEATURES)
+    res, _, _ = _lof_grid(spark, sf_dir)
     g = TU.group_mean(res, "n_neighbors")
     return g.select("n_neighbors", r6("mean_f1").alias("mean_f1"))
 
@@ -172,7 +181,7 @@ SELECT candidate_id, max_features, n_estimators, {', '.join(_r(c) + ' AS ' + c f
 FROM res JOIN cand USING (candidate_id)""")
 def q_if_cv(spark, sf_dir):
     """T2+T3 for the isolation-forest grid (9 candidates x 3 folds)."""
-    res, _ = TU.tune_iforest(em_folded(spark, sf_dir), EM_FEATURES)
+    res, _ = _if_grid(spark, sf_dir)
     return res.select("candidate_id", "max_features", "n_estimators", *[r6(c).alias(c) for c in TU.METRIC_COLS])
 
 
@@ -181,7 +190,7 @@ SELECT max_features, {', '.join(_r(f'avg(mean_f1) FILTER (n_estimators = {n})')
 FROM res JOIN cand USING (candidate_id) GROUP BY max_features""")
 def q_if_pivot(spark, sf_dir):
     """F16: mean F1 of the forest grid, max_features x n_estimators."""
-    res, _ = TU.tune_iforest(em_folded(spark, sf_dir), EM_FEATURES)
+    res, _ = _if_grid(spark, sf_dir)
     p = TU.metric_pivot(res, "max_features", "n_estimators", "mean_f1")
     return p.select("max_features", *[r6(str(n)).alias(str(n)) for n in TU.IF_GRID["n_estimators"]])
 
@@ -248,16 +257,16 @@ def q_baseline_vs_best(spark, sf_dir):
 @query("volume_sensitivity")
 def q_volume_sensitivity(spark, sf_dir):
     """Models at 15k, 80k and all LI training rows, with fit times."""
-    li = P.stratified_split(li_flows(spark, sf_dir)).cache()
-    return TU.volume_sensitivity(li.where("split = 'train'"), li.where("split = 'test'"), LI_FEATURES)
+    z, _ = preprocess(li_flows(spark, sf_dir), LI_FEATURES, partitions=spark.sparkContext.defaultParallelism)
+    z = z.cache()
+    return TU.volume_sensitivity(z.where("split = 'train'"), z.where("split = 'test'"), LI_FEATURES)
 
 
 @query("cv_boxes")
 def q_cv_boxes(spark, sf_dir):
     """Per-model box statistics of fold F1 (LOF grid and IF grid)."""
-    folded = em_folded(spark, sf_dir)
-    _, fm_lof, _ = TU.tune_lof(folded, EM_FEATURES)
-    _, fm_if = TU.tune_iforest(folded, EM_FEATURES)
+    _, fm_lof, _ = _lof_grid(spark, sf_dir)
+    _, fm_if = _if_grid(spark, sf_dir)
     rows = (fm_lof.select(F.lit("LOF").alias("model"), "f1")
             .unionByName(fm_if.select(F.lit("Isolation Forest").alias("model"), "f1")))
     return TU.cv_boxes(rows)
@@ -272,6 +281,36 @@ def q_full_experiment(spark, sf_dir):
     return em_experiment(spark, sf_dir)["evaluation"]
 
 
+_TEST_COUNTS = f"""WITH em AS ({EM_SQL}), {G.split_ctes('em')},
+t AS (SELECT CAST(count(*) FILTER (y = 1) AS BIGINT) AS n_anomaly, CAST(count(*) FILTER (y = 0) AS BIGINT) AS n_normal
+  FROM splitted WHERE split = 'test')"""
+
+
+@query("experiment_classes", f"""{_TEST_COUNTS}
+SELECT model, n_anomaly, n_normal FROM t, (VALUES ('Isolation Forest'), ('One-Class SVM'), ('Local Outlier Factor'),
+  ('Autoencoder'), ('Second Autoencoder'), ('Ensemble Autoencoder')) m(model)""")
+def q_experiment_classes(spark, sf_dir):
+    """Test rows of each class that every model was evaluated on."""
+    from flowsentry.plans.experiment import em_experiment
+    pc = em_experiment(spark, sf_dir)["per_class"]
+    return pc.select("model", (F.col("tp") + F.col("fn")).alias("n_anomaly"), (F.col("tn") + F.col("fp")).alias("n_normal"))
+
+
+@query("experiment_per_class")
+def q_experiment_per_class(spark, sf_dir):
+    """Recall and precision of both classes per model."""
+    from flowsentry.plans.experiment import em_experiment
+    return em_experiment(spark, sf_dir)["per_class"].select(
+        "model", "recall_normal", "recall_anomaly", "precision_normal", "precision_anomaly")
+
+
+@query("experiment_balanced")
+def q_experiment_balanced(spark, sf_dir):
+    """The summary table of the balanced scenario."""
+    from flowsentry.plans.experiment import em_experiment
+    return em_experiment(spark, sf_dir)["summary_balanced"]
+
+
 @query("loss_curves")
 def q_loss_curves(spark, sf_dir):
     """Loss histories of both autoencoders as one table."""
@@ -292,7 +331,7 @@ r AS (SELECT k, mean_f1, row_number() OVER (ORDER BY mean_f1 DESC, candidate_id)
 SELECT k AS n_neighbors, {_r('mean_f1')} AS mean_f1 FROM r WHERE rk = 1""")
 def q_cv_best(spark, sf_dir):
     """T5: the best LOF structure from the ranked CV table."""
-    res, _, _ = TU.tune_lof(em_folded(spark, sf_dir), EM_FEATURES)
+    res, _, _ = _lof_grid(spark, sf_dir)
     best = TU.best_params(res, ["n_neighbors", "mean_f1"])
     return res.where(F.col("n_neighbors") == best["n_neighbors"]).select(
         "n_neighbors", r6("mean_f1").alias("mean_f1"))

@@ -89,6 +89,12 @@ def q_kfold_assign(spark, sf_dir):
     return P.kfold_assign(li_flows(spark, sf_dir), 3).select("row_id", "y", "fold")
 
 
+@query("hash_sorted", f"""WITH li AS ({LI_SQL}) SELECT row_id, y FROM li""")
+def q_hash_sorted(spark, sf_dir):
+    """The rows in their shuffled (hash) order."""
+    return P.hash_sorted(li_flows(spark, sf_dir)).select("row_id", "y")
+
+
 # the remaining query modules register themselves on import
 from flowsentry.plans import q_core  # noqa: E402,F401
 from flowsentry.plans import q_metrics  # noqa: E402,F401
