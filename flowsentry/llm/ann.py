@@ -76,7 +76,8 @@ def _cell(q_ids, q, c_ids, c, k):
             if low.shape[1] > k:
                 floor = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k])
             for r, cand in zip(*_by_row((mid + err >= floor[:, None]) & ~own), strict=True):
-                exact = np.einsum("d,nd->n", x[r], c[at + cand])
+                # summed component by component: the order of the plain definition
+                exact = np.cumsum(c[at + cand] * x[r], axis=1)[:, -1]
                 heap = heaps[r]
                 for score, i in zip(exact.tolist(), c_ids[at + cand].tolist(), strict=True):
                     if len(heap) < k:
