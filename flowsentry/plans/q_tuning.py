@@ -33,6 +33,10 @@ def _if_grid(spark, sf_dir):
     return once(spark, sf_dir, "forest grid", lambda: TU.tune_iforest(em_folded(spark, sf_dir), EM_FEATURES))
 
 
+def _svm_grid(spark, sf_dir):
+    return once(spark, sf_dir, "svm grid", lambda: TU.tune_ocsvm(em_folded(spark, sf_dir), EM_FEATURES))
+
+
 def _lof_cv_sql(ks=(5, 10, 20, 40, 60)) -> str:
     kv = ", ".join(f"({k})" for k in ks)
     return f"""em AS ({EM_SQL}), {G.kfold_ctes('em', 3)},
@@ -236,8 +240,14 @@ def q_cross_validation(spark, sf_dir):
 @query("ocsvm_cv")
 def q_ocsvm_cv(spark, sf_dir):
     """T2+T3+T6 for the one-class SVM grid (20 candidates x 3 folds, shared passes)."""
-    res, _ = TU.tune_ocsvm(em_folded(spark, sf_dir), EM_FEATURES)
-    return res
+    return _svm_grid(spark, sf_dir)[0]
+
+
+@query("ocsvm_panels")
+def q_ocsvm_panels(spark, sf_dir):
+    """F16: mean F1 of the one-class SVM grid, nu x gamma for each kernel, with the span
+    that all panels share."""
+    return TU.panel_pivot(_svm_grid(spark, sf_dir)[0], "kernel", "nu", "gamma")
 
 
 def _em_split(spark, sf_dir):
