@@ -115,19 +115,21 @@ def _same_document() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("text_key").eqNullSafe(F.col("k_"))
 
 
-def _spans(window: int) -> Column:
-    """(item_id, start, length) of the windows of ``found`` that occur in ``words``."""
-    def occurring(f):
+def _spans(window: int, all_words: Column) -> Column:
+    """(item_id, start, length) of the windows of ``found`` that occur in ``all_words``."""
+    def occurring(f, own):
         n = F.least(F.lit(window), F.size(f["item"]))
         same = F.transform(f["item"], lambda w, i: F.coalesce(
-            F.when(f["shift"] + i >= 0, F.get("words", f["shift"] + i)) == w, F.lit(False)))
+            F.when(f["shift"] + i >= 0, F.get(own, f["shift"] + i)) == w, F.lit(False)))
         starts = F.filter(F.sequence(F.lit(0), F.size(f["item"]) - n),
                           lambda s: ~F.array_contains(F.slice(same, s + 1, n), False))
         return F.transform(starts, lambda s: F.struct(
             f["item_id"].cast("string").alias("item_id"), (f["shift"] + s).alias("start"), n.alias("length")))
 
     none = F.expr("cast(array() as array<struct<item_id:string,start:int,length:int>>)")
-    return F.when(F.col("found").isNull(), none).otherwise(F.flatten(F.transform("found", occurring)))
+    # the words are bound to a variable: split once a row, wherever the optimizer puts this
+    bound = F.transform(F.array(all_words), lambda own: F.flatten(F.transform("found", lambda f: occurring(f, own))))
+    return F.when(F.col("found").isNull(), none).otherwise(F.get(bound, F.lit(0)))
 
 
 def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -137,7 +139,7 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     ``spans`` (item_id, start, length), one for each occurrence of a window."""
     per_doc = _matching(docs, benchmark, id_col, text_col, item_col, window, probes)
     rows = _documents(docs, id_col, text_col).join(per_doc, _same_document(), "left")
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), _spans(window).alias("spans"))
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), _spans(window, F.col("words")).alias("spans"))
     hit = F.array_distinct(F.flatten(F.transform(
         "spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
     return rows.select("doc_id", "n_words",
@@ -154,9 +156,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(text_col).alias("text"))
     rows = rows.withColumns({"doc_id": F.col(f"row.`{id_col}`"), "text_key": F.xxhash64(F.col("text").cast("string"))})
     rows = rows.join(per_doc, _same_document(), "left")
-    # only documents with an alignment have their words compared
-    rows = rows.withColumn("words", F.when(F.col("found").isNotNull(), words(F.col("text"))))
-    return rows.where(F.size(_spans(window)) == 0).select(
+    return rows.where(F.size(_spans(window, words(F.col("text")))) == 0).select(
         *(F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
