@@ -100,6 +100,11 @@ def _pieces(spark: SparkSession, path) -> DataFrame:
                     F.octet_length("value").cast("long").alias("n"), "value"))
 
 
+def _join(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """A join of tables of records: both grow with the archive, none is broadcast."""
+    return left.join(right.hint("merge"), on)
+
+
 def _field(head, name):
     got = F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
     return F.when(got != "", got)
@@ -176,7 +181,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                                        F.col("cands.succ").alias("succ")), "warc-splits")
     exits = splits.select("file", "block", "rel", "succ").mapInPandas(
         _exits, "file string, block long, exits array<long>")
-    jump = (splits.join(exits, ["file", "block"])
+    jump = (_join(splits, exits, ["file", "block"])
             .select("file", "block", "base", F.explode(F.arrays_zip("rel", "exits")).alias("z"))
             .select("file", "block", "base", (F.col("base") + F.col("z.rel")).alias("off"),
                     (F.col("base") + F.col("z.exits")).alias("to")))
@@ -184,17 +189,17 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     reached = materialise(splits.select("file", F.lit(0).cast("long").alias("off")).distinct(), "warc-reached")
     hop, n = jump.select("file", "off", "to"), reached.count()
     while True:
-        step = reached.join(hop, ["file", "off"]).select("file", F.col("to").alias("off"))
+        step = _join(reached, hop, ["file", "off"]).select("file", F.col("to").alias("off"))
         reached = materialise(reached.union(step).distinct(), "warc-reached")
         if (now := reached.count()) == n:
             break
         n = now
         far = hop.select("file", F.col("off").alias("to"), F.col("to").alias("far"))
-        hop = materialise(hop.join(far, ["file", "to"]).select("file", "off", F.col("far").alias("to")),
+        hop = materialise(_join(hop, far, ["file", "to"]).select("file", "off", F.col("far").alias("to")),
                           "warc-hops")
 
     # the chain enters a split at one offset at most
-    entry = reached.join(jump, ["file", "off"]).select(
+    entry = _join(reached, jump, ["file", "off"]).select(
         "file", "block", (F.col("off") - F.col("base")).alias("entry"))
 
     def walk(batches):
@@ -204,12 +209,12 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                    for r, s, k in zip(rel, succ, _on_chain(rel, succ, e), strict=True) if k]
             yield pd.DataFrame(got, columns=["file", "block", "base", "at", "succ"])
 
-    chain = splits.join(entry, ["file", "block"]).mapInPandas(
+    chain = _join(splits, entry, ["file", "block"]).mapInPandas(
         walk, "file string, block long, base long, at long, succ long")
     chain = chain.select("file", "block", (F.col("at") + magic).alias("rel"),
                          (F.col("base") + F.col("at")).alias("offset"),
                          (F.col("base") + F.col("succ")).alias("succ"))
-    records = materialise(rows.join(chain, ["file", "block", "rel"]), "warc-records")
+    records = materialise(_join(rows, chain, ["file", "block", "rel"]), "warc-records")
     records = _stitched(spark, records, splits, with_payload)
     if with_payload:
         content = _offsets(parsed.select("file", "block", "n", "payload")).select(
