@@ -33,12 +33,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document of the smallest id stays (rows that share
-    this id are one document: all of them stay; so do rows without id)."""
+    """Of each SimHash group the rows of its smallest id stay, and rows without id. A
+    document is told by (doc_id, hash of its text): a repeated id with different texts
+    is judged text by text, each in the group of its own."""
     ship_package(spark)
     found = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(materialise(gone, "near-duplicates"), "doc_id", "left_anti").select(*COLUMNS)
+    key = ["doc_id", "text_key"]
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(*key).distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    return rows.join(materialise(gone, "near-duplicates"), key, "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,16 +86,17 @@ def _fingerprints(raw, offsets, shingle, seed):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+    """(doc_id, text_key, fp): the hash of the text, the fingerprint as a signed 64-bit integer."""
     def run(batches):
         for batch in batches:
-            fp = batch_fingerprints(batch.column(1), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))],
-                                             ["doc_id", "fp"])
+            fp = batch_fingerprints(batch.column(2), shingle, seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))],
+                                             ["doc_id", "text_key", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(
-        run, f"doc_id {kind}, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col), F.xxhash64(text), text).mapInArrow(
+        run, f"doc_id {kind}, text_key long, fp long")
 
 
 def _grid_points(batches):
@@ -223,12 +224,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cell_limit: int = CELL_LIMIT
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED,
                     cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``; component_id is the
-    smallest id that links reach."""
+    """(doc_id, text_key, fp, component_id) for every row of ``docs``; component_id is
+    the smallest id that links reach, the same for rows equal in doc_id and text_key."""
     rows = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     root = components(links(nodes, max_bits, cell_limit)).withColumnRenamed("node", "fp")
     nodes = nodes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = materialise(nodes.join(ids, "root").select("fp", "component_id"), "simhash-classes")
-    return rows.join(nodes, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(nodes, "fp").select("doc_id", "text_key", "fp", "component_id")

@@ -258,3 +258,15 @@ def test_fingerprint_of_long_text():
     text = " ".join(f"Word{i}" for i in range(300_000))
     assert int(simhash.batch_fingerprints(pa.array([text, "a b", None]))[0]) == H.fingerprint(text)
     assert int(simhash.batch_fingerprints(pa.array(["a B"]))[0]) == H.fingerprint("a b")
+
+
+def test_pipeline_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline
+    rng = random.Random(8)
+    a, b, c = (" ".join(rng.choice(VOCAB) for _ in range(60)) for _ in range(3))
+    rows = [(3, b), (5, a), (5, b), (5, b), (None, b), (7, c), (9, c), (9, None), (9, a)]
+    got = corpus_pipeline.near_duplicate_stage(spark, H.docs_frame(spark, rows), "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    # of b the least id is 3, of a 5, of c 7, of the null text 9
+    assert sorted(((r.doc_id or 0, r.text) for r in got.collect()), key=str) == sorted(
+        [(3, b), (5, a), (0, b), (7, c), (9, None)], key=str)
