@@ -11,7 +11,8 @@ A grid point where more than ``cell_limit`` different fingerprints meet is not
 compared pair by pair. Its fingerprints are sent to the 65 bit strings within
 one bit of themselves instead: two of them within two bits meet in one of
 these, and all that meet in one are within two bits of each other, so linking
-them to the smallest is exact, linear, and never gathers more than 65.
+them to the smallest is exact, linear, and never gathers more than 65. For one
+bit, they are linked to the string itself where it is one of them.
 
 Defined results: a null or empty text has fingerprint zero and is linked like
 any other; repeated rows and ids each keep their row; null ids are skipped
@@ -211,8 +212,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cell_limit: int = CELL_LIMIT
            .mapInArrow(_meet(cell_limit, max_bits), "a long, b long").distinct())
     met = materialise(met, "simhash-met")
     near = met.where(F.col("b").isNotNull())
+    if max_bits == 0:  # different fingerprints are never equal
+        return near
     crowd = met.where(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct()
     mids = crowd.mapInArrow(_one_bit_away, "mid long, fp long")
+    if max_bits == 1:
+        far = mids.where(F.col("mid") < F.col("fp")).join(crowd.withColumnRenamed("fp", "mid"), "mid")
+        return near.union(far.select(F.col("mid").alias("a"), F.col("fp").alias("b")))
     least = mids.groupBy("mid").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
     least = least.where(F.col("least") != F.col("most")).select("mid", "least")
     far = (mids.join(least, "mid").where(F.col("fp") != F.col("least"))

@@ -270,3 +270,23 @@ def test_pipeline_near_duplicates_of_repeated_ids(spark):
     # of b the least id is 3, of a 5, of c 7, of the null text 9
     assert sorted(((r.doc_id or 0, r.text) for r in got.collect()), key=str) == sorted(
         [(3, b), (5, a), (0, b), (7, c), (9, None)], key=str)
+
+
+@pytest.mark.parametrize("bits", [0, 1])
+def test_simhash_links_of_fewer_bits(spark, bits):
+    rng = random.Random(7)
+    # x and y are one bit apart, z is two bits from y and the least
+    values = {0b1100 << 8, 0b1101 << 8, 0b0001 << 8 | 0b0100 << 8, 0}
+    for center in [rng.getrandbits(64) for _ in range(3)]:
+        for _ in range(80):
+            x = center
+            for _ in range(rng.randint(0, 3)):
+                x ^= 1 << rng.randrange(64)
+            values.add(x)
+    values = sorted(values)
+    signed = [v - 2 ** 64 if v >> 63 else v for v in values]
+    root = H.groups(values, lambda a, b: (a ^ b).bit_count() <= bits)
+    links = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), bits, 2)
+    found = {r.node: r.root for r in components(links).collect()}
+    parts = lambda key: sorted(sorted(v for v, k in zip(signed, key, strict=True) if k == x) for x in set(key))
+    assert parts([found.get(v, v) for v in signed]) == parts(root)
