@@ -231,13 +231,16 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` labelled documents that aren't held out."""
+    """Fit on at most ``sample_rows`` labelled documents that aren't held out, one of
+    each id: of repeated ids the text with the least hash, however many rows there are."""
     chosen = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
               .groupBy(F.col(id_col).alias("_id")).agg(F.round(F.avg(label_col)).alias("_y"))
               .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
     # a bounded table: sample_rows ids and labels
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id")
-    pdf = features(rows, ["_id", "_y"], "_t").orderBy("_id").limit(2 * sample_rows).toPandas()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"),
+                       F.xxhash64(F.col(text_col).cast("string")).alias("_k")).join(F.broadcast(chosen), "_id")
+    one = features(rows, ["_id", "_y", "_k"], "_t").groupBy("_id").agg(F.min_by(F.struct("_y", "x"), "_k").alias("r"))
+    pdf = one.select("_id", "r._y", "r.x").orderBy("_id").toPandas()
     x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, len(FEATURES)))
     return fit(x, pdf["_y"].to_numpy(np.float64))
 

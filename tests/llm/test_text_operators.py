@@ -272,6 +272,18 @@ def test_pipeline_near_duplicates_of_repeated_ids(spark):
         [(3, b), (5, a), (0, b), (7, c), (9, None)], key=str)
 
 
+def test_quality_sample_is_not_filled_by_one_id(spark):
+    from zlib import crc32
+    import numpy as np
+    ids = [i for i in range(2, 60) if crc32(str(i).encode()) % 4 != 2]
+    plain = [(0, "@@ ## 11 22")] + [(i, "good plain words of a text" if i % 2 else "@@ ## 11 22") for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in plain], "doc_id long, quality int")
+    once = quality.train(H.docs_frame(spark, plain), labels, sample_rows=100)
+    hot = quality.train(H.docs_frame(spark, plain + [plain[0]] * 300), labels, sample_rows=100)
+    assert once.base == hot.base
+    assert all(np.array_equal(x, y) for x, y in zip(once.tables, hot.tables, strict=True))
+
+
 @pytest.mark.parametrize("bits", [0, 1])
 def test_simhash_links_of_fewer_bits(spark, bits):
     rng = random.Random(7)
