@@ -60,7 +60,8 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"),
                         F.posexplode(F.filter(numbered, lambda z: z["s"].rlike(r"\S"))).alias("seq", "z"))
     lines = split.select("doc_id", "text_key", "seq", F.col("z.line").alias("line"),
-                         F.xxhash64("z.s").alias("h1"), F.xxhash64("z.s", F.lit(1)).alias("h2"),
+                         # columns are chained: a constant in front seeds the second hash anew
+                         F.xxhash64("z.s").alias("h1"), F.xxhash64(F.lit(1), "z.s").alias("h2"),
                          F.length("z.s").alias("chars"))
     lines = materialise(lines, "lines")
     names = _ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where(F.col("c") > 1).drop("c"),

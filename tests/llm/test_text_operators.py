@@ -284,6 +284,34 @@ def test_quality_sample_is_not_filled_by_one_id(spark):
     assert all(np.array_equal(x, y) for x, y in zip(once.tables, hot.tables, strict=True))
 
 
+def colliding_lines(seed=42):
+    """Two lines of 16 ASCII characters with the same xxhash64: the second word of the
+    other one is solved for."""
+    p1, p2, p4, p5, mask = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 2 ** 64 - 1)
+    rotl = lambda x, n: (x << n | x >> (64 - n)) & mask
+    mix = lambda k: rotl(k * p2 & mask, 31) * p1 & mask
+    back = lambda k: rotl(k * pow(p1, -1, 2 ** 64) & mask, 33) * pow(p2, -1, 2 ** 64) & mask
+    word = lambda s: int.from_bytes(s, "little")
+    after = lambda w: (rotl((seed + p5 + 16 & mask) ^ mix(word(w)), 27) * p1 + p4) & mask
+    first, end = b"a line o", b"f text.."
+    target = after(first) ^ mix(word(end))
+    for i in range(10 ** 6):
+        other = b"%08d" % i
+        found = back(after(other) ^ target).to_bytes(8, "little")
+        if all(0x20 < x < 0x7F for x in found):
+            return (first + end).decode(), (other + found).decode()
+
+
+def test_lines_with_equal_hash_are_told_apart(spark):
+    one, other = colliding_lines()
+    assert one != other
+    import xxhash
+    assert xxhash.xxh64_intdigest(one, 42) == xxhash.xxh64_intdigest(other, 42)
+    rows = [(1, one), (2, other), (3, one)]
+    got = line_dedup.dedup_lines(H.docs_frame(spark, rows), min_chars=10).collect()
+    assert {r.doc_id: r.text for r in got} == {1: one, 2: other, 3: ""}
+
+
 @pytest.mark.parametrize("bits", [0, 1])
 def test_simhash_links_of_fewer_bits(spark, bits):
     rng = random.Random(7)
