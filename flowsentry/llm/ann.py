@@ -1,6 +1,8 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors are dealt into blocks by a hash of their id. Every cell (query block x
+Candidates are dealt into blocks by a hash of a row number written beforehand,
+queries by one of id and vector: rows that repeat an id, or whole rows, go to
+different blocks like any others. Every cell (query block x
 candidate block) multiplies int8 tiles; the quantisation residuals bound the
 error of each product, so a candidate whose upper bound is below the k-th
 largest lower bound cannot be among the k nearest. The pairs that survive are
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from flowsentry.llm.common import materialise
+
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 8192
 TILE = 512
@@ -96,20 +100,27 @@ def _by_row(mask):
     return rows[at].tolist(), np.split(cols, at[1:]) if len(at) else []
 
 
+def deal(df: DataFrame, key: list[str], own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+    """Each row in its block ``own``, by the hash of ``key``, once for every block ``other``."""
+    return df.select("id", "vec", F.size("vec").alias("dim"),
+                     F.pmod(F.xxhash64(*key), F.lit(own_n)).alias(own),
+                     F.explode(F.expr(f"sequence(0L, {other_n - 1}L)")).alias(other))
+
+
+def numbered(vectors: DataFrame) -> DataFrame:
+    """Written with ``row``, a number of its own for every row."""
+    return materialise(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
             vec_col: str = "embedding", k: int = 20, query_block: int = QUERY_BLOCK,
             candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` largest inner products."""
-    cand = valid_vectors(vectors, id_col, vec_col)
+    cand = numbered(valid_vectors(vectors, id_col, vec_col))
     query = valid_vectors(queries, id_col, vec_col).dropDuplicates(["id", "vec"])
     n_cols = max(1, -(-cand.count() // candidate_block))
     n_rows = max(1, -(-query.count() // query_block))
 
-    def dealt(df, own, own_n, other, other_n):
-        return df.select("id", "vec", F.size("vec").alias("dim"),
-                         F.pmod(F.xxhash64("id"), F.lit(own_n)).alias(own),
-                         F.explode(F.expr(f"sequence(0L, {other_n - 1}L)")).alias(other))
-
     def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(q) and len(c):
@@ -121,8 +132,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
                              "score": [s for _, _, s in found]})
 
     keys = ["dim", "r", "c"]
-    parts = (dealt(query, "r", n_rows, "c", n_cols).groupBy(*keys)
-             .cogroup(dealt(cand, "c", n_cols, "r", n_rows).groupBy(*keys))
+    parts = (deal(query, ["id", "vec"], "r", n_rows, "c", n_cols).groupBy(*keys)
+             .cogroup(deal(cand, ["row"], "c", n_cols, "r", n_rows).groupBy(*keys))
              .applyInPandas(cell, "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -170,6 +170,20 @@ def test_neighbours_are_exact(spark):
     assert ann.nearest(df.limit(0), queries_.limit(0)).count() == 0
 
 
+def test_neighbours_of_a_repeated_id(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(100)] + [(7, [1.0, 0.0, 0.0, 0.0])] * 50
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cand = ann.numbered(ann.valid_vectors(df, "vec_id", "embedding"))
+    sizes = [r["count"] for r in ann.deal(cand, ["row"], "c", 5, "r", 1).groupBy("c").count().collect()]
+    assert len(sizes) == 5 and max(sizes) < 50  # no block holds all rows of the repeated id
+    got = ann.nearest(df, df.where("vec_id in (3, 7)"), k=60, query_block=10, candidate_block=16).collect()
+    have = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == 3)
+    want = sorted(((float(np.cumsum(np.array(v) * rows[3][1])[-1]), i) for i, v in rows if i != 3), key=lambda x: (-x[0], x[1]))
+    assert [(i, s) for _, i, s in have] == [(i, s) for s, i in want[:60]]
+    assert not [r for r in got if r.query_id == 7 and r.vec_id == 7]
+
+
 # ----------------------------------------------------------------- chat
 
 def test_chat_rotation(spark):
