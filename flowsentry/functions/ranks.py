@@ -9,7 +9,9 @@ the whole table in one task. Everything here splits the order first:
   a size-checked broadcast; ``row_number`` then runs inside (group, bucket).
 * quota selection: the (hash, key) pair at each cut is found from the bucket
   counts and the few rows of the bucket that straddles it; the selection is then
-  a narrow comparison with literals, without a join, a union or a window.
+  a narrow comparison with literals, without a join, a union or a window. Only
+  where a cut falls between rows of the same key are these rows written, numbered
+  and cut by themselves.
 * value-ordered cumulative sums (AUC, ROC): the distinct values are split into
   ranges by approximate quantile edges (exact order is kept: equal values fall
   into the same range), ranges are cumulated, then each range is windowed on
@@ -136,10 +138,16 @@ def bucketed_rank(df: DataFrame, by=None, h: str = HASH_COL, key: str = "row_id"
 def cut_keys(df: DataFrame, by, cuts: dict, h: str = HASH_COL, key: str = "row_id",
              digits: int = BUCKET_DIGITS, counts=None) -> dict:
     """{group: [(hash, key) of the row at each cut's rank]}; rank 0 and below gives a
-    pair before, a rank past the group one after all rows.
+    pair before, a rank past the group one after all rows."""
+    return {g: [x[:2] for x in found] for g, found in _cut_places(df, by, cuts, h, key, digits, counts).items()}
+
+
+def _cut_places(df: DataFrame, by, cuts: dict, h: str, key: str, digits: int, counts) -> dict:
+    """{group: [(hash, key, place, n)]}: ``cut_keys`` with the place of the cut among the
+    ``n`` rows that share the pair.
 
     From the bucket counts; a bucket with a cut in it is counted again by longer
-    prefixes while it is large, then its rows are looked at.
+    prefixes while it is large, up to the whole hash, then its pairs are looked at.
     """
     by = _by_list(by)
     counts = bucket_counts(df, by, h, digits) if counts is None else counts
@@ -153,27 +161,35 @@ def cut_keys(df: DataFrame, by, cuts: dict, h: str = HASH_COL, key: str = "row_i
                 todo.append((g, i, b, rank, n))
                 return
             rank -= n
-        out[g][i] = ("~", "")
+        out[g][i] = ("~", "", 0, 0)
 
     for g, buckets in per.items():
-        out[g] = [("", "")] * len(cuts.get(g, ()))
+        out[g] = [("", "", 0, 0)] * len(cuts.get(g, ()))
         for i, c in enumerate(cuts.get(g, ())):
             if c > 0:
                 find(g, i, c, buckets)
     inside = lambda g, b: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, g)]
                                  + [F.col(h).startswith(b)])
     some = lambda todo: reduce(lambda x, y: x | y, [inside(g, b) for g, b in {t[:1] + t[2:3] for t in todo}])
-    while todo and sum(n for *_, n in {(t[0], t[2], t[4]) for t in todo}) > REFINE_DIRECT_ROWS:
+    size = 0
+    while (any(len(t[2]) >= size for t in todo)  # shorter: the whole hash
+           and sum(n for *_, n in {(t[0], t[2], t[4]) for t in todo}) > REFINE_DIRECT_ROWS):
         size = max(len(t[2]) for t in todo) + 2
         longer = bucket_counts(df.where(some(todo)), by, h, size)
         old, todo = todo, []
         for g, i, b, rank, _ in old:
             find(g, i, rank, [(p, n) for q, p, n in longer if q == g and p.startswith(b)])
     if todo:
-        rows = df.where(some(todo)).select(*by, h, F.col(key).cast("string").alias("_key")).collect()
+        rows = (df.where(some(todo)).groupBy(*by, F.col(h).alias("_hash"), F.col(key).cast("string").alias("_key"))
+                .agg(F.count(F.lit(1)).alias("_n")).collect())
         for g, i, b, rank, _ in todo:
-            mine = sorted((r[h], r["_key"]) for r in rows if tuple(r[c] for c in by) == g and r[h].startswith(b))
-            out[g][i] = mine[rank - 1]
+            mine = sorted((r["_hash"], r["_key"], r["_n"]) for r in rows
+                          if tuple(r[c] for c in by) == g and r["_hash"].startswith(b))
+            for hash_, key_, n in mine:
+                if rank <= n:
+                    out[g][i] = (hash_, key_, rank, n)
+                    break
+                rank -= n
     return out
 
 
@@ -186,22 +202,44 @@ def assign_segments(df: DataFrame, by, cuts: dict, h: str = HASH_COL,
     ``cuts[group] = [c1, c2, ...]`` (cumulative, ascending): rank <= c1 -> 0,
     c1 < rank <= c2 -> 1, ..., above the last cut -> len(cuts). Groups missing
     from ``cuts`` use ``default_cuts``. A row is compared with the literal
-    (hash, key) pairs at the cuts; rows that share a key are on the same side.
+    (hash, key) pairs at the cuts. Where a cut falls between rows that share a key,
+    these are ordered by the hash of all their columns (rows equal in all of them are
+    interchangeable), so that the sizes are exact.
     """
     by = _by_list(by)
     counts = bucket_counts(df, by, h, digits) if counts is None else counts
     groups = {g for g, _, _ in counts}
     wanted = {g: list(cuts.get(g, default_cuts)) for g in groups}
-    found = cut_keys(df, by, wanted, h, key, digits, counts)
+    found = _cut_places(df, by, wanted, h, key, digits, counts)
     k = F.col(key).cast("string")
-    seg = None
+    seg, ties = None, []
     for g, pairs in found.items():
-        past = [F.when((F.col(h) > ch) | ((F.col(h) == ch) & (k > ck)), 1).otherwise(0) for ch, ck in pairs]
+        past = [F.when((F.col(h) > ch) | ((F.col(h) == ch) & (k > ck)), 1).otherwise(0) for ch, ck, *_ in pairs]
         n = reduce(lambda x, y: x + y, past, F.lit(0))
         here = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, g)], F.lit(True))
+        for ch, ck in sorted({x[:2] for x in pairs if x[2] < x[3]}):
+            # cuts before the tie are passed by all its rows, cuts after it by none
+            before = sum(x[:2] < (ch, ck) for x in pairs)
+            inside = [x[2] for x in pairs if x[:2] == (ch, ck)]
+            ties.append((F.coalesce(here & (F.col(h) == ch) & (k == ck), F.lit(False)), before, inside))
         seg = F.when(here, n) if seg is None else seg.when(here, n)
     seg = seg.otherwise(F.lit(len(default_cuts))) if seg is not None else F.lit(0)
-    return df.withColumn(out, seg.cast("int"))
+    done = df
+    for tie, _, _ in ties:
+        done = done.where(~tie)
+    done = done.withColumn(out, seg.cast("int"))
+    for tie, before, inside in ties:
+        own = assign_segments(_numbered(df.where(tie)), [], {(): inside}, "_place", "_place", "_inside", digits)
+        done = done.unionByName(own.withColumn(out, (F.col("_inside") + before).cast("int")).drop("_place", "_inside"))
+    return done
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Written with ``_place``, a text of its own for every row: the hash of its columns, a number."""
+    from flowsentry.llm.common import materialise  # the samplers load without that subpackage
+    number = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
+    content = F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))))
+    return materialise(rows.withColumn("_place", F.concat(content, number)), "tied-rows")
 
 
 def select_quota(df: DataFrame, by, quotas: dict, **kw) -> DataFrame:

@@ -68,6 +68,22 @@ def test_cut_keys_refine_large_buckets(spark, monkeypatch):
         assert got == [("", ""), order[0], order[n // 3 - 1], order[-1], ("~", "")]
 
 
+@pytest.mark.parametrize("direct", [5, 50_000])
+@pytest.mark.parametrize("equal", [True, False])
+def test_quotas_are_exact_with_a_repeated_key(spark, monkeypatch, direct, equal):
+    monkeypatch.setattr(R, "REFINE_DIRECT_ROWS", direct)
+    rows = [(f"r{i}", i % 2, float(i)) for i in range(200)] + [("hot", 0, 0.5 if equal else float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id string, y int, x double").repartition(5)
+    at = sorted(r.h for r in with_hash(df).collect()).index(with_hash(df).where("row_id = 'hot'").first().h)
+    cuts = [at, at + 10, at + 60, at + 120]
+    got = R.assign_segments(with_hash(df), [], {(): cuts}).collect()
+    sizes = [sum(r.segment == i for r in got) for i in range(5)]
+    assert sizes == [at, 10, 50, 60, 300 - cuts[-1]]
+    assert sorted((r.row_id, r.y, r.x) for r in got) == sorted(rows)
+    assert sorted((r.h, r.segment) for r in got) == [(h, sum(c < i + 1 for c in cuts)) for i, h in enumerate(sorted(r.h for r in got))]
+    assert P.random_rows(df, at + 30).count() == at + 30
+
+
 def test_sampling_is_one_narrow_pass(spark):
     li = li_flows(spark, SF_SMALL)
     for df in (P.stratified_sample(li, "label", 0.2), P.stratified_split(li), P.balanced_flag(li)):
