@@ -10,9 +10,10 @@ neither cores, partitions nor rows decide it, so neither change the result). A
 row's shard, and its place in the shard's order, come from the hash of its
 key. An epoch has ``syncs`` rounds; in each, every shard runs minibatch Adam
 over its next stretch of rows, read in order and a minibatch at a time, and
-the weights and Adam moments are averaged by rows. The averages are sums over
-the vectors' parts by a shuffle, so what reaches the driver is one vector,
-however many shards there are. Rows are laid out once and never move again.
+the weights and Adam moments are averaged by rows. Every shard has a task of its
+own, and the driver gets its three vectors and adds them up in the shards' order:
+as many rows as shards, of a length that only the topology decides. Rows are laid
+out once and never move again.
 """
 
 from __future__ import annotations
@@ -162,6 +163,18 @@ class AEModel:
         return df.select(*cols).mapInPandas(run, schema)
 
 
+def sharded(train: DataFrame, features: list[str], shards: int, syncs: int, seed: int = 42,
+            key: str = "row_id") -> DataFrame:
+    """The rows laid out for training: partition i holds shard i, in its order."""
+    order = hash_order(seed, "_key")
+    # digits 1-6 of the hash give the shard, 7-12 the round it is seen in, the rest the order
+    digits = lambda at: F.conv(F.substring(order, at, 6), 16, 10).cast("long")
+    return (train.select(F.col(key).cast("string").alias("_key"), *(F.col(c).cast("double").alias(c) for c in features))
+            .select(F.pmod(digits(1), F.lit(shards)).cast("int").alias("_shard"),
+                    F.pmod(digits(7), F.lit(syncs)).cast("int").alias("_round"), order.alias("_h"), "_key", *features)
+            .repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "_round", "_h", "_key"))
+
+
 def fit_autoencoder(train: DataFrame, val: DataFrame, features: list[str], max_epochs: int = 100,
                     patience: int = 5, min_delta: float = 1e-6, lr: float = 1e-3,
                     batch: int = 64, shards: int = SHARDS, syncs: int = SYNCS, seed: int = 42,
@@ -169,16 +182,8 @@ def fit_autoencoder(train: DataFrame, val: DataFrame, features: list[str], max_e
     """Train on ``train`` rows, early-stop on ``val`` rows (same class)."""
     spark = train.sparkSession
     d = len(features)
-    feats = [F.col(c).cast("double").alias(c) for c in features]
-    order = hash_order(seed, "_key")
-    # digits 1-6 of the hash give the shard, 7-12 the round it is seen in, the rest the order
-    digits = lambda at: F.conv(F.substring(order, at, 6), 16, 10).cast("long")
-    data = (train.select(F.col(key).cast("string").alias("_key"), *feats)
-            .select(F.pmod(digits(1), F.lit(shards)).cast("int").alias("_shard"),
-                    F.pmod(digits(7), F.lit(syncs)).cast("int").alias("_round"), order.alias("_h"), "_key", *features)
-            .repartition(shards, "_shard").sortWithinPartitions("_shard", "_round", "_h", "_key")
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    held = val.select(*feats).persist(StorageLevel.MEMORY_AND_DISK)
+    data = sharded(train, features, shards, syncs, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
+    held = val.select(*(F.col(c).cast("double").alias(c) for c in features)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def round_of(theta, m, v, t, number):
         """One round: weights and moments averaged by rows, steps, rows, summed loss."""

@@ -158,6 +158,16 @@ def test_autoencoder_same_on_any_layout(spark):
         assert np.allclose(h, runs[0], rtol=1e-9)
 
 
+@pytest.mark.parametrize("shards", [4, 7])
+def test_autoencoder_shards_have_tasks_of_their_own(spark, shards):
+    df, cols = planted(spark, n=300)
+    laid = AE.sharded(df, cols, shards, 2).persist()
+    got = laid.select(F.spark_partition_id().alias("p"), "_shard").distinct().collect()
+    assert laid.count() == df.count()
+    laid.unpersist()
+    assert sorted((r.p, r["_shard"]) for r in got) == [(i, i) for i in range(shards)]
+
+
 def test_autoencoder_minibatches_and_empty():
     import pandas as pd
     frames = [pd.DataFrame({"a": np.arange(n, dtype=float)}) for n in (0, 5, 1, 9)]
