@@ -10,7 +10,8 @@ compared word by word with the text. A window with a term that the corpus
 lacks is dropped before any list is read. Everything is DataFrame expressions.
 
 ``phrase_hits`` returns exact phrase matches, ``proximity_matches`` the places
-where the rarest terms of an item stand close together in any order.
+where the rarest terms of an item stand close together in any order, ``hits`` the
+first with the number of items met by the second, from the same postings.
 
 Defined results: a null text has no words; a document is told by (id, hash of
 its text), nulls equal, so that repeated ids with different texts are kept
@@ -23,11 +24,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from flowsentry.llm.common import ascii_lower, materialise
 
 WINDOW = 10
 PROBES = 3
+N_TERMS = 3
+WITHIN = 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -98,10 +102,8 @@ def alignments(items: DataFrame, postings: DataFrame, terms: DataFrame, window:
     return found.select(*key, "item_id", "shift").distinct()
 
 
-def _matching(docs, benchmark, id_col, text_col, item_col, window, probes) -> DataFrame:
+def _matching(items, postings, terms, window, probes) -> DataFrame:
     """(d_, k_, found): the alignments of every document that has some, with the items' words."""
-    items = benchmark_items(benchmark, item_col)
-    postings, terms = build_index(docs, items, id_col, text_col)
     found = alignments(items, postings, terms, window, probes)
     # the alignments of a document: no more than its postings of the rarest terms
     per_doc = (found.join(items.select("item_id", F.col("words").alias("item")), "item_id")
@@ -137,12 +139,18 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """For every row of ``docs``: doc_id, n_words, n_hit (words inside an occurrence of a
     window), items (sorted ids, as strings, of the items with an occurring window), and
     ``spans`` (item_id, start, length), one for each occurrence of a window."""
-    per_doc = _matching(docs, benchmark, id_col, text_col, item_col, window, probes)
-    rows = _documents(docs, id_col, text_col).join(per_doc, _same_document(), "left")
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), _spans(window, F.col("words")).alias("spans"))
+    items = benchmark_items(benchmark, item_col)
+    index = (items, *build_index(docs, items, id_col, text_col))
+    return _phrase_hits(docs, index, id_col, text_col, window, probes).drop("text_key")
+
+
+def _phrase_hits(docs, index, id_col, text_col, window, probes) -> DataFrame:
+    """``phrase_hits`` and text_key, from a stored index."""
+    rows = _documents(docs, id_col, text_col).join(_matching(*index, window, probes), _same_document(), "left")
+    rows = rows.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), _spans(window, F.col("words")).alias("spans"))
     hit = F.array_distinct(F.flatten(F.transform(
         "spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
-    return rows.select("doc_id", "n_words",
+    return rows.select("doc_id", "text_key", "n_words",
                        F.when(F.size("spans") > 0, F.size(hit)).otherwise(0).cast("long").alias("n_hit"),
                        F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))).alias("items"),
                        "spans")
@@ -151,7 +159,8 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          item_col: str = "item_id", window: int = WINDOW, probes: int = PROBES) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
-    per_doc = _matching(docs, benchmark, id_col, text_col, item_col, window, probes)
+    items = benchmark_items(benchmark, item_col)
+    per_doc = _matching(items, *build_index(docs, items, id_col, text_col), window, probes)
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(text_col).alias("text"))
     rows = rows.withColumns({"doc_id": F.col(f"row.`{id_col}`"), "text_key": F.xxhash64(F.col("text").cast("string"))})
@@ -160,32 +169,42 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
         *(F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, n_terms: int = 3, within: int = 20,
+def _near_items(items: DataFrame, postings: DataFrame, terms: DataFrame, n_terms: int, within: int) -> DataFrame:
+    """``proximity_matches`` from a stored index."""
+    need = items.select("item_id", "words", F.explode(F.array_distinct("words")).alias("term")).join(terms, "term", "left")
+    rare = F.slice(F.array_sort(F.collect_list(F.struct(
+        F.coalesce("freq", F.lit(0)).alias("freq"), "term", "term_id"))), 1, n_terms)
+    plan = need.groupBy("item_id", "words").agg(rare.alias("r")).where(F.col("r")[0]["freq"] > 0)
+    plan = materialise(plan.select("item_id", "r", F.monotonically_increasing_id().alias("plan_id")), "proximity-probes")
+    uses = plan.select("item_id", "plan_id", F.size("r").alias("n"), F.posexplode("r").alias("slot", "o")).select(
+        "item_id", "plan_id", "n", "slot", F.col("o.term_id").alias("term_id"))
+    met = postings.join(uses, "term_id").drop("term_id").distinct()  # repeated rows count once
+    # a document's words around a place
+    around = Window.partitionBy("doc_id", "text_key", "plan_id").orderBy("pos").rangeBetween(-within, within)
+    return (met.withColumn("m", F.size(F.collect_set("slot").over(around)))
+            .where((F.col("slot") == 0) & (F.col("m") == F.col("n")))
+            .select("doc_id", "text_key", "item_id", "pos").distinct())
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, n_terms: int = N_TERMS, within: int = WITHIN,
                       id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, text_key, item_id, pos): places of an item's rarest term with the next
     ``n_terms`` - 1 rarest of its different terms at most ``within`` words away, in any
-    order. Items with fewer different terms need all they have; a term that the corpus
-    lacks makes an item match nowhere."""
+    order; equally rare terms in their own order. Items with fewer different terms need
+    all they have; a term that the corpus lacks makes an item match nowhere."""
     items = benchmark_items(benchmark, item_col)
-    postings, terms = build_index(docs, items, id_col, text_col)
-    need = items.select("item_id", F.explode(F.array_distinct("words")).alias("term")).join(terms, "term", "left")
-    rare = F.slice(F.array_sort(F.collect_list(F.struct(
-        F.coalesce("freq", F.lit(0)).alias("freq"), F.coalesce("term_id", F.lit(-1)).alias("term_id")))), 1, n_terms)
-    plan = need.groupBy("item_id").agg(rare.alias("r")).where(F.col("r")[0]["freq"] > 0)
-    plan = materialise(plan, "proximity-probes")
-    key = ["doc_id", "text_key", "item_id", "pos"]
-    first = postings.join(plan.select("item_id", F.col("r")[0]["term_id"].alias("term_id"),
-                                      F.size("r").alias("n")), "term_id").drop("term_id")
-    others = plan.select("item_id", F.explode(F.slice("r", 2, n_terms)).alias("o")).select(
-        F.col("item_id").alias("i_"), F.col("o.term_id").alias("term_id"))
-    cell = lambda c: F.floor(F.col(c) / within)
-    near = (postings.join(others, "term_id")
-            .withColumn("cell_", F.explode(F.array(*(cell("pos") + d for d in (-1, 0, 1)))))
-            .select(F.col("doc_id").alias("d_"), F.col("text_key").alias("k_"), "i_", "cell_",
-                    F.col("pos").alias("pos_"), F.col("term_id").alias("t_")))
-    met = first.withColumn("cell", cell("pos")).join(
-        near, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("text_key").eqNullSafe(F.col("k_"))
-        & (F.col("item_id") == F.col("i_")) & (F.col("cell") == F.col("cell_"))
-        & (F.abs(F.col("pos") - F.col("pos_")) <= within), "left")
-    return (met.groupBy(*key, "n").agg(F.count_distinct("t_").alias("m"))
-            .where(F.col("m") == F.col("n") - 1).select(*key))
+    return _near_items(items, *build_index(docs, items, id_col, text_col), n_terms, within)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+         window: int = WINDOW, probes: int = PROBES, n_terms: int = N_TERMS, within: int = WITHIN) -> DataFrame:
+    """``phrase_hits`` and ``n_near``, the number of items with a proximity match in the
+    row, both from one index."""
+    items = benchmark_items(benchmark, item_col)
+    index = (items, *build_index(docs, items, id_col, text_col))
+    near = _near_items(*index, n_terms, within).select("doc_id", "text_key", "item_id").distinct()
+    near = materialise(near.groupBy("doc_id", "text_key").agg(F.count("*").alias("n_near"))
+                       .withColumnsRenamed({"doc_id": "d_", "text_key": "k_"}), "near-items")
+    found = _phrase_hits(docs, index, id_col, text_col, window, probes)
+    return found.join(near, _same_document(), "left").drop("d_", "k_", "text_key").withColumn(
+        "n_near", F.coalesce("n_near", F.lit(0).cast("long")))

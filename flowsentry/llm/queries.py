@@ -32,10 +32,10 @@ def op1_substring_dedup(spark, sf_dir):
 
 @query("op2_decontam")
 def op2_decontam(spark, sf_dir):
-    found = decontam.phrase_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                        (F.col("n_hit") > 0).alias("contaminated"))
+                        (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 @query("op3_secrets")

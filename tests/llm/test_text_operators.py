@@ -101,6 +101,52 @@ def test_proximity(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 9)}
 
 
+def near_places(rows, items, n_terms=3, within=20):
+    """(doc, item, pos) by brute force; the corpus frequency decides what is rare."""
+    texts = [(d, H.TERM.findall(H.lower(t))) for d, t in rows]
+    freq = {}
+    for _, ws in texts:
+        for w in ws:
+            freq[w] = freq.get(w, 0) + 1
+    out = set()
+    for i, t in items:
+        terms = sorted((freq.get(w, 0), w) for w in set(H.TERM.findall(H.lower(t))))[:n_terms]
+        if not terms or not terms[0][0]:
+            continue
+        for d, ws in texts:
+            for pos, w in enumerate(ws):
+                if w == terms[0][1] and {x for _, x in terms} <= set(ws[max(0, pos - within):pos + within + 1]):
+                    out.add((d, i, pos))
+    return out
+
+
+@pytest.mark.parametrize("n_terms,within", [(3, 20), (2, 1), (4, 7)])
+def test_proximity_equals_brute_force(spark, n_terms, within):
+    rows = corpus(2)
+    items, table = bench(spark, rows)
+    docs = H.docs_frame(spark, rows, extra=("n", "slot", "n_near")).repartition(3)
+    want = near_places(rows, items, n_terms, within)
+    got = decontam.proximity_matches(docs, table, n_terms=n_terms, within=within).collect()
+    assert {(r.doc_id, r.item_id, r.pos) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_query_counts_near_items(spark):
+    from flowsentry.llm import queries
+    from flowsentry.session import scratch_path
+    rows = corpus(2)
+    items, table = bench(spark, rows)
+    repeated = rows + [rows[0], rows[0], (None, "the"), (1, "the")]
+    sf = scratch_path(spark, "op2-test")
+    H.docs_frame(spark, repeated).write.parquet(f"{sf}/documents.parquet")
+    table.write.parquet(f"{sf}/benchmark.parquet")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_near) for r in queries.QUERIES["op2_decontam"](spark, sf).collect()))
+    # each row by a number of its own
+    near = {}
+    for d, i, _ in near_places([(k, t) for k, (_, t) in enumerate(repeated)], items):
+        near.setdefault(d, set()).add(i)
+    assert got == sorted((d is None, d or 0, len(H.TERM.findall(H.lower(t))), len(near.get(k, ()))) for k, (d, t) in enumerate(repeated))
+
+
 SECRETS = [
     None, "", "nothing here", "password=abc", 'PASSWD : "abcdef"', "token=token:abcdef1", "secret=a token = bcdefgh",
     "apikey=123456 api_key='x.y-z/+_='", "AKIA" + "A1" * 9 + " AKIAAKIA" + "Z" * 20, "x" + "0f" * 12 + "g" + "ab" * 11,
