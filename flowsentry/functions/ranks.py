@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsentry.functions.hashing import BUCKET_DIGITS, HASH_COL, hash_bucket
+from flowsentry.session import materialise
 
 #: rows a lookup table may have before it is joined without a broadcast
 BROADCAST_MAX_ROWS = 2_000_000
@@ -236,7 +237,6 @@ def assign_segments(df: DataFrame, by, cuts: dict, h: str = HASH_COL,
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """Written with ``_place``, a text of its own for every row: the hash of its columns, a number."""
-    from flowsentry.llm.common import materialise  # the samplers load without that subpackage
     number = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
     content = F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))))
     return materialise(rows.withColumn("_place", F.concat(content, number)), "tied-rows")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -66,8 +66,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique path below the shared folder for an intermediate table."""
-    return f"{shared_dir(spark).rstrip('/')}/flowsentry/{name}-{uuid.uuid4().hex[:12]}"
+    """A unique path below the shared folder for an intermediate table; what is
+    written there goes when the application ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/flowsentry/{name}-{uuid.uuid4().hex[:12]}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jpath)
+    fs.deleteOnExit(jpath)
+    return folder + "/data"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back.
+
+    Cuts lineage at a point that survives lost executors, and gives the
+    optimizer true sizes.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set = set()
