@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsentry.llm import ann, chat, decontam, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, warc
+from flowsentry.llm import ann, chat, decontam, line_dedup, packing, quality, secret_scan, simhash, source_audit, substring_dedup, warc
 from flowsentry.llm.common import table
 from flowsentry.session import scratch_path
 
@@ -151,3 +151,32 @@ def op8_quality(spark, sf_dir):
     return quality.score(docs, model, ["doc_id"]).select(
         "doc_id", quality.held_out().alias("held_out"), "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op13_source_audit", r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+o AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM o GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(total) AS n FROM k GROUP BY lang),
+c AS (SELECT o.lang, source, o.term, CAST(count(*) AS HUGEINT) AS c FROM o JOIN k ON o.lang = k.lang AND o.term = k.term
+  GROUP BY o.lang, source, o.term),
+s AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (SELECT g.lang, g.source, k.term, total, coalesce(c, 0) AS c,
+    1 + (1000000000 * (coalesce(c, 0) + 2)) // (coalesce(s.n, 0) + 2 * v) AS p,
+    1 + (1000000000 * (total + 2)) // (v.n + 2 * v) AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang
+    LEFT JOIN s ON g.lang = s.lang AND g.source = s.source
+    LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+e AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(e.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN e ON e.lang = a.lang AND e.source = a.source AND e.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 10""")
+def op13_source_audit(spark, sf_dir):
+    return source_audit.audit(table(spark, sf_dir, "documents"))
