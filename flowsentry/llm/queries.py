@@ -7,7 +7,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsentry.llm import ann, chat, decontam, line_dedup, packing, quality, secret_scan, simhash, source_audit, substring_dedup, warc
+from flowsentry.llm import (
+    ann,
+    chat,
+    decontam,
+    line_dedup,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+    source_audit,
+    substring_dedup,
+    token_alignment,
+    warc,
+)
 from flowsentry.llm.common import table
 from flowsentry.session import scratch_path
 
@@ -153,6 +166,13 @@ def op8_quality(spark, sf_dir):
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    import public_tokenizers
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op13_source_audit", r"""
 WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
