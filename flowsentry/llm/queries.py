@@ -12,6 +12,7 @@ from flowsentry.llm import (
     chat,
     decontam,
     line_dedup,
+    ngram_join,
     packing,
     quality,
     secret_scan,
@@ -166,6 +167,21 @@ def op8_quality(spark, sf_dir):
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op11_ngram_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS found FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.found = l.a)
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(found) AS component_id
+FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id""")
+def op11_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op12_token_alignment")
 def op12_token_alignment(spark, sf_dir):
     import public_tokenizers

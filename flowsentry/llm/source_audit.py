@@ -107,8 +107,8 @@ def count_terms(raw, starts, size, doc, group):
             out.append((at[row], n, docs))
     long = np.flatnonzero(size > 16)
     long = long[np.argsort(size[long], kind="stable")]
-    cuts = np.flatnonzero(np.diff(size[long], prepend=0))
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(long)), strict=True):
+    cuts = np.append(np.flatnonzero(np.diff(size[long], prepend=0)), len(long))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         at = long[lo:hi]
         width = int(size[at[0]])
         key = np.frombuffer(raw[(starts[at][:, None] + np.arange(width)).ravel()].tobytes(), dtype=f"S{width}")
