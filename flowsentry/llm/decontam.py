@@ -146,7 +146,9 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 def _phrase_hits(docs, index, id_col, text_col, window, probes) -> DataFrame:
     """``phrase_hits`` and text_key, from a stored index."""
-    rows = _documents(docs, id_col, text_col).join(_matching(*index, window, probes), _same_document(), "left")
+    # grows with the corpus, and repeated words make it far larger than its file
+    found = _matching(*index, window, probes).hint("merge")
+    rows = _documents(docs, id_col, text_col).join(found, _same_document(), "left")
     rows = rows.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), _spans(window, F.col("words")).alias("spans"))
     hit = F.array_distinct(F.flatten(F.transform(
         "spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
@@ -164,7 +166,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(text_col).alias("text"))
     rows = rows.withColumns({"doc_id": F.col(f"row.`{id_col}`"), "text_key": F.xxhash64(F.col("text").cast("string"))})
-    rows = rows.join(per_doc, _same_document(), "left")
+    rows = rows.join(per_doc.hint("merge"), _same_document(), "left")
     return rows.where(F.size(_spans(window, words(F.col("text")))) == 0).select(
         *(F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns))
 
@@ -206,5 +208,5 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     near = materialise(near.groupBy("doc_id", "text_key").agg(F.count("*").alias("n_near"))
                        .withColumnsRenamed({"doc_id": "d_", "text_key": "k_"}), "near-items")
     found = _phrase_hits(docs, index, id_col, text_col, window, probes)
-    return found.join(near, _same_document(), "left").drop("d_", "k_", "text_key").withColumn(
+    return found.join(near.hint("merge"), _same_document(), "left").drop("d_", "k_", "text_key").withColumn(
         "n_near", F.coalesce("n_near", F.lit(0).cast("long")))

@@ -180,7 +180,7 @@ def deleted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without the later copies of repeated line runs, and ``deleted_runs``:
-    array of (start, end) line numbers of the text before."""
+    array of (start, end) line numbers of the text before (it replaces a column of that name)."""
     runs = materialise(deleted_runs(docs, id_col, text_col, min_lines, min_chars), "line-runs")
     runs = runs.withColumnsRenamed({"doc_id": "d_", "text_key": "k_"})
     text = F.col(text_col).cast("string")
@@ -197,5 +197,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.withColumn("kept", F.when(F.col("runs").isNull(), F.col("text"))
                          .otherwise(F.array_join(F.flatten(between), "\n")))
     return out.select(
-        *(F.col("kept" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns),
+        *(F.col("kept" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns if c != "deleted_runs"),
         F.coalesce("runs", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("deleted_runs"))

@@ -42,16 +42,18 @@ def load_encoding(blob: bytes):
     """An encoder giving the ids of the byte-level BPE file ``blob``.
 
     The ids are those of the ``tokenizers`` library (tested); its merges are
-    in id order, so that the ids are the ranks that tiktoken takes.
+    in id order, so that the ids are the ranks that tiktoken takes. The file's
+    added tokens are the encoder's special tokens.
     """
     import public_tokenizers
     import tiktoken
-    model = json.loads(blob)["model"]
+    read = json.loads(blob)
+    model, added = read["model"], {t["content"]: t["id"] for t in read["added_tokens"]}
     back = _byte_of_char()
     ranks = {bytes(back[c] for c in tok): i for tok, i in model["vocab"].items()
-             if all(c in back for c in tok) and not tok.startswith("<|")}
+             if all(c in back for c in tok) and tok not in added}
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN,
-                             mergeable_ranks=ranks, special_tokens={})
+                             mergeable_ranks=ranks, special_tokens=added)
 
 
 _ENCODING: dict[int, object] = {}
@@ -80,7 +82,8 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for batch in batches:
             n, ids, start = [], [], []
             for text in batch.column(1):
-                tokens = enc.encode_ordinary(text.as_py() or "")
+                # the strings of added tokens are cut out first, like the library does by default
+                tokens = enc.encode(text.as_py() or "", allowed_special="all", disallowed_special=())
                 tokens.append(end_id)
                 ids.append(np.array(tokens, dtype=kind).tobytes())
                 n.append(len(tokens))

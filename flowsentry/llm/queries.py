@@ -38,7 +38,17 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w),
+n AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS run FROM s),
+f AS (SELECT run, min(doc_id) AS first FROM n GROUP BY run),
+g AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS i FROM n JOIN f ON n.run = f.run AND first < doc_id),
+p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+k AS (SELECT p.doc_id, count(g.i) AS n_removed, string_agg(x, ' ' ORDER BY p.i) FILTER (g.i IS NULL) AS kept
+  FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id""")
 def op1_substring_dedup(spark, sf_dir):
     found = substring_dedup.mark(table(spark, sf_dir, "documents"), window=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -107,7 +117,7 @@ def op6_warc(spark, sf_dir):
     path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
-    number = lambda c: F.when(page(c) != "", page(c).cast("long"))
+    number = lambda c: F.when(page(c) != "", page(c).try_cast("long"))
     return warc.read_warc(spark, path).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest",
         F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))

@@ -122,7 +122,7 @@ class Block:
         """(row, shard, cells) to send."""
         for row in range(depth):
             key = self._row(row, shards, shard_cells)[2]
-            for s, part in _by_shard(key >> _U(32), shards):
+            for s, part in _by_shard(key >> _U(32)):
                 yield row, s, (key[part] & _U(0xFFFFFFFF)).astype(np.int64)
 
     def candidates(self, answers, shards, shard_cells, depth):
@@ -132,7 +132,7 @@ class Block:
         for row in range(depth):
             order, place, key = self._row(row, shards, shard_cells)
             bits = np.zeros(len(key), bool)
-            for s, part in _by_shard(key >> _U(32), shards):
+            for s, part in _by_shard(key >> _U(32)):
                 bits[part] = _bits(answers.get((row, s)), part.stop - part.start)
             yes[order] &= bits[place]
         return yes
@@ -154,7 +154,7 @@ class Block:
     def claims(self, yes, shards):
         """(shard, low, high, doc) to send: the different candidate windows."""
         one = self.groups(yes)[2]
-        for s, part in _by_shard(self.shard(self.h[one], shards), shards):
+        for s, part in _by_shard(self.shard(self.h[one], shards)):
             c = one[part]
             yield s, self.h[c], (self.h2[c] >> _U(32)).astype(np.uint32), self.doc[c]
 
@@ -162,17 +162,17 @@ class Block:
         """The windows that also start in an earlier document."""
         at, group, one = self.groups(yes)
         early = np.zeros(len(one), bool)
-        for s, part in _by_shard(self.shard(self.h[one], shards), shards):
+        for s, part in _by_shard(self.shard(self.h[one], shards)):
             early[part] = _bits(answers.get(s), part.stop - part.start)
         out = np.zeros(len(self.h), bool)
         out[at] = early[group] | (self.doc[at] > self.doc[one][group])
         return out
 
 
-def _by_shard(shard, shards):
+def _by_shard(shard):
     """(shard, slice) of a sorted array of shards."""
-    at = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-    return [(s, slice(int(at[s]), int(at[s + 1]))) for s in range(shards) if at[s] < at[s + 1]]
+    at = [*np.flatnonzero(np.diff(shard.astype(np.int64), prepend=-1)).tolist(), len(shard)]  # only shards that are met
+    return [(int(shard[lo]), slice(lo, hi)) for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
 
 def _bits(data, n):

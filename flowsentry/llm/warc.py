@@ -97,7 +97,8 @@ def _pieces(spark: SparkSession, path) -> DataFrame:
     return (spark.read.option("lineSep", MAGIC).text(path)
             .select(F.col("_metadata.file_path").alias("file"),
                     F.col("_metadata.file_block_start").alias("block"),
-                    F.octet_length("value").cast("long").alias("n"), "value"))
+                    F.octet_length("value").cast("long").alias("n"), "value",
+                    F.col("_metadata.file_size").alias("file_size")))
 
 
 def _join(left: DataFrame, right: DataFrame, on) -> DataFrame:
@@ -143,28 +144,28 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     and payload if asked for."""
     pieces = _pieces(spark, path)
     head = F.substring_index("value", STOP, 1)
-    cl = _field(head, "Content-Length").cast("long")
+    cl = _field(head, "Content-Length").try_cast("long")  # null: no number, or beyond 64 bits
     body_at = F.octet_length(head) + 4
-    block = F.expr("substring(cast(value as binary), body_at + 1, cast(cl as int))")
+    block = F.expr("substring(cast(value as binary), body_at + 1, cast(least(cl, n) as int))")
     http_head = F.octet_length(F.substring_index(F.col("body").cast("string"), STOP, 1)) + 4
     parsed = (pieces.withColumn("head", head).withColumn("cl", cl).withColumn("body_at", body_at)
               .withColumn("type", _field(F.col("head"), "WARC-Type"))
               # not a header: the piece belongs to the payload before it
-              .withColumn("ok", F.col("cl").isNotNull() & F.col("type").isNotNull()
-                          & (F.col("n") >= F.col("body_at")))
+              .withColumn("ok", F.coalesce(F.col("cl").between(0, F.col("file_size")), F.lit(False))
+                          & F.col("type").isNotNull() & (F.col("n") >= F.col("body_at")))
               .withColumn("body", F.when(F.col("ok"), block))
               .withColumn("http", F.coalesce(_field(F.col("head"), "Content-Type"), F.lit(""))
                           .startswith("application/http"))
               .withColumn("payload", F.when(F.col("http"), F.substring(
                   F.col("body"), http_head + 1, F.length("body"))).otherwise(F.col("body"))))
     fields = parsed.select(
-        "file", "block", "n", "ok", (F.col("body_at") + F.col("cl") + 4).alias("size"),
-        (F.col("n") >= F.col("body_at") + F.col("cl")).alias("whole"), "type",
+        "file", "block", "n", "ok", F.when(F.col("ok"), F.col("body_at") + F.col("cl") + 4).alias("size"),
+        F.when(F.col("ok"), F.col("n") >= F.col("body_at") + F.col("cl")).alias("whole"), "type",
         _field(F.col("head"), "WARC-Record-ID").alias("record_id"),
         _field(F.col("head"), "WARC-Refers-To").alias("refers_to"),
         _field(F.col("head"), "WARC-Target-URI").alias("url"),
         _field(F.col("head"), "WARC-Payload-Digest").alias("declared"),
-        _field(F.col("head"), "X-Payload-Length").cast("long").alias("declared_bytes"),
+        _field(F.col("head"), "X-Payload-Length").try_cast("long").alias("declared_bytes"),
         F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("digest"))
     rows = materialise(_offsets(fields), "warc-candidates")
 
@@ -215,7 +216,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                          (F.col("base") + F.col("at")).alias("offset"),
                          (F.col("base") + F.col("succ")).alias("succ"))
     records = materialise(_join(rows, chain, ["file", "block", "rel"]), "warc-records")
-    records = _stitched(spark, records, splits, with_payload)
+    records = _stitched(spark, path, rows, records, splits, with_payload)
     if with_payload:
         content = _offsets(parsed.select("file", "block", "n", "payload")).select(
             "file", "block", "rel", F.col("payload").alias("own_payload"))
@@ -231,21 +232,28 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     return out
 
 
-def _stitched(spark, records: DataFrame, splits: DataFrame, with_payload: bool) -> DataFrame:
+def _stitched(spark, path, rows: DataFrame, records: DataFrame, splits: DataFrame, with_payload: bool) -> DataFrame:
     """Digest and length of records whose payload holds magic, from all their
-    pieces. Only the files concerned are read again."""
-    broken = records.where(~F.col("whole"))
-    files = [r.file for r in broken.select("file").distinct().collect()]
-    extra = "payload binary"
-    if not files:
+    pieces. A piece belongs to the last record that starts at or before it: in its split, or
+    carried over from the splits before. The archive is read again only if there are any."""
+    if records.where(~F.col("whole")).isEmpty():
         return records.withColumn("payload", F.lit(None).cast("binary"))
-    base = splits.select("file", "block", "base")
-    part = (_offsets(_pieces(spark, files).withColumn("value", F.col("value").cast("binary")))
-            .join(base, ["file", "block"])
-            .select("file", (F.col("base") + F.col("rel") - len(MAGIC)).alias("at"), "value"))
-    spans = broken.select(F.col("file").alias("file_"), "offset", "succ")
-    owned = part.join(spans, (F.col("file") == F.col("file_")) & (F.col("at") >= F.col("offset"))
-                      & (F.col("at") < F.col("succ"))).drop("file_")
+    key = ["file", "block", "rel"]
+    starts = records.select(*key, F.struct("offset", "succ", "whole").alias("record"))
+    last = starts.groupBy("file", "block").agg(F.max("record").alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    carried = splits.select("file", "block", "base").join(last.hint("merge"), ["file", "block"], "left")
+    carried = carried.select("file", "block", "base", F.max("last").over(before).alias("carried"))
+    inside = Window.partitionBy("file", "block").orderBy("rel")  # the pieces of a split
+    owned = rows.select(*key).join(starts.hint("merge"), key, "left")
+    owned = owned.withColumn("record", F.last("record", ignorenulls=True).over(inside))
+    owned = owned.join(carried.hint("merge"), ["file", "block"]).withColumn("record", F.coalesce("record", "carried"))
+    at = F.col("base") + F.col("rel") - len(MAGIC)
+    owned = owned.where(~F.col("record.whole") & (at < F.col("record.succ"))).select(
+        *key, at.alias("at"), "record.offset", "record.succ")
+    owned = materialise(owned, "warc-broken")
+    parts = _offsets(_pieces(spark, path).withColumn("value", F.col("value").cast("binary")))
+    owned = parts.select(*key, "value").join(owned, key)
 
     def glue(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
@@ -259,7 +267,7 @@ def _stitched(spark, records: DataFrame, splits: DataFrame, with_payload: bool)
                              "payload": [body if with_payload else None]})
 
     fixed = owned.groupBy("file", "offset").applyInPandas(
-        glue, f"file string, offset long, n2 long, d2 string, {extra}")
+        glue, "file string, offset long, n2 long, d2 string, payload binary")
     return (records.join(fixed, ["file", "offset"], "left")
             .withColumn("payload_bytes", F.coalesce("n2", "payload_bytes"))
             .withColumn("digest", F.coalesce("d2", "digest")).drop("n2", "d2"))

@@ -1,6 +1,7 @@
 """Small tables and brute-force versions for the operators' tests."""
 
 import re
+from collections import Counter
 
 import xxhash
 
@@ -59,6 +60,21 @@ def benchmark_hits(rows, items, window=10):
     return out
 
 
+def near_items(rows, items, n_terms, within):
+    """doc_id -> number of items whose rarest terms stand close together."""
+    words = {d: TERM.findall(lower(t)) for d, t in rows}
+    freq = Counter(w for ws in words.values() for w in ws)
+    wanted = [sorted(set(TERM.findall(lower(t))), key=lambda w: (freq[w], w))[:n_terms] for _, t in items]
+    out = {}
+    for d, ws in words.items():
+        at = {}
+        for i, w in enumerate(ws):
+            at.setdefault(w, []).append(i)
+        out[d] = sum(any(all(any(abs(p - q) <= within for q in at.get(w, ())) for w in rare) for p in at.get(rare[0], ()))
+                     for rare in wanted if rare)
+    return out
+
+
 def fingerprint(text):
     w = SPACE_WORD.findall(lower(text))
     if not w:

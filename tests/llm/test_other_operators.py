@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from flowsentry.llm import ann, chat, packing, queries, quality, warc
+from flowsentry.llm import ann, chat, decontam, packing, queries, quality, warc
 from flowsentry.session import scratch_path, ship_package
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,7 +29,7 @@ def shipped(spark):
 
 def fake(i, n):
     """A whole record as it could stand in a payload."""
-    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {n}\r\n\r\n" + "f" * n + "\r\n\r\n"
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {n}\r\n\r\n" + "f" * min(n, 10 ** 6) + "\r\n\r\n"
 
 
 def pages():
@@ -37,6 +37,9 @@ def pages():
     rows = [(1, "http://a", "<p>x</p>"), (2, None, None), (3, "u\r\nEvil: 1", ""), (4, "http://d", big), (5, "e", big),
             (6, "f", big), (7, "g", fake(99, 50)), (8, "h", "a" + fake(98, 3) * 40 + "WARC/1.1\r\n"), (9, "i", "WARC/1.1\r\n"),
             (10, "j", fake(97, 10 ** 6)), (11, "k", "\r\n\r\nWARC/1.1\r\n\r\n"), (12, "l", "short"), (13, "m", "short"),
+            *((20 + i, f"q{i}", fake(96, n)[:200]) for i, n in enumerate([0, -1, 99999999999, 2 ** 63 - 1])),
+            *((30 + i, f"r{i}", f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {n}\r\nX-Payload-Length: {n}\r\n\r\nx" * 3)
+              for i, n in enumerate(["abc", "1" * 20, "-5", "", "1e3", "99999999999", "7"])),
             (14, "n", "z" * 300_000), (None, "o", "no id"), (15, "p", big[:-1] + "!"), (12, "l", "short")]
     rng = random.Random(2)
     return rows + [(100 + i, f"u{i}", "".join(rng.choice("ab\r\nWARC/1. ") for _ in range(rng.randint(0, 3000))))
@@ -82,8 +85,7 @@ def test_warc_of_nothing(spark):
 # -------------------------------------------------------------- packing
 
 def reference_ids(texts):
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(TOKENIZER)  # with its defaults: a special token's string is that token
     return [[*e.ids, 1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -138,7 +140,8 @@ def test_ids_are_those_of_tokenizers(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     with open(TOKENIZER, "rb") as f:
         enc = packing.load_encoding(f.read())
-    assert [[*enc.encode_ordinary(t), 1] for t in texts] == reference_ids(texts)
+    texts += ["<|endoftext|>", "a <|endoftext|> b", "  <|endoftext|>\n\n<|endoftext|>x", "<|endoftext", "<|<|endoftext|>|>"]
+    assert [[*enc.encode(t, allowed_special="all", disallowed_special=()), 1] for t in texts] == reference_ids(texts)
 
 
 # ----------------------------------------------------------- neighbours
@@ -226,20 +229,44 @@ def test_query_equals_sql(spark, name):
     assert ok, msg
 
 
-def test_digest_queries(spark):
-    sf = "/root/testdata/sf0.001"
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    want = {d: (n, g, sha(k)) for d, (n, g, k) in H.repeated_windows(rows).items()}
-    assert {r[0]: tuple(r[1:]) for r in queries.QUERIES["op1_substring_dedup"](spark, sf).collect()} == want
+SF = "/root/testdata/sf0.001"
+
+
+def texts(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def test_op1_query(spark):
+    want = {d: (n, g, sha(k)) for d, (n, g, k) in H.repeated_windows(texts(spark)).items()}
+    assert {r[0]: tuple(r[1:]) for r in queries.QUERIES["op1_substring_dedup"](spark, SF).collect()} == want
+
+
+def test_op2_query(spark):
+    rows = texts(spark)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {d: (n, h, len(i), sha(",".join(i)), h > 0) for d, (n, h, i) in H.benchmark_hits(rows, items).items()}
-    assert {r[0]: tuple(r[1:]) for r in queries.QUERIES["op2_decontam"](spark, sf).collect()} == want
+    got = queries.QUERIES["op2_decontam"](spark, SF).collect()
+    columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert {r.doc_id: tuple(r[c] for c in columns) for r in got} == want
+    near = H.near_items(rows, items, decontam.N_TERMS, decontam.WITHIN)
+    assert {r.doc_id: r.n_near for r in got} == near and len(set(near.values())) > 1
+
+
+def test_op5_query(spark):
+    rows = texts(spark)
     fps = [H.fingerprint(t) for _, t in rows]
     root = H.groups(fps, lambda a, b: (a ^ b).bit_count() <= 2)
     want = {d: (f"{f:016x}", rows[r][0]) for (d, _), f, r in zip(rows, fps, root, strict=True)}
-    assert {r[0]: tuple(r[1:]) for r in queries.QUERIES["op5_simhash"](spark, sf).collect()} == want
-    check_pieces(rows, queries.QUERIES["op7_packing"](spark, sf).collect(), reference_ids([t for _, t in rows]), 2048)
+    assert {r[0]: tuple(r[1:]) for r in queries.QUERIES["op5_simhash"](spark, SF).collect()} == want
+
+
+def test_op7_query(spark):
+    rows = texts(spark)
+    check_pieces(rows, queries.QUERIES["op7_packing"](spark, SF).collect(), reference_ids([t for _, t in rows]), 2048)
 
 
 def test_pipeline_equals_brute_force(spark):

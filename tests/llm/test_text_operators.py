@@ -195,6 +195,81 @@ def test_secret_models_tell_random_strings(spark):
     assert secret_scan.fit(samples.limit(0)) == [0.0] * len(secret_scan.ALPHABET) ** 2
 
 
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+
+
+def base_spans(text):
+    """(start, kind number, kind, end) of the fixed patterns, in order."""
+    found = []
+    for k, (kind, pattern, ok) in enumerate(BASE):
+        hits = ascii_assign(text) if not k else [m for m in pattern.finditer(text) if ok(m)]
+        found += [(m.start(), k, kind, m.end()) for m in hits]
+    return sorted(found)
+
+
+def test_secret_spans_of_texts_with_very_many_matches(spark):
+    rng = random.Random(8)
+    words = ["password=abcdef12", "AKIA" + "Q" * 16, "0f" * 14, "user_order_count_index_total_value", "é", "token: xy", "x" * 25 + "=="]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([0, 1, 255, 256, 257, 700])]
+    got = {r.doc_id: r for r in secret_scan.scan(H.docs_frame(spark, rows), [1.0] * len(secret_scan.ALPHABET) ** 2).collect()}
+    for i, t in rows:
+        base = base_spans(t)
+        for kind in ("assign", "access", "hex"):
+            assert [(s.start, s.end) for s in got[i][kind]] == [(s, e) for s, _, k, e in base if k == kind]
+        runs = [(m.start(), m.end()) for m in RUN.finditer(t)]
+        assert [(s.start, s.end) for s in got[i].markov] == [r for r in runs if not any(s < r[1] and r[0] < e for s, _, _, e in base)]
+    assert sum(len(r.markov) for r in got.values()) > 300
+
+
+def test_op3_query_finds_planted_secrets(spark, tmp_path):
+    """The registered query on a table with random keys that no pattern knows."""
+    import hashlib
+    rng = random.Random(4)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    part = ["user", "order", "count", "index", "total", "value", "name", "cache", "state", "report", "Handler", "Manager"]
+    rows, planted, ordinary = [], {}, 0
+    for i in range(400):
+        w = [rng.choice(part) for _ in range(30)]
+        if i % 2:
+            w.append(f"password={''.join(rng.choice(chars) for _ in range(24))}")
+        if i % 5 == 0:
+            key = "".join(rng.choice(chars) for _ in range(rng.randrange(24, 40)))
+            w.insert(10, key)
+            start = len(" ".join(w[:10])) + 1
+            planted[i] = (start, start + len(key))
+        if i % 3 == 0:
+            w.append("_".join(rng.choice(part) for _ in range(6)))
+            ordinary += 1
+        rows.append((i, " ".join(w)))
+    rows += [(900, None), (901, "")]
+    H.docs_frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    from flowsentry.llm import queries
+    got = {r.doc_id: r for r in queries.QUERIES["op3_secrets"](spark, str(tmp_path)).collect()}
+    hit = extra = 0
+    for i, t in rows:
+        base = base_spans(t or "")
+        text = ",".join(f"{k}:{s}:{e}" for s, _, k, e in base)
+        r = got[i]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for _, _, k, _ in base) for x in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        spans = [s for s in r.spans.split(",") if s]
+        assert [s for s in spans if not s.startswith("markov")] == [s for s in text.split(",") if s]
+        starts = [int(s.split(":")[1]) for s in spans]
+        assert starts == sorted(starts)
+        found = [tuple(map(int, s.split(":")[1:])) for s in spans if s.startswith("markov")]
+        hit += planted.get(i) in found
+        extra += len([f for f in found if f != planted.get(i)])
+    assert hit >= 0.95 * len(planted)           # recall
+    assert extra <= 0.05 * len(planted)         # of 134 ordinary identifiers as long
+
+
+def test_secret_sample_is_bounded_and_never_empty(spark):
+    docs = H.docs_frame(spark, [(i, f"password=abcdef{i % 300:04d}") for i in range(3000)])
+    n = secret_scan.labelled_samples(docs, sample_rows=100).where("secret").count()
+    assert 0 < n <= 30  # a thirtieth of the 300 different texts
+    assert secret_scan.labelled_samples(docs, sample_rows=10 ** 6).where("secret").count() == 300
+
+
 def line_corpus(seed=3, n=50):
     rng = random.Random(seed)
     pool = [f"line {i} " + "x" * rng.choice([0, 3, 60]) for i in range(30)]
@@ -212,7 +287,7 @@ def line_corpus(seed=3, n=50):
 @pytest.mark.parametrize("min_lines,min_chars", [(2, 50), (3, 40), (5, 10_000_000)])
 def test_line_dedup(spark, min_lines, min_chars):
     rows = line_corpus()
-    docs = H.docs_frame(spark, rows, extra=("line", "seq", "runs")).repartition(4)
+    docs = H.docs_frame(spark, rows, extra=("line", "seq", "runs", "deleted_runs")).repartition(4)
     out = line_dedup.dedup_lines(docs, min_lines=min_lines, min_chars=min_chars)
     assert out.columns == [*docs.columns, "deleted_runs"]
     assert {r.doc_id: r.text for r in out.collect()} == H.line_copies(rows, min_lines, min_chars)
