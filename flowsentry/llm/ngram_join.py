@@ -19,13 +19,21 @@ The order is (frequency, hash); cells that collide only overestimate, and any
 common order is correct. A shingle of one document takes part in no posting.
 
 Copies and hot groups: equal sets are one class, found by a 128-bit key of the
-set. First every class is verified against one leader: of the smallest classes
-(by hash) in the groups of its prefix shingles and size band, the one it meets
-most often. That is linear in the postings, and joins groups of near copies
-into components. After it only shingles that still hold classes of different
-components are joined, and only pairs across components are made; groups of
-over ``GROUP_ROWS`` classes are dealt over salts. No link between different
-components is lost, and links within one change nothing.
+set. In a large group of near copies every pair is a candidate, so classes are
+first compared with a hub: of the most central classes (those whose shingles are
+most frequent) in the groups of its prefix shingles and size band, the one that a
+class meets most often. This is linear in the postings. A class keeps what it
+lacks of its hub's set and what it adds, its delta. For two classes of one hub
+
+    overlap = hub's n - lacked - lacked' + shared delta
+
+and without shared delta both are at least as similar to the hub as to each other.
+So pairs of one hub that are in different components share delta shingles, more
+than ``W / (100 + percent)`` of them, W = 100 * lacked + percent * added, if the
+other is not linked to the hub; they are found by prefixes of the deltas, rarest
+first. Only classes of different hubs and components are joined by the prefixes of
+their sets; groups of over ``GROUP_ROWS`` classes are dealt over salts. No link
+between different components is lost, and links within one change nothing.
 
 Defined results: words are cut at white space, A-Z lower-cased; a text of
 fewer words than a shingle is one shingle of all its words; null, empty and
@@ -42,7 +50,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsentry.llm.common import batch_bytes, word_spans
@@ -152,12 +160,13 @@ def least_overlap(n, percent):
 
 
 def prefixes(h, offsets, level, percent):
-    """For every set its l, and the hashes of its prefix that other documents have too, with
-    their offsets."""
+    """For every set its l, its mean level, and the hashes of its prefix that other documents
+    have too, with their offsets."""
     n = np.diff(offsets)
     doc = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((h, level, doc))
     h, level = h[order], level[order]
+    center = np.diff(np.concatenate([[0], np.cumsum(level, dtype=np.int64)])[offsets]) / np.maximum(n, 1)
     meets = np.concatenate([[0.0], np.cumsum(2.0 ** (level / 4.0) - 1)])
     base = n - least_overlap(n, percent)
     best, cost = np.ones(len(n), np.int64), np.full(len(n), np.inf)
@@ -170,7 +179,7 @@ def prefixes(h, offsets, level, percent):
     alone = (100 * (n - 1) < percent * n) & (100 * n < percent * (n + 1))
     used = np.where(alone, 0, base + best)
     keep = (np.arange(len(h)) - offsets[:-1][doc] < used[doc]) & (level > 0)
-    return best, h[keep], np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(n)))])
+    return best, center, h[keep], np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(n)))])
 
 
 def _levels(answers, cells):
@@ -182,7 +191,7 @@ def _levels(answers, cells):
 
 
 def document_prefixes(held: DataFrame, shingle: int, percent: int, shard_shingles: int) -> DataFrame:
-    """(doc_id, n, k1, k2, matches, tokens, block, pos) of every document in blocks."""
+    """(doc_id, n, k1, k2, matches, center, tokens, block, pos) of every document in blocks."""
     total = held.agg(F.sum("bytes")).first()[0] or 0
     # a shingle is a word and its space, 6 bytes or so
     shard_bits = max(0, math.ceil(math.log2(max(total // 6 / shard_shingles, 1))))
@@ -207,27 +216,30 @@ def document_prefixes(held: DataFrame, shingle: int, percent: int, shard_shingle
                 h, offsets = shingle_sets(batch.column(2)[i].values, shingle)
                 cells, place, _ = block_cells(h, shard_bits)
                 level = _levels(batch.column(3)[i].as_py(), cells)[place]
-                matches, tokens, token_offsets = prefixes(h, offsets, level, percent)
+                matches, center, tokens, token_offsets = prefixes(h, offsets, level, percent)
                 keys = [np.cumsum(np.append(_U(0), _mix(h ^ _U(x)))) for x in (0x1F3, 0x2A5F)]
                 keys = [(k[offsets[1:]] - k[offsets[:-1]]).view(np.int64) for k in keys]
                 docs, n = batch.column(1)[i].values, len(matches)
                 yield pa.RecordBatch.from_arrays(
-                    [docs, pa.array(np.diff(offsets)), *(pa.array(k) for k in keys), pa.array(matches.astype(np.int32)),
+                    [docs, pa.array(np.diff(offsets)), *(pa.array(k) for k in keys), pa.array(matches.astype(np.int32)), pa.array(center),
                      pa.ListArray.from_arrays(pa.array(token_offsets, pa.int32()), pa.array(tokens.view(np.int64))),
                      pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(np.arange(n), pa.int32())],
-                    ["doc_id", "n", "k1", "k2", "matches", "tokens", "block", "pos"])
+                    ["doc_id", "n", "k1", "k2", "matches", "center", "tokens", "block", "pos"])
 
     sent = held.select("block", "texts").mapInArrow(send, "block long, shard long, cells binary, counts binary")
     told = sent.groupBy("shard").applyInPandas(frequency_shard, "block long, shard long, levels binary")
     told = materialise(told.groupBy("block").agg(
         F.collect_list(F.struct("shard", "levels")).alias("answers")), "shingle-frequencies")
     return held.join(told.hint("merge"), "block", "left").select("block", "ids", "texts", "answers").mapInArrow(
-        cut, "doc_id long, n long, k1 long, k2 long, matches int, tokens array<long>, block long, pos int")
+        cut, "doc_id long, n long, k1 long, k2 long, matches int, center double, tokens array<long>, block long, pos int")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` (written) whose sets are similar enough. Sets are made from the
-    texts again, of the classes that are asked for."""
+def compared(pairs: DataFrame, classes: DataFrame, held: DataFrame, shingle: int, percent: int,
+             deltas: bool = False) -> DataFrame:
+    """``pairs`` (a, b; written) with ``linked``: the sets are similar enough. With ``deltas``
+    also n_a, lacked (shingles of a that b lacks), added (of b that a lacks) and both as
+    ``delta``, null if the similarity is under a half. Sets are made from the texts again,
+    of the classes that are asked for."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = classes.select("node", "block", "pos").join(asked.hint("merge"), "node")
     asked = asked.groupBy("block").agg(F.collect_list(F.struct("pos", "node")).alias("asked"))
@@ -242,36 +254,68 @@ def verified(pairs: DataFrame, classes: DataFrame, held: DataFrame, shingle: int
 
     def check(batches):
         for batch in batches:
-            ok = []
+            linked, n_a, lacked, added, delta = [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                n_a.append(len(x))
+                lacked.append(len(x) - both)
+                added.append(len(y) - both)
+                near = deltas and 3 * both >= len(x) + len(y)
+                delta.append(np.setxor1d(x, y, assume_unique=True).view(np.int64) if near else None)
+            out = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())]
+            if deltas:
+                out += [pa.array(v, pa.int64()) for v in (n_a, lacked, added)] + [pa.array(delta, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["a", "b", "linked", "n_a", "lacked", "added", "delta"][:len(out)])
 
     found = held.join(asked.hint("merge"), "block").select("texts", "asked").mapInArrow(sets, "node long, set binary")
     found = materialise(found, "shingle-sets")
     left, right = (found.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "set_a", "set_b").mapInArrow(
-        check, "a long, b long")
-
-
-def leader_pairs(postings: DataFrame) -> DataFrame:
-    """(a, b): for every class the leader that it meets in most of its groups."""
-    leader = postings.groupBy("token", "band").agg(
-        F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("first"), F.count(F.lit(1)).alias("size"))
-    leader = leader.where(F.col("size") > 1).select("token", "band", F.col("first.node").alias("a"))
-    met = postings.join(leader.hint("merge"), ["token", "band"]).where(F.col("a") != F.col("node"))
-    met = met.groupBy("node", "a").agg(F.count(F.lit(1)).alias("times"))
-    return met.groupBy("node").agg(F.max(F.struct("times", "a")).alias("m")).select(
-        F.col("m.a").alias("a"), F.col("node").alias("b"))
+        check, "a long, b long, linked boolean" + ", n_a long, lacked long, added long, delta array<long>" * deltas)
+
+
+def hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for every class its hub, unless that is the class itself."""
+    # two bandings: a group of near sizes is whole in one of them
+    place = F.log("n") / math.log(100 / percent)
+    bands = F.array(*(F.struct(F.lit(k).alias("kind"), F.floor(place + k / 2).alias("band")) for k in (0, 1)))
+    rows = postings.select("node", "token", "center", F.explode(bands).alias("z"))
+    key = ["token", "z"]
+    hub = rows.groupBy(*key).agg(F.max(F.struct("center", F.xxhash64("node").alias("h"), "node")).alias("hub"),
+                                 F.count(F.lit(1)).alias("size"))
+    hub = hub.where(F.col("size") > 1).select(*key, F.col("hub.center").alias("c"), F.col("hub.node").alias("a"))
+    met = rows.select("node", *key).join(hub.hint("merge"), key)
+    met = met.groupBy("node", "a").agg(F.count(F.lit(1)).alias("times"), F.first("c").alias("c"))
+    best = met.groupBy("node").agg(F.max(F.struct("times", "c", "a")).alias("m"))
+    return best.select(F.col("m.a").alias("a"), F.col("node").alias("b")).where(F.col("a") != F.col("b"))
+
+
+def delta_pairs(hubs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of classes of one hub, in different components, at least one not linked to
+    the hub, that share a delta shingle in the prefix of one of them. ``hubs``: node, hub,
+    root, linked, lacked, added, delta."""
+    least = F.floor((100 * F.col("lacked") + percent * F.col("added")) / (100 + percent)) + 1
+    rows = hubs.select("node", "hub", "root", "linked", (F.size("delta") - least + 1).alias("prefix"),
+                       F.explode("delta").alias("token"))
+    often = rows.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("freq"))
+    rows = rows.join(often.where(F.col("freq") > 1).hint("merge"), ["hub", "token"], "left")
+    # shingles of one class come first: they meet nothing but fill the prefix
+    order = Window.partitionBy("node").orderBy(F.coalesce("freq", F.lit(1)), "token")
+    rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("freq").isNotNull())
+    rows = materialise(rows, "delta-postings")
+    short = rows.where(F.col("place") <= F.col("prefix")).select("hub", "token", "node", "root")
+    far = rows.where(~F.col("linked")).select("hub", "token", F.col("node").alias("u"), F.col("root").alias("u_root"))
+    met = short.join(far.hint("merge"), ["hub", "token"]).where(F.col("root") != F.col("u_root"))
+    return met.select(F.least("node", "u").alias("a"), F.greatest("node", "u").alias("b")).distinct()
 
 
 def crossing_pairs(postings: DataFrame, percent: int, group_rows: int) -> DataFrame:
-    """(a, b): pairs of classes in different components (``root``) that are similar in size and
-    share as many prefix shingles as the shorter of their prefixes asks for."""
-    open_ = postings.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    open_ = open_.where(F.col("lo") != F.col("hi")).select("token")
+    """(a, b): pairs of classes of different hubs and components (``root``) that are similar in
+    size and share as many prefix shingles as the shorter of their prefixes asks for."""
+    open_ = postings.groupBy("token").agg((F.min("root") != F.max("root")).alias("roots"), (F.min("hub") != F.max("hub")).alias("hubs"))
+    open_ = open_.where(F.col("roots") & F.col("hubs")).select("token")
     rows = materialise(postings.join(open_.hint("merge"), "token", "left_semi"), "open-postings")
     # the larger set of a pair is in the smaller one's band or the next
     large = rows.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
@@ -279,8 +323,8 @@ def crossing_pairs(postings: DataFrame, percent: int, group_rows: int) -> DataFr
     full = materialise(full.withColumn("salts", F.ceil(F.col("size") / group_rows).cast("int")).drop("size"), "large-groups")
 
     def met(x, y, keys):
-        y = y.select(*keys, *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "matches", "root")))
-        near = (F.col("root") != F.col("root_y")) & (F.struct("n", "node") < F.struct("n_y", "node_y")) \
+        y = y.select(*keys, *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "matches", "root", "hub")))
+        near = (F.col("root") != F.col("root_y")) & (F.col("hub") != F.col("hub_y")) & (F.struct("n", "node") < F.struct("n_y", "node_y")) \
             & (100 * F.col("n") >= percent * F.col("n_y"))
         return x.join(y.hint("merge"), keys).where(near).select(
             F.col("node").alias("a"), F.col("node_y").alias("b"), F.least("matches", "matches_y").alias("need"))
@@ -305,18 +349,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialise(document_prefixes(held, shingle, percent, shard_shingles), "prefixes")
     key = ["k1", "k2", "n"]
     classes = rows.where(F.col("n") > 0).groupBy(*key).agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("block", "pos")).alias("at"),
-        F.first("matches").alias("matches"), F.first("tokens").alias("tokens"))
+        F.min("doc_id").alias("least"), F.min(F.struct("block", "pos")).alias("at"), F.first("matches").alias("matches"),
+        F.first("center").alias("center"), F.first("tokens").alias("tokens"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), *key, "least", "at.block", "at.pos",
-                                         "matches", "tokens"), "set-classes")
+                                         "matches", "center", "tokens"), "set-classes")
     band = F.floor(F.log("n") / math.log(100 / (percent - 1))).cast("int")  # a little wider than the similarity
-    postings = classes.select("node", "n", "matches", band.alias("band"), F.explode("tokens").alias("token"))
-    first = materialise(leader_pairs(postings), "leader-pairs")
-    links = materialise(verified(first, classes, held, shingle, percent), "leader-links")
-    root = materialise(components(links), "leader-components")
-    postings = postings.join(root.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    second = materialise(crossing_pairs(postings, percent, group_rows), "crossing-pairs")
-    more = verified(second, classes, held, shingle, percent)
+    postings = classes.select("node", "n", "matches", "center", band.alias("band"), F.explode("tokens").alias("token"))
+    first = materialise(hub_pairs(postings, percent), "hub-pairs")
+    first = materialise(compared(first, classes, held, shingle, percent, deltas=True), "hub-deltas")
+    root = materialise(components(first.where("linked").select("a", "b")), "hub-components")
+    hubs = first.where(F.col("delta").isNotNull()).withColumnsRenamed({"a": "hub", "b": "node"})
+    hubs = hubs.join(root.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hubs = materialise(hubs, "hubs")
+    postings = (postings.drop("center").join(root.hint("merge"), "node", "left")
+                .join(hubs.select("node", "hub").hint("merge"), "node", "left")
+                .withColumns({"root": F.coalesce("root", "node"), "hub": F.coalesce("hub", "node")}))
+    second = delta_pairs(hubs, percent).union(crossing_pairs(postings, percent, group_rows))
+    second = materialise(second, "crossing-pairs")
+    more = compared(second, classes, held, shingle, percent).where("linked").select("a", "b")
     star = root.select(F.col("node").alias("a"), F.col("root").alias("b"))
     root = components(star.union(more))
     named = classes.select("node", *key, "least").join(root.hint("merge"), "node", "left").withColumn(

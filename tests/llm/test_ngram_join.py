@@ -57,17 +57,66 @@ def test_join_equals_brute_force(spark, seed, limits):
     assert got == brute_force(rows)
 
 
-def test_hot_group_of_near_copies(spark):
-    rng = random.Random(5)
-    base = [f"b{i}" for i in range(200)]
-    rows = []
-    for i in range(300):
+def near_copies(seed, n, with_base):
+    """Copies of one text with 1 to 6 edits: single, or of a small set that many copies share."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    common = [(rng.randrange(120), f"c{k}") for k in range(8)]
+    rows = [(0, " ".join(base))] if with_base else []
+    for i in range(1, n):
         w = list(base)
-        for _ in range(rng.randrange(1, 4)):
-            w[rng.randrange(200)] = f"x{rng.randrange(10 ** 6)}"
+        for _ in range(rng.randrange(1, 7)):
+            at, word = rng.choice(common) if rng.random() < .5 else (rng.randrange(120), f"x{rng.randrange(10 ** 6)}")
+            w[at:at + 1] = [] if rng.random() < .2 else [word]
         rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("with_base", [True, False])
+def test_hot_group_of_near_copies(spark, with_base):
+    rows = near_copies(5, 250, with_base)
+    want = brute_force(rows)
+    assert 20 < len({c for _, _, c in want}) < 200
     got = sorted((tuple(r) for r in ngram_join.near_duplicates(H.docs_frame(spark, rows), group_rows=50).collect()), key=str)
-    assert got == brute_force(rows)
+    assert got == want
+
+
+def test_random_edits_make_few_pairs(spark):
+    """Copies whose edits differ are compared with their hub, not with each other."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        w = [f"b{j}" for j in range(150)]
+        for _ in range(i and rng.randrange(1, 6)):
+            w[rng.randrange(150)] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(w)))
+    docs = ngram_join.document_prefixes(ngram_join.blocks(H.docs_frame(spark, rows), "doc_id", "text", 1 << 20), 4, 85, 1 << 20)
+    docs = ngram_join.materialise(docs.withColumn("node", F.col("doc_id")), "t")
+    postings = docs.select("node", "n", "matches", "center", F.explode("tokens").alias("token"))
+    pairs = ngram_join.hub_pairs(postings, 85).collect()
+    assert len(pairs) == 399 and {r.a for r in pairs} == {0}
+    sets, hub = {i: shingles(t) for i, t in rows}, shingles(rows[0][1])
+    data = []
+    for i in range(1, 400):
+        lacked, added = len(hub - sets[i]), len(sets[i] - hub)
+        near = 100 * len(hub & sets[i]) >= 85 * len(hub | sets[i])
+        data.append((i, 0, 0 if near else i, near, lacked, added, [hash(s) for s in hub ^ sets[i]]))
+    hubs = spark.createDataFrame(data, "node long, hub long, root long, linked boolean, lacked long, added long, delta array<long>")
+    got = {frozenset(r) for r in ngram_join.delta_pairs(hubs, 85).collect()}
+    assert len(got) < 400  # of 80,000
+
+
+def test_pairs_of_one_hub_are_complete(spark):
+    rows = near_copies(6, 200, True)
+    sets, hub = {i: shingles(t) for i, t in rows}, shingles(rows[0][1])
+    near = lambda x, y: 100 * len(x & y) >= 85 * len(x | y)
+    data = [(i, 0, 0 if near(hub, sets[i]) else i, near(hub, sets[i]), len(hub - sets[i]), len(sets[i] - hub),
+             [hash(s) for s in hub ^ sets[i]]) for i in sets if i and sets[i] != hub]
+    hubs = spark.createDataFrame(data, "node long, hub long, root long, linked boolean, lacked long, added long, delta array<long>")
+    got = {frozenset(r) for r in ngram_join.delta_pairs(hubs, 85).collect()}
+    far = {d[0] for d in data if not d[3]}
+    want = {frozenset((x, y)) for x in far for y in sets if y != x and sets[x] != sets[y] and near(sets[x], sets[y])}
+    assert len(want) > 5 and want <= got
 
 
 def test_crossing_pairs_alone_are_complete(spark):
@@ -78,7 +127,7 @@ def test_crossing_pairs_alone_are_complete(spark):
     docs = ngram_join.document_prefixes(held, 4, 85, 100).where("n > 0").dropDuplicates(["k1", "k2", "n"])
     docs = ngram_join.materialise(docs.withColumn("node", F.monotonically_increasing_id()), "t")
     band = F.floor(F.log("n") / np.log(100 / 84)).cast("int")
-    postings = docs.select("node", "n", "matches", band.alias("band"), F.explode("tokens").alias("token"), F.col("node").alias("root"))
+    postings = docs.select("node", "n", "matches", band.alias("band"), F.explode("tokens").alias("token"), F.col("node").alias("root"), F.col("node").alias("hub"))
     got = {frozenset(r) for r in ngram_join.crossing_pairs(postings, 85, 4).collect()}
     text = {(b, p): t for b, ts in held.select("block", "texts").collect() for p, t in enumerate(ts)}
     sets = {r.node: shingles(text[r.block, r.pos]) for r in docs.collect()}
@@ -92,8 +141,9 @@ def test_longer_prefixes_ask_for_more(spark):
     offsets = np.array([0, 100, 200])
     level = np.where(np.arange(200) < 100, 0, 60).astype(np.uint8)
     level[:100:9] = 4
-    matches, tokens, cut = ngram_join.prefixes(h, offsets, level, 85)
+    matches, center, tokens, cut = ngram_join.prefixes(h, offsets, level, 85)
     assert matches[0] < matches[1] and np.diff(cut)[1] == 15 + matches[1]
+    assert center[0] < center[1] == 60
     assert ngram_join.least_overlap(np.array([1, 6, 7, 20]), 85).tolist() == [1, 6, 6, 17]
 
 
