@@ -65,7 +65,7 @@ SHARD_SHINGLES = 1 << 22
 CELL_BITS = 28
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 VERIFY_COST = 0.2
-GROUP_ROWS = 4096
+GROUP_ROWS = 512
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -319,23 +319,18 @@ def crossing_pairs(postings: DataFrame, percent: int, group_rows: int) -> DataFr
     rows = materialise(postings.join(open_.hint("merge"), "token", "left_semi"), "open-postings")
     # the larger set of a pair is in the smaller one's band or the next
     large = rows.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-    full = large.groupBy("token", "band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group_rows)
-    full = materialise(full.withColumn("salts", F.ceil(F.col("size") / group_rows).cast("int")).drop("size"), "large-groups")
-
-    def met(x, y, keys):
-        y = y.select(*keys, *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "matches", "root", "hub")))
-        near = (F.col("root") != F.col("root_y")) & (F.col("hub") != F.col("hub_y")) & (F.struct("n", "node") < F.struct("n_y", "node_y")) \
-            & (100 * F.col("n") >= percent * F.col("n_y"))
-        return x.join(y.hint("merge"), keys).where(near).select(
-            F.col("node").alias("a"), F.col("node_y").alias("b"), F.least("matches", "matches_y").alias("need"))
-
     key = ["token", "band"]
-    found = met(rows.join(full.hint("merge"), key, "left_anti"), large.join(full.hint("merge"), key, "left_anti"), key)
-    salted = rows.join(full.hint("merge"), key).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
-    copied = large.join(full.hint("merge"), key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    salts = large.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("salts"))
+    salts = materialise(salts, "group-salts")
+    # dealt by salt as well: a large group is cut, its larger sets copied to every part
+    x = rows.join(salts.hint("merge"), key).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
+    y = large.join(salts.hint("merge"), key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     key = [*key, "salt"]
-    spread = [x.repartition(*key) for x in (salted, copied)]
-    found = found.union(met(*spread, key))
+    y = y.select(*key, *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "matches", "root", "hub"))).repartition(*key)
+    near = (F.col("root") != F.col("root_y")) & (F.col("hub") != F.col("hub_y")) \
+        & (F.struct("n", "node") < F.struct("n_y", "node_y")) & (100 * F.col("n") >= percent * F.col("n_y"))
+    found = x.repartition(*key).join(y.hint("merge"), key).where(near).select(
+        F.col("node").alias("a"), F.col("node_y").alias("b"), F.least("matches", "matches_y").alias("need"))
     return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("need").alias("need")).where(
         F.col("times") >= F.col("need")).select("a", "b")
 
@@ -357,18 +352,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = classes.select("node", "n", "matches", "center", band.alias("band"), F.explode("tokens").alias("token"))
     first = materialise(hub_pairs(postings, percent), "hub-pairs")
     first = materialise(compared(first, classes, held, shingle, percent, deltas=True), "hub-deltas")
-    root = materialise(components(first.where("linked").select("a", "b")), "hub-components")
+    # a class linked to its hub is in the hub's component
     hubs = first.where(F.col("delta").isNotNull()).withColumnsRenamed({"a": "hub", "b": "node"})
-    hubs = hubs.join(root.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    hubs = materialise(hubs, "hubs")
-    postings = (postings.drop("center").join(root.hint("merge"), "node", "left")
-                .join(hubs.select("node", "hub").hint("merge"), "node", "left")
-                .withColumns({"root": F.coalesce("root", "node"), "hub": F.coalesce("hub", "node")}))
+    hubs = hubs.withColumn("root", F.when(F.col("linked"), F.col("hub")).otherwise(F.col("node")))
+    labels = classes.select("node", "n", "matches", band.alias("band"), "tokens").join(
+        hubs.select("node", "hub", "root").hint("merge"), "node", "left")
+    postings = labels.select("node", "n", "matches", "band", F.coalesce("root", "node").alias("root"),
+                             F.coalesce("hub", "node").alias("hub"), F.explode("tokens").alias("token"))
     second = delta_pairs(hubs, percent).union(crossing_pairs(postings, percent, group_rows))
     second = materialise(second, "crossing-pairs")
     more = compared(second, classes, held, shingle, percent).where("linked").select("a", "b")
-    star = root.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    root = components(star.union(more))
+    root = components(first.where("linked").select("a", "b").union(more))
     named = classes.select("node", *key, "least").join(root.hint("merge"), "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
