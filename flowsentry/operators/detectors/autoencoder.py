@@ -8,16 +8,19 @@ restored).
 Training is data-parallel over a fixed number of logical shards (a parameter:
 neither cores, partitions nor rows decide it, so neither change the result). A
 row's shard, and its place in the shard's order, come from the hash of its
-key. An epoch has ``syncs`` rounds; in each, every shard runs minibatch Adam
-over its next stretch of rows, read in order and a minibatch at a time, and
-the weights and Adam moments are averaged by rows. Every shard has a task of its
-own, and the driver gets its three vectors and adds them up in the shards' order:
-as many rows as shards, of a length that only the topology decides. Rows are laid
-out once and never move again.
+key. Rows are laid out once, a shard in order in one partition, as blocks of
+numbers, and never move again. An epoch is one Spark job: every shard runs
+minibatch Adam over its rows from the epoch's weights, a minibatch at a time; the
+weights and moments are summed by rows over a group of ``GROUP`` shards in the
+task, and over the groups on the driver, in the shards' order: as many vectors as
+groups, of a length that only the topology decides. The same job scores the
+validation rows with the weights it starts from, so an epoch's validation loss
+comes with the next epoch's job.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -31,8 +34,9 @@ from pyspark.sql import types as T
 from flowsentry.functions.hashing import hash_order
 
 HIDDEN = (32, 16, 8, 16, 32)
-SHARDS = 4
-SYNCS = 2
+SHARDS = 256
+GROUP = 4
+BLOCK = 1024
 
 
 def layer_dims(d: int) -> list[int]:
@@ -124,15 +128,15 @@ def adam_steps(theta, m, v, t, minibatches, lr=1e-3, b1=0.9, b2=0.999, eps=1e-8)
     return theta, m, v, t, rows, loss_sum
 
 
-def _minibatches(batches, features, size):
-    """Matrices of ``size`` rows from a stream of data frames, the last one shorter."""
-    rest = np.zeros((0, len(features)))
-    for b in batches:
-        rest = np.vstack([rest, b[features].to_numpy(np.float64)])
+def _minibatches(blocks, size):
+    """Matrices of ``size`` rows from a stream of matrices, the last one shorter."""
+    rest = None
+    for x in blocks:
+        rest = x if rest is None or not len(rest) else np.vstack([rest, x])
         for lo in range(0, len(rest) - size + 1, size):
             yield rest[lo:lo + size]
         rest = rest[len(rest) // size * size:]
-    if len(rest):
+    if rest is not None and len(rest):
         yield rest
 
 
@@ -163,111 +167,135 @@ class AEModel:
         return df.select(*cols).mapInPandas(run, schema)
 
 
-def sharded(train: DataFrame, features: list[str], shards: int, syncs: int, seed: int = 42,
-            key: str = "row_id") -> DataFrame:
-    """The rows laid out for training: partition i holds shard i, in its order."""
+def sharded(train: DataFrame, val: DataFrame, features: list[str], shards: int = SHARDS, group: int = GROUP,
+            seed: int = 42, key: str = "row_id") -> DataFrame:
+    """(shard, role, x): the rows of ``train`` (role 1) and ``val`` (role 0) in blocks of up to
+    ``BLOCK``, as bytes. A group of shards is in one partition, shard after shard."""
     order = hash_order(seed, "_key")
-    # digits 1-6 of the hash give the shard, 7-12 the round it is seen in, the rest the order
-    digits = lambda at: F.conv(F.substring(order, at, 6), 16, 10).cast("long")
-    return (train.select(F.col(key).cast("string").alias("_key"), *(F.col(c).cast("double").alias(c) for c in features))
-            .select(F.pmod(digits(1), F.lit(shards)).cast("int").alias("_shard"),
-                    F.pmod(digits(7), F.lit(syncs)).cast("int").alias("_round"), order.alias("_h"), "_key", *features)
-            .repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "_round", "_h", "_key"))
+    both = None
+    for role, df in ((0, val), (1, train)):
+        one = df.select(F.lit(role).alias("_role"), F.col(key).cast("string").alias("_key"),
+                        *(F.col(c).cast("double").alias(c) for c in features))
+        both = one if both is None else both.unionByName(one)
+    # digits 1-6 of the hash give the shard, the whole of it the order
+    shard = F.pmod(F.conv(F.substring(order, 1, 6), 16, 10).cast("long"), F.lit(shards)).cast("int")
+    parts = min(-(-shards // group), int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = (both.select(shard.alias("_shard"), "_role", order.alias("_h"), "_key", *features)
+            .repartitionById(parts, F.pmod(F.floor(F.col("_shard") / group), F.lit(parts)).cast("int"))
+            .sortWithinPartitions((F.col("_shard") / group).cast("int"), "_shard", "_role", "_h", "_key"))
+
+    def blocks(batches):
+        for b in batches:
+            x, of = b[features].to_numpy(np.float64), b["_shard"].to_numpy() * 2 + b["_role"].to_numpy()
+            edge = np.flatnonzero(np.diff(of, prepend=-1))
+            cut = sorted({p for lo, hi in zip(edge, [*edge[1:], len(of)], strict=True) for p in range(lo, hi, BLOCK)})
+            hi = [*cut[1:], len(of)]
+            yield pd.DataFrame({"shard": of[cut] // 2, "role": of[cut] % 2,
+                                "x": [x[p:q].tobytes() for p, q in zip(cut, hi, strict=True)]})
+
+    return rows.drop("_h", "_key").mapInPandas(blocks, "shard int, role int, x binary")
+
+
+def _epoch(state, batches, d, group, batch, lr, train):
+    """One epoch's sums over the groups of a partition: (group, rows, steps, loss, val_rows,
+    val_loss, vectors), the vectors theta, m and v weighted by rows."""
+    theta, m, v, t = state
+
+    def parts():
+        for b in batches:
+            for shard, role, x in zip(b["shard"], b["role"], b["x"], strict=True):
+                yield (shard // group, shard, role), np.frombuffer(x, np.float64).reshape(-1, d)
+
+    out = []
+    for g, of_group in itertools.groupby(parts(), key=lambda p: p[0][0]):
+        rows, steps, loss, val_rows, val_loss, vectors = 0, 0, 0.0, 0, 0.0, np.zeros((3, len(theta)))
+        for (_, _, role), stream in itertools.groupby(of_group, key=lambda p: p[0]):
+            stream = (x for _, x in stream)
+            if role == 0:
+                for x in _minibatches(stream, BLOCK):
+                    val_rows, val_loss = val_rows + len(x), val_loss + float(row_mse(theta, x).sum())
+            elif train:
+                th, mm, vv, tt, n, part = adam_steps(theta, m, v, t, _minibatches(stream, batch), lr=lr)
+                vectors += n * np.stack([th, mm, vv])
+                rows, steps, loss = rows + n, steps + n * (tt - t), loss + part
+        out.append((g, rows, steps, loss, val_rows, val_loss, vectors.tobytes()))
+    yield pd.DataFrame(out, columns=["group", "rows", "steps", "loss", "val_rows", "val_loss", "vectors"])
 
 
 def fit_autoencoder(train: DataFrame, val: DataFrame, features: list[str], max_epochs: int = 100,
                     patience: int = 5, min_delta: float = 1e-6, lr: float = 1e-3,
-                    batch: int = 64, shards: int = SHARDS, syncs: int = SYNCS, seed: int = 42,
+                    batch: int = 64, shards: int = SHARDS, group: int = GROUP, seed: int = 42,
                     key: str = "row_id") -> AEModel:
     """Train on ``train`` rows, early-stop on ``val`` rows (same class)."""
     spark = train.sparkSession
     d = len(features)
-    data = sharded(train, features, shards, syncs, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
-    held = val.select(*(F.col(c).cast("double").alias(c) for c in features)).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def round_of(theta, m, v, t, number):
-        """One round: weights and moments averaged by rows, steps, rows, summed loss."""
-        bc = spark.sparkContext.broadcast((theta, m, v, t))
-
-        def run(batches):
-            def done(shard, stream):
-                th, mm, vv, tt, rows, loss = adam_steps(*bc.value, _minibatches(stream, features, batch), lr=lr)
-                return pd.DataFrame({"shard": [shard], "steps": [tt - bc.value[3]], "rows": [rows], "loss": [loss],
-                                     "theta": [th], "m": [mm], "v": [vv]})
-
-            def runs():
-                """(shard, its rows): a partition may hold several shards, one after the other."""
-                for b in batches:
-                    for s in b["_shard"].unique():
-                        yield s, b[b["_shard"] == s]
-
-            stream = iter(runs())
-            item = next(stream, None)
-            while item is not None:
-                after = []
-
-                def own(first=item[1], s=item[0], after=after):
-                    yield first
-                    for x, part in stream:
-                        if x != s:
-                            after.append((x, part))
-                            return
-                        yield part
-
-                yield done(item[0], own())
-                item = after[0] if after else None
-
-        got = data.where(F.col("_round") == number).mapInPandas(
-            run, "shard int, steps long, rows long, loss double, theta array<double>, m array<double>, v array<double>")
-        got = sorted(got.collect(), key=lambda r: r["shard"])  # as many rows as shards
-        bc.unpersist()
-        rows = sum(r["rows"] for r in got)
-        if not rows:
-            return theta, m, v, 0, 0, 0.0
-        th, mm, vv = (sum(np.asarray(r[c]) * (r["rows"] / rows) for r in got) for c in ("theta", "m", "v"))
-        return th, mm, vv, round(sum(r["steps"] * r["rows"] for r in got) / rows), rows, sum(r["loss"] for r in got)
-
-    def validation(theta):
-        bc = spark.sparkContext.broadcast(theta)
-
-        def run(batches):
-            for b in batches:
-                e = row_mse(bc.value, b[features].to_numpy(np.float64))
-                yield pd.DataFrame({"n": [len(e)], "s": [e.sum()]})
-
-        r = held.mapInPandas(run, "n long, s double").agg(F.sum("n"), F.sum("s")).first()
+    data = sharded(train, val, features, shards, group, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def job(state, learn):
+        """The validation loss of the state's weights, and the state and training loss after an epoch."""
+        bc = spark.sparkContext.broadcast(state)
+        got = data.mapInPandas(lambda batches: _epoch(bc.value, batches, d, group, batch, lr, learn),
+                               "group int, rows long, steps long, loss double, val_rows long, val_loss double, vectors binary")
+        got = sorted(got.collect(), key=lambda r: r["group"])  # as many rows as groups
         bc.unpersist()
-        return r[1] / r[0] if r[0] else math.nan
+        n, val_n = sum(r["rows"] for r in got), sum(r["val_rows"] for r in got)
+        held = sum(r["val_loss"] for r in got) / val_n if val_n else math.nan
+        if not n:
+            return held, state, 0.0
+        theta, m, v = sum(np.frombuffer(r["vectors"], np.float64).reshape(3, -1) for r in got if r["rows"]) / n
+        return held, (theta, m, v, state[3] + round(sum(r["steps"] for r in got) / n)), sum(r["loss"] for r in got) / n
 
     theta = init_params(d, seed)
-    m, v, t = np.zeros_like(theta), np.zeros_like(theta), 0
-    history, best, best_theta, best_epoch, wait = [], math.inf, theta, 0, 0
+    state = (theta, np.zeros_like(theta), np.zeros_like(theta), 0)
+    history, rule, best_theta, best_epoch = [], EarlyStop(patience, min_delta), theta, 0
+    _, state, loss = job(state, True)
     for epoch in range(1, max_epochs + 1):
-        seen, loss = 0, 0.0
-        for number in range(syncs):
-            theta, m, v, steps, rows, part = round_of(theta, m, v, t, number)
-            t, seen, loss = t + steps, seen + rows, loss + part
-        vl = validation(theta)
-        history.append((epoch, loss / max(1, seen), float(vl)))
-        if vl < best - min_delta:
-            best, best_theta, best_epoch, wait = vl, theta, epoch, 0
-        else:
-            wait += 1
-        if wait >= patience:
+        held, after, next_loss = job(state, epoch < max_epochs)
+        history.append((epoch, loss, float(held)))
+        stop = rule.seen(held)
+        if rule.best_epoch == epoch:
+            best_theta, best_epoch = state[0], epoch
+        if stop:
             break
+        state, loss = after, next_loss
     data.unpersist()
-    held.unpersist()
     return AEModel(list(features), best_theta, history, best_epoch)
 
 
+@dataclass
+class EarlyStop:
+    """Stop after ``patience`` epochs in a row without a loss under the best by ``min_delta``."""
+
+    patience: int = 5
+    min_delta: float = 1e-6
+    best: float = math.inf
+    best_epoch: int = 0
+    epoch: int = 0
+
+    def seen(self, loss: float) -> bool:
+        self.epoch += 1
+        if loss < self.best - self.min_delta:
+            self.best, self.best_epoch = loss, self.epoch
+        return self.epoch - self.best_epoch >= self.patience
+
+
 def early_stop_epochs(val_losses, patience: int = 5, min_delta: float = 1e-6) -> tuple[int, int]:
     """D11 on a finished loss list: (epoch where training stops, best epoch)."""
-    best, best_e, wait = math.inf, 0, 0
-    for e, vl in enumerate(val_losses, 1):
-        if vl < best - min_delta:
-            best, best_e, wait = vl, e, 0
-        else:
-            wait += 1
-        if wait >= patience:
-            return e, best_e
-    return len(val_losses), best_e
+    rule = EarlyStop(patience, min_delta)
+    for loss in val_losses:
+        if rule.seen(loss):
+            break
+    return rule.epoch, rule.best_epoch
+
+
+def early_stops(losses: DataFrame, series: str, epoch: str, loss: str, patience: int = 5,
+                min_delta: float = 1e-6) -> DataFrame:
+    """D11 on a table of loss histories: (series, stop_epoch, best_epoch), a row a series; a
+    history has a row an epoch."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        stop, best = early_stop_epochs(pdf.sort_values(epoch)[loss].to_list(), patience, min_delta)
+        return pd.DataFrame({series: pdf[series].iloc[:1], "stop_epoch": [stop], "best_epoch": [best]})
+
+    kind = losses.schema[series].dataType.simpleString()
+    return losses.select(series, epoch, loss).groupBy(series).applyInPandas(
+        run, f"`{series}` {kind}, stop_epoch int, best_epoch int")

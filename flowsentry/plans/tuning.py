@@ -211,9 +211,9 @@ def if_threshold_sweep(df: DataFrame, features: list[str], n_estimators: int = 1
 
 
 def tune_ocsvm(df: DataFrame, features: list[str], k_folds: int = 3, grid=None, fold: str = "fold",
-               passes: int = 50, landmarks: int = 128) -> tuple[DataFrame, DataFrame]:
+               landmarks: int = 128) -> tuple[DataFrame, DataFrame]:
     """T2+T3 for the one-class SVM: per (kernel, gamma) all (nu, fold) models
-    train in the same passes."""
+    train in the same rounds."""
     grid = grid or OCSVM_GRID
     spark = df.sparkSession
     cand = param_grid(spark, grid).collect()
@@ -221,7 +221,7 @@ def tune_ocsvm(df: DataFrame, features: list[str], k_folds: int = 3, grid=None,
     for kern in grid["kernel"]:
         for gam in grid["gamma"]:
             models = OC.fit_ocsvm_many(df, features, kern, gam, tuple(grid["nu"]), fold,
-                                       tuple(range(k_folds)), landmarks, passes)
+                                       tuple(range(k_folds)), landmarks)
             for c in cand:
                 if c["kernel"] != kern or c["gamma"] != gam:
                     continue
