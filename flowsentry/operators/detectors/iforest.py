@@ -137,29 +137,9 @@ class IForestModel:
                               + [T.StructField("score_samples", T.DoubleType())])
 
         def run(batches):
-            fe, th, le, ri, lh = bc.value
-            nt, m = fe.shape
-            # flat node arrays: global node id = tree * m + local id
-            base = (np.arange(nt) * m)
-            fe_f, th_f, lh_f = fe.ravel(), th.ravel(), lh.ravel()
-            le_f, ri_f = (le + base[:, None]).ravel(), (ri + base[:, None]).ravel()
             for b in batches:
-                X = np.ascontiguousarray(b[feats].to_numpy(np.float64))
-                n, d = X.shape
-                Xf = X.ravel()
-                node = np.tile(base, n)                    # rows x trees, flattened
-                row_off = np.repeat(np.arange(n) * d, nt)
-                while True:
-                    f = np.take(fe_f, node)
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    x = np.take(Xf, row_off + np.where(inner, f, 0))
-                    go_left = x <= np.take(th_f, node)
-                    nxt = np.where(go_left, np.take(le_f, node), np.take(ri_f, node))
-                    node = np.where(inner, nxt, node)
-                h = np.take(lh_f, node).reshape(n, nt).mean(axis=1)
                 out = b[keep].copy()
+                h = leaf_heights(bc.value, b[feats].to_numpy(np.float64)).mean(axis=1)
                 out["score_samples"] = -np.round(np.power(2.0, -h / cpsi), 12)
                 yield out
 
@@ -170,6 +150,56 @@ class IForestModel:
                  .withColumn("pred", (d < 0).cast("int")))
 
 
+def leaf_heights(trees, X: np.ndarray) -> np.ndarray:
+    """Rows x trees: the height of the leaf that a row reaches, all trees walked at once."""
+    fe, th, le, ri, lh = trees
+    nt, m = fe.shape
+    base = np.arange(nt) * m                       # flat node arrays: tree * m + node
+    fe, th, lh = fe.ravel(), th.ravel(), lh.ravel()
+    le, ri = (le + base[:, None]).ravel(), (ri + base[:, None]).ravel()
+    n, d = X.shape
+    flat = np.ascontiguousarray(X).ravel()
+    node = np.tile(base, n)
+    row = np.repeat(np.arange(n) * d, nt)
+    while True:
+        f = np.take(fe, node)
+        inner = f >= 0
+        if not inner.any():
+            return np.take(lh, node).reshape(n, nt)
+        x = np.take(flat, row + np.where(inner, f, 0))
+        node = np.where(inner, np.where(x <= np.take(th, node), np.take(le, node), np.take(ri, node)), node)
+
+
+def score_forests(df: DataFrame, forests: list, sizes=None, fold: str = "fold", train: bool = False) -> DataFrame:
+    """Scores of many forests from one walk over ``df``: rows (forest, trees, held, row_id, y,
+    score_samples). ``forests``: (number, fold, model), the model fitted without the fold's
+    rows; its held-out rows are scored, with ``train`` the others too (held false). ``sizes``: the
+    first so many trees of each forest; running means over the trees give them all."""
+    feats = forests[0][2].features
+    shared = df.sparkSession.sparkContext.broadcast([
+        (number, f, m.arrays(), float(average_path_length([m.psi])[0]) or 1.0, sizes or [m.n_trees]) for number, f, m in forests])
+    schema = T.StructType([T.StructField("forest", T.IntegerType()), T.StructField("trees", T.IntegerType()),
+                           T.StructField("held", T.BooleanType()), df.schema["row_id"], df.schema["y"],
+                           T.StructField("score_samples", T.DoubleType())])
+
+    def run(batches):
+        for b in batches:
+            X, own = b[feats].to_numpy(np.float64), b["_fold"].to_numpy()
+            for number, f, trees, cpsi, sizes_ in shared.value:
+                at = np.arange(len(b)) if train else np.flatnonzero(own == f)
+                for lo in range(0, len(at), 4096):
+                    part = at[lo:lo + 4096]
+                    h = leaf_heights(trees, X[part])
+                    for size in sizes_:
+                        mean = h[:, :size].mean(axis=1)
+                        yield pd.DataFrame({"forest": np.int32(number), "trees": np.int32(size), "held": own[part] == f,
+                                            "row_id": b["row_id"].to_numpy()[part], "y": b["y"].to_numpy()[part],
+                                            "score_samples": -np.round(np.power(2.0, -mean / cpsi), 12)})
+
+    return df.select("row_id", "y", F.col(fold).cast("int").alias("_fold"),
+                     *(F.col(c).cast("double").alias(c) for c in feats)).mapInPandas(run, schema)
+
+
 def tree_samples(df: DataFrame, features: list[str], n_trees: int, psi: int, n: int,
                  seed: int, key: str) -> DataFrame:
     """(tree, features): ``psi`` rows for each tree. No more rows are ranked than the

@@ -19,6 +19,7 @@ from flowsentry.operators.detectors import iforest as IF
 from flowsentry.operators.detectors import lof as LOF
 from flowsentry.operators.detectors import ocsvm as OC
 from flowsentry.plans.fixtures import EM_FEATURES, LI_FEATURES, em_flows, li_flows, once
+from flowsentry.session import concurrently, materialise
 
 MODEL_ORDER = ["Isolation Forest", "One-Class SVM", "Local Outlier Factor", "Autoencoder",
                "Second Autoencoder", "Ensemble Autoencoder"]
@@ -71,27 +72,27 @@ def run_experiment(z: DataFrame, features: list[str], ae_epochs: int = 100,
     train, val = z.where("split = 'train'"), z.where("split = 'val'")
     test = P.balanced_flag(z.where("split = 'test'")).cache()
     keep = ("row_id", "y", "in_balanced")
-    scored = []
+    normal, anomal = train.where("y = 0"), train.where("y = 1")
 
-    m_if = IF.fit_iforest(train, features, 100, contamination=0.2)
-    scored.append(m_if.transform(test, keep).withColumn("model", F.lit(MODEL_ORDER[0])))
+    def svm():
+        rows = train if ocsvm_rows is None else P.stratified_subsample(train, ocsvm_rows)
+        return OC.fit_ocsvm(rows, features, "rbf", "auto", 0.2)
 
-    oc_train = train if ocsvm_rows is None else P.stratified_subsample(train, ocsvm_rows)
-    m_oc = OC.fit_ocsvm(oc_train, features, "rbf", "auto", 0.2)
-    scored.append(m_oc.transform(test, keep).withColumn("model", F.lit(MODEL_ORDER[1])))
+    def lof():
+        return LOF.fit_lof(normal if lof_rows is None else P.random_rows(normal, lof_rows), features, 20, 0.2)
 
-    normals = train.where("y = 0")
-    lof_train = normals if lof_rows is None else P.random_rows(normals, lof_rows)
-    m_lof = LOF.fit_lof(lof_train, features, 20, 0.2)
-    scored.append(m_lof.transform(test, keep).select(*keep, "score", "pred")
-                  .withColumn("model", F.lit(MODEL_ORDER[2])))
+    def autoencoder(y, share):
+        """Trained on class ``y``; its threshold is a percentile of the validation rows' errors."""
+        m = AE.fit_autoencoder(normal if y == 0 else anomal, val.where(F.col("y") == y), features, max_epochs=ae_epochs)
+        return m, exact_quantile_values(m.reconstruction_error(val), "mse", [share])[(share,)]
 
-    ae1 = AE.fit_autoencoder(train.where("y = 0"), val.where("y = 0"), features, max_epochs=ae_epochs)
-    t1 = exact_quantile_values(ae1.reconstruction_error(val), "mse", [0.8])[(0.8,)]
+    m_if, m_oc, m_lof, (ae1, t1), (ae2, t2) = concurrently(
+        spark, lambda: IF.fit_iforest(train, features, 100, contamination=0.2), svm, lof,
+        lambda: autoencoder(0, 0.8), lambda: autoencoder(1, 0.2))
+    scored = [m.transform(test, keep).select(*keep, "score", "pred").withColumn("model", F.lit(name))
+              for name, m in zip(MODEL_ORDER, (m_if, m_oc, m_lof), strict=False)]
     e1 = ae1.reconstruction_error(test, keep).withColumn("s1", F.col("mse")) \
             .withColumn("p1", (F.col("mse") > t1).cast("int"))
-    ae2 = AE.fit_autoencoder(train.where("y = 1"), val.where("y = 1"), features, max_epochs=ae_epochs)
-    t2 = exact_quantile_values(ae2.reconstruction_error(val), "mse", [0.2])[(0.2,)]
     e2 = ae2.reconstruction_error(test, ("row_id",)).withColumn("s2", -F.col("mse")) \
             .withColumn("p2", (F.col("mse") < t2).cast("int")).drop("mse")
     both = e1.drop("mse").join(e2, "row_id")  # same test rows, one row each
@@ -103,7 +104,7 @@ def run_experiment(z: DataFrame, features: list[str], ae_epochs: int = 100,
     scored.append(ens.select(*keep, "score", "pred").withColumn("model", F.lit(MODEL_ORDER[5])))
 
     cols = ["model", "row_id", "y", "in_balanced", "score", "pred"]
-    long = reduce(lambda a, b: a.unionByName(b), [s.select(*cols) for s in scored]).cache()
+    long = materialise(reduce(lambda a, b: a.unionByName(b), [s.select(*cols) for s in scored]), "experiment-scores")
     ev = M.evaluate(M.scenario_rows(long), ["model", "scenario"])
     per_class = M.with_rates(M.confusion(long, ["model"]))
     losses = (ae1.history_df(spark).withColumn("model", F.lit(MODEL_ORDER[3]))

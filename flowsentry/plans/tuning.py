@@ -28,6 +28,7 @@ from flowsentry.operators.detectors import iforest as IF
 from flowsentry.operators.detectors import lof as LOF
 from flowsentry.operators.detectors import ocsvm as OC
 from flowsentry.operators.detectors.knn import knn_join
+from flowsentry.session import concurrently, materialise
 
 # fixed values: the grids, the sweep and the result columns
 IF_GRID = {"n_estimators": [50, 100, 200], "max_features": [0.5, 0.75, 1.0], "random_state": [42]}
@@ -135,7 +136,7 @@ def tune_lof(df: DataFrame, features: list[str], k_folds: int = 3, grid=None) ->
     """T2+T3 for LOF on a folded table. Returns (ranked results, fold metrics, scores)."""
     ks = (grid or LOF_GRID)["n_neighbors"]
     q, train = lof_cv_scores(df, features, ks, k_folds)
-    q = q.cache()
+    q = materialise(q, "lof-cv-scores")
     dec = F.col("score_samples") - F.lit(LOF.AUTO_OFFSET)
     scored = q.withColumn("pred", (dec < 0).cast("int")).withColumn("score", -dec)
     cand = param_grid(df.sparkSession, grid or LOF_GRID).withColumnRenamed("n_neighbors", "k")
@@ -166,24 +167,26 @@ def tune_iforest(df: DataFrame, features: list[str], k_folds: int = 3, grid=None
     """T2+T3 for the isolation forest ("auto" threshold inside CV)."""
     grid = grid or IF_GRID
     spark = df.sparkSession
-    cand = param_grid(spark, grid).collect()
     sizes = sorted(grid["n_estimators"])
-    parts = []
-    for mf in grid["max_features"]:
-        for f in range(k_folds):
-            m = IF.fit_iforest(df.where(F.col(fold) != f), features, n_trees=max(sizes),
-                               max_features=mf, contamination="auto")
-            for c in cand:
-                if c["max_features"] != mf:
-                    continue
-                s = m.transform(df.where(F.col(fold) == f), keep=("row_id", "y"),
-                                n_trees=c["n_estimators"])
-                parts.append(s.withColumn("candidate_id", F.lit(c["candidate_id"]))
-                              .withColumn("fold", F.lit(f)))
-    scored = reduce(lambda a, b: a.unionByName(b), parts).cache()
-    fm = fold_metrics(scored)
-    res = aggregate_folds(fm).join(param_grid(spark, grid), "candidate_id")
-    return rank_candidates(res), fm
+    models = [(mf, f) for mf in grid["max_features"] for f in range(k_folds)]
+    fitted = concurrently(spark, *(lambda mf=mf, f=f: IF.fit_iforest(
+        df.where(F.col(fold) != f), features, n_trees=max(sizes), max_features=mf, contamination="auto") for mf, f in models))
+    scored = IF.score_forests(df, [(i, f, m) for i, ((_, f), m) in enumerate(zip(models, fitted, strict=True))], sizes, fold)
+    cand = param_grid(spark, grid)
+    names = spark.createDataFrame([(i, mf, f) for i, (mf, f) in enumerate(models)], "forest int, max_features double, fold int")
+    names = names.join(cand.select("candidate_id", "max_features", F.col("n_estimators").alias("trees")), "max_features")
+    d = F.col("score_samples") - IF.AUTO_OFFSET
+    scored = scored.join(F.broadcast(names), ["forest", "trees"]).select(  # a row a candidate and fold
+        "candidate_id", "fold", "row_id", "y", (d < 0).cast("int").alias("pred"), (-d).alias("score"))
+    fm = fold_metrics(materialise(scored, "forest-cv-scores"))
+    return rank_candidates(aggregate_folds(fm).join(cand, "candidate_id")), fm
+
+
+def _fold_forests(df, features, k_folds, fold, n_trees, max_features=1.0):
+    """(forest = fold, held, row_id, y, score_samples): every fold's forest on all rows, one walk."""
+    fitted = concurrently(df.sparkSession, *(lambda f=f: IF.fit_iforest(
+        df.where(F.col(fold) != f), features, n_trees, max_features=max_features, contamination="auto") for f in range(k_folds)))
+    return materialise(IF.score_forests(df, [(f, f, m) for f, m in enumerate(fitted)], None, fold, train=True), "fold-forest-scores")
 
 
 def _f1_of_sweep(queries: DataFrame, train: DataFrame, sweep) -> DataFrame:
@@ -200,14 +203,9 @@ def _f1_of_sweep(queries: DataFrame, train: DataFrame, sweep) -> DataFrame:
 def if_threshold_sweep(df: DataFrame, features: list[str], n_estimators: int = 100, max_features: float = 1.0,
                        k_folds: int = 3, sweep=CONTAMINATION_SWEEP, fold: str = "fold") -> DataFrame:
     """T4 for the isolation forest: each fold is fitted and scored once."""
-    queries, train = [], []
-    for f in range(k_folds):
-        rest = df.where(F.col(fold) != f)
-        m = IF.fit_iforest(rest, features, n_estimators, max_features=max_features, contamination="auto")
-        queries.append(m.transform(df.where(F.col(fold) == f)).select(F.lit(f).alias("f"), "y", "score_samples"))
-        train.append(m.transform(rest, keep=()).select(F.lit(f).alias("f"), F.col("score_samples").alias("v")))
-    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts).cache()
-    return _f1_of_sweep(union(queries), union(train), sweep)
+    scores = _fold_forests(df, features, k_folds, fold, n_estimators, max_features).withColumnRenamed("forest", "f")
+    return _f1_of_sweep(scores.where("held").select("f", "y", "score_samples"),
+                        scores.where("NOT held").select("f", F.col("score_samples").alias("v")), sweep)
 
 
 def tune_ocsvm(df: DataFrame, features: list[str], k_folds: int = 3, grid=None, fold: str = "fold",
@@ -217,20 +215,11 @@ def tune_ocsvm(df: DataFrame, features: list[str], k_folds: int = 3, grid=None,
     grid = grid or OCSVM_GRID
     spark = df.sparkSession
     cand = param_grid(spark, grid).collect()
-    parts = []
-    for kern in grid["kernel"]:
-        for gam in grid["gamma"]:
-            models = OC.fit_ocsvm_many(df, features, kern, gam, tuple(grid["nu"]), fold,
-                                       tuple(range(k_folds)), landmarks)
-            for c in cand:
-                if c["kernel"] != kern or c["gamma"] != gam:
-                    continue
-                for f in range(k_folds):
-                    s = models[(c["nu"], f)].transform(df.where(F.col(fold) == f))
-                    parts.append(s.withColumn("candidate_id", F.lit(c["candidate_id"]))
-                                  .withColumn("fold", F.lit(f)))
-    scored = reduce(lambda a, b: a.unionByName(b), parts).cache()
-    fm = fold_metrics(scored)
+    kinds = [(kern, gam) for kern in grid["kernel"] for gam in grid["gamma"]]
+    fitted = dict(zip(kinds, concurrently(spark, *(lambda kern=kern, gam=gam: OC.fit_ocsvm_many(
+        df, features, kern, gam, tuple(grid["nu"]), fold, tuple(range(k_folds)), landmarks) for kern, gam in kinds)), strict=True))
+    models = [(c["candidate_id"], f, fitted[c["kernel"], c["gamma"]][c["nu"], f]) for c in cand for f in range(k_folds)]
+    fm = fold_metrics(materialise(OC.score_models(df, models, fold), "svm-cv-scores"))
     res = aggregate_folds(fm).join(param_grid(spark, grid), "candidate_id")
     return rank_candidates(res), fm
 
@@ -264,17 +253,22 @@ def tuned_params(df: DataFrame, features: list[str], k_folds: int = 3, if_grid=N
                  lof_grid=None, fold: str = "fold") -> dict:
     """The tuners as a unit. Best structure of each grid by cross-validation, then
     the best contamination at that structure where the model has one."""
-    res, _ = tune_iforest(df, features, k_folds, if_grid, fold)
-    forest = best_params(res, ["n_estimators", "max_features"])
-    forest["contamination"] = sweep_best(if_threshold_sweep(
-        df, features, forest["n_estimators"], forest["max_features"], k_folds, fold=fold)).first()["contamination"]
-    res, _ = tune_ocsvm(df, features, k_folds, ocsvm_grid, fold)
-    svm = best_params(res, ["kernel", "gamma", "nu"])
-    res, _, _ = tune_lof(df, features, k_folds, lof_grid)
-    k = best_params(res, ["n_neighbors"])["n_neighbors"]
-    lof = {"k": k, "contamination": sweep_best(lof_threshold_sweep(df, features, k, k_folds)).first()["contamination"]}
-    return {"Isolation Forest": forest,
-            "One-Class SVM": {"kind": svm["kernel"], "gamma": svm["gamma"], "nu": svm["nu"]}, "LOF": lof}
+    def forest():
+        res, _ = tune_iforest(df, features, k_folds, if_grid, fold)
+        best = best_params(res, ["n_estimators", "max_features"])
+        best["contamination"] = sweep_best(if_threshold_sweep(
+            df, features, best["n_estimators"], best["max_features"], k_folds, fold=fold)).first()["contamination"]
+        return best
+
+    def svm():
+        best = best_params(tune_ocsvm(df, features, k_folds, ocsvm_grid, fold)[0], ["kernel", "gamma", "nu"])
+        return {"kind": best["kernel"], "gamma": best["gamma"], "nu": best["nu"]}
+
+    def lof():
+        k = best_params(tune_lof(df, features, k_folds, lof_grid)[0], ["n_neighbors"])["n_neighbors"]
+        return {"k": k, "contamination": sweep_best(lof_threshold_sweep(df, features, k, k_folds)).first()["contamination"]}
+
+    return dict(zip(BASELINE, concurrently(df.sparkSession, forest, svm, lof), strict=True))
 
 
 def fit_and_score(name: str, params: dict, train: DataFrame, test: DataFrame, features: list[str]):
@@ -291,23 +285,23 @@ def fit_and_score(name: str, params: dict, train: DataFrame, test: DataFrame, fe
     return m.transform(test, keep=("row_id", "y")), secs
 
 
-def evaluate_on_test(name, params, train, test, features) -> dict:
-    scored, secs = fit_and_score(name, params, train, test, features)
-    e = M.evaluate(scored, by=[]).first()
-    return {"F1": e["f1"], "Recall": e["recall"], "Precision": e["precision"],
-            "AUC-ROC": e["auc"], "Train Time (s)": round(secs, 2)}
+def _on_test(runs: list) -> dict:
+    """{name: (F1, recall, precision, AUC)} of (name, scored) pairs, from one evaluation."""
+    parts = [s.select("row_id", "y", "score", "pred").withColumn("run", F.lit(name)) for name, s in runs]
+    scored = materialise(reduce(lambda a, b: a.unionByName(b), parts), "scored-runs")
+    return {e["run"]: (e["f1"], e["recall"], e["precision"], e["auc"]) for e in M.evaluate(scored, by=["run"]).collect()}
 
 
 def baseline_vs_best(train: DataFrame, test: DataFrame, features: list[str], tuned: dict) -> DataFrame:
     """Default vs tuned parameters on the test split, one row per model, both fitted
     on the whole training sample."""
-    rows = []
-    for name in BASELINE:
-        b = evaluate_on_test(name, BASELINE[name], train, test, features)
-        t = evaluate_on_test(name, tuned[name], train, test, features)
-        rows.append((name, *(e[m] for e in (b, t) for m in ("F1", "Recall", "Precision"))))
+    spark = train.sparkSession
+    runs = [(f"{what} {name}", name, params[name]) for what, params in (("Baseline", BASELINE), ("Tuned", tuned)) for name in BASELINE]
+    scored = concurrently(spark, *(lambda name=name, p=p: fit_and_score(name, p, train, test, features)[0] for _, name, p in runs))
+    got = _on_test([(run, s) for (run, _, _), s in zip(runs, scored, strict=True)])
+    rows = [(name, *got[f"Baseline {name}"][:3], *got[f"Tuned {name}"][:3]) for name in BASELINE]
     cols = [f"`{w} {m}` double" for w in ("Baseline", "Tuned") for m in ("F1", "Recall", "Precision")]
-    return train.sparkSession.createDataFrame(rows, "Model string, " + ", ".join(cols))
+    return spark.createDataFrame(rows, "Model string, " + ", ".join(cols))
 
 
 # fixed values: the training volumes
@@ -317,20 +311,22 @@ SCENARIOS = (("A — 15k (tuning subsample)", 15_000), ("B — 80k (medium)", 80
 def volume_sensitivity(train: DataFrame, test: DataFrame, features: list[str], scenarios=SCENARIOS,
                        params: dict | None = None) -> DataFrame:
     """Models at several training volumes with fit time; no volume is skipped. A
-    fit that the data make impossible (no rows) is a row with its reason."""
+    fit that the data make impossible (no rows) is a row with its reason. Fits run one
+    after the other, so that their times mean something; all are evaluated together."""
     params = params or BASELINE
-    rows = []
+    runs, scored = [], []
     for scen, n in scenarios:
-        sub = P.stratified_subsample(train, n).cache()
+        sub = materialise(P.stratified_subsample(train, n), "volume")
         actual = sub.count()
         for name in params:
             try:
-                r = evaluate_on_test(name, params[name], sub, test, features)
-                rows.append((scen, actual, name, "OK", r["F1"], r["Recall"], r["Precision"],
-                             r["AUC-ROC"], r["Train Time (s)"]))
+                s, secs = fit_and_score(name, params[name], sub, test, features)
+                scored.append((f"{scen}/{name}", s))
+                runs.append((scen, actual, name, "OK", round(secs, 2)))
             except ValueError as e:
-                rows.append((scen, actual, name, f"FAILED: {e}"[:200], None, None, None, None, None))
-        sub.unpersist()
+                runs.append((scen, actual, name, f"FAILED: {e}"[:200], None))
+    got = _on_test(scored) if scored else {}
+    rows = [(*r[:4], *got.get(f"{r[0]}/{r[2]}", (None,) * 4), r[4]) for r in runs]
     return train.sparkSession.createDataFrame(
         rows, "Scenario string, `Training Rows` long, Model string, Status string, F1 double, "
               "Recall double, Precision double, `AUC-ROC` double, `Train Time (s)` double")
@@ -340,12 +336,12 @@ def cross_validate(df: DataFrame, features: list[str], k: int = 5, n_trees: int
                    contamination: float = 0.2) -> DataFrame:
     """Stand-alone stratified k-fold of one isolation forest; per-fold F1
     and AUC plus mean/std rows."""
-    folded = P.kfold_assign(df, k).cache()
-    parts = []
-    for f in range(k):
-        m = IF.fit_iforest(folded.where(F.col("fold") != f), features, n_trees, contamination=contamination)
-        parts.append(m.transform(folded.where(F.col("fold") == f)).withColumn("fold", F.lit(f)))
-    scored = reduce(lambda a, b: a.unionByName(b), parts).cache()
+    folded = materialise(P.kfold_assign(df, k), "folds")
+    scores = _fold_forests(folded, features, k, "fold", n_trees)
+    off = exact_quantiles(scores.where("NOT held"), "score_samples", [contamination], by=["forest"])
+    d = F.col("score_samples") - F.col("q")
+    scored = scores.where("held").join(F.broadcast(off.select("forest", "q")), "forest").select(  # a row a fold
+        F.col("forest").alias("fold"), "row_id", "y", (d < 0).cast("int").alias("pred"), (-d).alias("score"))
     fm = fold_metrics(scored, by=["fold"]).select((F.col("fold") + 1).alias("fold"), "f1", "auc")
     summ = fm.agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"),
                   F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -87,6 +89,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def concurrently(spark: SparkSession, *jobs, threads: int = 6) -> list:
+    """The results of independent ``jobs`` (functions without arguments) whose Spark jobs run side
+    by side: each has a thread that inherits the session's properties, and a scheduler pool of
+    its own where the scheduler is fair. The first error is raised after all have ended."""
+    def pooled(number, job):
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"flowsentry-{number}")
+            return job()
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(pooled(i, job)) for i, job in enumerate(jobs)]]
+
+
 _SHIPPED: set = set()
 
 
