@@ -1,22 +1,29 @@
 """Exact k-nearest-neighbour join (J3), Euclidean.
 
 One strategy at every size. Features are centred on the reference mean. The
-references are assigned to the nearest of a bounded number of pivots; a cell
-has a radius. A query first meets the references of its own cell, which gives
-an upper bound of its k-th distance; it then meets only the cells that could
-hold something nearer or equal (distance to the pivot - radius <= bound).
-Cells are cut into blocks of at most about ``BLOCK_ROWS`` references, and the
-queries that meet a cell into parts of as many, so a task holds one block and
-one part, and numpy never more than ``TILE`` distances at once.
+references lie in cells around pivots, ``CELLS`` times the square root of their
+number; a row finds its cell by way of the nearest of the pivots' own
+pivots (any cell is right: what counts is the radius that the cell ends up with).
+Queries lie in the same cells and go through them together.
+
+First a cell's queries meet the references of the nearest cells, until these
+hold ``PROBE`` times k, which bounds each query's k-th distance. Then they
+meet the cells that could hold something as near as the largest of the bounds,
+and in each of them only the queries whose own bound reaches it. A hot cell is
+cut on either side: queries into parts of ``PART_ROWS``, the references that a
+cell needs into bundles of about ``BUNDLE_ROWS``.
 
 Candidates are picked by the expanded square, with a bound for its rounding
 error, and decided by exact differences: every reference within the k-th exact
 distance is looked at, then ordered by (distance, key) like
 ``ORDER BY dist, o_id`` in SQL. Duplicates and large offsets change nothing.
+Inside, rows go by numbers in the order of their keys.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,12 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsentry.operators.sampling import random_rows
+from flowsentry.session import materialise
 
-#: references per cell aimed at, and cells at most (pivots travel to every task)
-CELL_ROWS = 4_000
-MAX_CELLS = 1_024
-#: rows per side inside one task
-BLOCK_ROWS = 20_000
+#: how many references the nearest cells hold together, times k, before they bound a query
+PROBE = 3
+#: cells for every row of the square root
+CELLS = 3
+PART_ROWS = 2_048
+BUNDLE_ROWS = 100_000
 #: distances held at once
 TILE = 2_000_000
 
@@ -38,148 +47,240 @@ KNN_SCHEMA = T.StructType([
     T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())])
 
 
-def topk(Q: np.ndarray, R: np.ndarray, k: int, q_ids=None, r_ids=None):
-    """(query row, reference row, distance, rank from 1) of the k nearest rows of R for
-    each row of Q, as flat arrays.
-
-    R must be sorted by key, so that index order is key order. With ids, a row
-    never matches itself.
-    """
-    nq, nr = Q.shape[0], R.shape[0]
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
-    if nq == 0 or nr == 0 or k <= 0:
-        return out[0]
-    own = None
-    if q_ids is not None:
-        at = np.minimum(np.searchsorted(r_ids, q_ids), nr - 1)
-        own = np.where(r_ids[at] == q_ids, at, -1)
+def _exact(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    diff = q - r
+    return np.sqrt(np.einsum("ij,ij->i", diff, diff))
+
+
+def _to_pivots(X: np.ndarray, P: np.ndarray) -> np.ndarray:
+    """Exact distances to all pivots."""
+    return np.stack([_exact(X, p) for p in P], axis=1)
+
+
+def _matrix(blobs, d: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.float64).reshape(-1, d)
+
+
+def within(Q, R, bound, q_ids=None, r_ids=None):
+    """(query row, reference row, distance) of all pairs at most ``bound`` (one a query) apart;
+    with ids, a row never matches one of its own id."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     rn = np.einsum("ij,ij->i", R, R)
-    step = max(1, TILE // nr)
     unit = 4.0 * (Q.shape[1] + 4) * np.finfo(np.float64).eps
-    for lo in range(0, nq, step):
-        q = Q[lo:lo + step]
+    step = max(1, TILE // max(len(R), 1))
+    for lo in range(0, len(Q) if len(R) else 0, step):
+        q, b = Q[lo:lo + step], bound[lo:lo + step]
         qn = np.einsum("ij,ij->i", q, q)
-        d2 = qn[:, None] + rn[None, :] - 2.0 * (q @ R.T)
-        if own is not None:
-            mine = np.flatnonzero(own[lo:lo + step] >= 0)
-            d2[mine, own[lo + mine]] = np.inf
-        kk = min(k, nr)
-        cut = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
         error = unit * (np.sqrt(qn) + np.sqrt(rn.max())) ** 2
-        row, ref = np.nonzero((d2 <= (cut + 2.0 * error)[:, None]) & np.isfinite(d2))
-        dist = np.empty(len(row))
+        near = qn[:, None] + rn[None, :] - 2.0 * (q @ R.T) <= (b * b + 2.0 * error)[:, None]
+        if q_ids is not None:
+            near &= q_ids[lo:lo + step, None] != r_ids[None, :]
+        row, ref = np.nonzero(near)
         for s in range(0, len(row), 100_000):
-            diff = q[row[s:s + 100_000]] - R[ref[s:s + 100_000]]
-            dist[s:s + 100_000] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-        order = np.lexsort((ref, dist, row))
-        row, ref, dist = row[order], ref[order], dist[order]
-        first = np.searchsorted(row, row)  # where the row's candidates begin
-        rank = np.arange(len(row)) - first + 1
-        keep = rank <= k
-        out.append((row[keep] + lo, ref[keep], dist[keep], rank[keep].astype(np.int32)))
+            i, j = row[s:s + 100_000], ref[s:s + 100_000]
+            dist = _exact(q[i], R[j])
+            ok = dist <= b[i]
+            out.append((i[ok] + lo, j[ok], dist[ok]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _side(df: DataFrame, features: list[str], key: str, means: list[float], name: str) -> DataFrame:
-    return df.select(F.col(key).cast("string").alias(name),
-                     *[(F.col(c).cast("double") - F.lit(m)).alias(f"_v{i}")
-                       for i, (c, m) in enumerate(zip(features, means, strict=True))])
+def kth_distance(Q, R, k, q_ids=None, r_ids=None) -> np.ndarray:
+    """An upper bound of every query's k-th distance among R, tight but for rounding (infinite
+    where R has fewer)."""
+    out = np.full(len(Q), np.inf)
+    rn = np.einsum("ij,ij->i", R, R)
+    unit = 4.0 * (Q.shape[1] + 4) * np.finfo(np.float64).eps
+    step = max(1, TILE // max(len(R), 1))
+    for lo in range(0, len(Q) if len(R) >= k else 0, step):
+        q = Q[lo:lo + step]
+        qn = np.einsum("ij,ij->i", q, q)
+        d2 = qn[:, None] + rn[None, :] - 2.0 * (q @ R.T)
+        if q_ids is not None:
+            d2[q_ids[lo:lo + step, None] == r_ids[None, :]] = np.inf
+        cut = np.partition(d2, k - 1, axis=1)[:, k - 1]
+        out[lo:lo + step] = np.sqrt(np.maximum(cut, 0.0) + 2.0 * unit * (np.sqrt(qn) + np.sqrt(rn.max())) ** 2)
+    return out
 
 
-def _to_pivots(X: np.ndarray, P: np.ndarray) -> np.ndarray:
-    """Exact distances to all pivots."""
-    out = np.empty((len(X), len(P)))
-    for j, p in enumerate(P):
-        diff = X - p
-        out[:, j] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-    return out
+def first_k(row, ref, dist, number, k):
+    """The k first of every query in the order (distance, number), with their ranks."""
+    order = np.lexsort((number[ref], dist, row))
+    row, ref, dist = row[order], ref[order], dist[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    keep = rank <= k
+    return row[keep], ref[keep], dist[keep], rank[keep].astype(np.int32)
+
+
+@dataclass
+class Cells:
+    """Pivots, and pivots of them: ``members`` are the pivots nearest to each of ``tops``."""
+
+    pivots: np.ndarray
+    tops: np.ndarray
+    members: list
+
+    @classmethod
+    def around(cls, pivots: np.ndarray) -> Cells:
+        some = np.random.default_rng(0).permutation(len(pivots))[:max(1, int(np.ceil(np.sqrt(len(pivots)))))]
+        own = _to_pivots(pivots, pivots[some]).argmin(axis=1)
+        live = np.unique(own)
+        return cls(pivots, pivots[some[live]], [np.flatnonzero(own == i) for i in live])
+
+    def assign(self, X: np.ndarray):
+        """The cell of every row, and its distance to the cell's pivot."""
+        cell, dist = np.zeros(len(X), np.int32), np.zeros(len(X))
+        top = _to_pivots(X, self.tops).argmin(axis=1) if len(X) else np.zeros(0, np.int64)
+        for t in np.unique(top):
+            at = np.flatnonzero(top == t)
+            d = _to_pivots(X[at], self.pivots[self.members[t]])
+            cell[at], dist[at] = self.members[t][d.argmin(axis=1)], d.min(axis=1)
+        return cell, dist
+
+
+class KnnIndex:
+    """References laid out in cells. ``table``: _key, _n (a number in the order of the keys),
+    _kh (hash of the key), _cell, _dp (distance to the pivot), _v (centred vector)."""
+
+    def __init__(self, ref: DataFrame, features: list[str], key: str = "row_id"):
+        self.spark, self.features = ref.sparkSession, list(features)
+        stats = ref.agg(F.count(F.lit(1)), *[F.avg(F.col(c).cast("double")) for c in features]).first()
+        self.n, self.means = stats[0], [x or 0.0 for x in stats[1:]]
+        self.cells = None
+        if self.n:
+            vectors = self._centred(ref, key)
+            cols = [f"_v{i}" for i in range(len(features))]
+            # grows as the square root of the references
+            pivots = random_rows(vectors, min(self.n, int(np.ceil(CELLS * np.sqrt(self.n)))), key="_key").orderBy("_key").toPandas()[cols]
+            self.cells = Cells.around(np.unique(pivots.to_numpy(np.float64), axis=0))
+            self.table = self.laid_out(ref, key)
+            self.stats = self._stats(self.table)
+
+    def _centred(self, df, key):
+        return df.select(F.col(key).cast("string").alias("_key"), *[
+            (F.col(c).cast("double") - F.lit(m)).alias(f"_v{i}") for i, (c, m) in enumerate(zip(self.features, self.means, strict=True))])
+
+    def laid_out(self, df: DataFrame, key: str = "row_id") -> DataFrame:
+        """``df`` (references or queries) as a table like ``table``, written."""
+        cols, cells = [f"_v{i}" for i in range(len(self.features))], self.spark.sparkContext.broadcast(self.cells)
+
+        def run(batches):
+            for b in batches:
+                X = np.ascontiguousarray(b[cols].to_numpy(np.float64))
+                cell, dp = cells.value.assign(X)
+                yield pd.DataFrame({"_key": b["_key"], "_n": b["_n"], "_kh": b["_kh"], "_cell": cell, "_dp": dp,
+                                    "_v": [x.tobytes() for x in X]})
+
+        x = self._centred(df, key).orderBy("_key").withColumns(
+            {"_n": F.monotonically_increasing_id(), "_kh": F.xxhash64("_key")})
+        return materialise(x.mapInPandas(run, "_key string, _n long, _kh long, _cell int, _dp double, _v binary"), "knn-rows")
+
+    def _stats(self, table):
+        """Rows and radius of the cells that hold any: as many rows as pivots, at most."""
+        got = table.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dp").alias("r")).toPandas().sort_values("_cell")
+        return got["_cell"].to_numpy(), got["n"].to_numpy(), got["r"].to_numpy(np.float64)
+
+    def _plan(self, asked: DataFrame, needed, fields: str) -> DataFrame:
+        """What ``needed`` (pivot distances, counts, radii, row of ``asked``) says for every query cell."""
+        shared = self.spark.sparkContext.broadcast((self.cells.pivots, *self.stats))
+
+        def run(batches):
+            pivots, live, n, r = shared.value
+            for b in batches:
+                for row in b.itertuples(index=False):
+                    d = _exact(pivots[live], pivots[row.qc])
+                    at, extra = needed(d, n, r, row)
+                    yield pd.DataFrame({"qc": np.int32(row.qc), "parts": np.int32(row.parts), "_cell": live[at].astype(np.int32)} | extra)
+
+        return asked.mapInPandas(run, "qc int, parts int, _cell int" + fields)
+
+    def search(self, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+        """(q, o, dist, rank): the k nearest references of the rows of ``queries`` (laid out),
+        both by their numbers. With ``exclude_self`` references of a query's own key are out."""
+        d, tasks = len(self.features), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        wanted = PROBE * (k + 1)
+
+        def split(table):
+            return table.join(sizes.hint("merge"), "qc").withColumn("part", F.pmod(F.xxhash64("_n"), "parts").cast("int"))
+
+        def together(left, right, key):
+            """Groups of both sides; the right one's columns are new ones, whatever both come from."""
+            names = [f"r_{c}" for c in key]
+            right = right.select(*(F.col(c).alias(n) for c, n in zip(key, names, strict=True)),
+                                 *(F.col(c).alias(c) for c in right.columns if c not in key))
+            return left.repartition(tasks, *key).groupBy(*key).cogroup(right.repartition(tasks, *names).groupBy(*names))
+
+        q = queries.select(F.col("_cell").alias("qc"), "_n", "_kh", "_dp", "_v")
+        sizes = q.groupBy("qc").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"), F.max("_dp").alias("radius"))
+        sizes = materialise(sizes, "knn-query-cells")
+
+        def nearest(dist, n, r, row):
+            order = np.argsort(dist, kind="stable")
+            return order[:int(np.searchsorted(np.cumsum(n[order]), wanted)) + 1], {}
+
+        def bound(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+            ids = (qp["_kh"].to_numpy(), rp["_kh"].to_numpy()) if exclude_self else (None, None)
+            far = kth_distance(_matrix(qp["_v"], d), _matrix(rp["_v"], d), k, *ids)
+            return qp[["qc", "part", "_n", "_kh", "_v"]].assign(bound=far)
+
+        key = ["qc", "part"]
+        # a bound may come from some of the references: of a large cell the first part will do
+        few = self.table.withColumn("_of", F.row_number().over(Window.partitionBy("_cell", F.pmod("_n", F.lit(16))).orderBy("_n")))
+        few = few.where(F.col("_of") <= wanted).select("_cell", "_kh", "_v")
+        right = few.join(self._plan(sizes, nearest, ""), "_cell").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*key, "_kh", "_v")
+        left = split(q).select(*key, "_n", "_kh", "_v")
+        asked = (together(left, right, key)
+                 .applyInPandas(bound, "qc int, part int, _n long, _kh long, _v binary, bound double"))
+        asked = materialise(asked, "knn-bounds")
+
+        def reachable(dist, n, r, row):
+            low = dist - r - row.radius
+            at = np.flatnonzero(low <= row.bound * (1 + 1e-9) + 1e-9 * (1.0 + dist))
+            at = at[np.argsort(low[at], kind="stable")]
+            return at, {"bundle": ((np.cumsum(n[at]) - n[at]) // BUNDLE_ROWS).astype(np.int32)}
+
+        reach = asked.groupBy("qc").agg(F.max("bound").alias("bound")).join(sizes.hint("merge"), "qc")
+        plan = materialise(self._plan(reach, reachable, ", bundle int"), "knn-plan")
+        key = ["qc", "part", "bundle"]
+        right = self.table.join(plan, "_cell").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*key, "_cell", "_n", "_kh", "_v")
+        bundles = plan.select("qc", "bundle").distinct()
+        left = asked.join(bundles, "qc").select(*key, "_n", "_kh", "_v", "bound")
+        radius = dict(zip(self.stats[0].tolist(), self.stats[2].tolist(), strict=True))
+        shared = self.spark.sparkContext.broadcast((self.cells.pivots, radius))
+
+        def meet(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+            pivots, radius = shared.value
+            Q, bounds, q_kh = _matrix(qp["_v"], d), qp["bound"].to_numpy(), qp["_kh"].to_numpy()
+            rp = rp.sort_values("_cell", kind="stable")
+            R, r_kh, number, cell = _matrix(rp["_v"], d), rp["_kh"].to_numpy(), rp["_n"].to_numpy(), rp["_cell"].to_numpy()
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            edge = [*np.flatnonzero(np.diff(cell, prepend=-1)).tolist(), len(cell)]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                c = int(cell[lo])
+                gap = _exact(Q, pivots[c])
+                at = np.flatnonzero(gap - radius[c] <= bounds * (1 + 1e-9) + 1e-9 * (1.0 + gap))
+                ids = (q_kh[at], r_kh[lo:hi]) if exclude_self else (None, None)
+                row, ref, dist = within(Q[at], R[lo:hi], bounds[at], *ids)
+                found.append((at[row], ref + lo, dist))
+            row, ref, dist, rank = first_k(*(np.concatenate(x) for x in zip(*found, strict=True)), number, k)
+            return pd.DataFrame({"q": qp["_n"].to_numpy()[row], "o": number[ref], "dist": dist, "rank": rank})
+
+        out = (together(left, right, key)
+               .applyInPandas(meet, "q long, o long, dist double, rank int"))
+        if plan.agg(F.max("bundle")).first()[0]:  # a query's references came in several bundles
+            w = Window.partitionBy("q").orderBy("dist", "o")
+            out = out.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+        return out
 
 
 def knn_join(queries: DataFrame, ref: DataFrame, features: list[str], k: int,
-             exclude_self: bool = False, q_key: str = "row_id", r_key: str = "row_id",
-             cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+             exclude_self: bool = False, q_key: str = "row_id", r_key: str = "row_id") -> DataFrame:
     """(q_id, o_id, dist, rank) for the k nearest references of every query."""
-    spark = queries.sparkSession
-    stats = ref.agg(F.count(F.lit(1)), *[F.avg(F.col(c).cast("double")) for c in features]).first()
-    n_ref, means = stats[0], [x or 0.0 for x in stats[1:]]
-    if n_ref == 0 or k <= 0:
-        return spark.createDataFrame([], KNN_SCHEMA)
-    cols = [f"_v{i}" for i in range(len(features))]
-    n_cells = min(MAX_CELLS, -(-n_ref // cell_rows))
-    r = _side(ref, features, r_key, means, "_rid")
-    q = _side(queries, features, q_key, means, "_qid")
-    # MAX_CELLS rows at most
-    pivots = (random_rows(r, n_cells, key="_rid").toPandas()[cols].to_numpy(np.float64)
-              if n_cells > 1 else np.zeros((1, len(cols))))
-    n_cells = len(pivots)
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def assign(batches):
-        for b in batches:
-            d = _to_pivots(b[cols].to_numpy(np.float64), shared.value)
-            b["_cell"] = d.argmin(axis=1)
-            b["_dp"] = d.min(axis=1)
-            yield b
-
-    def dealt(df, name):
-        fields = ", ".join([f"{name} string", *(f"{c} double" for c in cols), "_cell int", "_dp double"])
-        return df.mapInPandas(assign, fields)
-
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = dealt(r, "_rid").persist()
-    cells = {c._cell: (c.n, c.radius) for c in
-             r.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dp").alias("radius")).collect()}
-    blocks = {c: -(-n // block_rows) for c, (n, _) in cells.items()}
-    n_blocks = F.element_at(F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv)), F.col("_cell"))
-    r = r.withColumn("_blk", F.pmod(F.xxhash64("_rid"), n_blocks).cast("int"))
-
-    def meet(asked: DataFrame) -> DataFrame:
-        """The k nearest of each (query, block) among ``asked`` (_qid, _cell, vector)."""
-        parts = {c["_cell"]: -(-c["count"] // block_rows) for c in asked.groupBy("_cell").count().collect()}
-        if not parts:
-            return spark.createDataFrame([], KNN_SCHEMA)
-        n_parts = F.element_at(F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)), F.col("_cell"))
-        keys = ["_cell", "_blk", "_part"]
-        left = (asked.withColumn("_part", F.pmod(F.xxhash64("_qid"), n_parts).cast("int"))
-                .withColumn("_blk", F.explode(F.sequence(F.lit(0), n_blocks - 1))))
-        right = r.where(F.col("_cell").isin(list(parts))).drop("_dp").withColumn(
-            "_part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-
-        def run(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-            rp = rp.sort_values("_rid", kind="mergesort")
-            rid, qid = rp["_rid"].to_numpy(object), qp["_qid"].to_numpy(object)
-            row, at, dist, rank = topk(qp[cols].to_numpy(np.float64), rp[cols].to_numpy(np.float64), k,
-                                       qid if exclude_self else None, rid if exclude_self else None)
-            return pd.DataFrame({"q_id": qid[row], "o_id": rid[at], "dist": dist, "rank": rank})
-
-        # as many tasks as the session shuffles with: blocks are few and heavy
-        return (left.repartition(tasks, *keys).groupBy(*keys)
-                .cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(run, KNN_SCHEMA))
-
-    merge = Window.partitionBy("q_id").orderBy("dist", "o_id")
-
-    def best(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(merge).cast("int")).where(F.col("rank") <= k)
-
-    if n_cells == 1:
-        return best(meet(q.withColumn("_cell", F.lit(next(iter(cells))))))
-    q = dealt(q, "_qid")
-    own = q.where(F.col("_cell").isin(list(cells))).drop("_dp")
-    near = best(meet(own)).persist()
-    bound = near.groupBy("q_id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far"))
-    asking = q.join(bound.where(F.col("n") == k).select(F.col("q_id").alias("_qid"), "far"), "_qid", "left")
-    reach = spark.sparkContext.broadcast({c: x[1] for c, x in cells.items()})
-
-    def others(batches):
-        live = np.array(sorted(reach.value))
-        radius = np.array([reach.value[c] for c in live])
-        for b in batches:
-            d = _to_pivots(b[cols].to_numpy(np.float64), shared.value[live]) - radius
-            far = b["far"].fillna(np.inf).to_numpy(np.float64)
-            slack = 1e-9 * (1.0 + np.abs(far, where=np.isfinite(far), out=np.zeros(len(far))))
-            row, c = np.nonzero((d <= (far + slack)[:, None]) & (live[None, :] != b["_cell"].to_numpy()[:, None]))
-            yield b[["_qid", *cols]].iloc[row].assign(_cell=live[c].astype(np.int32))
-
-    fields = ", ".join(["_qid string", *(f"{c} double" for c in cols), "_cell int"])
-    rest = asking.mapInPandas(others, fields).persist()
-    return best(near.unionByName(meet(rest)))
+    index = KnnIndex(ref, features, r_key)
+    if index.n == 0 or k <= 0:
+        return ref.sparkSession.createDataFrame([], KNN_SCHEMA)
+    q = index.laid_out(queries, q_key)
+    names = lambda t, n, name: t.select(F.col("_n").alias(n), F.col("_key").alias(name))
+    found = materialise(index.search(q, k, exclude_self), "knn-found")
+    return found.join(names(q, "q", "q_id"), "q").join(names(index.table, "o", "o_id"), "o").select("q_id", "o_id", "dist", "rank")

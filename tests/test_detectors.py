@@ -1,5 +1,8 @@
 """Detector semantics: hand-checked trees, brute-force LOF, gradients, planted outliers."""
 
+import glob
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,15 +60,16 @@ def test_iforest_planted_and_contamination(spark):
     assert abs(share - 0.1) < 0.01
 
 
-@pytest.mark.parametrize("cell_rows,block_rows", [(10 ** 6, 10 ** 6), (60, 25)])
-@pytest.mark.parametrize("offset", [0.0, 1e8])
-def test_knn_exact_with_ties(spark, cell_rows, block_rows, offset):
+@pytest.mark.parametrize("part_rows,bundle_rows,offset", [(2048, 100_000, 1e8), (25, 60, 0.0)])
+def test_knn_exact_with_ties(spark, monkeypatch, part_rows, bundle_rows, offset):
+    monkeypatch.setattr(K, "PART_ROWS", part_rows)
+    monkeypatch.setattr(K, "BUNDLE_ROWS", bundle_rows)
     rng = np.random.default_rng(5)
     X = np.vstack([np.repeat(rng.integers(0, 4, size=(20, 3)), 15, axis=0), rng.normal(size=(100, 3)).round(2)]) + offset
     ids = [f"r{i:04d}" for i in rng.permutation(len(X))]
     df = spark.createDataFrame([(i, *map(float, x)) for i, x in zip(ids, X, strict=True)], "row_id string, a double, b double, c double")
     got = {}
-    for r in K.knn_join(df, df, ["a", "b", "c"], 7, exclude_self=True, cell_rows=cell_rows, block_rows=block_rows).collect():
+    for r in K.knn_join(df, df, ["a", "b", "c"], 7, exclude_self=True).collect():
         got.setdefault(r.q_id, {})[r["rank"]] = (r.o_id, r.dist)
     for i, x in zip(ids, X, strict=True):
         d = np.sqrt(((X - x) ** 2).sum(axis=1))
@@ -74,6 +78,21 @@ def test_knn_exact_with_ties(spark, cell_rows, block_rows, offset):
         assert np.allclose([got[i][k][1] for k in range(1, 8)], [w for w, _ in want], atol=1e-6)
 
 
+def test_knn_meets_few_of_all_pairs(spark, monkeypatch):
+    """Clustered rows: cells out of reach are neither sent nor compared."""
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(40, 3))[rng.integers(0, 40, 4000)] * 20 + rng.normal(size=(4000, 3))
+    df = spark.createDataFrame([(f"r{i:05d}", *map(float, x)) for i, x in enumerate(X)], "row_id string, a double, b double, c double")
+    index = K.KnnIndex(df, ["a", "b", "c"])
+    assert len(index.cells.pivots) == 190
+    met = index.search(index.table, 10, exclude_self=True)
+    assert met.count() == 40_000
+    plan = spark.read.parquet(sorted(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/flowsentry/knn-plan-*/data"), key=os.path.getmtime)[-1])
+    n = dict(zip(index.stats[0].tolist(), index.stats[1].tolist(), strict=True))
+    pairs = sum(n[r.qc] * n[r["_cell"]] for r in plan.collect())
+    assert pairs < 0.15 * 4000 ** 2
+
+
 def test_knn_small_sides(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", 1.0)], "row_id string, x double")
     assert K.knn_join(df, df.limit(0), ["x"], 3).count() == 0
