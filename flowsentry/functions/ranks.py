@@ -36,6 +36,9 @@ from flowsentry.session import materialise
 BROADCAST_MAX_ROWS = 2_000_000
 #: rows that a refinement (of a cut, of quantiles) leaves to be looked at one by one
 REFINE_DIRECT_ROWS = 50_000
+#: rows that a bucket's window is to sort at most, about, and the hash's hex digits
+BUCKET_ROWS = 200_000
+HASH_DIGITS = 32
 
 
 def join_small(big: DataFrame, small: DataFrame, on, n_rows: int, how: str = "inner"):
@@ -129,8 +132,23 @@ def bucketed_rank(df: DataFrame, by=None, h: str = HASH_COL, key: str = "row_id"
     schema = T.StructType(_group_schema(df, by) + [
         T.StructField("_b", T.StringType()), T.StructField("_off", T.LongType())])
     off_df = spark.createDataFrame(offs, schema)
-    x = df.withColumn("_b", hash_bucket(h, digits))
-    x = join_small(x, off_df, by + ["_b"], len(offs))
+    # longer prefixes, until a bucket is small: the hash deals rows evenly
+    largest, deep = max((n for _, _, n in counts), default=0), digits
+    while largest > BUCKET_ROWS and deep < HASH_DIGITS:
+        largest, deep = -(-largest // 16), deep + 1
+    if deep == digits:
+        x = join_small(df.withColumn("_b", hash_bucket(h, digits)), off_df, by + ["_b"], len(offs))
+    else:
+        x = df.withColumn("_d", hash_bucket(h, deep))
+        inner = x.groupBy(*by, "_d").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.substring("_d", 1, digits))
+        before = Window.partitionBy(*by, "_b").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+        inner = join_small(inner, off_df, by + ["_b"], len(offs)).withColumn(
+            "_off", F.col("_off") + F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n", "_b")
+        names = [f"_g{i}" for i in range(len(by))]
+        inner = inner.select(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True)), F.col("_d").alias("_b"), "_off")
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)],
+                      F.col("_d") == F.col("_b"))
+        x = x.join(inner, same).drop("_d", *names)
     w = Window.partitionBy(*by, "_b").orderBy(h, key)
     return (x.withColumn(out, (F.col("_off") + F.row_number().over(w)).cast("long"))
              .drop("_b", "_off"))
@@ -260,7 +278,7 @@ def group_counts(df: DataFrame, by) -> dict:
 
 def cumulative_by_value(df: DataFrame, by, value: str, sums: list[str],
                         descending: bool = False, ranges: int | None = None,
-                        inclusive: bool = True) -> DataFrame:
+                        inclusive: bool = True, keep_range: bool = False) -> DataFrame:
     """Running sums of ``sums`` over ``value`` order, within each group.
 
     ``df`` must already hold one row per (group, value). Output adds
@@ -268,7 +286,8 @@ def cumulative_by_value(df: DataFrame, by, value: str, sums: list[str],
     ``inclusive=False``). Ranges come from approximate quantiles of the
     distinct values; each range is windowed separately and offset by the
     totals of the ranges before it. There are as many ranges as the session has
-    shuffle partitions (8 at least), so that they follow the size of the job.
+    shuffle partitions (8 at least), so that they follow the size of the job. With
+    ``keep_range`` the number of a row's range, in order, stays as ``_rg``.
     """
     by = _by_list(by)
     ranges = ranges or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -279,7 +298,7 @@ def cumulative_by_value(df: DataFrame, by, value: str, sums: list[str],
         out = df
         for s in sums:
             out = out.withColumn(f"cum_{s}", F.coalesce(F.sum(s).over(w), F.lit(0)))
-        return out
+        return out.withColumn("_rg", F.lit(0)) if keep_range else out
     probs = [i / ranges for i in range(1, ranges)]
     edges = df.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx(value, probs, 10000)).alias("_edges"))
@@ -300,7 +319,7 @@ def cumulative_by_value(df: DataFrame, by, value: str, sums: list[str],
     for s in sums:
         x = x.withColumn(f"cum_{s}",
                          F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(w), F.lit(0)))
-    return x.drop("_rg", *[f"_o_{s}" for s in sums])
+    return x.drop(*([] if keep_range else ["_rg"]), *[f"_o_{s}" for s in sums])
 
 
 # ----------------------------------------------------- exact quantiles

@@ -135,29 +135,21 @@ def roc_curve(df: DataFrame, by=("model",), y: str = "y", score: str = "score",
     """
     by = _by_list(by)
     g = score_counts(df, by, y, score)
-    c = cumulative_by_value(g, by, score, ["pos", "neg"], descending=True, ranges=ranges)
+    c = cumulative_by_value(g, by, score, ["pos", "neg"], descending=True, ranges=ranges, keep_range=drop_intermediate)
     tot = g.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     c = c.join(tot, on=by, how="inner") if by else c.crossJoin(F.broadcast(tot))  # without groups: one row
     if drop_intermediate:
-        # next distinct (lower) score's counts: within a range by lead, across
-        # ranges by joining the first row of the next range (small table).
-        if ranges is not None and ranges <= 1:
-            w = Window.partitionBy(*by).orderBy(F.col(score).desc())
-            c = c.withColumn("_np", F.lead("pos").over(w)).withColumn("_nn", F.lead("neg").over(w))
-        else:
-            # descending position of every distinct score (cumulative count of
-            # ones, range-split like the sums); the next lower score is the one
-            # at position + 1, found by an equi-join instead of a global lead.
-            ones = g.withColumn("_one", F.lit(1).cast("long"))
-            rk = cumulative_by_value(ones, by, score, ["_one"], descending=True, ranges=ranges)
-            rk = rk.select(*by, F.col(score).alias("_sx"), F.col("cum__one").alias("_rk"),
-                           F.col("pos").alias("_np"), F.col("neg").alias("_nn"))
-            me = rk.select(*by, F.col("_sx").alias(score), (F.col("_rk") + 1).alias("_rk"))
-            c = (c.join(me, on=by + [score], how="inner")
-                  .join(rk.drop("_sx"), on=by + ["_rk"], how="left").drop("_rk"))
+        # the next (lower) score's counts: inside a range by lead; after its last row comes the
+        # first row of the next range, carried over in a table of one row a range
+        counts = F.struct("pos", "neg")
+        w = Window.partitionBy(*by, "_rg").orderBy(F.col(score).desc())
+        heads = c.groupBy(*by, "_rg").agg(F.max_by(counts, score).alias("_head"))
+        heads = heads.select(*by, "_rg", F.lead("_head").over(Window.partitionBy(*by).orderBy("_rg")).alias("_after"))
+        c = c.withColumn("_next", F.lead(counts).over(w)).join(heads, [*by, "_rg"]).withColumn(
+            "_next", F.coalesce("_next", "_after"))
         first = F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg")
-        keep = (first | F.col("_np").isNull()
-                | (F.col("_np") != F.col("pos")) | (F.col("_nn") != F.col("neg")))
+        keep = (first | F.col("_next").isNull()
+                | (F.col("_next.pos") != F.col("pos")) | (F.col("_next.neg") != F.col("neg")))
         c = c.where(keep)
     pts = c.select(*by, F.col(score).cast("double").alias("threshold"),
                    F.try_divide(F.col("cum_neg").cast("double"), F.col("_N").cast("double")).alias("fpr"),

@@ -6,12 +6,12 @@ the data, never a driver-side loop over rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsentry.functions.ranks import exact_quantiles
 from flowsentry.functions.scalar import is_numeric
 from flowsentry.operators.cleaning import column_variances
+from flowsentry.session import materialise
 
 
 def top_variance_features(df: DataFrame, features: list[str], k: int = 15) -> DataFrame:
@@ -31,30 +31,65 @@ def correlation_lower(df: DataFrame, features: list[str]) -> DataFrame:
     return wide.selectExpr(f"stack({len(pairs)}, {stack}) as (feature_i, feature_j, corr)")
 
 
-def box_stats(df: DataFrame, features: list[str], cls: str = "y") -> DataFrame:
-    """per class and feature: quartiles, 1.5*IQR whiskers, outlier count.
+BOX_PROBS = (0.25, 0.5, 0.75)
+SKETCH = 10_000  # accuracy of the sketches: ranks are right to a share of 1 / SKETCH
+
 
-    Quartiles are exact (linear interpolation); whiskers are the most extreme
-    values inside the fences, from a second aggregate joined to the small
-    (class x feature) quartile table.
+def box_stats(df: DataFrame, features: list[str], cls: str = "y") -> DataFrame:
+    """per class and feature: quartiles, 1.5*IQR whiskers, outlier count. NULL and NaN are
+    left out.
+
+    Quartiles are exact (linear interpolation). A first aggregate over the wide table keeps
+    a sketch for each class and feature, whose values a little below and above a
+    quartile bracket it; a second counts what lies below each bracket; of the rows themselves
+    only values inside a bracket are taken apart, about 6 in ``SKETCH``. The fences make a
+    last aggregate. Nothing is persisted and no row is copied for each of its features.
     """
-    long = df.select(F.col(cls).alias("cls"), F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]
-    )).alias("_s")).select("cls", "_s.feature", "_s.v")
-    q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], by=["cls", "feature"])
-    qw = (q.groupBy("cls", "feature")
-            .pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
-            .toDF("cls", "feature", "q1", "median", "q3"))
-    qw = qw.withColumn("iqr", F.col("q3") - F.col("q1"))
-    lo = F.col("q1") - 1.5 * F.col("iqr")
-    hi = F.col("q3") + 1.5 * F.col("iqr")
-    j = long.join(qw, ["cls", "feature"])
-    w = j.groupBy("cls", "feature").agg(
-        F.min(F.when(F.col("v") >= lo, F.col("v"))).alias("whisker_lo"),
-        F.max(F.when(F.col("v") <= hi, F.col("v"))).alias("whisker_hi"),
-        F.count_if((F.col("v") < lo) | (F.col("v") > hi)).alias("n_outliers"),
-        F.count(F.lit(1)).alias("n"))
-    return qw.join(w, ["cls", "feature"])
+    clean = df.select(F.col(cls).alias("cls"), *(F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")).alias(f"v{i}")
+                                                for i, f in enumerate(features)))
+    each = range(len(features))
+    share = [x for p in BOX_PROBS for x in (max(0.0, p - 2 / SKETCH), min(1.0, p + 2 / SKETCH))]
+    sketch = clean.groupBy("cls").agg(*(F.count(f"v{i}").alias(f"n{i}") for i in each), *(
+        F.percentile_approx(f"v{i}", share, SKETCH).alias(f"s{i}") for i in each))
+    # a row a class: counts and brackets, the features one after the other
+    sketch = materialise(sketch, "box-sketches").withColumnRenamed("cls", "_c")
+    known = clean.join(F.broadcast(sketch), F.col("cls").eqNullSafe(F.col("_c"))).drop("_c")  # as many rows as classes
+    slots = [(i, j) for i in each for j in range(len(BOX_PROBS))]
+    lo, hi = (lambda i, j: F.col(f"s{i}")[2 * j]), (lambda i, j: F.col(f"s{i}")[2 * j + 1])
+    below = known.groupBy("cls").agg(F.array(*(F.count_if(F.col(f"v{i}") < lo(i, j)) for i, j in slots)).alias("below"),
+                                     *(F.first(f"n{i}").alias(f"n{i}") for i in each))
+    below = below.select("cls", F.explode(F.array(*(F.struct(
+        F.lit(i).alias("f"), F.lit(j).alias("q"), F.col(f"n{i}").alias("n"), F.col("below")[at].alias("below"))
+        for at, (i, j) in enumerate(slots)))).alias("x")).select("cls", "x.*")
+    inside = F.filter(F.array(*(F.when((F.col(f"v{i}") >= lo(i, j)) & (F.col(f"v{i}") <= hi(i, j)), F.struct(
+        F.lit(i).alias("f"), F.lit(j).alias("q"), F.col(f"v{i}").alias("v"))) for i, j in slots)), lambda x: x.isNotNull())
+    values = known.select("cls", F.explode(inside).alias("x")).groupBy("cls", "x.f", "x.q", "x.v").agg(F.count(F.lit(1)).alias("m"))
+    values = values.withColumnRenamed("cls", "_c").withColumnsRenamed({"f": "_f", "q": "_q"})
+    same = F.col("cls").eqNullSafe(F.col("_c")) & (F.col("f") == F.col("_f")) & (F.col("q") == F.col("_q"))
+    w = Window.partitionBy("cls", "f", "q").orderBy("v")  # the different values of a bracket
+    got = values.join(F.broadcast(below), same).withColumn("upto", F.col("below") + F.sum("m").over(w))  # class x feature x quartile
+    place = F.element_at(F.array(*(F.lit(p) for p in BOX_PROBS)), F.col("q") + 1) * (F.col("n") - 1)
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    got = got.withColumn("k", F.floor(place)).withColumn("part", place - F.col("k")).groupBy("cls", "f", "q").agg(
+        at(F.col("k")).alias("a"), at(F.least(F.col("k") + 1, F.col("n") - 1)).alias("b"), F.first("part").alias("part"))
+    quart = F.max(F.when(F.col("q") == 0, F.col("x"))), F.max(F.when(F.col("q") == 1, F.col("x"))), F.max(F.when(F.col("q") == 2, F.col("x")))
+    qw = got.withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).groupBy("cls", "f").agg(
+        *(e.alias(n) for e, n in zip(quart, ("q1", "median", "q3"), strict=True)))
+    qw = materialise(qw.withColumn("iqr", F.col("q3") - F.col("q1")), "box-quartiles")
+    fences = qw.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("f", F.struct(
+        (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"))))).alias("fence"))
+    fenced = clean.join(F.broadcast(fences.withColumnRenamed("cls", "_c")), F.col("cls").eqNullSafe(F.col("_c")))
+    fence = lambda i, side: F.col("fence")[F.lit(i)][side]
+    ends = fenced.groupBy("cls").agg(*(F.struct(
+        F.lit(i).alias("f"), F.min(F.when(F.col(f"v{i}") >= fence(i, "lo"), F.col(f"v{i}"))).alias("whisker_lo"),
+        F.max(F.when(F.col(f"v{i}") <= fence(i, "hi"), F.col(f"v{i}"))).alias("whisker_hi"),
+        F.count_if((F.col(f"v{i}") < fence(i, "lo")) | (F.col(f"v{i}") > fence(i, "hi"))).alias("n_outliers"),
+        F.count(f"v{i}").alias("n")).alias(f"e{i}") for i in each))
+    ends = ends.select(F.col("cls").alias("_c"), F.explode(F.array(*(f"e{i}" for i in each))).alias("e")).select("_c", "e.*")
+    ends = ends.withColumnRenamed("f", "_f")
+    names = F.array(*(F.lit(f) for f in features))
+    return qw.join(ends, F.col("cls").eqNullSafe(F.col("_c")) & (F.col("f") == F.col("_f"))).select(
+        "cls", F.element_at(names, F.col("f") + 1).alias("feature"), "q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi", "n_outliers", "n")
 
 
 def class_distribution(df: DataFrame, split: str = "split", y: str = "y") -> DataFrame:
