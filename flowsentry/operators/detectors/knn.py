@@ -6,12 +6,14 @@ number; a row finds its cell by way of the nearest of the pivots' own
 pivots (any cell is right: what counts is the radius that the cell ends up with).
 Queries lie in the same cells and go through them together.
 
-First a cell's queries meet the references of the nearest cells, until these
-hold ``PROBE`` times k, which bounds each query's k-th distance. Then they
-meet the cells that could hold something as near as the largest of the bounds,
-and in each of them only the queries whose own bound reaches it. A hot cell is
-cut on either side: queries into parts of ``PART_ROWS``, the references that a
-cell needs into bundles of about ``BUNDLE_ROWS``.
+Neighbouring cells are a group of about ``PART_ROWS`` rows, so that a task is sent
+the references it needs once. First a group's queries meet the references of their
+cells' nearest cells, until these hold ``PROBE`` times k, which bounds each query's
+k-th distance. Then they meet the cells that could hold something as near as the
+largest bound of some cell of theirs, and in each of them only the queries whose
+own bound reaches it are compared. Hot cells are cut on either side: the queries
+of a group into parts of ``PART_ROWS``, the references it needs into bundles of
+about ``BUNDLE_ROWS``.
 
 Candidates are picked by the expanded square, with a bound for its rounding
 error, and decided by exact differences: every reference within the k-th exact
@@ -126,6 +128,17 @@ class Cells:
         live = np.unique(own)
         return cls(pivots, pivots[some[live]], [np.flatnonzero(own == i) for i in live])
 
+    def grouped(self, n: int) -> np.ndarray:
+        """The group of every cell, of ``n`` at most: that of the nearest of ``n`` pivots."""
+        some = np.random.default_rng(1).permutation(len(self.pivots))[:max(1, n)]
+        if len(some) == len(self.pivots):
+            return np.arange(len(self.pivots))
+        near, far = np.zeros(len(self.pivots), np.int64), np.full(len(self.pivots), np.inf)
+        for i, p in enumerate(self.pivots[some]):
+            d = _exact(self.pivots, p)
+            near[d < far], far = i, np.minimum(d, far)
+        return near
+
     def assign(self, X: np.ndarray):
         """The cell of every row, and its distance to the cell's pivot."""
         cell, dist = np.zeros(len(X), np.int32), np.zeros(len(X))
@@ -179,19 +192,19 @@ class KnnIndex:
         got = table.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dp").alias("r")).toPandas().sort_values("_cell")
         return got["_cell"].to_numpy(), got["n"].to_numpy(), got["r"].to_numpy(np.float64)
 
-    def _plan(self, asked: DataFrame, needed, fields: str) -> DataFrame:
-        """What ``needed`` (pivot distances, counts, radii, row of ``asked``) says for every query cell."""
+    def _plan(self, asked: DataFrame, needed) -> DataFrame:
+        """(qc, _cell): the reference cells that ``needed`` (pivot distances, counts, radii, row of
+        ``asked``) picks for every query cell."""
         shared = self.spark.sparkContext.broadcast((self.cells.pivots, *self.stats))
 
         def run(batches):
             pivots, live, n, r = shared.value
             for b in batches:
                 for row in b.itertuples(index=False):
-                    d = _exact(pivots[live], pivots[row.qc])
-                    at, extra = needed(d, n, r, row)
-                    yield pd.DataFrame({"qc": np.int32(row.qc), "parts": np.int32(row.parts), "_cell": live[at].astype(np.int32)} | extra)
+                    at = needed(_exact(pivots[live], pivots[row.qc]), n, r, row)
+                    yield pd.DataFrame({"qc": np.int32(row.qc), "_cell": live[at].astype(np.int32)})
 
-        return asked.mapInPandas(run, "qc int, parts int, _cell int" + fields)
+        return asked.mapInPandas(run, "qc int, _cell int")
 
     def search(self, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
         """(q, o, dist, rank): the k nearest references of the rows of ``queries`` (laid out),
@@ -199,9 +212,6 @@ class KnnIndex:
         d, tasks = len(self.features), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         wanted = PROBE * (k + 1)
 
-        def split(table):
-            return table.join(sizes.hint("merge"), "qc").withColumn("part", F.pmod(F.xxhash64("_n"), "parts").cast("int"))
-
         def together(left, right, key):
             """Groups of both sides; the right one's columns are new ones, whatever both come from."""
             names = [f"r_{c}" for c in key]
@@ -209,48 +219,51 @@ class KnnIndex:
                                  *(F.col(c).alias(c) for c in right.columns if c not in key))
             return left.repartition(tasks, *key).groupBy(*key).cogroup(right.repartition(tasks, *names).groupBy(*names))
 
-        q = queries.select(F.col("_cell").alias("qc"), "_n", "_kh", "_dp", "_v")
-        sizes = q.groupBy("qc").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"), F.max("_dp").alias("radius"))
-        sizes = materialise(sizes, "knn-query-cells")
+        # small neighbouring cells go together, about PART_ROWS references' worth; a table of cells
+        groups = self.cells.grouped(min(len(self.cells.pivots), -(-self.n // PART_ROWS)))
+        group_of = self.spark.createDataFrame(list(enumerate(groups.tolist())), "qc int, grp int")
+        count_of = self.spark.createDataFrame(list(zip(self.stats[0].tolist(), self.stats[1].tolist(), strict=True)), "_cell int, n long")
+        q = queries.select(F.col("_cell").alias("qc"), "_n", "_kh", "_dp", "_v").join(group_of, "qc")
+        sizes = q.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+        sizes = materialise(sizes, "knn-query-groups")
+        radius = materialise(q.groupBy("qc").agg(F.max("_dp").alias("radius")), "knn-query-cells")
 
         def nearest(dist, n, r, row):
             order = np.argsort(dist, kind="stable")
-            return order[:int(np.searchsorted(np.cumsum(n[order]), wanted)) + 1], {}
+            return order[:int(np.searchsorted(np.cumsum(n[order]), wanted)) + 1]
 
         def bound(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
             ids = (qp["_kh"].to_numpy(), rp["_kh"].to_numpy()) if exclude_self else (None, None)
             far = kth_distance(_matrix(qp["_v"], d), _matrix(rp["_v"], d), k, *ids)
-            return qp[["qc", "part", "_n", "_kh", "_v"]].assign(bound=far)
+            return qp[["grp", "part", "qc", "_n", "_kh", "_v"]].assign(bound=far)
 
-        key = ["qc", "part"]
-        # a bound may come from some of the references: of a large cell the first part will do
+        key = ["grp", "part"]
+        every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        # a bound may come from some of the references: of a large cell the first rows will do
         few = self.table.withColumn("_of", F.row_number().over(Window.partitionBy("_cell", F.pmod("_n", F.lit(16))).orderBy("_n")))
         few = few.where(F.col("_of") <= wanted).select("_cell", "_kh", "_v")
-        right = few.join(self._plan(sizes, nearest, ""), "_cell").withColumn(
-            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*key, "_kh", "_v")
-        left = split(q).select(*key, "_n", "_kh", "_v")
-        asked = (together(left, right, key)
-                 .applyInPandas(bound, "qc int, part int, _n long, _kh long, _v binary, bound double"))
+        near = self._plan(radius, nearest).join(group_of, "qc").select("grp", "_cell").distinct().join(sizes, "grp")
+        right = few.join(near, "_cell").withColumn("part", every_part).select(*key, "_kh", "_v")
+        left = q.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("_n"), "parts").cast("int"))
+        asked = together(left.select(*key, "qc", "_n", "_kh", "_v"), right, key).applyInPandas(
+            bound, "grp int, part int, qc int, _n long, _kh long, _v binary, bound double")
         asked = materialise(asked, "knn-bounds")
 
         def reachable(dist, n, r, row):
-            low = dist - r - row.radius
-            at = np.flatnonzero(low <= row.bound * (1 + 1e-9) + 1e-9 * (1.0 + dist))
-            at = at[np.argsort(low[at], kind="stable")]
-            return at, {"bundle": ((np.cumsum(n[at]) - n[at]) // BUNDLE_ROWS).astype(np.int32)}
-
-        reach = asked.groupBy("qc").agg(F.max("bound").alias("bound")).join(sizes.hint("merge"), "qc")
-        plan = materialise(self._plan(reach, reachable, ", bundle int"), "knn-plan")
-        key = ["qc", "part", "bundle"]
-        right = self.table.join(plan, "_cell").withColumn(
-            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*key, "_cell", "_n", "_kh", "_v")
-        bundles = plan.select("qc", "bundle").distinct()
-        left = asked.join(bundles, "qc").select(*key, "_n", "_kh", "_v", "bound")
-        radius = dict(zip(self.stats[0].tolist(), self.stats[2].tolist(), strict=True))
-        shared = self.spark.sparkContext.broadcast((self.cells.pivots, radius))
+            return np.flatnonzero(dist - r - row.radius <= row.bound * (1 + 1e-9) + 1e-9 * (1.0 + dist))
+
+        reach = asked.groupBy("qc").agg(F.max("bound").alias("bound")).join(radius, "qc")
+        plan = self._plan(reach, reachable).join(group_of, "qc").select("grp", "_cell").distinct().join(count_of, "_cell")
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("grp").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        plan = materialise(plan.withColumn("bundle", F.floor(before / BUNDLE_ROWS).cast("int")), "knn-plan")
+        key = ["grp", "part", "bundle"]
+        right = self.table.join(plan.join(sizes, "grp"), "_cell").withColumn("part", every_part).select(*key, "_cell", "_n", "_kh", "_v")
+        left = asked.join(plan.select("grp", "bundle").distinct(), "grp").select(*key, "_n", "_kh", "_v", "bound")
+        radii = dict(zip(self.stats[0].tolist(), self.stats[2].tolist(), strict=True))
+        shared = self.spark.sparkContext.broadcast((self.cells.pivots, radii))
 
         def meet(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-            pivots, radius = shared.value
+            pivots, radii = shared.value
             Q, bounds, q_kh = _matrix(qp["_v"], d), qp["bound"].to_numpy(), qp["_kh"].to_numpy()
             rp = rp.sort_values("_cell", kind="stable")
             R, r_kh, number, cell = _matrix(rp["_v"], d), rp["_kh"].to_numpy(), rp["_n"].to_numpy(), rp["_cell"].to_numpy()
@@ -259,15 +272,15 @@ class KnnIndex:
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 c = int(cell[lo])
                 gap = _exact(Q, pivots[c])
-                at = np.flatnonzero(gap - radius[c] <= bounds * (1 + 1e-9) + 1e-9 * (1.0 + gap))
-                ids = (q_kh[at], r_kh[lo:hi]) if exclude_self else (None, None)
-                row, ref, dist = within(Q[at], R[lo:hi], bounds[at], *ids)
-                found.append((at[row], ref + lo, dist))
+                at = np.flatnonzero(gap - radii[c] <= bounds * (1 + 1e-9) + 1e-9 * (1.0 + gap))
+                if len(at):
+                    ids = (q_kh[at], r_kh[lo:hi]) if exclude_self else (None, None)
+                    row, ref, dist = within(Q[at], R[lo:hi], bounds[at], *ids)
+                    found.append((at[row], ref + lo, dist))
             row, ref, dist, rank = first_k(*(np.concatenate(x) for x in zip(*found, strict=True)), number, k)
             return pd.DataFrame({"q": qp["_n"].to_numpy()[row], "o": number[ref], "dist": dist, "rank": rank})
 
-        out = (together(left, right, key)
-               .applyInPandas(meet, "q long, o long, dist double, rank int"))
+        out = together(left, right, key).applyInPandas(meet, "q long, o long, dist double, rank int")
         if plan.agg(F.max("bundle")).first()[0]:  # a query's references came in several bundles
             w = Window.partitionBy("q").orderBy("dist", "o")
             out = out.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)

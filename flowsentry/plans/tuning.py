@@ -93,11 +93,9 @@ def lof_fold_neighbours(df: DataFrame, features: list[str], k_max: int, k_folds:
                         fold: str = "fold", key: str = "row_id") -> DataFrame:
     """(f, q_id, o_id, dist, rank): neighbours of every row among the rows of
     all folds except f (self excluded), up to k_max, from one kNN per fold block."""
-    blocks = []
-    for g in range(k_folds):
-        nb = knn_join(df, df.where(F.col(fold) == g), features, k_max, exclude_self=True,
-                      q_key=key, r_key=key)
-        blocks.append(nb.withColumn("blk", F.lit(g)))
+    blocks = concurrently(df.sparkSession, *(lambda g=g: knn_join(
+        df, df.where(F.col(fold) == g), features, k_max, exclude_self=True, q_key=key, r_key=key).withColumn("blk", F.lit(g))
+        for g in range(k_folds)))
     cand = reduce(lambda a, b: a.unionByName(b), blocks)
     # each candidate serves every target fold but its own block (k_folds - 1 copies)
     per_f = cand.withColumn("f", F.explode(F.array(*[F.lit(f) for f in range(k_folds)])))
