@@ -217,3 +217,163 @@ def q_reconstruction_mse(spark, sf_dir):
     """Mean squared error of given reconstructions (the features to one decimal)."""
     em = em_flows(spark, sf_dir).selectExpr("row_id", *EM_FEATURES, *RECON)
     return AE.reconstruction_mse(em, EM_FEATURES, [f"r_{c}" for c in EM_FEATURES]).select("row_id", r6("mse").alias("mse"))
+
+
+# ------------------------------------------- closed forms with given parameters
+
+def _folded(spark, sf_dir):
+    return P.kfold_assign(em_flows(spark, sf_dir), 3)
+
+
+@query("ocsvm_gamma", f"""WITH em AS ({EM_SQL}), {G.kfold_ctes('em', 3)},
+t AS (SELECT f.range AS fold, unnest({VEC}) AS x FROM folded, range(3) f WHERE fold <> f.range)
+SELECT CAST(fold AS INTEGER) AS fold, {_r('1.0 / 64')} AS gamma_auto, {_r('1.0 / (64 * var_pop(x))')} AS gamma_scale
+FROM t GROUP BY fold""")
+def q_ocsvm_gamma(spark, sf_dir):
+    """Both gammas of every fold's training rows."""
+    folded = _folded(spark, sf_dir)
+    rows = [(f, *(OC.resolve_gamma(g, folded.where(F.col("fold") != f), EM_FEATURES) for g in ("auto", "scale"))) for f in range(3)]
+    return spark.createDataFrame(rows, "fold int, gamma_auto double, gamma_scale double").select(
+        "fold", r6("gamma_auto").alias("gamma_auto"), r6("gamma_scale").alias("gamma_scale"))
+
+
+# fixed values: weights and offset of a given model on four landmarks
+GIVEN_W, GIVEN_RHO = (0.4, 0.3, 0.2, 0.1), 0.05
+_GIVEN = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(GIVEN_W))
+
+
+def _given_sql(kernel: str) -> str:
+    return f"""SELECT a.row_id, a.y, sum(CASE l.vec_id {_GIVEN} END * {kernel}) - {GIVEN_RHO} AS d
+  FROM x a, x l WHERE l.vec_id < 4 GROUP BY a.row_id, a.y"""
+
+
+@query("ocsvm_score_given", f"""WITH em AS ({EM_SQL}), x AS (SELECT row_id, vec_id, y, {VEC} AS v FROM em),
+r AS ({_given_sql('exp(-(list_distance(a.v, l.v) ** 2) / 64)')}), p AS ({_given_sql('(list_inner_product(a.v, l.v) / 64) ** 3')})
+SELECT r.row_id, r.y, {_r('r.d')} AS rbf, CAST(r.d < 0 AS INTEGER) AS rbf_pred, {_r('p.d')} AS poly, CAST(p.d < 0 AS INTEGER) AS poly_pred
+FROM r JOIN p USING (row_id)""")
+def q_ocsvm_score_given(spark, sf_dir):
+    """Decisions of a model whose landmarks, weights and rho are given, both kernels."""
+    import numpy as np
+    em = em_flows(spark, sf_dir)
+    marks = em.where("vec_id < 4").select("vec_id", *EM_FEATURES).toPandas()  # four rows
+    L, w = marks[EM_FEATURES].to_numpy(float), np.array([GIVEN_W[int(i)] for i in marks["vec_id"]])
+    out = None
+    for kind in ("rbf", "poly"):
+        m = OC.OCSVMModel(EM_FEATURES, kind, 1 / 64, 0.2, L, np.eye(len(L)), w, GIVEN_RHO)
+        s = m.transform(em, keep=("row_id", "y")).select("row_id", "y", r6("decision").alias(kind), F.col("pred").alias(f"{kind}_pred"))
+        out = s if out is None else out.join(s.drop("y"), "row_id")
+    return out
+
+
+@query("ocsvm_flags", f"""WITH em AS ({EM_SQL}), {G.kfold_ctes('em', 3)},
+t AS (SELECT CAST(f.range AS INTEGER) AS fold, count(*) AS n FROM folded, range(3) f WHERE fold <> f.range GROUP BY f.range)
+SELECT nu, fold, n AS n_train, CAST(ceil(nu * (n - 1)) AS BIGINT) AS n_flagged
+FROM t, (VALUES (CAST(0.05 AS DOUBLE)), (0.1), (0.15), (0.2)) v(nu)""")
+def q_ocsvm_flags(spark, sf_dir):
+    """Training rows that the models of every nu and fold flag: all below the nu-quantile
+    of their margins (rbf, gamma scale)."""
+    folded = _folded(spark, sf_dir).cache()
+    nus = (0.05, 0.1, 0.15, 0.2)
+    models = OC.fit_ocsvm_many(folded, EM_FEATURES, "rbf", "scale", nus, "fold", (0, 1, 2))
+    s = OC.score_models(folded, [(i, f, models[nu, f]) for i, nu in enumerate(nus) for f in range(3)], train=True)
+    nu = F.element_at(F.array(*(F.lit(x) for x in nus)), F.col("candidate_id") + 1)
+    return s.groupBy(nu.alias("nu"), "fold").agg(F.count(F.lit(1)).alias("n_train"), F.sum("pred").cast("long").alias("n_flagged"))
+
+
+# fixed values: the given network, the same rule for every layer
+def _weight(layer, i, j):
+    return ((7 * i + 3 * j + 5 * layer) % 11 - 5) / 20
+
+
+def _bias(layer, i):
+    return ((i + layer) % 5 - 2) / 10
+
+
+AE_INPUT = {"a": "l_quantity / 50", "b": "l_extendedprice / 100000", "c": "l_discount", "d": "l_tax", "e": "l_linenumber / 7"}
+
+
+def _given_theta():
+    import numpy as np
+    dims, parts = AE.layer_dims(len(AE_INPUT)), []
+    for n, (n_in, n_out) in enumerate(zip(dims, dims[1:], strict=False)):
+        parts += [[_weight(n, i, j) for i in range(n_out) for j in range(n_in)], [_bias(n, i) for i in range(n_out)]]
+    return np.concatenate(parts)
+
+
+def _forward_sql() -> str:
+    dims = AE.layer_dims(len(AE_INPUT))
+    ctes = [f"x AS (SELECT row_id, split, [{', '.join(f'CAST({e} AS DOUBLE)' for e in AE_INPUT.values())}] AS v FROM splitted)",
+            "a0 AS (SELECT row_id, split, v, v AS h FROM x)"]
+    for n, (n_in, n_out) in enumerate(zip(dims, dims[1:], strict=False)):
+        rows = ", ".join("[" + ", ".join(str(float(x)) for x in [*(_weight(n, i, j) for j in range(n_in)), _bias(n, i)]) + "]"
+                         for i in range(n_out))
+        z = "list_inner_product(list_append(h, 1.0), w)"
+        z = z if n == len(dims) - 2 else f"greatest({z}, 0.0)"
+        ctes.append(f"a{n + 1} AS (SELECT row_id, split, v, list_transform(CAST([{rows}] AS DOUBLE[][]), lambda w: {z}) AS h FROM a{n})")
+    ctes.append(f"m AS (SELECT row_id, split, list_distance(v, h) ** 2 / {len(AE_INPUT)} AS mse FROM a{len(dims) - 1})")
+    return ",\n".join(ctes)
+
+
+AE_GIVEN = f"li AS ({LI_SQL}), {G.split_ctes('li')},\n{_forward_sql()}"
+
+
+def _given_errors(spark, sf_dir):
+    li = P.stratified_split(li_flows(spark, sf_dir)).selectExpr("row_id", "split", *(f"{e} AS {c}" for c, e in AE_INPUT.items()))
+    return AE.AEModel(list(AE_INPUT), _given_theta()).reconstruction_error(li, keep=("row_id", "split"))
+
+
+@query("autoencoder_forward", f"WITH {AE_GIVEN}\nSELECT row_id, {_r('mse')} AS mse FROM m WHERE split = 'test'")
+def q_autoencoder_forward(spark, sf_dir):
+    """The forward pass of a network with given weights, as the error of the test rows."""
+    return _given_errors(spark, sf_dir).where("split = 'test'").select("row_id", r6("mse").alias("mse"))
+
+
+@query("epoch_loss", f"WITH {AE_GIVEN}\nSELECT split, count(*) AS n, {_r('avg(mse)')} AS loss FROM m GROUP BY split")
+def q_epoch_loss(spark, sf_dir):
+    """The loss of the given network on each split."""
+    return _given_errors(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("mse")).alias("loss"))
+
+
+@query("anomaly_rule", f"""WITH {AE_GIVEN},
+t AS (SELECT quantile_cont(mse, 0.8) AS hi, quantile_cont(mse, 0.2) AS lo FROM m WHERE split = 'val')
+SELECT row_id, CAST(mse > hi AS INTEGER) AS pred_normal, {_r('mse')} AS score_normal,
+  CAST(mse < lo AS INTEGER) AS pred_anomaly, {_r('-mse')} AS score_anomaly FROM m, t WHERE split = 'test'""")
+def q_anomaly_rule(spark, sf_dir):
+    """Both decision rules on given errors: above P80 of the validation errors, and, for
+    the network of the anomalies, below P20 with the error's negative as score."""
+    e = _given_errors(spark, sf_dir)
+    t = exact_quantile_values(e.where("split = 'val'"), "mse", [0.8, 0.2])
+    return e.where("split = 'test'").select(
+        "row_id", (F.col("mse") > t[(0.8,)]).cast("int").alias("pred_normal"), r6("mse").alias("score_normal"),
+        (F.col("mse") < t[(0.2,)]).cast("int").alias("pred_anomaly"), r6(-F.col("mse")).alias("score_anomaly"))
+
+
+@query("early_stops", """WITH RECURSIVE l AS (SELECT event_type AS series, event_id % 60 + 1 AS epoch, round(avg(value), 4) AS loss
+  FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL GROUP BY ALL),
+s AS (SELECT DISTINCT series, CAST(0 AS BIGINT) AS epoch, CAST('Infinity' AS DOUBLE) AS best, CAST(0 AS BIGINT) AS best_epoch FROM l
+  UNION ALL SELECT s.series, l.epoch, CASE WHEN l.loss < best - 0.000001 THEN l.loss ELSE best END,
+    CASE WHEN l.loss < best - 0.000001 THEN l.epoch ELSE best_epoch END
+  FROM s JOIN l ON l.series = s.series AND l.epoch = s.epoch + 1 WHERE s.epoch - s.best_epoch < 5)
+SELECT series, CAST(max(epoch) AS INTEGER) AS stop_epoch, CAST(max(best_epoch) AS INTEGER) AS best_epoch FROM s GROUP BY series""")
+def q_early_stops(spark, sf_dir):
+    """The stopping rule on a loss table (the mean value of each event type, minute by minute)."""
+    from flowsentry.plans.fixtures import table
+    loss = (table(spark, sf_dir, "events").where("event_type IS NOT NULL AND value IS NOT NULL")
+            .groupBy(F.col("event_type").alias("series"), (F.col("event_id") % 60 + 1).alias("epoch"))
+            .agg(F.round(F.avg("value"), 4).alias("loss")))
+    return AE.early_stops(loss, "series", "epoch", "loss")
+
+
+@query("early_stop_history")
+def q_early_stop_history(spark, sf_dir):
+    """An autoencoder on the LI normals that stops early (learning rate 0.01, min_delta
+    0.02); its history is written and read back."""
+    from flowsentry.plans.experiment import preprocess
+    from flowsentry.session import scratch_path
+    from flowsentry.sources.files import read_flow_csv, write_table
+    z, _ = preprocess(li_flows(spark, sf_dir), LI_FEATURES)
+    m = AE.fit_autoencoder(z.where("split = 'train' AND y = 0"), z.where("split = 'val' AND y = 0"), LI_FEATURES,
+                           min_delta=0.02, lr=1e-2)
+    path = scratch_path(spark, "loss-history")
+    write_table(m.history_df(spark), path, "csv")
+    return read_flow_csv(spark, path).orderBy("Epoch")

@@ -272,14 +272,21 @@ def q_volume_sensitivity(spark, sf_dir):
     return TU.volume_sensitivity(z.where("split = 'train'"), z.where("split = 'test'"), LI_FEATURES)
 
 
-@query("cv_boxes")
+@query("cv_boxes", f"""WITH lof AS (WITH {_cv_tables_sql()} SELECT f1 FROM fm), forest AS (WITH {_if_cv_sql()} SELECT f1 FROM fm),
+x AS (SELECT 'LOF' AS cls, f1 AS v FROM lof UNION ALL SELECT 'Isolation Forest', f1 FROM forest),
+q AS (SELECT cls, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY cls)
+SELECT q.cls, 'f1' AS feature, {_r('any_value(q1)')} AS q1, {_r('any_value(median)')} AS median, {_r('any_value(q3)')} AS q3,
+  {_r('min(v) FILTER (v >= q1 - 1.5 * (q3 - q1))')} AS whisker_lo, {_r('max(v) FILTER (v <= q3 + 1.5 * (q3 - q1))')} AS whisker_hi,
+  CAST(count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS n_outliers, count(*) AS n
+FROM x JOIN q ON x.cls = q.cls GROUP BY q.cls""")
 def q_cv_boxes(spark, sf_dir):
     """Per-model box statistics of fold F1 (LOF grid and IF grid)."""
     _, fm_lof, _ = _lof_grid(spark, sf_dir)
     _, fm_if = _if_grid(spark, sf_dir)
     rows = (fm_lof.select(F.lit("LOF").alias("model"), "f1")
             .unionByName(fm_if.select(F.lit("Isolation Forest").alias("model"), "f1")))
-    return TU.cv_boxes(rows)
+    return TU.cv_boxes(rows).select("cls", "feature", *(r6(c).alias(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")),
+                                    "n_outliers", "n")
 
 
 # ----------------------------------------------------------- experiments
