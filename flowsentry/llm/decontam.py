@@ -148,7 +148,10 @@ def _phrase_hits(docs, index, id_col, text_col, window, probes) -> DataFrame:
     """``phrase_hits`` and text_key, from a stored index."""
     # grows with the corpus, and repeated words make it far larger than its file
     found = _matching(*index, window, probes).hint("merge")
-    rows = _documents(docs, id_col, text_col).join(found, _same_document(), "left")
+    # texts travel, their words are made afterwards
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("text_key", F.xxhash64("text")).join(found, _same_document(), "left")
+    rows = rows.withColumn("words", words(F.col("text")))
     rows = rows.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), _spans(window, F.col("words")).alias("spans"))
     hit = F.array_distinct(F.flatten(F.transform(
         "spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
