@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsentry.functions.ranks import exact_quantile_values
+from flowsentry.operators.metrics import pred_from_decision, score_from_decision
 from flowsentry.operators.sampling import random_rows
 
 AUTO_OFFSET = -0.5
@@ -146,8 +147,7 @@ class IForestModel:
         cols = keep + [F.col(c).cast("double").alias(c) for c in feats if c not in keep]
         s = df.select(*cols).mapInPandas(run, schema)
         d = F.col("score_samples") - F.lit(self.offset)
-        return (s.withColumn("decision", d).withColumn("score", -d)
-                 .withColumn("pred", (d < 0).cast("int")))
+        return s.withColumn("decision", d).withColumns({"score": score_from_decision(), "pred": pred_from_decision()})
 
 
 def leaf_heights(trees, X: np.ndarray) -> np.ndarray:

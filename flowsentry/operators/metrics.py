@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions.ranks import _by_list, cumulative_by_value
 from flowsentry.functions.scalar import safe_div
+from flowsentry.session import materialise
 
 METRICS = ["Precision", "Recall", "F1-Score", "Balanced_Accuracy", "AUC-ROC"]
 
@@ -219,7 +220,8 @@ def evaluate(scored: DataFrame, by=("model",), y: str = "y", score: str | None =
     # one table of counts feeds everything: the scored rows are read once
     one = F.col(y) == 1
     t = scored.groupBy(*by, F.col(score).alias("_s"), (F.col(pred) == 1).alias("_f")).agg(
-        F.count_if(one).cast("long").alias("pos"), F.count_if(~one).cast("long").alias("neg")).persist()
+        F.count_if(one).cast("long").alias("pos"), F.count_if(~one).cast("long").alias("neg"))
+    t = materialise(t, "score-counts")
     of = lambda flag, n: F.coalesce(F.sum(F.when(F.col("_f") == flag, F.col(n))), F.lit(0)).cast("long")
     r = with_rates(t.groupBy(*by).agg(of(True, "pos").alias("tp"), of(True, "neg").alias("fp"),
                                       of(False, "pos").alias("fn"), of(False, "neg").alias("tn")))

@@ -56,11 +56,12 @@ def box_stats(df: DataFrame, features: list[str], cls: str = "y") -> DataFrame:
     known = clean.join(F.broadcast(sketch), F.col("cls").eqNullSafe(F.col("_c"))).drop("_c")  # as many rows as classes
     slots = [(i, j) for i in each for j in range(len(BOX_PROBS))]
     lo, hi = (lambda i, j: F.col(f"s{i}")[2 * j]), (lambda i, j: F.col(f"s{i}")[2 * j + 1])
-    below = known.groupBy("cls").agg(F.array(*(F.count_if(F.col(f"v{i}") < lo(i, j)) for i, j in slots)).alias("below"),
-                                     *(F.first(f"n{i}").alias(f"n{i}") for i in each))
-    below = below.select("cls", F.explode(F.array(*(F.struct(
-        F.lit(i).alias("f"), F.lit(j).alias("q"), F.col(f"n{i}").alias("n"), F.col("below")[at].alias("below"))
-        for at, (i, j) in enumerate(slots)))).alias("x")).select("cls", "x.*")
+    # what lies below a bracket, and the values next to it (few rows: a quartile may need them)
+    edges = F.array(*(F.struct(F.lit(i).alias("f"), F.lit(j).alias("q"), F.first(f"n{i}").alias("n"),
+                               F.count_if(F.col(f"v{i}") < lo(i, j)).alias("below"),
+                               F.max(F.when(F.col(f"v{i}") < lo(i, j), F.col(f"v{i}"))).alias("prev"),
+                               F.min(F.when(F.col(f"v{i}") > hi(i, j), F.col(f"v{i}"))).alias("next")) for i, j in slots))
+    below = known.groupBy("cls").agg(edges.alias("e")).select("cls", F.explode("e").alias("x")).select("cls", "x.*")
     inside = F.filter(F.array(*(F.when((F.col(f"v{i}") >= lo(i, j)) & (F.col(f"v{i}") <= hi(i, j)), F.struct(
         F.lit(i).alias("f"), F.lit(j).alias("q"), F.col(f"v{i}").alias("v"))) for i, j in slots)), lambda x: x.isNotNull())
     values = known.select("cls", F.explode(inside).alias("x")).groupBy("cls", "x.f", "x.q", "x.v").agg(F.count(F.lit(1)).alias("m"))
@@ -69,7 +70,8 @@ def box_stats(df: DataFrame, features: list[str], cls: str = "y") -> DataFrame:
     w = Window.partitionBy("cls", "f", "q").orderBy("v")  # the different values of a bracket
     got = values.join(F.broadcast(below), same).withColumn("upto", F.col("below") + F.sum("m").over(w))  # class x feature x quartile
     place = F.element_at(F.array(*(F.lit(p) for p in BOX_PROBS)), F.col("q") + 1) * (F.col("n") - 1)
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    at = lambda k: F.when(F.first(k) < F.first("below"), F.first("prev")).otherwise(
+        F.coalesce(F.min(F.when(F.col("upto") > k, F.col("v"))), F.first("next")))
     got = got.withColumn("k", F.floor(place)).withColumn("part", place - F.col("k")).groupBy("cls", "f", "q").agg(
         at(F.col("k")).alias("a"), at(F.least(F.col("k") + 1, F.col("n") - 1)).alias("b"), F.first("part").alias("part"))
     quart = F.max(F.when(F.col("q") == 0, F.col("x"))), F.max(F.when(F.col("q") == 1, F.col("x"))), F.max(F.when(F.col("q") == 2, F.col("x")))

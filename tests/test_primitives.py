@@ -167,3 +167,40 @@ def test_param_grid_order(spark):
     g = param_grid(spark, IF_GRID).orderBy("candidate_id").collect()
     assert len(g) == 9
     assert [(r["max_features"], r["n_estimators"]) for r in g[:3]] == [(0.5, 50), (0.5, 100), (0.5, 200)]
+
+
+def test_bucketed_rank_with_deep_buckets(spark, monkeypatch):
+    """Small buckets give the same ranks from longer prefixes, and no window holds many rows."""
+    from flowsentry.functions import ranks
+    df = spark.range(3000).select(F.col("id").cast("string").alias("row_id"), (F.col("id") % 3).cast("int").alias("y"))
+    df = df.withColumn(ranks.HASH_COL, F.md5(F.concat(F.lit("42:"), "row_id")))
+    plain = sorted(map(tuple, ranks.bucketed_rank(df, ["y"], digits=1).select("row_id", "rank").collect()))
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 5)
+    deep = sorted(map(tuple, ranks.bucketed_rank(df, ["y"], digits=1).select("row_id", "rank").collect()))
+    assert deep == plain
+
+
+def test_concurrent_jobs(spark):
+    from flowsentry.session import concurrently
+    assert concurrently(spark, *(lambda n=n: spark.range(n).count() for n in (3, 5, 7))) == [3, 5, 7]
+    with pytest.raises(ZeroDivisionError):
+        concurrently(spark, lambda: 1 / 0, lambda: spark.range(2).count())
+
+
+def test_box_stats_of_small_groups(spark):
+    """Quartiles between two values of any group size, with ties, nulls and NaN."""
+    from flowsentry.operators.profile import box_stats
+    rng = np.random.default_rng(0)
+    rows = [(n, float(v), float(rng.normal())) for n in range(1, 30) for v in rng.integers(0, 9, n)]
+    rows += [(5, None, float("nan")), (None, 1.0, 2.0), (None, 3.0, 2.5)]
+    df = spark.createDataFrame(rows, "y int, a double, b double").repartition(4)
+    got = box_stats(df, ["a", "b"], "y").collect()
+    assert len(got) == 2 * 30
+    for r in got:
+        x = np.array([t[1 if r.feature == "a" else 2] for t in rows if t[0] == r.cls], float)
+        x = x[~np.isnan(x)]
+        q = np.percentile(x, [25, 50, 75])
+        lo, hi = q[0] - 1.5 * (q[2] - q[0]), q[2] + 1.5 * (q[2] - q[0])
+        assert np.allclose([r.q1, r.median, r.q3], q) and r.n == len(x)
+        assert (r.whisker_lo, r.whisker_hi) == (x[x >= lo].min(), x[x <= hi].max())
+        assert r.n_outliers == ((x < lo) | (x > hi)).sum()
