@@ -290,3 +290,50 @@ def test_pipeline_equals_brute_force(spark):
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf).columns == docs.columns
     assert pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
+
+
+def test_stages_on_hard_rows(spark):
+    """Null ids and texts, empty and long texts, repeated rows, an id with two texts, extra columns."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"word{rng.randrange(200)}" for _ in range(n))
+    item = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 10][0]
+    lines = "a first line of the note\nand a second one here\nthe third"
+    rows = [(None, prose(30)), (1, None), (2, ""), (3, prose(40)), (3, prose(50)), (4, prose(60)), (5, prose(60)), (6, lines), (7, lines),
+            (8, prose(20) + " " + item), (9, prose(4000))]
+    rows += [rows[3], rows[3]]
+    docs = H.docs_frame(spark, rows, extra=("row", "doc", "score", "runs", "deleted_runs", "text_key", "found"))
+    kept = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == pipeline.COLUMNS
+        kept[name] = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    quality_kept = kept["quality classifier"]
+    assert set(quality_kept) <= set(rows) and all(quality_kept.count(x) == rows.count(x) for x in quality_kept)
+    copies = [x for x in kept["line dedup"] if x[0] in (6, 7)]
+    assert copies == [(6, lines), (7, "")] and len(kept["line dedup"]) == len(rows)
+    assert kept["line dedup"].count(rows[3]) == 3
+    near = kept["SimHash near-dedup"]
+    assert (1, None) in near and (2, "") not in near      # empty texts are one group
+    assert (6, lines) in near and (7, lines) not in near and near.count(rows[3]) == 3 and rows[4] in near and rows[0] in near
+    assert kept["benchmark decontamination"] == sorted([x for x in rows if x[0] != 8], key=str)
+    pieces = pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(p.length for p in pieces) == sum(map(len, reference_ids([t for _, t in rows])))
+
+
+def test_op8_query(spark):
+    """The registered scores are those of the fitted tables on each text, the held-out rows by their crc."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    import pyarrow as pa
+    model = quality.train(docs, labels)
+    rows = texts(spark)
+    score = model.score(quality.batch_features(pa.array([t for _, t in rows])))
+    got = {r.doc_id: r for r in queries.QUERIES["op8_quality"](spark, SF).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    right = []
+    for (d, _), s in zip(rows, score, strict=True):
+        assert got[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2)
+        assert abs(got[d].score - s) < 1e-9 and got[d].predicted == int(got[d].score >= 0.7)
+        if got[d].held_out and truth.get(d) is not None:
+            right.append(got[d].predicted == truth[d])
+    assert len(got) == len(rows) and sum(right) >= 0.9 * len(right)
