@@ -2,7 +2,10 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``, works on all that its
 predecessor kept, and is written as Parquet and read again as the next one's
-``docs``. All but the last return the columns of ``documents``.
+``docs``. All but the last return the columns of ``documents``; other columns of
+``docs`` are left out. A null text counts as an empty one, and every stage takes
+null ids, repeated rows, one id with different texts, very long texts and an empty
+table (which gives an empty result).
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores below its threshold go."""
+    """Documents that the quality classifier scores below its threshold go. Empty and null texts
+    have a score like any other; rows with the same text have the same one."""
     ship_package(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, COLUMNS)
@@ -26,7 +30,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; every document stays."""
+    """Later copies of repeated line runs go; every document stays, with an empty text if nothing
+    is left and a null one as null. Rows equal in id and text are one document and keep
+    the same lines; ``n_chars`` is that of the text left."""
     ship_package(spark)
     kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -45,13 +51,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; empty and null texts hold none, and
+    an item without words is in no document."""
     ship_package(spark)
     return decontam.without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of full sequences with their token ids."""
+    """What is left, as pieces of full sequences with their token ids. An empty or null text is the
+    end id alone; a repeated row is packed as often as it occurs."""
     import public_tokenizers
     ship_package(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
