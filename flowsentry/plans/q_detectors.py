@@ -348,8 +348,9 @@ def q_anomaly_rule(spark, sf_dir):
         (F.col("mse") < t[(0.2,)]).cast("int").alias("pred_anomaly"), r6(-F.col("mse")).alias("score_anomaly"))
 
 
-@query("early_stops", """WITH RECURSIVE l AS (SELECT event_type AS series, event_id % 60 + 1 AS epoch, round(avg(value), 4) AS loss
+@query("early_stops", """WITH RECURSIVE v AS (SELECT event_type AS series, event_id % 60 AS minute, round(avg(value), 4) AS loss
   FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL GROUP BY ALL),
+l AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY minute) AS epoch, loss FROM v),
 s AS (SELECT DISTINCT series, CAST(0 AS BIGINT) AS epoch, CAST('Infinity' AS DOUBLE) AS best, CAST(0 AS BIGINT) AS best_epoch FROM l
   UNION ALL SELECT s.series, l.epoch, CASE WHEN l.loss < best - 0.000001 THEN l.loss ELSE best END,
     CASE WHEN l.loss < best - 0.000001 THEN l.epoch ELSE best_epoch END
@@ -359,7 +360,7 @@ def q_early_stops(spark, sf_dir):
     """The stopping rule on a loss table (the mean value of each event type, minute by minute)."""
     from flowsentry.plans.fixtures import table
     loss = (table(spark, sf_dir, "events").where("event_type IS NOT NULL AND value IS NOT NULL")
-            .groupBy(F.col("event_type").alias("series"), (F.col("event_id") % 60 + 1).alias("epoch"))
+            .groupBy(F.col("event_type").alias("series"), (F.col("event_id") % 60).alias("epoch"))
             .agg(F.round(F.avg("value"), 4).alias("loss")))
     return AE.early_stops(loss, "series", "epoch", "loss")
 
