@@ -12,8 +12,8 @@ key. Rows are laid out once, a shard in order in one partition, as blocks of
 numbers, and never move again. An epoch is one Spark job: every shard runs
 minibatch Adam over its rows from the epoch's weights, a minibatch at a time; the
 weights and moments are summed by rows over a group of ``GROUP`` shards in the
-task, and over the groups on the driver, in the shards' order: as many vectors as
-groups, of a length that only the topology decides. The same job scores the
+task, over ``FAN_IN`` groups in a second stage, and over what is left on the driver, in the
+shards' order: a few vectors an epoch, of a length that only the topology decides. The same job scores the
 validation rows with the weights it starts from, so an epoch's validation loss
 comes with the next epoch's job.
 """
@@ -36,6 +36,7 @@ from flowsentry.functions.hashing import hash_order
 HIDDEN = (32, 16, 8, 16, 32)
 SHARDS = 256
 GROUP = 4
+FAN_IN = 16
 BLOCK = 1024
 
 
@@ -222,6 +223,14 @@ def _epoch(state, batches, d, group, batch, lr, train):
     yield pd.DataFrame(out, columns=["group", "rows", "steps", "loss", "val_rows", "val_loss", "vectors"])
 
 
+def _over_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sums of some groups of shards as one row, added up in the groups' order."""
+    pdf = pdf.sort_values("group")
+    total = sum(np.frombuffer(x, np.float64) for x in pdf["vectors"])
+    sums = {c: [sum(pdf[c].tolist())] for c in ("rows", "steps", "loss", "val_rows", "val_loss")}
+    return pd.DataFrame({"group": pdf["group"].iloc[:1].to_numpy(), **sums, "vectors": [total.tobytes()]})
+
+
 def fit_autoencoder(train: DataFrame, val: DataFrame, features: list[str], max_epochs: int = 100,
                     patience: int = 5, min_delta: float = 1e-6, lr: float = 1e-3,
                     batch: int = 64, shards: int = SHARDS, group: int = GROUP, seed: int = 42,
@@ -229,14 +238,15 @@ def fit_autoencoder(train: DataFrame, val: DataFrame, features: list[str], max_e
     """Train on ``train`` rows, early-stop on ``val`` rows (same class)."""
     spark = train.sparkSession
     d = len(features)
+    sums = "group int, rows long, steps long, loss double, val_rows long, val_loss double, vectors binary"
     data = sharded(train, val, features, shards, group, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
 
     def job(state, learn):
         """The validation loss of the state's weights, and the state and training loss after an epoch."""
         bc = spark.sparkContext.broadcast(state)
-        got = data.mapInPandas(lambda batches: _epoch(bc.value, batches, d, group, batch, lr, learn),
-                               "group int, rows long, steps long, loss double, val_rows long, val_loss double, vectors binary")
-        got = sorted(got.collect(), key=lambda r: r["group"])  # as many rows as groups
+        got = data.mapInPandas(lambda batches: _epoch(bc.value, batches, d, group, batch, lr, learn), sums)
+        got = got.groupBy(F.floor(F.col("group") / FAN_IN)).applyInPandas(_over_groups, sums)
+        got = sorted(got.collect(), key=lambda r: r["group"])  # a row for FAN_IN groups
         bc.unpersist()
         n, val_n = sum(r["rows"] for r in got), sum(r["val_rows"] for r in got)
         held = sum(r["val_loss"] for r in got) / val_n if val_n else math.nan
