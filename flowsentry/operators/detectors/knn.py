@@ -6,14 +6,15 @@ number; a row finds its cell by way of the nearest of the pivots' own
 pivots (any cell is right: what counts is the radius that the cell ends up with).
 Queries lie in the same cells and go through them together.
 
-Neighbouring cells are a group of about ``PART_ROWS`` rows, so that a task is sent
-the references it needs once. First a group's queries meet the references of their
-cells' nearest cells, until these hold ``PROBE`` times k, which bounds each query's
-k-th distance. Then they meet the cells that could hold something as near as the
-largest bound of some cell of theirs, and in each of them only the queries whose
-own bound reaches it are compared. Hot cells are cut on either side: the queries
-of a group into parts of ``PART_ROWS``, the references it needs into bundles of
-about ``BUNDLE_ROWS``.
+Neighbouring cells are a group of queries, ``PARTS_PER_CORE`` groups for every core of
+the session (of ``PART_ROWS`` to ``MOST_ROWS`` queries), so that references travel to as
+many groups as the cluster can use, not to more as the table grows. First a cell's
+queries meet the references of its nearest cells, until these hold ``NEAR_ROWS``, which
+bounds each query's k-th distance. Then a group meets the cells that could hold
+something as near as the largest bound of some cell of its own, and in each of them only
+the queries whose own bound reaches it are compared. A group of more than its share of
+queries is cut into parts; the references pass by a part in batches, while
+it holds the nearest found so far, so that its memory depends on its queries alone.
 
 Candidates are picked by the expanded square, with a bound for its rounding
 error, and decided by exact differences: every reference within the k-th exact
@@ -39,8 +40,14 @@ from flowsentry.session import materialise
 PROBE = 3
 #: cells for every row of the square root
 CELLS = 3
+#: references that the nearest cells hold together before they bound a query, at least
+NEAR_ROWS = 2_048
+#: queries that travel together, at least and at most, and parts for every core between these
 PART_ROWS = 2_048
-BUNDLE_ROWS = 100_000
+MOST_ROWS = 16_384
+PARTS_PER_CORE = 4
+#: references of a cell that are compared at once
+BUNDLE_ROWS = 2_048
 #: distances held at once
 TILE = 2_000_000
 
@@ -113,6 +120,55 @@ def first_k(row, ref, dist, number, k):
     return row[keep], ref[keep], dist[keep], rank[keep].astype(np.int32)
 
 
+class Part:
+    """The queries of a part, and the ``k`` nearest that have passed by so far."""
+
+    def __init__(self, d: int, k: int, exclude_self: bool):
+        self.d, self.k, self.exclude_self, self.asked, self.Q = d, k, exclude_self, [], None
+
+    def ask(self, rows: pd.DataFrame):
+        self.asked.append((_matrix(rows["_v"], self.d), rows["_n"].to_numpy(), rows["_kh"].to_numpy(), rows["bound"].to_numpy()))
+
+    def _begin(self):
+        self.Q, self.n, self.kh, self.bound = (np.concatenate(x) for x in zip(*self.asked, strict=True))
+        self.asked, self.found, self.size = [], [], 0
+        self.most = max(200_000, 2 * len(self.Q) * self.k)
+
+    def meet(self, rows: pd.DataFrame, pivots: np.ndarray, radii: dict):
+        """References in the order of their cells."""
+        if self.Q is None:
+            self._begin()
+        R, number, kh, cell = _matrix(rows["_v"], self.d), rows["_n"].to_numpy(), rows["_kh"].to_numpy(), rows["_cell"].to_numpy()
+        edge = [*np.flatnonzero(np.diff(cell, prepend=-1)).tolist(), len(cell)]
+        for first, end in zip(edge[:-1], edge[1:], strict=True):
+            c = int(cell[first])
+            gap = _exact(self.Q, pivots[c])
+            for lo in range(first, end, BUNDLE_ROWS):
+                hi = min(end, lo + BUNDLE_ROWS)
+                at = np.flatnonzero(gap - radii[c] <= self.bound * (1 + 1e-9) + 1e-9 * (1.0 + gap))
+                step = max(1, TILE // (hi - lo))
+                for some in (at[i:i + step] for i in range(0, len(at), step)):
+                    ids = (self.kh[some], kh[lo:hi]) if self.exclude_self else (None, None)
+                    row, ref, dist = within(self.Q[some], R[lo:hi], self.bound[some], *ids)
+                    self.found.append((some[row], number[lo:hi][ref], dist))
+                    self.size += len(row)
+                    if self.size > self.most:
+                        self._settle()
+
+    def _settle(self):
+        row, number, dist = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        row, at, dist, rank = first_k(row, np.arange(len(row)), dist, number, self.k)
+        self.found, self.size = [(row, number[at], dist)], len(row)
+        last = rank == self.k
+        self.bound[row[last]] = np.minimum(self.bound[row[last]], dist[last] * (1 + 1e-12))
+        return row, number[at], dist, rank
+
+    def result(self) -> pd.DataFrame:
+        row, number, dist, rank = self._settle() if self.Q is not None and self.found else (np.zeros(0, np.int64),) * 4
+        q = self.n[row] if len(row) else row
+        return pd.DataFrame({"q": q, "o": number, "dist": dist.astype(np.float64), "rank": rank.astype(np.int32)})
+
+
 @dataclass
 class Cells:
     """Pivots, and pivots of them: ``members`` are the pivots nearest to each of ``tops``."""
@@ -212,41 +268,56 @@ class KnnIndex:
         d, tasks = len(self.features), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         wanted = PROBE * (k + 1)
 
-        def together(left, right, key):
-            """Groups of both sides; the right one's columns are new ones, whatever both come from."""
-            names = [f"r_{c}" for c in key]
-            right = right.select(*(F.col(c).alias(n) for c, n in zip(key, names, strict=True)),
-                                 *(F.col(c).alias(c) for c in right.columns if c not in key))
-            return left.repartition(tasks, *key).groupBy(*key).cogroup(right.repartition(tasks, *names).groupBy(*names))
-
-        # small neighbouring cells go together, about PART_ROWS references' worth; a table of cells
-        groups = self.cells.grouped(min(len(self.cells.pivots), -(-self.n // PART_ROWS)))
+        # neighbouring cells go together; a table of cells
+        n_q = queries.count()
+        share = -(-n_q // (PARTS_PER_CORE * self.spark.sparkContext.defaultParallelism))
+        rows = min(MOST_ROWS, max(PART_ROWS, share))
+        groups = self.cells.grouped(min(len(self.cells.pivots), -(-n_q // rows)))
         group_of = self.spark.createDataFrame(list(enumerate(groups.tolist())), "qc int, grp int")
         count_of = self.spark.createDataFrame(list(zip(self.stats[0].tolist(), self.stats[1].tolist(), strict=True)), "_cell int, n long")
         q = queries.select(F.col("_cell").alias("qc"), "_n", "_kh", "_dp", "_v").join(group_of, "qc")
-        sizes = q.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-        sizes = materialise(sizes, "knn-query-groups")
+        sizes = q.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts"))
+        before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)  # a row a group
+        sizes = materialise(sizes.withColumn("before", F.coalesce(F.sum("parts").over(before), F.lit(0)).cast("int")), "knn-query-groups")
         radius = materialise(q.groupBy("qc").agg(F.max("_dp").alias("radius")), "knn-query-cells")
+        # a slot is a part of a group; they are dealt evenly to the tasks
+        slots = sizes.agg(F.sum("parts")).first()[0] or 1
+        tasks = min(tasks, slots)
+        dealt = F.pmod(F.col("slot"), F.lit(tasks)).cast("int")
+        every_slot = F.explode(F.sequence(F.col("before"), F.col("before") + F.col("parts") - 1)).alias("slot")
+        own_slot = (F.col("before") + F.pmod(F.xxhash64("_n"), "parts")).cast("int").alias("slot")
+        asked_columns = ["slot", "grp", "qc", "_n", "_kh", "_v"]
 
         def nearest(dist, n, r, row):
             order = np.argsort(dist, kind="stable")
-            return order[:int(np.searchsorted(np.cumsum(n[order]), wanted)) + 1]
+            return order[:int(np.searchsorted(np.cumsum(n[order]), max(wanted, NEAR_ROWS))) + 1]
+
+        layout = self.spark.sparkContext.broadcast((self.cells.pivots, *self.stats))
 
         def bound(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-            ids = (qp["_kh"].to_numpy(), rp["_kh"].to_numpy()) if exclude_self else (None, None)
-            far = kth_distance(_matrix(qp["_v"], d), _matrix(rp["_v"], d), k, *ids)
-            return qp[["grp", "part", "qc", "_n", "_kh", "_v"]].assign(bound=far)
+            pivots, live, n, r = layout.value
+            qp, rp = qp.sort_values("qc", kind="stable"), rp.sort_values("_cell", kind="stable")
+            Q, q_kh, qc = _matrix(qp["_v"], d), qp["_kh"].to_numpy(), qp["qc"].to_numpy()
+            R, r_kh, cell = _matrix(rp["_v"], d), rp["_kh"].to_numpy(), rp["_cell"].to_numpy()
+            far = np.full(len(Q), np.inf)
+            edge = [*np.flatnonzero(np.diff(qc, prepend=-1)).tolist(), len(qc)]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                near = live[nearest(_exact(pivots[live], pivots[qc[lo]]), n, r, None)]
+                at = np.concatenate([np.arange(*np.searchsorted(cell, (c, c + 1))) for c in near])
+                ids = (q_kh[lo:hi], r_kh[at]) if exclude_self else (None, None)
+                far[lo:hi] = kth_distance(Q[lo:hi], R[at], k, *ids)
+            return qp[asked_columns].assign(bound=far)
 
-        key = ["grp", "part"]
-        every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         # a bound may come from some of the references: of a large cell the first rows will do
         few = self.table.withColumn("_of", F.row_number().over(Window.partitionBy("_cell", F.pmod("_n", F.lit(16))).orderBy("_n")))
         few = few.where(F.col("_of") <= wanted).select("_cell", "_kh", "_v")
         near = self._plan(radius, nearest).join(group_of, "qc").select("grp", "_cell").distinct().join(sizes, "grp")
-        right = few.join(near, "_cell").withColumn("part", every_part).select(*key, "_kh", "_v")
-        left = q.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("_n"), "parts").cast("int"))
-        asked = together(left.select(*key, "qc", "_n", "_kh", "_v"), right, key).applyInPandas(
-            bound, "grp int, part int, qc int, _n long, _kh long, _v binary, bound double")
+        right = few.join(near, "_cell").select(every_slot, "_cell", "_kh", "_v").select(
+            F.col("slot").alias("r_slot"), *(F.col(c).alias(c) for c in ("_cell", "_kh", "_v")))  # new columns, whatever both come from
+        left = q.join(sizes, "grp").select(own_slot, "grp", "qc", "_n", "_kh", "_v")
+        asked = left.repartition(tasks, "slot").groupBy("slot").cogroup(
+            right.repartition(tasks, "r_slot").groupBy("r_slot")).applyInPandas(
+            bound, "slot int, grp int, qc int, _n long, _kh long, _v binary, bound double")
         asked = materialise(asked, "knn-bounds")
 
         def reachable(dist, n, r, row):
@@ -254,37 +325,36 @@ class KnnIndex:
 
         reach = asked.groupBy("qc").agg(F.max("bound").alias("bound")).join(radius, "qc")
         plan = self._plan(reach, reachable).join(group_of, "qc").select("grp", "_cell").distinct().join(count_of, "_cell")
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("grp").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        plan = materialise(plan.withColumn("bundle", F.floor(before / BUNDLE_ROWS).cast("int")), "knn-plan")
-        key = ["grp", "part", "bundle"]
-        right = self.table.join(plan.join(sizes, "grp"), "_cell").withColumn("part", every_part).select(*key, "_cell", "_n", "_kh", "_v")
-        left = asked.join(plan.select("grp", "bundle").distinct(), "grp").select(*key, "_n", "_kh", "_v", "bound")
+        plan = materialise(plan, "knn-plan")
+        refs = self.table.join(plan.join(sizes, "grp"), "_cell").select(
+            every_slot, F.lit(1).alias("role"), "_cell", "_n", "_kh", "_v", F.lit(None).cast("double").alias("bound"))
+        both = asked.select("slot", F.lit(0).alias("role"), F.lit(0).alias("_cell"), "_n", "_kh", "_v", "bound").unionByName(refs)
+        # the queries of a slot first, then its references, cell after cell
+        both = both.repartitionById(tasks, dealt).sortWithinPartitions("slot", "role", "_cell")
         radii = dict(zip(self.stats[0].tolist(), self.stats[2].tolist(), strict=True))
         shared = self.spark.sparkContext.broadcast((self.cells.pivots, radii))
 
-        def meet(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        def meet(batches):
             pivots, radii = shared.value
-            Q, bounds, q_kh = _matrix(qp["_v"], d), qp["bound"].to_numpy(), qp["_kh"].to_numpy()
-            rp = rp.sort_values("_cell", kind="stable")
-            R, r_kh, number, cell = _matrix(rp["_v"], d), rp["_kh"].to_numpy(), rp["_n"].to_numpy(), rp["_cell"].to_numpy()
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-            edge = [*np.flatnonzero(np.diff(cell, prepend=-1)).tolist(), len(cell)]
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                c = int(cell[lo])
-                gap = _exact(Q, pivots[c])
-                at = np.flatnonzero(gap - radii[c] <= bounds * (1 + 1e-9) + 1e-9 * (1.0 + gap))
-                if len(at):
-                    ids = (q_kh[at], r_kh[lo:hi]) if exclude_self else (None, None)
-                    row, ref, dist = within(Q[at], R[lo:hi], bounds[at], *ids)
-                    found.append((at[row], ref + lo, dist))
-            row, ref, dist, rank = first_k(*(np.concatenate(x) for x in zip(*found, strict=True)), number, k)
-            return pd.DataFrame({"q": qp["_n"].to_numpy()[row], "o": number[ref], "dist": dist, "rank": rank})
-
-        out = together(left, right, key).applyInPandas(meet, "q long, o long, dist double, rank int")
-        if plan.agg(F.max("bundle")).first()[0]:  # a query's references came in several bundles
-            w = Window.partitionBy("q").orderBy("dist", "o")
-            out = out.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-        return out
+            slot, part = None, None
+            for b in batches:
+                of, role = b["slot"].to_numpy(), b["role"].to_numpy()
+                edge = [0, *(np.flatnonzero(np.diff(of * 2 + role)) + 1).tolist(), len(b)]
+                for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                    if lo == hi:
+                        continue
+                    if of[lo] != slot:
+                        if part is not None:
+                            yield part.result()
+                        slot, part = of[lo], Part(d, k, exclude_self)
+                    if role[lo] == 0:
+                        part.ask(b.iloc[lo:hi])
+                    else:
+                        part.meet(b.iloc[lo:hi], pivots, radii)
+            if part is not None:
+                yield part.result()
+
+        return both.mapInPandas(meet, "q long, o long, dist double, rank int")
 
 
 def knn_join(queries: DataFrame, ref: DataFrame, features: list[str], k: int,
