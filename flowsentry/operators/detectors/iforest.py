@@ -104,25 +104,28 @@ class IForestModel:
     offset: float
     nodes: pd.DataFrame          # collected node table (bounded by trees x (2 psi - 1))
 
-    def arrays(self):
-        nd = self.nodes
-        m = int(nd["node"].max()) + 1
-        shape = (self.n_trees, m)
-        feat = np.full(shape, -1, np.int64)
-        thr = np.zeros(shape)
-        left = np.zeros(shape, np.int64)
-        right = np.zeros(shape, np.int64)
-        size = np.zeros(shape)
-        depth = np.zeros(shape)
+    def arrays(self, n_trees: int | None = None):
+        """The trees level by level, for ``leaf_heights``: features and thresholds of every level (tree t's
+        nodes of level l from place t * 2**l on), and the heights below the last one. A leaf goes on to the last
+        level, both ways with its height."""
+        nt = n_trees or self.n_trees
+        nd = self.nodes[self.nodes["tree"] < nt]
+        levels = int(nd["node"].max() + 1).bit_length() - 1
+        shape = (nt, 2 ** (levels + 1) - 1)
+        feat, thr, height = np.full(shape, -1, np.int64), np.full(shape, np.inf), np.zeros(shape)
         t, n = nd["tree"].to_numpy(), nd["node"].to_numpy()
+        inner = nd["feature"].to_numpy() >= 0
         feat[t, n] = nd["feature"].to_numpy()
-        thr[t, n] = nd["threshold"].to_numpy()
-        left[t, n] = nd["left"].to_numpy()
-        right[t, n] = nd["right"].to_numpy()
-        size[t, n] = nd["size"].to_numpy()
-        depth[t, n] = nd["depth"].to_numpy()
-        leaf_h = depth + average_path_length(size)
-        return feat, thr, left, right, leaf_h
+        thr[t[inner], n[inner]] = nd["threshold"].to_numpy()[inner]
+        height[t, n] = nd["depth"].to_numpy() + average_path_length(nd["size"].to_numpy())
+        out = []
+        for level in range(levels):
+            lo, hi = 2 ** level - 1, 2 ** (level + 1) - 1
+            leaf = np.repeat(feat[:, lo:hi] < 0, 2, axis=1)
+            below = height[:, 2 * lo + 1:2 * hi + 1]
+            below[leaf] = np.repeat(height[:, lo:hi], 2, axis=1)[leaf]
+            out.append((np.maximum(feat[:, lo:hi], 0).ravel(), thr[:, lo:hi].ravel()))
+        return nt, out, height[:, 2 ** levels - 1:].ravel()
 
     def transform(self, df: DataFrame, keep=("row_id", "y"), n_trees: int | None = None) -> DataFrame:
         """Adds score_samples, decision, score, pred. ``n_trees`` scores with the
@@ -130,8 +133,7 @@ class IForestModel:
         keep = [c for c in keep if c in df.columns]
         spark = df.sparkSession
         nt = n_trees or self.n_trees
-        feat, thr, left, right, leaf_h = self.arrays()
-        bc = spark.sparkContext.broadcast((feat[:nt], thr[:nt], left[:nt], right[:nt], leaf_h[:nt]))
+        bc = spark.sparkContext.broadcast(self.arrays(nt))
         cpsi = float(average_path_length([self.psi])[0]) or 1.0
         feats = self.features
         schema = T.StructType([df.schema[c] for c in keep]
@@ -150,24 +152,26 @@ class IForestModel:
         return s.withColumn("decision", d).withColumns({"score": score_from_decision(), "pred": pred_from_decision()})
 
 
+#: rows that walk together: what they hold fits a core's cache
+WALK_ROWS = 512
+
+
 def leaf_heights(trees, X: np.ndarray) -> np.ndarray:
-    """Rows x trees: the height of the leaf that a row reaches, all trees walked at once."""
-    fe, th, le, ri, lh = trees
-    nt, m = fe.shape
-    base = np.arange(nt) * m                       # flat node arrays: tree * m + node
-    fe, th, lh = fe.ravel(), th.ravel(), lh.ravel()
-    le, ri = (le + base[:, None]).ravel(), (ri + base[:, None]).ravel()
-    n, d = X.shape
-    flat = np.ascontiguousarray(X).ravel()
-    node = np.tile(base, n)
-    row = np.repeat(np.arange(n) * d, nt)
-    while True:
-        f = np.take(fe, node)
-        inner = f >= 0
-        if not inner.any():
-            return np.take(lh, node).reshape(n, nt)
-        x = np.take(flat, row + np.where(inner, f, 0))
-        node = np.where(inner, np.where(x <= np.take(th, node), np.take(le, node), np.take(ri, node)), node)
+    """Rows x trees: the height of the leaf that a row reaches, all trees walked at once, a
+    level at a time."""
+    nt, levels, height = trees
+    out = np.empty((len(X), nt))
+    d = X.shape[1]
+    for lo in range(0, len(X), WALK_ROWS):
+        x = np.ascontiguousarray(X[lo:lo + WALK_ROWS])
+        flat, row = x.ravel(), np.repeat(np.arange(len(x)) * d, nt)
+        place = np.tile(np.arange(nt), len(x))
+        for feat, thr in levels:
+            right = ~(flat.take(row + feat.take(place)) <= thr.take(place))
+            place += place
+            place += right
+        out[lo:lo + len(x)] = height.take(place).reshape(len(x), nt)
+    return out
 
 
 def score_forests(df: DataFrame, forests: list, sizes=None, fold: str = "fold", train: bool = False) -> DataFrame:
