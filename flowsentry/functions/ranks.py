@@ -189,7 +189,18 @@ def _cut_places(df: DataFrame, by, cuts: dict, h: str, key: str, digits: int, co
                 find(g, i, c, buckets)
     inside = lambda g, b: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, g)]
                                  + [F.col(h).startswith(b)])
-    some = lambda todo: reduce(lambda x, y: x | y, [inside(g, b) for g, b in {t[:1] + t[2:3] for t in todo}])
+
+    def some(todo):
+        """Rows of the buckets looked for. The prefixes of all groups come first: the hash, often
+        still an expression over the row, is made once for the many rows of other buckets."""
+        at = {}
+        for t in todo:
+            at.setdefault(len(t[2]), set()).add(t[2])
+        prefix = [F.substring(F.col(h), 1, size).isin(sorted(b)) for size, b in sorted(at.items())]
+        exact = [inside(g, b) for g, b in {t[:1] + t[2:3] for t in todo}]
+        either = lambda x, y: x | y
+        return reduce(either, prefix) & reduce(either, exact)
+
     size = 0
     while (any(len(t[2]) >= size for t in todo)  # shorter: the whole hash
            and sum(n for *_, n in {(t[0], t[2], t[4]) for t in todo}) > REFINE_DIRECT_ROWS):
