@@ -139,3 +139,31 @@ def test_fold_scaling_reads_the_split_it_wrote(spark, tmp_path):
     new = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/flowsentry/split-*")) - before
     assert len(got) == 3 and len(new) == 1
     assert {"row_id", "split", *LI_FEATURES} <= set(spark.read.parquet(f"{new.pop()}/data").columns)
+
+
+def test_pairs_are_compared_in_tiles_that_fit_a_cache():
+    rng = np.random.default_rng(3)
+    R = rng.normal(size=(2_048, 5)).round(1)
+    Q, bound = R[:1_500], rng.uniform(0.0, 0.6, 1_500)
+    bound[:3] = [np.inf, 0.0, np.nan]
+    ids = np.arange(len(R)) // 2  # some rows share an id
+    tracemalloc.start()
+    row, ref, dist = K.within(Q, R, bound, ids[:1_500], ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6
+    far = np.sqrt(((Q[:, None] - R[None]) ** 2).sum(axis=2))
+    want = (far <= bound[:, None]) & (ids[:1_500, None] != ids[None])
+    assert sorted(zip(row.tolist(), ref.tolist(), strict=True)) == [tuple(x) for x in np.argwhere(want).tolist()]
+    assert np.allclose(dist, far[row, ref])
+
+
+def test_volumes_are_scored_after_all_fits(spark, monkeypatch):
+    """Scoring is side by side, not between the fits, whose times would hold it up."""
+    df, cols = rows_of(spark, 120)
+    steps, fit, side = [], TU.fit_timed, TU.concurrently
+    monkeypatch.setattr(TU, "fit_timed", lambda *a: steps.append("fit") or fit(*a))
+    monkeypatch.setattr(TU, "concurrently", lambda s, *jobs: steps.append(len(jobs)) or side(s, *jobs))
+    one = {"LOF": {"k": 3, "contamination": 0.2}}
+    got = TU.volume_sensitivity(df.where("fold > 0"), df.where("fold = 0"), cols, (("a", 40), ("b", None)), one).collect()
+    assert steps == ["fit", "fit", 2] and [r["Status"] for r in got] == ["OK", "OK"]
