@@ -12,8 +12,8 @@ key. Rows are laid out once, a shard in order in one partition, as blocks of
 numbers, and never move again. An epoch is one Spark job: every shard runs
 minibatch Adam over its rows from the epoch's weights, a minibatch at a time; the
 weights and moments are summed by rows over a group of ``GROUP`` shards in the
-task, over ``FAN_IN`` groups in a second stage, and over what is left on the driver, in the
-shards' order: a few vectors an epoch, of a length that only the topology decides. The same job scores the
+task, then over ``FAN_IN`` groups at a time in a second stage, in the shards' order: the
+driver hears one row an epoch, of a length that only the topology decides. The same job scores the
 validation rows with the weights it starts from, so an epoch's validation loss
 comes with the next epoch's job.
 """
@@ -224,11 +224,17 @@ def _epoch(state, batches, d, group, batch, lr, train):
 
 
 def _over_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sums of some groups of shards as one row, added up in the groups' order."""
+    """The sums of the groups of shards as one row, added up ``FAN_IN`` at a time in the groups' order."""
+    def add(some):
+        total = sum(np.frombuffer(x, np.float64) for x in some["vectors"])
+        sums = {c: [sum(some[c].tolist())] for c in ("rows", "steps", "loss", "val_rows", "val_loss")}
+        return pd.DataFrame({"group": some["group"].iloc[:1].to_numpy(), **sums, "vectors": [total.tobytes()]})
+
     pdf = pdf.sort_values("group")
-    total = sum(np.frombuffer(x, np.float64) for x in pdf["vectors"])
-    sums = {c: [sum(pdf[c].tolist())] for c in ("rows", "steps", "loss", "val_rows", "val_loss")}
-    return pd.DataFrame({"group": pdf["group"].iloc[:1].to_numpy(), **sums, "vectors": [total.tobytes()]})
+    while len(pdf) > 1:
+        pdf = pd.concat([add(some) for _, some in pdf.groupby(np.unique(pdf["group"] // FAN_IN, return_inverse=True)[1])])
+        pdf["group"] = pdf["group"] // FAN_IN
+    return pdf
 
 
 def fit_autoencoder(train: DataFrame, val: DataFrame, features: list[str], max_epochs: int = 100,
@@ -245,8 +251,7 @@ def fit_autoencoder(train: DataFrame, val: DataFrame, features: list[str], max_e
         """The validation loss of the state's weights, and the state and training loss after an epoch."""
         bc = spark.sparkContext.broadcast(state)
         got = data.mapInPandas(lambda batches: _epoch(bc.value, batches, d, group, batch, lr, learn), sums)
-        got = got.groupBy(F.floor(F.col("group") / FAN_IN)).applyInPandas(_over_groups, sums)
-        got = sorted(got.collect(), key=lambda r: r["group"])  # a row for FAN_IN groups
+        got = got.groupBy(F.lit(0).alias("all")).applyInPandas(_over_groups, sums).collect()  # one row
         bc.unpersist()
         n, val_n = sum(r["rows"] for r in got), sum(r["val_rows"] for r in got)
         held = sum(r["val_loss"] for r in got) / val_n if val_n else math.nan

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from flowsentry.operators.detectors import autoencoder as AE
 from flowsentry.operators.detectors import iforest as IF
 from flowsentry.operators.detectors import knn as K
+from flowsentry.operators.detectors import lof as LOF
 from flowsentry.operators.detectors import ocsvm as OC
 from flowsentry.plans import tuning as TU
 
@@ -158,6 +159,37 @@ def test_pairs_are_compared_in_tiles_that_fit_a_cache():
     assert np.allclose(dist, far[row, ref])
 
 
+def broadcasts(df):
+    """What is below every broadcast of the plan, as text."""
+    lines, out = df._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+    for i, x in enumerate(lines):
+        if x.lstrip(" :+-*").startswith("BroadcastExchange"):
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            out.append("\n".join(lines[i + 1:end]))
+    return out
+
+
+def test_tables_of_rows_are_not_broadcast(spark):
+    """However small: what passes through the driver is of cells and groups."""
+    df, cols = rows_of(spark, 300)
+    df = TU.materialise(df, "rows")
+    index = K.KnnIndex(df, cols)
+    q = index.laid_out(df)
+    found = index.search(q, 4)
+    assert not [x for x in broadcasts(found) if "_v" in x]
+    found = TU.materialise(found, "found").withColumnsRenamed({"q": "q_id", "o": "o_id"})
+    assert not broadcasts(LOF.lof_tables(found))
+    model = LOF.fit_lof(df, cols, 4)
+    assert not [x for x in broadcasts(model.transform(df)) if "_key" in x or "lrd" in x or "_v" in x]
+
+
+def test_an_epoch_sends_one_row(spark, collected):
+    df, cols = rows_of(spark, 400)
+    AE.fit_autoencoder(df.where("fold > 0"), df.where("fold = 0"), cols, max_epochs=2)
+    assert {n for columns, n in collected if "vectors" in columns} == {1}
+
+
 def test_volumes_are_scored_after_all_fits(spark, monkeypatch):
     """Scoring is side by side, not between the fits, whose times would hold it up."""
     df, cols = rows_of(spark, 120)
