@@ -14,7 +14,8 @@ earlier document in another block. Pass 3 marks the words.
 
 Sketch and exact groups are dealt over shards by hash and grow with the
 input, nothing is broadcast. A window that a third of all documents share is
-sent once a block. A shard holds about ``shard_windows`` windows.
+sent once a block. A shard holds about ``shard_windows`` windows, and is decided
+a range of hashes at a time. The texts of a block are stored and shuffled compressed.
 
 Defined results: windows are judged on the input; a document is earlier if its
 id is smaller (null ids before all others); rows that share an id are one
@@ -26,20 +27,21 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import batch_bytes, materialise, word_spans
+from flowsentry.llm.common import batch_bytes, by_bytes, materialise, ranges, word_spans
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
 SHARD_WINDOWS = 1 << 22
 CELLS_PER_WINDOW = 4
 DEPTH = 2
+#: bytes of words that are hashed at once, and windows of a shard that are decided at once
+HASH_BYTES = 1 << 18
+RANGE_WINDOWS = 1 << 19
 _U = np.uint64
 _NULL = np.iinfo(np.int64).min
 
@@ -50,11 +52,25 @@ def _mix(x):
     return x ^ (x >> _U(31))
 
 
+def word_hashes(raw, starts, ends, seeds):
+    """For every seed a 64-bit hash of every word: the sum of its mixed bytes, each salted by its
+    place. A piece of the words at a time: a byte takes some fifty while it is hashed."""
+    size = ends - starts
+    out = [np.empty(len(size), np.uint64) for _ in seeds]
+    for lo, hi in by_bytes(np.concatenate([[0], np.cumsum(size)]), HASH_BYTES):
+        n = size[lo:hi]
+        offs = np.cumsum(n) - n
+        place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(offs, n)
+        salted = raw[np.repeat(starts[lo:hi], n) + place].astype(np.uint64) + (place.astype(np.uint64) << _U(8))
+        for word, seed in zip(out, seeds, strict=True):
+            word[lo:hi] = _mix(np.add.reduceat(_mix(salted * _U(2) + _U(seed)), offs) + n.astype(np.uint64) * _U(seed))
+    return out
+
+
 def window_hashes(raw, starts, ends, rows, window):
     """Two 64-bit hashes of every window, and the word each begins at.
 
-    A word's hash is the sum of its mixed bytes, each salted by its place; a
-    window's is a polynomial in the hashes of its words."""
+    A window's hash is a polynomial in the hashes of its words."""
     per_doc = np.diff(rows)
     n_win = np.maximum(per_doc - window + 1, 0)
     total = int(n_win.sum())
@@ -62,14 +78,8 @@ def window_hashes(raw, starts, ends, rows, window):
         empty = np.zeros(0, np.uint64)
         return empty, empty, np.zeros(0, np.int64)
     first = np.arange(total) + np.repeat(rows[:-1] - (np.cumsum(n_win) - n_win), n_win)
-    size = ends - starts
-    offs = np.cumsum(size) - size
-    place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(offs, size)
-    salted = raw[np.repeat(starts, size) + place].astype(np.uint64) + (place.astype(np.uint64) << _U(8))
     out = []
-    for seed in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-        word = np.add.reduceat(_mix(salted * _U(2) + _U(seed)), offs)
-        word = _mix(word + size.astype(np.uint64) * _U(seed))
+    for word in word_hashes(raw, starts, ends, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
         h = np.zeros(len(word) - window + 1, np.uint64)
         for j in range(window):
             h = h * _U(0x5851F42D4C957F2D) + word[j:j + len(h)]
@@ -85,7 +95,8 @@ def _pack(sorted_values):
 
 
 def _unpack(data):
-    step = np.frombuffer(data, "<u4" if data[:1] == b"4" else "<u2", offset=1)
+    """``_pack`` undone, of an array of bytes."""
+    step = np.frombuffer(data, "<u4" if data[0] == ord("4") else "<u2", offset=1)
     return np.cumsum(step, dtype=np.int64)
 
 
@@ -181,39 +192,61 @@ def _bits(data, n):
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
+def pack_texts(pieces):
+    """Texts' bytes, in pieces, as one compressed binary."""
+    return pa.compress(b"".join(pieces), codec="zstd", asbytes=True)
+
+
+def unpack_texts(sizes, data) -> pa.Array:
+    """The texts of a row of the block table, of its scalars ``sizes`` and ``texts``."""
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes.as_buffer(), "<u4"), dtype=np.int64)]).astype(np.int32)
+    raw = pa.decompress(data.as_buffer(), int(offsets[-1]), codec="zstd") if offsets[-1] else pa.py_buffer(b"")
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), raw)
+
+
 def blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """(block, ids, texts, bytes): consecutive documents of a task, about ``block_bytes`` in a row."""
+    """(block, ids, sizes, texts, bytes): consecutive documents of a task, about ``block_bytes`` in a
+    row; null texts as empty ones."""
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
-        ids, texts, held = [], [], 0
+        pieces, held, rows = [], 0, 0
 
         def row():
+            ids = pa.concat_arrays([x for x, _, _ in pieces])
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-                 pa.array([texts], pa.list_(pa.string())), pa.array([held], pa.int64())],
-                ["block", "ids", "texts", "bytes"])
+                [pa.array([(part << 32) + n], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                 pa.array([b"".join(x for _, x, _ in pieces)], pa.binary()), pa.array([pack_texts(x for _, _, x in pieces)], pa.binary()),
+                 pa.array([held], pa.int64())], ["block", "ids", "sizes", "texts", "bytes"])
 
         for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for i, (doc, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
-                if texts and held + size[i] > block_bytes:
+            raw, offsets = batch_bytes(batch.column(1))
+            size, lo = np.diff(offsets), 0
+
+            def take(hi):
+                # copies, so that no batch is kept for its last documents
+                pieces.append((pa.array(batch.column(0).slice(lo, hi - lo).to_pylist(), pa.int64()),  # noqa: B023
+                               size[lo:hi].astype("<u4").tobytes(), raw[offsets[lo]:offsets[hi]].tobytes()))  # noqa: B023
+
+            for i, bytes_ in enumerate(size.tolist()):
+                if rows and held + bytes_ > block_bytes:
+                    take(i)
                     yield row()
-                    n, ids, texts, held = n + 1, [], [], 0
-                ids.append(doc.as_py())
-                texts.append(text.as_py())
-                held += size[i]
-        if texts:
+                    n, lo, pieces, held, rows = n + 1, i, [], 0, 0
+                held, rows = held + bytes_, rows + 1
+            take(len(size))
+        if rows:
             yield row()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        run, "block long, ids array<long>, texts array<string>, bytes long")
+        run, "block long, ids array<long>, sizes binary, texts binary, bytes long")
 
 
 def _each(batch, window, names):
     """(block number, Block, the other columns) of every row of an Arrow batch."""
     for i in range(batch.num_rows):
-        yield (batch.column(0)[i].as_py(), Block(batch.column(1)[i].as_py(), batch.column(2)[i].values, window),
-               *(batch.column(batch.schema.get_field_index(c))[i].as_py() for c in names))
+        number, ids, sizes, texts = (batch.column(c)[i] for c in ("block", "ids", "sizes", "texts"))
+        yield (number.as_py(), Block(ids.as_py(), unpack_texts(sizes, texts), window),
+               *(batch.column(c)[i].as_py() for c in names))
 
 
 def _answers(bits):
@@ -221,6 +254,51 @@ def _answers(bits):
     return {(b["row"], b["shard"]) if "row" in b else b["shard"]: b["bits"] for b in bits or ()}
 
 
+def _views(column, kind):
+    """The numbers of every value of a binary column, not copied."""
+    return [np.frombuffer(x.as_buffer(), kind) for chunk in column.chunks for x in chunk]
+
+
+def _packed(bits):
+    return pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())
+
+
+def counted_twice(group: pa.Table, shard_cells: int) -> pa.Table:
+    """All blocks' cells of a row and shard of the sketch -> for each block a bit a cell."""
+    count, cells_of = np.zeros(shard_cells, np.uint8), _views(group.column("cells"), np.uint8)
+    for data in cells_of:
+        cells = _unpack(data)
+        twice = np.zeros(len(cells), bool)
+        twice[1:] = cells[1:] == cells[:-1]
+        one = cells[~twice]
+        count[one] = np.minimum(count[one] + 1, 2)
+        count[cells[twice]] = 2
+    bits = _packed(count[_unpack(data)] > 1 for data in cells_of)
+    return group.select(["block", "row", "shard"]).append_column("bits", bits)
+
+
+def claimed_earlier(group: pa.Table) -> pa.Table:
+    """All blocks' claims of a shard -> for each block a bit a claim: another one of the same
+    window has a smaller document. A block's claims are sorted by ``low``: ranges of it are
+    decided one after the other, so that no more than some of the shard is sorted at once."""
+    lows, highs, docs = (_views(group.column(c), t) for c, t in (("low", np.uint64), ("high", np.uint32), ("doc", np.int64)))
+    early = [np.zeros(len(x), bool) for x in lows]
+    for parts in ranges(lows, RANGE_WINDOWS):
+        low, high, doc = (np.concatenate([x[p] for x, p in zip(of, parts, strict=True)]) for of in (lows, highs, docs))
+        order = np.lexsort((doc, high, low))
+        low, high = low[order], high[order]
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        first = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        told = np.empty(len(doc), bool)
+        told[order] = first < doc[order]
+        at = 0
+        for out, p in zip(early, parts, strict=True):
+            out[p] = told[at:at + p.stop - p.start]
+            at += p.stop - p.start
+    return group.select(["block", "shard"]).append_column("bits", _packed(early))
+
+
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
          block_bytes: int = BLOCK_BYTES, shard_windows: int = SHARD_WINDOWS,
          cells_per_window: int = CELLS_PER_WINDOW, depth: int = DEPTH) -> DataFrame:
@@ -241,20 +319,12 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
                      pa.array([number] * len(got), pa.int64()),
                      pa.array([_pack(c) for _, _, c in got], pa.binary())], ["row", "shard", "block", "cells"])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        count = np.zeros(shard_cells, np.uint8)
-        for data in pdf["cells"]:
-            cells = _unpack(data)
-            twice = np.zeros(len(cells), bool)
-            twice[1:] = cells[1:] == cells[:-1]
-            one = cells[~twice]
-            count[one] = np.minimum(count[one] + 1, 2)
-            count[cells[twice]] = 2
-        bits = [np.packbits(count[_unpack(data)] > 1).tobytes() for data in pdf["cells"]]
-        return pd.DataFrame({"block": pdf["block"], "row": pdf["row"], "shard": pdf["shard"], "bits": bits})
+    def merge(group: pa.Table) -> pa.Table:
+        return counted_twice(group, shard_cells)
 
+    held = held.drop("bytes")
     sent = held.mapInArrow(sketch, "row int, shard int, block long, cells binary")
-    heard = sent.groupBy("row", "shard").applyInPandas(merge, "block long, row int, shard int, bits binary")
+    heard = sent.groupBy("row", "shard").applyInArrow(merge, "block long, row int, shard int, bits binary")
     heard = materialise(heard.groupBy("block").agg(
         F.collect_list(F.struct("row", "shard", "bits")).alias("sketch")), "sketch-answers")
     known = held.join(heard, "block", "left")
@@ -269,24 +339,8 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
                      *(pa.array([g[i].tobytes() for g in got], pa.binary()) for i in (1, 2, 3))],
                     ["shard", "block", "low", "high", "doc"])
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = [np.frombuffer(x, np.uint64) for x in pdf["low"]]
-        size = np.array([len(x) for x in low])
-        low, high = np.concatenate(low), np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["high"]])
-        doc = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["doc"]])
-        order = np.lexsort((doc, high, low))
-        low, high = low[order], high[order]
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-        early = np.empty(len(doc), bool)
-        early[order] = least < doc[order]
-        parts = np.split(early, np.cumsum(size)[:-1])
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"],
-                             "bits": [np.packbits(p).tobytes() for p in parts]})
-
     claims = known.mapInArrow(claim, "shard int, block long, low binary, high binary, doc binary")
-    told = claims.groupBy("shard").applyInPandas(decide, "block long, shard int, bits binary")
+    told = claims.groupBy("shard").applyInArrow(claimed_earlier, "block long, shard int, bits binary")
     told = materialise(told.groupBy("block").agg(
         F.collect_list(F.struct("shard", "bits")).alias("early")), "exact-answers")
 
@@ -307,13 +361,13 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
 def _rows(block, gone):
     data, n, kept, spans = block.raw.tobytes(), [], [], []
-    starts, ends = block.starts.tolist(), block.ends.tolist()
     for lo, hi in zip(block.rows[:-1].tolist(), block.rows[1:].tolist(), strict=True):
         g = gone[lo:hi]
         n.append((hi - lo, int(g.sum())))
         edge = np.flatnonzero(np.diff(np.concatenate([[0], g.astype(np.int8), [0]])))
         spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
-        kept.append(b" ".join([data[starts[i]:ends[i]] for i in (lo + np.flatnonzero(~g)).tolist()]))
+        left = lo + np.flatnonzero(~g)
+        kept.append(b" ".join([data[i:j] for i, j in zip(block.starts[left].tolist(), block.ends[left].tolist(), strict=True)]))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     return pa.RecordBatch.from_arrays(
         [pa.array(block.ids, pa.int64()), pa.array([a for a, _ in n], pa.int64()),

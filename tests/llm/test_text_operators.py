@@ -2,11 +2,14 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowsentry.llm import decontam, line_dedup, quality, secret_scan, simhash, substring_dedup
+from flowsentry.llm import common, decontam, line_dedup, quality, secret_scan, simhash, substring_dedup
 from flowsentry.llm.components import components
 from flowsentry.session import ship_package
 import helpers as H
@@ -57,6 +60,45 @@ def test_substring_dedup_repeated_and_null_ids(spark):
     assert substring_dedup.mark(H.docs_frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_memory():
+    """A block of 4 MB and a shard of claims take a small multiple of themselves at any moment."""
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(600_000))
+    tracemalloc.start()
+    block = substring_dedup.Block([1], pa.array([text]), 13)
+    assert len(block.h) == 600_000 - 12 and tracemalloc.get_traced_memory()[1] < 100e6
+    rng, n = np.random.default_rng(1), 100_000
+    low = [np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2)]
+    claims = [(low[i % 2], (low[i % 2] >> np.uint64(20)).astype(np.uint32), np.full(n, 100 - i)) for i in range(10)]
+    group = pa.table({"block": range(10), "shard": [0] * 10, **{c: [x[i].tobytes() for x in claims] for i, c in enumerate(("low", "high", "doc"))}})
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    told = substring_dedup.claimed_earlier(group).to_pydict()
+    assert tracemalloc.get_traced_memory()[1] - before < 60e6
+    tracemalloc.stop()
+    # the last of each kind of block has the smallest document
+    assert [sum(map(int.bit_count, x)) for x in told["bits"]] == [n] * 8 + [0, 0]
+
+
+def test_substring_dedup_ranges(spark, monkeypatch):
+    rows = corpus()
+    monkeypatch.setattr(substring_dedup, "HASH_BYTES", 7)
+    text = pa.array(["a bb ccc", "", "dddd " * 5 + "e"])
+    some = substring_dedup.Block([3, None, 2], text, 2)
+    monkeypatch.undo()
+    whole = substring_dedup.Block([3, None, 2], text, 2)
+    assert some.h.tolist() == whole.h.tolist() and some.h2.tolist() == whole.h2.tolist()
+    held = substring_dedup.blocks(H.docs_frame(spark, [*rows, (None, None), (5, "")]).coalesce(1), "doc_id", "text", 3000).collect()
+    got = []
+    for r in held:
+        texts = substring_dedup.unpack_texts(pa.scalar(bytes(r.sizes)), pa.scalar(bytes(r.texts))).to_pylist()
+        assert len(texts) == len(r.ids) and sum(len(t.encode()) for t in texts) == r.bytes
+        got += zip(r.ids, texts, strict=True)
+    assert got == [(i, t or "") for i, t in [*rows, (None, None), (5, "")]] and len(held) > 1
+    low = [np.array(x, np.uint64) for x in ([1, 5, 5, 9], [], [5, 8, 1 << 63])]
+    parts = list(common.ranges(low, 2))
+    assert [sorted({int(v) for x, p in zip(low, cut, strict=True) for v in x[p]}) for cut in parts] == [[1, 5, 8, 9], [], [], [1 << 63]]
+
+
 ITEMS = [(1, None), (2, ""), (3, "the"), (4, "W1 w2 w3"), (10, "no such words anywhere at all"), (11, "ß")]
 
 
