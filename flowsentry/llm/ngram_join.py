@@ -14,7 +14,8 @@ size are verified on their whole sets.
 
 Frequencies: documents go in blocks; a block sends the sorted cells (hash
 prefixes, 28 bits within a shard of about ``SHARD_SHINGLES``) of its shingles,
-a shard adds up and answers with the frequency on a log scale, a byte a cell.
+a shard adds up, a range of cells at a time, and answers with the frequency on a log
+scale, a byte a cell.
 The order is (frequency, hash); cells that collide only overestimate, and any
 common order is correct. A shingle of one document takes part in no posting.
 
@@ -48,12 +49,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import batch_bytes, word_spans
+from flowsentry.llm.common import batch_bytes, ranges, word_spans
 from flowsentry.llm.components import components
 from flowsentry.llm.substring_dedup import blocks, unpack_texts
 from flowsentry.session import materialise
@@ -66,6 +66,9 @@ CELL_BITS = 28
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 VERIFY_COST = 0.2
 GROUP_ROWS = 512
+#: shingles of a shard that are counted at once, and pairs of sets that are compared at once
+RANGE_SHINGLES = 1 << 19
+PAIR_ROWS = 512
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -141,17 +144,23 @@ def unpack_planes(data):
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def frequency_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All blocks' cells of a shard -> for each block its cells' frequencies on a log scale."""
-    cells = [np.cumsum(unpack_planes(x)) for x in pdf["cells"]]
-    counts = [unpack_planes(x) for x in pdf["counts"]]
-    sizes = np.array([len(c) for c in cells])
-    _, place = np.unique(np.concatenate(cells), return_inverse=True)
-    total = np.zeros(place.max() + 1, np.int64)
-    np.add.at(total, place, np.concatenate(counts))
-    level = np.minimum(np.round(4 * np.log2(total)), 255).astype(np.uint8)[place]
-    return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"],
-                         "levels": [x.tobytes() for x in np.split(level, np.cumsum(sizes)[:-1])]})
+def frequency_shard(group: pa.Table) -> pa.Table:
+    """All blocks' cells of a shard -> for each block its cells' frequencies on a log scale, a range
+    of cells at a time."""
+    cells = [np.cumsum(unpack_planes(x.as_buffer()), dtype=np.uint32) for x in group.column("cells")]  # of CELL_BITS
+    counts = [unpack_planes(x.as_buffer()).astype(np.uint32) for x in group.column("counts")]
+    levels = [np.zeros(len(c), np.uint8) for c in cells]
+    for parts in ranges(cells, RANGE_SHINGLES):
+        one, count = (np.concatenate([x[p] for x, p in zip(of, parts, strict=True)]) for of in (cells, counts))
+        different, place = np.unique(one, return_inverse=True)
+        total = np.zeros(len(different), np.int64)
+        np.add.at(total, place, count)
+        level = np.minimum(np.round(4 * np.log2(total)), 255).astype(np.uint8)[place]
+        at = 0
+        for out, p in zip(levels, parts, strict=True):
+            out[p] = level[at:at + p.stop - p.start]
+            at += p.stop - p.start
+    return group.select(["block", "shard"]).append_column("levels", pa.array([x.tobytes() for x in levels], pa.binary()))
 
 
 def least_overlap(n, percent):
@@ -227,7 +236,7 @@ def document_prefixes(held: DataFrame, shingle: int, percent: int, shard_shingle
                     ["doc_id", "n", "k1", "k2", "matches", "center", "tokens", "block", "pos"])
 
     sent = held.select("block", "sizes", "texts").mapInArrow(send, "block long, shard long, cells binary, counts binary")
-    told = sent.groupBy("shard").applyInPandas(frequency_shard, "block long, shard long, levels binary")
+    told = sent.groupBy("shard").applyInArrow(frequency_shard, "block long, shard long, levels binary")
     told = materialise(told.groupBy("block").agg(
         F.collect_list(F.struct("shard", "levels")).alias("answers")), "shingle-frequencies")
     return held.join(told.hint("merge"), "block", "left").select("block", "ids", "sizes", "texts", "answers").mapInArrow(
@@ -253,7 +262,7 @@ def compared(pairs: DataFrame, classes: DataFrame, held: DataFrame, shingle: int
                 yield pa.RecordBatch.from_arrays([ask.field("node"), pa.array(data, pa.binary())], ["node", "set"])
 
     def check(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, PAIR_ROWS) for b in batches for lo in range(0, b.num_rows, PAIR_ROWS)):
             linked, n_a, lacked, added, delta = [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

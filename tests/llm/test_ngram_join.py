@@ -2,6 +2,8 @@
 
 import random
 import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -160,3 +162,29 @@ def test_empty_table(spark):
     assert ngram_join.near_duplicates(df).count() == 0
     only = ngram_join.near_duplicates(H.docs_frame(spark, [(1, None), (1, ""), (2, " ")])).collect()
     assert sorted(map(tuple, only)) == [(1, 0, 1), (1, 0, 1), (2, 0, 2)]
+
+
+def test_frequencies_by_ranges(monkeypatch):
+    """A shard's frequencies are the same in one range and in many, and many take less memory."""
+    rng = np.random.default_rng(2)
+    cells = [np.unique(rng.integers(0, 1 << ngram_join.CELL_BITS, 100_000)) for _ in range(12)] + [np.arange(3)]
+    cells[1] = cells[0]
+    counts = [1 + c % 3 for c in cells]
+    group = pa.table({"block": range(13), "shard": [4] * 13, "cells": [ngram_join.pack_planes(np.diff(c, prepend=0)) for c in cells],
+                      "counts": [ngram_join.pack_planes(c) for c in counts]})
+    tracemalloc.start()
+    got, peaks = [], []
+    for most in (1 << 30, 50_000):
+        monkeypatch.setattr(ngram_join, "RANGE_SHINGLES", most)
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        got.append(ngram_join.frequency_shard(group).to_pydict())
+        peaks.append(tracemalloc.get_traced_memory()[1] - before)
+    tracemalloc.stop()
+    assert got[0] == got[1] and got[0]["block"] == list(range(13))
+    total = Counter()
+    for c, n in zip(cells, counts, strict=True):
+        total.update(dict(zip(c.tolist(), n.tolist(), strict=True)))
+    want = [np.round(4 * np.log2([total[x] for x in c.tolist()])).astype(np.uint8).tobytes() for c in cells]
+    assert got[0]["levels"] == want
+    assert peaks[1] < 30e6 < peaks[0]
