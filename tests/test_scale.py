@@ -106,6 +106,25 @@ def test_knn_part_holds_its_nearest_alone(monkeypatch):
     assert (got["o"].to_numpy().reshape(50, 3) == want).all()
 
 
+def test_knn_references_travel_in_bundles(spark, monkeypatch):
+    """A row a cell, not one a reference, goes to the parts; the rows are the same."""
+    df, cols = rows_of(spark, 900)
+    index = K.KnnIndex(df, cols)
+    whole = index.search(index.table, 5, exclude_self=True)
+    assert any("knn-bundles" in f for f in whole.inputFiles()) and not any("knn-rows" in f for f in whole.inputFiles())
+    want, table = sorted(whole.collect()), sorted((r["_n"], r["_kh"], r["_cell"], bytes(r["_v"])) for r in index.table.collect())
+    bundles = index.bundles().collect()
+    assert len(bundles) < 300
+    got = [(int(n), int(kh), b["_cell"], v) for b in bundles for n, kh, v in zip(
+        np.frombuffer(b["_ns"], np.int64), np.frombuffer(b["_khs"], np.int64),
+        [bytes(b["_v"])[i:i + 8 * len(cols)] for i in range(0, len(b["_v"]), 8 * len(cols))], strict=True)]
+    assert sorted(got) == table
+    monkeypatch.setattr(K, "BUNDLE_ROWS", 2)
+    monkeypatch.setattr(K, "BUNDLES", 1)
+    index._bundles = None
+    assert sorted(index.search(index.table, 5, exclude_self=True).collect()) == want and index.bundles().count() > len(bundles)
+
+
 def test_forest_walk_keeps_few_rows_at_once():
     rng = np.random.default_rng(4)
     X = rng.normal(size=(20_000, 3))
