@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from flowsentry.operators import sampling as P
 from flowsentry.operators.detectors import autoencoder as AE
 from flowsentry.operators.detectors import iforest as IF
 from flowsentry.operators.detectors import knn as K
@@ -218,3 +219,18 @@ def test_volumes_are_scored_after_all_fits(spark, monkeypatch):
     one = {"LOF": {"k": 3, "contamination": 0.2}}
     got = TU.volume_sensitivity(df.where("fold > 0"), df.where("fold = 0"), cols, (("a", 40), ("b", None)), one).collect()
     assert steps == ["fit", "fit", 2] and [r["Status"] for r in got] == ["OK", "OK"]
+
+
+def test_tuning_finds_neighbours_once(spark, monkeypatch):
+    """The contamination sweep is over scores of the grid: no second search, the same result."""
+    df, cols = rows_of(spark, 150)
+    df = TU.materialise(P.kfold_assign(df.drop("fold"), 2), "folds")
+    searches, sweeps, join, side, sweep = [], [], TU.knn_join, TU.concurrently, TU.lof_threshold_sweep
+    monkeypatch.setattr(TU, "knn_join", lambda *a, **b: searches.append(1) or join(*a, **b))
+    monkeypatch.setattr(TU, "lof_threshold_sweep", lambda *a, **b: sweeps.append(TU.materialise(sweep(*a, **b), "sweep")) or sweeps[-1])
+    # of the three tuners only that of LOF
+    monkeypatch.setattr(TU, "concurrently", lambda s, *jobs: [{}, {}, jobs[2]()] if len(jobs) == 3 else side(s, *jobs))
+    got = TU.tuned_params(df, cols, 2, lof_grid={"n_neighbors": [3, 6]})["LOF"]
+    assert len(searches) == 2  # a fold block each
+    alone = sorted(sweep(df, cols, got["k"], 2).collect())
+    assert got["k"] in (3, 6) and len(alone) == 5 and sorted(sweeps[0].collect()) == alone
