@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.llm.common import batch_bytes, ranges, word_spans
 from flowsentry.llm.components import components
-from flowsentry.llm.substring_dedup import blocks, unpack_texts
+from flowsentry.llm.substring_dedup import block_texts, blocks, text_columns
 from flowsentry.session import materialise
 
 SHINGLE = 4
@@ -208,7 +208,7 @@ def document_prefixes(held: DataFrame, shingle: int, percent: int, shard_shingle
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                h, _ = shingle_sets(unpack_texts(batch.column(1)[i], batch.column(2)[i]), shingle)
+                h, _ = shingle_sets(block_texts(batch, i), shingle)
                 cells, _, counts = block_cells(h, shard_bits)
                 got = list(by_shard(cells))
                 local = (cells & _U((1 << CELL_BITS) - 1)).astype(np.int64)
@@ -222,9 +222,9 @@ def document_prefixes(held: DataFrame, shingle: int, percent: int, shard_shingle
     def cut(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                h, offsets = shingle_sets(unpack_texts(batch.column(2)[i], batch.column(3)[i]), shingle)
+                h, offsets = shingle_sets(block_texts(batch, i), shingle)
                 cells, place, _ = block_cells(h, shard_bits)
-                level = _levels(batch.column(4)[i].as_py(), cells)[place]
+                level = _levels(batch.column("answers")[i].as_py(), cells)[place]
                 matches, center, tokens, token_offsets = prefixes(h, offsets, level, percent)
                 keys = [np.cumsum(np.append(_U(0), _mix(h ^ _U(x)))) for x in (0x1F3, 0x2A5F)]
                 keys = [(k[offsets[1:]] - k[offsets[:-1]]).view(np.int64) for k in keys]
@@ -235,11 +235,11 @@ def document_prefixes(held: DataFrame, shingle: int, percent: int, shard_shingle
                      pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(np.arange(n), pa.int32())],
                     ["doc_id", "n", "k1", "k2", "matches", "center", "tokens", "block", "pos"])
 
-    sent = held.select("block", "sizes", "texts").mapInArrow(send, "block long, shard long, cells binary, counts binary")
+    sent = held.select("block", *text_columns(held)).mapInArrow(send, "block long, shard long, cells binary, counts binary")
     told = sent.groupBy("shard").applyInArrow(frequency_shard, "block long, shard long, levels binary")
     told = materialise(told.groupBy("block").agg(
         F.collect_list(F.struct("shard", "levels")).alias("answers")), "shingle-frequencies")
-    return held.join(told.hint("merge"), "block", "left").select("block", "ids", "sizes", "texts", "answers").mapInArrow(
+    return held.join(told.hint("merge"), "block", "left").select("block", "ids", *text_columns(held), "answers").mapInArrow(
         cut, "doc_id long, n long, k1 long, k2 long, matches int, center double, tokens array<long>, block long, pos int")
 
 
@@ -256,8 +256,8 @@ def compared(pairs: DataFrame, classes: DataFrame, held: DataFrame, shingle: int
     def sets(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ask = batch.column(2)[i].values
-                h, offsets = shingle_sets(unpack_texts(batch.column(0)[i], batch.column(1)[i]).take(ask.field("pos")), shingle)
+                ask = batch.column("asked")[i].values
+                h, offsets = shingle_sets(block_texts(batch, i).take(ask.field("pos")), shingle)
                 data = [h[lo:hi].tobytes() for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([ask.field("node"), pa.array(data, pa.binary())], ["node", "set"])
 
@@ -278,7 +278,7 @@ def compared(pairs: DataFrame, classes: DataFrame, held: DataFrame, shingle: int
                 out += [pa.array(v, pa.int64()) for v in (n_a, lacked, added)] + [pa.array(delta, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(out, ["a", "b", "linked", "n_a", "lacked", "added", "delta"][:len(out)])
 
-    found = held.join(asked.hint("merge"), "block").select("sizes", "texts", "asked").mapInArrow(sets, "node long, set binary")
+    found = held.join(asked.hint("merge"), "block").select(*text_columns(held), "asked").mapInArrow(sets, "node long, set binary")
     found = materialise(found, "shingle-sets")
     left, right = (found.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "set_a", "set_b").mapInArrow(
@@ -349,7 +349,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: sets link when
     100 * intersection >= percent * union."""
-    held = materialise(blocks(docs, id_col, text_col, block_bytes), "join-blocks")
+    held = materialise(blocks(docs, id_col, text_col, block_bytes, packed=True), "join-blocks")
     rows = materialise(document_prefixes(held, shingle, percent, shard_shingles), "prefixes")
     key = ["k1", "k2", "n"]
     classes = rows.where(F.col("n") > 0).groupBy(*key).agg(

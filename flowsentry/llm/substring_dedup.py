@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,60 +193,70 @@ def _bits(data, n):
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def pack_texts(pieces):
-    """Texts' bytes, in pieces, as one compressed binary."""
-    return pa.compress(b"".join(pieces), codec="zstd", asbytes=True)
-
-
 def unpack_texts(sizes, data) -> pa.Array:
-    """The texts of a row of the block table, of its scalars ``sizes`` and ``texts``."""
+    """The texts of a packed row of the block table, of its scalars ``sizes`` and ``texts``."""
     offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes.as_buffer(), "<u4"), dtype=np.int64)]).astype(np.int32)
     raw = pa.decompress(data.as_buffer(), int(offsets[-1]), codec="zstd") if offsets[-1] else pa.py_buffer(b"")
     return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), raw)
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """(block, ids, sizes, texts, bytes): consecutive documents of a task, about ``block_bytes`` in a
-    row; null texts as empty ones."""
+def text_columns(held: DataFrame) -> list:
+    """What of a block table ``block_texts`` reads."""
+    return [c for c in ("sizes", "texts") if c in held.columns]
+
+
+def block_texts(batch, i: int) -> pa.Array:
+    """The texts of row ``i`` of an Arrow batch of a block table."""
+    texts = batch.column("texts")[i]
+    return unpack_texts(batch.column("sizes")[i], texts) if "sizes" in batch.schema.names else texts.values
+
+
+def blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, packed: bool = False) -> DataFrame:
+    """(block, ids, texts, bytes): consecutive documents of a task, about ``block_bytes`` in a row.
+    ``packed``: ``texts`` are compressed, of ``sizes`` bytes each, null ones as empty ones."""
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
         pieces, held, rows = [], 0, 0
 
         def row():
-            ids = pa.concat_arrays([x for x, _, _ in pieces])
+            ids, texts = (pa.concat_arrays(x) for x in zip(*pieces, strict=True))
+            whole = pa.array([0, len(ids)], pa.int32())
+            if packed:
+                raw, offsets = batch_bytes(texts)
+                texts = [pa.array([np.diff(offsets).astype("<u4").tobytes()], pa.binary()),
+                         pa.array([pa.compress(raw.tobytes(), codec="zstd", asbytes=True)], pa.binary())]
+            else:
+                texts = [pa.ListArray.from_arrays(whole, texts)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + n], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                 pa.array([b"".join(x for _, x, _ in pieces)], pa.binary()), pa.array([pack_texts(x for _, _, x in pieces)], pa.binary()),
-                 pa.array([held], pa.int64())], ["block", "ids", "sizes", "texts", "bytes"])
+                [pa.array([(part << 32) + n], pa.int64()), pa.ListArray.from_arrays(whole, ids), *texts, pa.array([held], pa.int64())],
+                ["block", "ids", *["sizes"][:packed], "texts", "bytes"])
 
         for batch in batches:
-            raw, offsets = batch_bytes(batch.column(1))
-            size, lo = np.diff(offsets), 0
+            size, lo = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 0
 
             def take(hi):
                 # copies, so that no batch is kept for its last documents
-                pieces.append((pa.array(batch.column(0).slice(lo, hi - lo).to_pylist(), pa.int64()),  # noqa: B023
-                               size[lo:hi].astype("<u4").tobytes(), raw[offsets[lo]:offsets[hi]].tobytes()))  # noqa: B023
+                pieces.append(tuple(pa.array(batch.column(c).slice(lo, hi - lo).to_pylist(), t)  # noqa: B023
+                                    for c, t in ((0, pa.int64()), (1, pa.string()))))
 
-            for i, bytes_ in enumerate(size.tolist()):
-                if rows and held + bytes_ > block_bytes:
+            for i, length in enumerate(size):
+                if rows and held + length > block_bytes:
                     take(i)
                     yield row()
                     n, lo, pieces, held, rows = n + 1, i, [], 0, 0
-                held, rows = held + bytes_, rows + 1
+                held, rows = held + length, rows + 1
             take(len(size))
         if rows:
             yield row()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        run, "block long, ids array<long>, sizes binary, texts binary, bytes long")
+        run, "block long, ids array<long>, " + "sizes binary, texts binary" * packed + "texts array<string>" * (not packed) + ", bytes long")
 
 
 def _each(batch, window, names):
     """(block number, Block, the other columns) of every row of an Arrow batch."""
     for i in range(batch.num_rows):
-        number, ids, sizes, texts = (batch.column(c)[i] for c in ("block", "ids", "sizes", "texts"))
-        yield (number.as_py(), Block(ids.as_py(), unpack_texts(sizes, texts), window),
+        yield (batch.column("block")[i].as_py(), Block(batch.column("ids")[i].as_py(), block_texts(batch, i), window),
                *(batch.column(c)[i].as_py() for c in names))
 
 
@@ -304,7 +315,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
          cells_per_window: int = CELLS_PER_WINDOW, depth: int = DEPTH) -> DataFrame:
     """For every row of ``docs``: doc_id, n_words, n_removed, kept (the words kept, joined by
     a space) and removed, array of (start, end) word numbers."""
-    held = materialise(blocks(docs, id_col, text_col, block_bytes), "blocks")
+    held = materialise(blocks(docs, id_col, text_col, block_bytes, packed=True), "blocks")
     total = held.agg(F.sum("bytes")).first()[0] or 0
     # a word and its space take 4 bytes and more in most texts: a bound on the windows, near enough
     shards = max(1, -(-(total // 4) // shard_windows))

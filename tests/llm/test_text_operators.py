@@ -87,7 +87,7 @@ def test_substring_dedup_ranges(spark, monkeypatch):
     monkeypatch.undo()
     whole = substring_dedup.Block([3, None, 2], text, 2)
     assert some.h.tolist() == whole.h.tolist() and some.h2.tolist() == whole.h2.tolist()
-    held = substring_dedup.blocks(H.docs_frame(spark, [*rows, (None, None), (5, "")]).coalesce(1), "doc_id", "text", 3000).collect()
+    held = substring_dedup.blocks(H.docs_frame(spark, [*rows, (None, None), (5, "")]).coalesce(1), "doc_id", "text", 3000, packed=True).collect()
     got = []
     for r in held:
         texts = substring_dedup.unpack_texts(pa.scalar(bytes(r.sizes)), pa.scalar(bytes(r.texts))).to_pylist()
